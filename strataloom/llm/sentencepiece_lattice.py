@@ -202,8 +202,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 3000):
-                batch = whole.slice(low, 3000)
+            for low in range(0, whole.num_rows, 1000):
+                batch = whole.slice(low, 1000)
                 texts = batch.column(text).to_pylist()
                 known = [i for i, t in enumerate(texts) if t is not None]
                 seeds = batch.column("_seed").to_numpy(zero_copy_only=False)[known].view(np.uint64)
