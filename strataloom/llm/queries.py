@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from strataloom.llm.minmax_dedup import op7_minmax_dedup
 from strataloom.llm.sentencepiece_lattice import op1_sentencepiece
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece}
+QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op7_minmax_dedup": op7_minmax_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {}
