@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from strataloom.llm.minmax_dedup import op7_minmax_dedup
+from strataloom.llm.mixing import op3_mixing
+from strataloom.llm.quality_lines import OP4_SQL, op4_line_quality
 from strataloom.llm.sentencepiece_lattice import op1_sentencepiece
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_mixing": op3_mixing,
+    "op4_line_quality": op4_line_quality,
     "op7_minmax_dedup": op7_minmax_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_quality": OP4_SQL}
