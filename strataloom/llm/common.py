@@ -87,7 +87,7 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: list[str], limit: int = 1_500_000):
+def slices(texts: list[str], limit: int = 500_000):
     """Index ranges of `texts` with at most about `limit` characters each, and at least one text."""
     start = size = 0
     for i, text in enumerate(texts):

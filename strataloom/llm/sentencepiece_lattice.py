@@ -192,18 +192,28 @@ def sample_pieces(vocabulary: Vocabulary, texts: list[str], seeds: np.ndarray) -
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "piece_ids", model_path: str = MODEL, alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """Add sampled piece ids of `text`, drawn from a generator seeded by `key` and `seed`."""
+def spell(bytes_of: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """The texts of consecutive runs of piece ids, without the dummy prefix; bytes that are not UTF-8 become U+FFFD."""
+    parts = list(map(bytes_of.__getitem__, ids.tolist()))
+    return [b"".join(parts[a:b])[1:].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "piece_ids", model_path: str = MODEL, alpha: float = 1.0, seed: int = 0, verified: str | None = None) -> DataFrame:
+    """Add sampled piece ids of `text`, drawn from a generator seeded by `key` and `seed`.
+
+    With `verified`, a boolean column of that name tells whether the ids decode to the very text; the text is dropped.
+    """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(Vocabulary(model_path, alpha))  # one model: about 7 MB
-    columns = docs.columns
+    columns = [c for c in docs.columns if not verified or c != text]
     keyed = docs.withColumn("_seed", F.xxhash64(F.col(key), F.lit(seed)))
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    schema = schema.add(verified, "boolean") if verified else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
+            for low in range(0, whole.num_rows, 250):
+                batch = whole.slice(low, 250)
                 texts = batch.column(text).to_pylist()
                 known = [i for i, t in enumerate(texts) if t is not None]
                 seeds = batch.column("_seed").to_numpy(zero_copy_only=False)[known].view(np.uint64)
@@ -213,7 +223,14 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str =
                 ends = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
                 mask = pa.array(np.array([t is None for t in texts], bool))
                 lists = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()), mask=mask)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], lists], names=[*columns, out])
+                added = {out: lists}
+                if verified:
+                    spelled = spell(vocabulary.value.bytes_of, ids, offsets)
+                    same = [True] * len(texts)
+                    for i, back in zip(known, spelled):
+                        same[i] = back == texts[i]
+                    added[verified] = pa.array(same, pa.bool_())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *added.values()], names=[*columns, *added])
 
     return keyed.mapInArrow(run, schema)
 
@@ -223,15 +240,14 @@ def decode(frame: DataFrame, ids: str = "piece_ids", out: str = "decoded", model
     table_of = frame.sparkSession.sparkContext.broadcast(Vocabulary(model_path).bytes_of)
 
     @F.pandas_udf("string")
-    def spell(column):
-        piece = table_of.value.__getitem__
-        return column.map(lambda x: None if x is None else b"".join(map(piece, x.tolist()))[1:].decode("utf-8", "replace"))
+    def text_of(column):
+        return column.map(lambda x: None if x is None else spell(table_of.value, x, np.array([0, len(x)]))[0])
 
-    return frame.withColumn(out, spell(F.col(ids)))
+    return frame.withColumn(out, text_of(F.col(ids)))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled piece ids of every document, and whether they decode to its very text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs))
-    return coded.select("doc_id", "piece_ids", F.size("piece_ids").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    coded = encode(docs, verified="lossless")
+    return coded.select("doc_id", "piece_ids", F.size("piece_ids").alias("n_pieces"), "lossless")
