@@ -5,6 +5,7 @@ from __future__ import annotations
 from strataloom.llm.langid_centroid import op9_langid
 from strataloom.llm.minmax_dedup import op7_minmax_dedup
 from strataloom.llm.mixing import op3_mixing
+from strataloom.llm.prefix_fingerprint import op6_prefix_fingerprint
 from strataloom.llm.quality_lines import OP4_SQL, op4_line_quality
 from strataloom.llm.sentencepiece_lattice import op1_sentencepiece
 from strataloom.llm.toxicity_fm import op5_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_line_quality": op4_line_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_prefix_fingerprint": op6_prefix_fingerprint,
     "op7_minmax_dedup": op7_minmax_dedup,
     "op9_langid": op9_langid,
 }
