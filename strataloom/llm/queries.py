@@ -5,6 +5,7 @@ from __future__ import annotations
 from strataloom.llm.langid_centroid import op9_langid
 from strataloom.llm.minmax_dedup import op7_minmax_dedup
 from strataloom.llm.mixing import op3_mixing
+from strataloom.llm.pii_crf import op10_pii
 from strataloom.llm.prefix_fingerprint import op6_prefix_fingerprint
 from strataloom.llm.quality_lines import OP4_SQL, op4_line_quality
 from strataloom.llm.sentencepiece_lattice import op1_sentencepiece
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_prefix_fingerprint": op6_prefix_fingerprint,
     "op7_minmax_dedup": op7_minmax_dedup,
     "op9_langid": op9_langid,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_quality": OP4_SQL}
