@@ -10,9 +10,11 @@ from strataloom.llm.prefix_fingerprint import op6_prefix_fingerprint
 from strataloom.llm.quality_lines import OP4_SQL, op4_line_quality
 from strataloom.llm.sentencepiece_lattice import op1_sentencepiece
 from strataloom.llm.toxicity_fm import op5_toxicity
+from strataloom.llm.warc_zstd import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_line_quality": op4_line_quality,
     "op5_toxicity": op5_toxicity,
@@ -22,4 +24,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_quality": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_line_quality": OP4_SQL}
