@@ -1,10 +1,69 @@
-"""Corpus pipeline: the stages in order, each written as Parquet and read again as the next one's documents."""
+"""Corpus pipeline: the stages in order, each written as Parquet and read again as the next one's documents.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataloom.llm import langid_centroid, minmax_dedup, mixing, pii_crf, sentencepiece_lattice
+from strataloom.llm.common import staged, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near enough to a language's centroid stay, labelled with the predicted language."""
+    model = langid_centroid.fit(langid_centroid.train_rows(docs))
+    kept = langid_centroid.predict(docs.select(*COLUMNS), model).where("accepted")
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the least id stays."""
+    found = minmax_dedup.near_duplicates(docs, k=5)
+    dropped = found.where("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the text gives way to its kind in brackets."""
+    cleaned = pii_crf.find(docs.select(*COLUMNS), pii_crf.fit(docs.select("doc_id", "text")), redact=True)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), "source", "text")
+    copies = mixing.mix(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).select("row_key", "copies").where("copies > 0")
+    copies = copies.dropDuplicates(["row_key"])
+    taken = docs.withColumn("row_key", key).join(copies, "row_key")
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every document that the mix took."""
+    coded = sentencepiece_lattice.encode(docs.select("doc_id", "lang", "source", "text"), verified="lossless")
+    return coded.withColumn("n_pieces", F.size("piece_ids"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("near duplicates", deduplicate),
+    ("personal data", redact),
+    ("mixing", mix),
+    ("SentencePiece", tokenize),
+]
+
+#: Learnt models and hashes have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strataloom.llm.langid_centroid import op9_langid
+from strataloom.llm.license_compress import op8_license
 from strataloom.llm.minmax_dedup import op7_minmax_dedup
 from strataloom.llm.mixing import op3_mixing
 from strataloom.llm.pii_crf import op10_pii
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_prefix_fingerprint": op6_prefix_fingerprint,
     "op7_minmax_dedup": op7_minmax_dedup,
+    "op8_license": op8_license,
     "op9_langid": op9_langid,
     "op10_pii": op10_pii,
 }
