@@ -1,15 +1,569 @@
-"""Registered queries of the association library and their SQL twins."""
+"""Registered queries of the association library and their SQL twins; doubles are rounded to six digits in both."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strataloom.functions import scalar
+from strataloom.operators import filters, link, model, pedigree, reads, score, stats, survival, wald
+from strataloom.plans import fixtures as fx
+from strataloom.plans.fixtures import duck
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; -0.0 becomes 0.0."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
 
 def flagship(spark, sf_dir):
     return queries()["T1_linear_wald"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+def _linked(spark, d):
+    return link.link(fx.pheno(spark, d), fx.geno(spark, d))
+
+
+# --- filters ---------------------------------------------------------------------------------------------------
+@query("F1_complete_cases", duck("pheno geno", "SELECT iid, variant FROM geno JOIN pheno USING (iid) WHERE g IS NOT NULL AND y IS NOT NULL"))
+def _(s, d):
+    return filters.complete_cases(_linked(s, d), ["g", "y"]).select("iid", "variant")
+
+
+@query("F2_subset", duck("pheno", "SELECT iid, CASE WHEN stratum = 'BUILDING' AND x1 = 1 THEN 0 ELSE 1 END AS subgroup FROM pheno WHERE (stratum, x1) IN (('BUILDING', 1), ('MACHINERY', 2))"))
+def _(s, d):
+    return filters.subset(fx.pheno(s, d), ["stratum", "x1"], [("BUILDING", 1.0), ("MACHINERY", 2.0)]).select("iid", "subgroup")
+
+
+@query("F3_chromosome", duck("variants", "SELECT variant, pos FROM variants WHERE chrom = 1"))
+def _(s, d):
+    return filters.extract(fx.variants(s, d), 1).select("variant", "pos")
+
+
+@query("F4_range", duck("variants", "SELECT variant, pos FROM variants WHERE chrom = 1 AND pos BETWEEN 1050 AND 1200"))
+def _(s, d):
+    return filters.extract(fx.variants(s, d), 1, 1050, 1200).select("variant", "pos")
+
+
+@query("F5_list", duck("variants", "SELECT variant FROM variants WHERE variant % 3 = 0 QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY variant) = 1"))
+def _(s, d):
+    v = fx.variants(s, d)
+    return filters.extract_list(v, v.where("variant % 3 = 0"), "variant").select("variant")
+
+
+@query("F6_overlap", duck("variants", "SELECT variant, pos FROM variants WHERE chrom = 1 AND pos + length(ref) - 1 >= 1053 AND pos <= 1200"))
+def _(s, d):
+    return filters.extract(fx.variants(s, d), 1, 1053, 1200, overlap=True).select("variant", "pos")
+
+
+@query("F7_biallelic", duck("variants", "SELECT variant FROM variants WHERE alt NOT LIKE '%,%'"))
+def _(s, d):
+    return filters.biallelic(fx.variants(s, d)).select("variant")
+
+
+@query("F8_pass", duck("variants", "SELECT variant FROM variants WHERE filter = 'PASS'"))
+def _(s, d):
+    return filters.pass_only(fx.variants(s, d)).select("variant")
+
+
+@query("F9_all_phased", duck("pheno geno", "SELECT variant FROM geno GROUP BY 1 HAVING bool_and(iid % 97 <> 1 OR variant % 2 = 0)"))
+def _(s, d):
+    return filters.all_phased(fx.geno(s, d).withColumn("phased", (F.col("iid") % 97 != 1) | (F.col("variant") % 2 == 0)))
+
+
+@query("F9_no_missing", duck("pheno geno", "SELECT variant FROM geno WHERE iid <= 30 GROUP BY 1 HAVING count(*) = count(g)"))
+def _(s, d):
+    return filters.no_missing_gt(fx.geno(s, d).where("iid <= 30"))
+
+
+@query("F10_min_alt_count", duck("pheno geno", "SELECT variant, CAST(sum(coalesce(g, 0)) AS BIGINT) AS alt_count FROM geno WHERE iid IN (SELECT iid FROM pheno WHERE wt = 2) GROUP BY 1 HAVING sum(coalesce(g, 0)) >= 50"))
+def _(s, d):
+    return filters.min_alt_count(fx.geno(s, d), 50, fx.pheno(s, d).where("wt = 2").select("iid"))
+
+
+@query("F11_min_allele_count", duck("pheno geno", "SELECT variant, least(sum(2 - g), sum(g))::BIGINT AS least FROM geno GROUP BY 1 HAVING least(sum(2 - g), sum(g)) >= 200"))
+def _(s, d):
+    called = fx.geno(s, d).where("g IS NOT NULL")
+    alleles = F.when(F.col("g") == 0, F.array(F.lit(0), F.lit(0))).when(F.col("g") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(1)))
+    return filters.min_allele_count(called.select("variant", "iid", alleles.alias("alleles"), F.lit(1).alias("n_alt")), 200)
+
+
+@query("F12_by_id", duck("variants", "SELECT variant FROM variants WHERE id NOT IN (SELECT id FROM variants WHERE pos > 1300)"))
+def _(s, d):
+    v = fx.variants(s, d)
+    return filters.by_id(v, include=v.where("pos < 1100").select("id"), exclude=v.where("pos > 1300").select("id")).select("variant")
+
+
+@query("F13_samples", duck("pheno geno", "SELECT iid, variant FROM geno WHERE iid IN (SELECT iid FROM pheno WHERE wt = 2) AND iid NOT IN (SELECT iid FROM pheno WHERE x1 = 3)"))
+def _(s, d):
+    p = fx.pheno(s, d)
+    return filters.subset_samples(fx.geno(s, d), p.where("wt = 2").select("iid"), p.where("x1 = 3").select("iid")).select("iid", "variant")
+
+
+@query("F14_group_filter", duck("pheno geno", "SELECT variant FROM geno GROUP BY 1 HAVING sum(g) / (2.0 * count(g)) <= 0.15 AND count(g) / count(*) >= 0.9"))
+def _(s, d):
+    return filters.group_filter(stats.variant_stats(fx.geno(s, d)), 0.15, 0.9).select("variant")
+
+
+@query("F15_flags", duck("align", "SELECT rname, count(*) AS n FROM align WHERE flag & 1024 = 0 AND flag & 4 = 4 GROUP BY 1"))
+def _(s, d):
+    return filters.flag_filter(fx.align(s, d), 4, 1024).groupBy("rname").agg(F.count("*").alias("n"))
+
+
+@query("F16_region_reads", duck("align", "SELECT pos, len, count(*) AS n FROM align WHERE rname = 2 AND pos < 160 AND align_end >= 100 GROUP BY 1, 2"))
+def _(s, d):
+    return filters.reads_in_region(fx.align(s, d), 2, 100, 160).groupBy("pos", "len").agg(F.count("*").alias("n"))
+
+
+@query("F17_outcome_errors", duck("pheno surv", "SELECT count(*) AS n, CAST(coalesce(sum(CASE WHEN entry < 0 OR entry > exit THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_bad FROM surv"))
+def _(s, d):
+    return filters.outcome_errors(fx.surv(s, d).withColumn("status", F.col("event").cast("int")), "cox")
+
+
+# --- model columns ---------------------------------------------------------------------------------------------
+@query("M1_model_matrix", duck("pheno", "SELECT iid, round(y, 6) AS y, x1, round(ln(wt + 1) * x1, 6) AS x2, CASE WHEN x1 >= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS x3 FROM pheno"))
+def _(s, d):
+    return rounded(model.model_matrix(fx.pheno(s, d), "y = x1 + log(wt + 1) * x1 + I(x1 >= 5)").select("iid", "y", "x1", "x2", "x3"))
+
+
+@query("M2_nominal", duck("pheno", "SELECT iid, (stratum = 'BUILDING')::DOUBLE AS b, (stratum = 'FURNITURE')::DOUBLE AS f FROM pheno"))
+def _(s, d):
+    e = model.expand_nominal(fx.pheno(s, d), "stratum", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+    return e.select("iid", F.col("`I_(stratum=BUILDING)`").alias("b"), F.col("`I_(stratum=FURNITURE)`").alias("f"))
+
+
+@query("M3_subgroup", duck("pheno", "SELECT iid, CASE WHEN stratum = 'MACHINERY' THEN 1.0 ELSE 0.0 END::DOUBLE AS second FROM pheno WHERE stratum IN ('BUILDING', 'MACHINERY')"))
+def _(s, d):
+    sub = filters.subset(fx.pheno(s, d), ["stratum"], [("BUILDING",), ("MACHINERY",)])
+    return model.subgroup_indicator(sub, 2).select("iid", F.col("`I_(subgroup=1)`").alias("second"))
+
+
+@query("M4_standardize", duck("pheno", "SELECT iid, round((y - avg(y) OVER ()) / stddev_samp(y) OVER (), 6) + 0.0 AS y FROM pheno"))
+def _(s, d):
+    return rounded(model.standardize(fx.pheno(s, d), ["y"]).select("iid", "y"))
+
+
+@query("M6_collapse", duck("pheno", "SELECT iid, CASE WHEN x1 BETWEEN 0 AND 4 THEN 1.0 WHEN x1 = 7 THEN 2.0 ELSE x1 END::DOUBLE AS x1 FROM pheno"))
+def _(s, d):
+    return model.collapse(fx.pheno(s, d), "x1", [((0, 4), 1.0), (7.0, 2.0)]).select("iid", "x1")
+
+
+@query("M7_round_to", duck("pheno", "SELECT iid, round(trunc(y / 0.25 + CASE WHEN y < 0 THEN -0.5 ELSE 0.5 END) * 0.25, 6) + 0.0 AS y FROM pheno"))
+def _(s, d):
+    return rounded(fx.pheno(s, d).select("iid", scalar.round_to(F.col("y"), 0.25).alias("y")))
+
+
+@query("M8_bucketize", duck("pheno", "SELECT iid, round(lo + (least(floor((y - lo) / ((hi - lo) / 7)), 6) + 0.5) * ((hi - lo) / 7), 6) AS y FROM pheno, (SELECT min(y) AS lo, max(y) AS hi FROM pheno)"))
+def _(s, d):
+    return rounded(model.bucketize(fx.pheno(s, d), "y", 7).select("iid", "y"))
+
+
+@query("M9_bucket_times", duck("pheno surv", "SELECT iid, CAST(trunc(exit / 30 + 0.5) * 30 AS DOUBLE) AS exit FROM surv"))
+def _(s, d):
+    return model.bucket_times(fx.surv(s, d).withColumn("exit", F.col("exit").cast("double")), "exit", 30).select("iid", "exit")
+
+
+@query("M10_event_outcome", duck("pheno surv", "SELECT iid, least(exit, 900) AS exit, exit <= 900 AS event FROM surv"))
+def _(s, d):
+    rows = fx.surv(s, d).select("iid", F.col("exit").alias("t"), F.lit(900).cast("long").alias("c"), F.lit(-1).alias("st"))
+    return model.event_outcome(rows, "t", "c", "st").select("iid", "exit", "event")
+
+
+@query("M11_gt_dosage", duck("pheno geno", "SELECT iid, variant, g FROM geno"))
+def _(s, d):
+    gt = F.when(F.col("g").isNull(), "0|.").when(F.col("g") == 0, "0/0").when(F.col("g") == 1, "0|1").otherwise("1/1")
+    return fx.geno(s, d).select("iid", "variant", scalar.gt_dosage(gt).cast("long").alias("g"))
+
+
+@query("M12_ds_dosage", duck("pheno geno", "SELECT iid, variant, CAST(g AS DOUBLE) AS ds FROM geno"))
+def _(s, d):
+    fields = F.create_map(F.lit("DS"), F.coalesce(F.col("g").cast("string"), F.lit(".")))
+    return fx.geno(s, d).select("iid", "variant", scalar.ds_dosage(fields).alias("ds"))
+
+
+@query("M13_interactions", duck("pheno geno", "SELECT iid, variant, g * x1 AS gx FROM geno JOIN pheno USING (iid)"))
+def _(s, d):
+    return model.add_interactions(_linked(s, d), "g", ["x1"]).select("iid", "variant", F.col("g_x_x1").alias("gx"))
+
+
+@query("M14_impute", duck("pheno geno", "SELECT iid, variant, round(coalesce(CAST(g AS DOUBLE), sum(g) OVER w / count(g) OVER w), 6) AS g FROM geno WINDOW w AS (PARTITION BY variant)"))
+def _(s, d):
+    g = fx.geno(s, d)
+    return rounded(model.impute_mean(g, stats.variant_stats(g)).select("iid", "variant", "g"))
+
+
+@query("M15_phred", "SELECT doc_id, ascii(substr(text, 1, 1)) - 33 AS q FROM documents WHERE ascii(substr(text, 1, 1)) BETWEEN 33 AND 126")
+def _(s, d):
+    return fx.table(s, d, "documents").where(F.ascii("text").between(33, 126)).select("doc_id", scalar.phred(F.substring("text", 1, 1)).alias("q"))
+
+
+@query("M16_map_functions", "SELECT l_orderkey, l_linenumber, round((1 - exp(-2 * CAST(l_discount AS DOUBLE))) / 2, 6) AS h, round((exp(4 * CAST(l_discount AS DOUBLE)) - 1) / (exp(4 * CAST(l_discount AS DOUBLE)) + 1) / 2, 6) AS k, round(CAST(l_discount AS DOUBLE), 6) AS back FROM lineitem")
+def _(s, d):
+    x = F.col("l_discount").cast("double")
+    return rounded(fx.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", scalar.haldane(x).alias("h"), scalar.kosambi(x).alias("k"), scalar.kosambi_inv(scalar.kosambi(x)).alias("back")))
+
+
+@query("M17_chi2_tail", duck("pheno", "SELECT iid, round(exp(-y * y / 2), 6) AS p2, round(exp(-y * y / 2) * (1 + y * y / 2), 6) AS p4 FROM pheno"))
+def _(s, d):
+    q = F.col("y") * F.col("y")
+    return rounded(fx.pheno(s, d).select("iid", scalar.chi2_sf(q, 2).alias("p2"), scalar.chi2_sf(q, 4).alias("p4")))
+
+
+@query("M18_dichotomize", duck("ped", "SELECT pid, CASE WHEN trait > (SELECT avg(trait) FROM ped WHERE fat IS NOT NULL) THEN 2 ELSE 1 END AS trait_status FROM ped"))
+def _(s, d):
+    return model.dichotomize(fx.ped(s, d), "trait").select("pid", "trait_status")
+
+
+# --- joins -----------------------------------------------------------------------------------------------------
+@query("J1_link", duck("pheno geno", "SELECT iid, variant, g, round(y, 6) AS y FROM geno JOIN pheno USING (iid)"))
+def _(s, d):
+    return rounded(_linked(s, d).select("iid", "variant", "g", "y"))
+
+
+@query("J3_conditions", duck("pheno geno", "SELECT iid, CAST(max(CASE WHEN variant = 3 THEN g END) AS DOUBLE) AS c_3, CAST(max(CASE WHEN variant = 8 THEN g END) AS DOUBLE) AS c_8 FROM geno GROUP BY 1 HAVING c_3 IS NOT NULL AND c_8 IS NOT NULL"))
+def _(s, d):
+    return link.attach_conditions(fx.pheno(s, d), fx.geno(s, d), [3, 8]).select("iid", "c_3", "c_8")
+
+
+@query("J4_group_variants", duck("variants groups", "SELECT gene, v.variant FROM groups g JOIN variants v USING (chrom, pos)"))
+def _(s, d):
+    return link.group_variants(fx.groups(s, d).drop("variant"), fx.variants(s, d)).select("gene", "variant")
+
+
+for _how, _pick in (("left", "lo"), ("right", "hi"), ("nearest", "CASE WHEN lt IS NULL OR ht IS NULL THEN NULL WHEN ht - t <= t - lt THEN hi ELSE lo END"), ("linear", "CASE WHEN lt IS NULL OR ht IS NULL THEN NULL WHEN ht = lt THEN lo ELSE lo + (hi - lo) * (t - lt) / (ht - lt) END")):
+    _both = "CASE WHEN lt IS NOT NULL AND ht IS NOT NULL THEN %s END" % _pick
+
+    @query(f"J6_asof_{_how}", duck("longcov", f"""
+, grid AS (SELECT DISTINCT iid, (time // 86400 + 1) * 86400 AS t FROM longcov),
+a AS (SELECT g.iid, g.t, l.time AS lt, l.value AS lo FROM grid g ASOF LEFT JOIN longcov l ON g.iid = l.iid AND g.t >= l.time),
+b AS (SELECT a.*, h.time AS ht, h.value AS hi FROM a ASOF LEFT JOIN longcov h ON a.iid = h.iid AND a.t <= h.time)
+SELECT iid, t AS time, round({_both}, 6) + 0.0 AS value FROM b"""))
+    def _(s, d, how=_how):
+        obs = fx.long_covariate(s, d)
+        grid = obs.select("iid", ((F.floor(F.col("time") / 86400) + 1) * 86400).cast("long").alias("time")).distinct()
+        return rounded(link.asof_values(obs, grid, how))
+
+
+_ISLANDS = """, o AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY chrom ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM regions),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY start, "end", id) AS isle FROM o),
+merged AS (SELECT chrom, min(start) AS start, max("end") AS "end" FROM n GROUP BY chrom, isle)
+"""
+
+
+@query("A17_merge_regions", duck("regions", _ISLANDS + "SELECT * FROM merged"))
+def _(s, d):
+    return link.merge_regions(fx.regions(s, d))
+
+
+@query("J7_in_regions", duck("regions", _ISLANDS + ", p AS (SELECT p_partkey AS id, p_brand AS chrom, (p_partkey * 13) % 5200 AS pos FROM part) SELECT id, EXISTS (SELECT 1 FROM merged m WHERE m.chrom = p.chrom AND pos >= start AND pos < \"end\") AS inside FROM p"))
+def _(s, d):
+    points = fx.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("chrom"), ((F.col("p_partkey") * 13) % 5200).cast("long").alias("pos"))
+    return link.in_regions(points, link.merge_regions(fx.regions(s, d))).select("id", "inside")
+
+
+for _how, _test in (("overlapping", 'a.start <= b."end" AND b.start <= a."end"'), ("containing", 'a.start <= b.start AND b."end" <= a."end"'), ("contained", 'b.start <= a.start AND a."end" <= b."end"')):
+
+    @query(f"J11_{_how}", duck("regions", f"SELECT a.id AS a_id, b.id AS b_id FROM regions a JOIN regions b ON a.chrom = b.chrom AND {_test} WHERE a.id % 2 = 0 AND b.id % 2 = 1"))
+    def _(s, d, how=_how):
+        r = fx.regions(s, d)
+        return link.interval_join(r.where("id % 2 = 0"), r.where("id % 2 = 1"), how)
+
+
+@query("J8_exclude_positions", duck("align", "SELECT rname, pos, count(*) AS depth FROM align WHERE pos % 3 <> 0 GROUP BY 1, 2"))
+def _(s, d):
+    starts = fx.align(s, d).groupBy("rname", "pos").agg(F.count("*").alias("depth"))
+    return link.exclude_positions(starts, starts.where("pos % 3 = 0"))
+
+
+@query("J9_trios", duck("ped markers", "SELECT c.pid, c.marker, f.a1 AS f1, f.a2 AS f2, m.a1 AS m1, m.a2 AS m2 FROM ped p JOIN markers c USING (fid, pid) JOIN markers f ON f.fid = p.fid AND f.pid = p.fat AND f.marker = c.marker JOIN markers m ON m.fid = p.fid AND m.pid = p.mot AND m.marker = c.marker"))
+def _(s, d):
+    return link.trios(fx.ped(s, d), fx.markers(s, d)).select("pid", "marker", "f1", "f2", "m1", "m2")
+
+
+@query("J10_common_rows", duck("pheno", "SELECT iid FROM pheno WHERE wt >= 2 AND x1 < 10"))
+def _(s, d):
+    p = fx.pheno(s, d)
+    return link.common_rows(p.where("wt >= 2"), p.where("x1 < 10")).select("iid")
+
+
+# --- aggregations ----------------------------------------------------------------------------------------------
+@query("A1_variant_stats", duck("pheno geno", """SELECT variant, count(*) AS n_total, count(g) AS n, CAST(sum(g) AS BIGINT) AS alt_ac, round(sum(g) / (2.0 * count(g)), 6) AS alt_af, round(count(g) / count(*), 6) AS call_rate,
+ count(*) FILTER (g = 0) AS n_ref, count(*) FILTER (g = 1) AS n_het, count(*) FILTER (g = 2) AS n_alt, count(g) FILTER (yb = 1) AS n_case, round(sum(g) FILTER (yb = 1) / (2.0 * count(g) FILTER (yb = 1)), 6) AS alt_af_case FROM geno JOIN pheno USING (iid) GROUP BY 1"""))
+def _(s, d):
+    return rounded(stats.variant_stats(_linked(s, d), case="yb"))
+
+
+@query("A4_moments", duck("pheno geno", "SELECT variant, round(sum(wt * g * g), 4) AS gg, round(sum(wt * g), 4) AS g1, round(sum(wt), 4) AS ones, round(sum(wt * g * y), 4) AS gy, round(sum(wt * y), 4) AS y1 FROM geno JOIN pheno USING (iid) WHERE g IS NOT NULL GROUP BY 1"))
+def _(s, d):
+    m = stats.moments(_linked(s, d).where("g IS NOT NULL"), [F.col("g"), F.lit(1)], F.col("y"), F.col("wt"), ["variant"])
+    return rounded(m.select("variant", F.col("sxx")[0].alias("gg"), F.col("sxx")[1].alias("g1"), F.col("sxx")[3].alias("ones"), F.col("sxy")[0].alias("gy"), F.col("sxy")[1].alias("y1")), 4)
+
+
+@query("A5_cluster_meat", duck("pheno geno", "SELECT variant, round(sum(s * s), 4) AS meat FROM (SELECT variant, fid, sum(wt * g * y) AS s FROM geno JOIN pheno USING (iid) WHERE g IS NOT NULL GROUP BY 1, 2) GROUP BY 1"))
+def _(s, d):
+    u = _linked(s, d).where("g IS NOT NULL").withColumn("u", F.col("wt") * F.col("g") * F.col("y"))
+    return rounded(stats.cluster_meat(u, ["u"], ["variant"]).select("variant", F.col("meat")[0].alias("meat")), 4)
+
+
+@query("A8_residual_variance", duck("pheno", "SELECT stratum, round(sum(wt * (y - 4) * (y - 4)) / sum(wt), 6) AS sigma2 FROM pheno GROUP BY 1"))
+def _(s, d):
+    return rounded(stats.residual_variance(fx.pheno(s, d).select("stratum", F.col("wt").alias("w"), (F.col("y") - 4).alias("r")), ["stratum"]))
+
+
+@query("A7_design_meat", duck("pheno", """, s AS (SELECT *, CAST(x1 AS BIGINT) % 3 AS study, 1 / wt AS p FROM pheno WHERE iid < 120),
+q AS (SELECT a.study, a.iid AS i, b.iid AS j, CASE WHEN a.iid = b.iid THEN a.p ELSE least(1, a.p * b.p * (1 + ((a.iid + b.iid) % 3) * 0.05)) END AS pij, a.p AS pi, b.p AS pj, a.wt AS wi, b.wt AS wj, a.fid = b.fid AS same, a.y AS yi, b.y AS yj FROM s a JOIN s b USING (study))
+SELECT round(sum(yi * yj * CASE WHEN same THEN wi * wj ELSE (pij - pi * pj) * wi * wj / pij END), 4) AS meat FROM q"""))
+def _(s, d):
+    p = fx.pheno(s, d).where("iid < 120")
+    own = p.select((F.col("x1").cast("long") % 3).alias("study"), F.col("iid").alias("iid_i"), (1 / F.col("wt")).alias("a"))
+    other = own.select("study", F.col("iid_i").alias("iid_j"), F.col("a").alias("b"))
+    joint = F.least(F.lit(1.0), F.col("a") * F.col("b") * (1 + ((F.col("iid_i") + F.col("iid_j")) % 3) * 0.05))
+    probs = own.join(other, "study").select("study", "iid_i", "iid_j", F.when(F.col("iid_i") == F.col("iid_j"), F.col("a")).otherwise(joint).alias("pi"))
+    delta = stats.design_weights(link.link_probs(p, probs), p)
+    return rounded(stats.design_meat(p.select("iid", F.col("y").alias("u")), delta, ["u"]).select(F.col("meat")[0].alias("meat")), 4)
+
+
+@query("A10_read_stats", duck("align", "SELECT rname, count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 1024 <> 0) AS duplicates, CAST(sum(len) AS BIGINT) AS total_bases FROM align GROUP BY 1"))
+def _(s, d):
+    return reads.read_stats(fx.align(s, d), ["rname"]).select("rname", "total", "mapped", "duplicates", "total_bases")
+
+
+_BASES = "b AS (SELECT doc_id, translate(lower(substr(text, 1, 80)), 'aeinorst', 'ACGTACGT') AS raw FROM documents), r AS (SELECT doc_id, regexp_replace(raw, '[^ACGT]', 'N', 'g') AS seq FROM b), e AS (SELECT doc_id, generate_subscripts(string_split(seq, ''), 1) - 1 AS cycle, unnest(string_split(seq, '')) AS base FROM r WHERE seq <> '')"
+
+
+@query("A11_base_composition", f"WITH {_BASES} SELECT cycle, count(*) AS n, round(100.0 * count(*) FILTER (base = 'A') / count(*), 6) AS pct_a, round(100.0 * count(*) FILTER (base = 'N') / count(*), 6) AS pct_n FROM e GROUP BY 1")
+def _(s, d):
+    seq = F.regexp_replace(F.translate(F.lower(F.substring("text", 1, 80)), "aeinorst", "ACGTACGT"), "[^ACGT]", "N")
+    out = reads.base_composition(fx.table(s, d, "documents").select(seq.alias("seq")))
+    return rounded(out.select(F.col("cycle").cast("long").alias("cycle"), "n", "pct_a", "pct_n"))
+
+
+@query("A12_quality_by_cycle", "WITH e AS (SELECT unnest(range(least(length(text), 80))) AS cycle, text FROM documents), q AS (SELECT cycle, 33 + (unicode(substr(text, cycle + 1, 1)) % 40) - 33 AS q FROM e) SELECT cycle, round(avg(q), 6) AS quality FROM q GROUP BY 1")
+def _(s, d):
+    chars = F.transform(F.split(F.substring("text", 1, 80), ""), lambda c: F.char(33 + F.ascii(c) % 40))
+    return rounded(reads.quality_by_cycle(fx.table(s, d, "documents").select(F.array_join(chars, "").alias("qual"))).select(F.col("cycle").cast("long").alias("cycle"), "quality"))
+
+
+@query("A13_running_stats", "SELECT l_suppkey, count(*) AS n, round(avg(CAST(l_extendedprice AS DOUBLE)), 4) AS mean, round(coalesce(stddev_samp(CAST(l_extendedprice AS DOUBLE)), 0), 4) AS sd FROM lineitem GROUP BY 1")
+def _(s, d):
+    rows = fx.table(s, d, "lineitem").select("l_suppkey", F.col("l_extendedprice").cast("double").alias("v"))
+    return rounded(stats.running_stats(rows, "v", ["l_suppkey"]).select("l_suppkey", "n", "mean", "sd"), 4)
+
+
+@query("A14_medians", duck("pheno", "SELECT stratum, round(median(y), 6) AS median_y, round(median(x1), 6) AS median_x1 FROM pheno GROUP BY 1"))
+def _(s, d):
+    return rounded(stats.medians(fx.pheno(s, d), ["y", "x1"], ["stratum"]))
+
+
+@query("A15_allele_freq", duck("ped markers", "SELECT marker, a AS allele, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY marker), 6) AS freq FROM (SELECT marker, unnest([a1, a2]) AS a FROM markers JOIN ped USING (fid, pid) WHERE fat IS NULL) GROUP BY 1, 2"))
+def _(s, d):
+    return rounded(pedigree.allele_freq(fx.ped(s, d), fx.markers(s, d), "founders"))
+
+
+@query("A18_depth", duck("align", ", p AS (SELECT rname, unnest(range(pos, align_end + 1)) AS pos FROM align WHERE flag & 4 = 0) SELECT rname, pos, count(*) AS depth FROM p GROUP BY 1, 2"))
+def _(s, d):
+    return reads.depth(fx.align(s, d).where("flag & 4 = 0"))
+
+
+@query("A19_fraction_alive", duck("pheno surv", "SELECT stratum, round(avg(CASE WHEN event THEN 0.0 ELSE 1.0 END), 6) AS fraction_alive, count(*) AS n FROM surv GROUP BY 1"))
+def _(s, d):
+    return rounded(stats.fraction_alive(fx.surv(s, d), ["stratum"]))
+
+
+@query("A20_families", duck("ped", "SELECT fid, count(*) AS size, count(*) FILTER (fat IS NULL) AS founders FROM ped GROUP BY 1"))
+def _(s, d):
+    return pedigree.families(fx.ped(s, d))
+
+
+@query("A21_kept_counts", duck("pheno geno", "SELECT stratum, CAST(count(g) AS BIGINT) AS kept, CAST(count(*) - count(g) AS BIGINT) AS skipped FROM geno JOIN pheno USING (iid) GROUP BY 1"))
+def _(s, d):
+    return stats.kept_counts(_linked(s, d), ["g"], ["stratum"])
+
+
+# --- tests -----------------------------------------------------------------------------------------------------
+def _wald_sql(w: str, robust: bool, guard: bool) -> str:
+    single = "false" if robust else "size = 1"
+    keep = "CASE WHEN meat / (sxx * sxx) < s2 / sxx - 1e-8 THEN s2 / sxx ELSE meat / (sxx * sxx) END" if guard else "meat / (sxx * sxx)"
+    return duck("pheno geno", f""", z AS (SELECT fid, count(*) AS size FROM pheno GROUP BY 1),
+r AS (SELECT variant, fid, size, CAST(g AS DOUBLE) AS g, y, {w} AS w FROM geno JOIN pheno USING (iid) JOIN z USING (fid) WHERE g IS NOT NULL),
+m AS (SELECT variant, count(*) AS n, sum(w * g) / sum(w) AS mg, sum(w * y) / sum(w) AS my, sum(w) AS sw FROM r GROUP BY 1),
+c AS (SELECT r.*, g - mg AS gc, y - my AS yc, n, sw FROM r JOIN m USING (variant)),
+b AS (SELECT variant, any_value(n) AS n, sum(w * gc * gc) AS sxx, sum(w * gc * yc) / sum(w * gc * gc) AS beta FROM c GROUP BY 1),
+e AS (SELECT c.*, sxx, beta, yc - beta * gc AS res FROM c JOIN b USING (variant, n)),
+v AS (SELECT variant, sum(w * res * res) / sum(w) AS s2 FROM e GROUP BY 1),
+f AS (SELECT variant, fid, any_value(size) AS size, sum(w * gc * res) AS u, sum(w * w * gc * gc) AS q FROM e GROUP BY 1, 2),
+t AS (SELECT variant, any_value(s2) AS s2, sum(CASE WHEN {single} THEN s2 * q ELSE u * u END) AS meat FROM f JOIN v USING (variant) GROUP BY 1),
+o AS (SELECT variant, n, beta, {keep} AS var FROM b JOIN t USING (variant))
+SELECT variant, n, round(beta, 6) + 0.0 AS beta, round(sqrt(var), 6) AS se, round(beta * beta / var, 5) AS chisq FROM o""")
+
+
+def _slim(df):
+    return df.select("variant", "n", (F.round("beta", 6) + 0.0).alias("beta"), F.round("se", 6).alias("se"), F.round("chisq", 5).alias("chisq"))
+
+
+@query("T1_linear_wald", _wald_sql("1.0::DOUBLE", False, True))
+def _(s, d):
+    return _slim(wald.linear_wald(fx.pheno(s, d), fx.geno(s, d)))
+
+
+@query("T1_linear_wald_robust_weighted", _wald_sql("wt", True, False))
+def _(s, d):
+    return _slim(wald.linear_wald(fx.pheno(s, d), fx.geno(s, d), weighted=True, robust=True))
+
+
+@query("T3_logistic_wald")
+def _(s, d):
+    return _slim(wald.logistic_wald(fx.pheno(s, d).withColumn("y", F.col("yb")), fx.geno(s, d)))
+
+
+@query("T4_cox_wald")
+def _(s, d):
+    return _slim(wald.cox_wald(fx.surv(s, d), fx.geno(s, d), ["x1"]))
+
+
+@query("T7_conditional")
+def _(s, d):
+    p = link.attach_conditions(fx.pheno(s, d), fx.geno(s, d), [3])
+    return _slim(wald.linear_wald(p, fx.geno(s, d).where("variant <> 3"), ["c_3"]))
+
+
+@query("T8_interaction")
+def _(s, d):
+    return rounded(wald.interaction_test(wald.linear_wald(fx.pheno(s, d), fx.geno(s, d), ["x1"], extras=["g * x1"]), 1))
+
+
+@query("T10_linear_score", duck("pheno geno", """, z AS (SELECT fid, count(*) AS size FROM pheno GROUP BY 1), nul AS (SELECT avg(y) AS my, var_pop(y) AS s2 FROM pheno),
+r AS (SELECT variant, fid, size, y - my AS r, s2, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) AS g FROM geno JOIN pheno USING (iid) JOIN z USING (fid), nul),
+c AS (SELECT *, g - avg(g) OVER (PARTITION BY variant) AS e FROM r),
+f AS (SELECT variant, fid, any_value(size) AS size, any_value(s2) AS s2, sum(r * e) AS s, sum(e * e) AS q, count(*) AS m FROM c GROUP BY 1, 2),
+t AS (SELECT variant, sum(m) AS n, any_value(s2) AS s2, sum(s) / any_value(s2) AS u, sum(CASE WHEN size = 1 THEN q / s2 ELSE s * s / (s2 * s2) END) AS v0, sum(q) / any_value(s2) AS va FROM f GROUP BY 1),
+o AS (SELECT *, CASE WHEN 1 / v0 < 1 / va - 1e-8 THEN va ELSE v0 END AS v FROM t)
+SELECT variant, CAST(n AS BIGINT) AS n, round(u, 5) + 0.0 AS u, round(v, 4) AS v, round(u / v, 6) + 0.0 AS beta, round(1 / sqrt(v), 6) AS se FROM o"""))
+def _(s, d):
+    p, g = fx.pheno(s, d), fx.geno(s, d)
+    out = score.linear_score(p, g, score.fit_null_linear(p), stats.variant_stats(g))
+    return out.select("variant", "n", (F.round("u", 5) + 0.0).alias("u"), F.round("v", 4).alias("v"), (F.round("beta", 6) + 0.0).alias("beta"), F.round("se", 6).alias("se"))
+
+
+@query("N2_T10_logistic_score", duck("pheno geno", """, z AS (SELECT fid, count(*) AS size FROM pheno GROUP BY 1), nul AS (SELECT avg(yb) AS mu FROM pheno),
+r AS (SELECT variant, fid, size, yb - mu AS r, mu * (1 - mu) AS dd, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) AS g FROM geno JOIN pheno USING (iid) JOIN z USING (fid), nul),
+c AS (SELECT *, g - avg(g) OVER (PARTITION BY variant) AS e FROM r),
+f AS (SELECT variant, fid, any_value(size) AS size, sum(r * e) AS s, sum(dd * e * e) AS q, count(*) AS m FROM c GROUP BY 1, 2),
+t AS (SELECT variant, sum(m) AS n, sum(s) AS u, sum(CASE WHEN size = 1 THEN q ELSE s * s END) AS v0, sum(q) AS va FROM f GROUP BY 1),
+o AS (SELECT *, CASE WHEN 1 / v0 < 1 / va - 1e-8 THEN va ELSE v0 END AS v FROM t)
+SELECT variant, CAST(n AS BIGINT) AS n, round(u, 5) + 0.0 AS u, round(v, 4) AS v, round(u / v, 6) + 0.0 AS beta FROM o"""))
+def _(s, d):
+    p, g = fx.pheno(s, d).withColumn("y", F.col("yb").cast("double")), fx.geno(s, d)
+    out = score.logistic_score(p, g, score.fit_null_logistic(p), stats.variant_stats(g))
+    return out.select("variant", "n", (F.round("u", 5) + 0.0).alias("u"), F.round("v", 4).alias("v"), (F.round("beta", 6) + 0.0).alias("beta"))
+
+
+@query("T12_gene_score", duck("pheno geno variants groups", """, nul AS (SELECT var_pop(y) AS s2 FROM pheno),
+e AS (SELECT variant, iid, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) - avg(g) OVER (PARTITION BY variant) AS e FROM geno)
+SELECT a.gene, a.variant AS i, b.variant AS j, round(sum(x.e * w.e) / any_value(s2), 4) + 0.0 AS v FROM groups a JOIN groups b ON a.gene = b.gene AND b.variant <= a.variant JOIN e x ON x.variant = a.variant JOIN e w ON w.variant = b.variant AND w.iid = x.iid, nul GROUP BY 1, 2, 3"""))
+def _(s, d):
+    g = fx.geno(s, d)
+    out = score.gene_score(fx.pheno(s, d), g, fx.groups(s, d).select("gene", "variant"), stats.variant_stats(g))
+    return out.select("gene", "i", "j", (F.round("v", 4) + 0.0).alias("v"))
+
+
+@query("T16_linear_regression", duck("pheno", """SELECT 'x1' AS term, round(regr_slope(y, x1), 6) AS beta, round(sqrt((regr_syy(y, x1) - regr_sxy(y, x1) * regr_sxy(y, x1) / regr_sxx(y, x1)) / (count(*) - 2) / regr_sxx(y, x1)), 6) AS se FROM pheno"""))
+def _(s, d):
+    return rounded(wald.linear_regression(fx.pheno(s, d), "y", ["x1"]).where("term = 'x1'").select("term", "beta", "se"))
+
+
+@query("T17_logistic_regression", duck("pheno", ", m AS (SELECT avg(yb) FILTER (x1 >= 10) AS a, avg(yb) FILTER (x1 < 10) AS b FROM pheno) SELECT 'hi' AS term, round(ln(a / (1 - a)) - ln(b / (1 - b)), 5) AS beta FROM m"))
+def _(s, d):
+    p = fx.pheno(s, d).withColumn("hi", (F.col("x1") >= 10).cast("double"))
+    return rounded(wald.logistic_regression(p, "yb", ["hi"]).where("term = 'hi'").select("term", "beta"), 5)
+
+
+# --- survival --------------------------------------------------------------------------------------------------
+_RISK = """, ev AS (SELECT stratum, exit AS time, count(*) FILTER (event) AS events FROM surv GROUP BY 1, 2),
+k AS (SELECT ev.stratum, ev.time, any_value(events) AS events, count(*) AS at_risk, sum(arm) AS s1 FROM ev JOIN surv s ON s.stratum = ev.stratum AND s.entry <= ev.time AND s.exit >= ev.time GROUP BY 1, 2)
+"""
+
+
+@query("V1_kaplan_meier", duck("pheno surv", _RISK + ", l AS (SELECT *, sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) END) OVER w AS s, max(CASE WHEN events < at_risk THEN 0 ELSE 1 END) OVER w AS dead FROM k WINDOW w AS (PARTITION BY stratum ORDER BY time)) SELECT stratum, time, at_risk, events, round(CASE WHEN dead = 1 THEN 0 ELSE exp(coalesce(s, 0)) END, 6) AS survival FROM l"))
+def _(s, d):
+    return rounded(survival.kaplan_meier(fx.surv(s, d)))
+
+
+@query("V2_risk_sums", duck("pheno surv", _RISK + "SELECT stratum, time, events, CAST(at_risk AS DOUBLE) AS s0, s1 FROM k WHERE events > 0"))
+def _(s, d):
+    return survival.risk_sums(fx.surv(s, d), "arm").select("stratum", "time", "events", "s0", "s1")
+
+
+@query("V3_log_rank", duck("pheno surv", _RISK + ", x AS (SELECT stratum, exit AS time, sum(arm) AS ex FROM surv WHERE event GROUP BY 1, 2), t AS (SELECT sum(ex - events * s1 / at_risk) AS u, sum(events * (s1 / at_risk - (s1 / at_risk) * (s1 / at_risk))) AS v FROM k JOIN x USING (stratum, time)) SELECT round(u, 6) AS u, round(v, 6) AS v, round(u * u / v, 6) AS chisq, round(u / v, 6) AS peto FROM t"))
+def _(s, d):
+    return rounded(survival.log_rank(fx.surv(s, d), "arm"))
+
+
+@query("V4_ties_constant", duck("pheno surv", _RISK + "SELECT stratum, time, round(CASE WHEN at_risk = 1 THEN 1.0 ELSE (at_risk - events) / (at_risk - 1) END, 6) AS ties FROM k WHERE events > 0"))
+def _(s, d):
+    return rounded(survival.ties_constant(fx.surv(s, d)))
+
+
+_INFLUENCE = """, f AS (SELECT iid, stratum, exit, event, arm FROM surv), ev AS (SELECT stratum, exit AS time, count(*) AS dd FROM f WHERE event GROUP BY 1, 2),
+k AS (SELECT ev.stratum, ev.time, any_value(dd) AS dd, count(*) AS s0, sum(arm) AS s1 FROM ev JOIN f ON f.stratum = ev.stratum AND f.exit >= ev.time GROUP BY 1, 2)
+SELECT iid, round(any_value(CASE WHEN event THEN arm ELSE 0 END) - coalesce(max(CASE WHEN event AND k.time = exit THEN s1 / s0 END), 0) - coalesce(sum(dd * (arm / s0 - s1 / (s0 * s0))), 0), 6) + 0.0 AS w FROM f LEFT JOIN k ON k.stratum = f.stratum AND k.time <= f.exit GROUP BY 1"""
+
+
+@query("V7_influence", duck("pheno surv", _INFLUENCE))
+def _(s, d):
+    return rounded(survival.influence(fx.surv(s, d).withColumn("entry", F.lit(-1).cast("long")), "arm"))
+
+
+@query("V6_dual_log_rank")
+def _(s, d):
+    a = fx.surv(s, d).withColumn("entry", F.lit(-1).cast("long"))
+    b = a.withColumns({"event": F.col("event") & (F.col("exit") < 1500), "exit": F.least(F.col("exit"), F.lit(1500).cast("long"))})
+    return rounded(survival.dual_log_rank(a, b, "arm"))
+
+
+# --- windows, quality checks -----------------------------------------------------------------------------------
+@query("W7_sort_check", duck("align", ", o AS (SELECT rname, pos, l_orderkey AS k, l_linenumber AS n FROM (SELECT l_suppkey % 5 AS rname, l_partkey AS pos, l_orderkey, l_linenumber FROM lineitem)), p AS (SELECT *, lag(pos) OVER (PARTITION BY rname ORDER BY k, n, pos) AS before FROM o) SELECT rname, count(*) AS n_out_of_order FROM p WHERE pos < before GROUP BY 1"))
+def _(s, d):
+    rows = fx.table(s, d, "lineitem").select((F.col("l_suppkey") % 5).alias("rname"), F.col("l_partkey").alias("pos"), "l_orderkey", "l_linenumber")
+    return reads.out_of_order(rows, ["rname"], ["l_orderkey", "l_linenumber", "pos"]).groupBy("rname").agg(F.count("*").alias("n_out_of_order"))
+
+
+@query("QA_mendel_errors", duck("ped markers", "SELECT c.pid, c.marker FROM ped p JOIN markers c USING (fid, pid) JOIN markers f ON f.fid = p.fid AND f.pid = p.fat AND f.marker = c.marker JOIN markers m ON m.fid = p.fid AND m.pid = p.mot AND m.marker = c.marker WHERE NOT ((c.a1 IN (f.a1, f.a2) AND c.a2 IN (m.a1, m.a2)) OR (c.a2 IN (f.a1, f.a2) AND c.a1 IN (m.a1, m.a2)))"))
+def _(s, d):
+    return pedigree.mendel_errors(fx.ped(s, d), fx.markers(s, d)).select("pid", "marker")
+
+
+@query("QC_twin_check", duck("ped markers", "SELECT fid, marker, count(DISTINCT least(a1, a2) || '/' || greatest(a1, a2)) > 1 AS discordant FROM ped JOIN markers USING (fid, pid) WHERE twin IS NOT NULL GROUP BY 1, 2"))
+def _(s, d):
+    return pedigree.twin_check(fx.ped(s, d), fx.markers(s, d)).select("fid", "marker", "discordant")
+
+
+@query("QD_merge_twins", duck("ped", "SELECT fid, string_agg(CAST(pid AS VARCHAR), '$' ORDER BY pid) AS merged, max(affected) AS affected FROM ped WHERE twin IS NOT NULL GROUP BY 1"))
+def _(s, d):
+    return pedigree.merged_twins(fx.ped(s, d)).select("fid", "merged", "affected")
+
+
+@query("QE_extract_on_affection", duck("ped", "SELECT pid, round(CASE WHEN affected = 2 THEN trait END, 6) AS trait FROM ped"))
+def _(s, d):
+    return rounded(pedigree.extract_on_affection(fx.ped(s, d), "affected", ["trait"]).select("pid", "trait"))
