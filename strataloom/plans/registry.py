@@ -314,10 +314,10 @@ def _(s, d):
     return rounded(stats.variant_stats(_linked(s, d), case="yb"))
 
 
-@query("A4_moments", duck("pheno geno", "SELECT variant, round(sum(wt * g * g), 4) AS gg, round(sum(wt * g), 4) AS g1, round(sum(wt), 4) AS ones, round(sum(wt * g * y), 4) AS gy, round(sum(wt * y), 4) AS y1 FROM geno JOIN pheno USING (iid) WHERE g IS NOT NULL GROUP BY 1"))
+@query("A4_moments", duck("pheno geno", "SELECT variant, round(sum(wt * g * g), 6) AS gg, round(sum(wt * g), 6) AS g1, round(sum(wt), 6) AS ones, round(sum(wt * g * y), 6) AS gy, round(sum(wt * y), 6) AS y1 FROM geno JOIN pheno USING (iid) WHERE g IS NOT NULL GROUP BY 1"))
 def _(s, d):
     m = stats.moments(_linked(s, d).where("g IS NOT NULL"), [F.col("g"), F.lit(1)], F.col("y"), F.col("wt"), ["variant"])
-    return rounded(m.select("variant", F.col("sxx")[0].alias("gg"), F.col("sxx")[1].alias("g1"), F.col("sxx")[3].alias("ones"), F.col("sxy")[0].alias("gy"), F.col("sxy")[1].alias("y1")), 4)
+    return rounded(m.select("variant", F.col("sxx")[0].alias("gg"), F.col("sxx")[1].alias("g1"), F.col("sxx")[3].alias("ones"), F.col("sxy")[0].alias("gy"), F.col("sxy")[1].alias("y1")), 6)
 
 
 @query("A5_cluster_meat", duck("pheno geno", "SELECT variant, round(sum(s * s), 4) AS meat FROM (SELECT variant, fid, sum(wt * g * y) AS s FROM geno JOIN pheno USING (iid) WHERE g IS NOT NULL GROUP BY 1, 2) GROUP BY 1"))
