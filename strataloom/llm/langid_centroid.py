@@ -101,6 +101,7 @@ def fit(labelled: DataFrame, label: str = "lang", key: str = "doc_id", sample_ro
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """`docs` with lang_pred, score (best cosine) and accepted (near enough to its centroid) added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # clusters * languages rows of DIMENSIONS floats
+    docs = docs.drop("lang_pred", "score", "accepted")  # columns of these names give way
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, accepted boolean").fields])
 

@@ -205,6 +205,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str =
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(Vocabulary(model_path, alpha))  # one model: about 7 MB
+    docs = docs.drop(out, *([verified] if verified else []))  # columns of these names give way
     columns = [c for c in docs.columns if not verified or c != text]
     keyed = docs.withColumn("_seed", F.xxhash64(F.col(key), F.lit(seed)))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])

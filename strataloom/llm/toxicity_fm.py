@@ -113,6 +113,7 @@ def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", sample_r
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """`docs` with score and predicted (score >= 0.5) added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("score", "predicted")  # columns of these names give way
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("score double, predicted int").fields])
 
