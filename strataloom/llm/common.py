@@ -70,9 +70,10 @@ def lookup(left: DataFrame, keyed: DataFrame, key: str, spread: Column, heavy_pa
     hot = keyed.where(heavy).select(key, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
     cold = keyed.where(~heavy).select(F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in values])
     marked = left.join(F.broadcast(hot), key, "left")
-    dealt = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string"))
-    dealt = F.coalesce(dealt, F.concat(F.lit("~"), F.xxhash64(spread).cast("string")))
-    cold = cold.withColumn("_dealt", F.col("_cold_key").cast("string")).drop("_cold_key")
+    numeric = left.schema[key].dataType.typeName() == "long"
+    elsewhere = F.xxhash64(spread, F.lit(1)) if numeric else F.concat(F.lit("~"), F.xxhash64(spread).cast("string"))
+    dealt = F.coalesce(F.when(F.col("_hot").isNull(), F.col(key)), elsewhere)
+    cold = cold.withColumnRenamed("_cold_key", "_dealt")
     joined = marked.withColumn("_dealt", dealt).join(cold, "_dealt", "left")
     both = [F.coalesce(F.col(f"_hot_{c}"), F.col(f"_cold_{c}")).alias(c) for c in values]
     return joined.select(*[left[c] for c in left.columns], *both)

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import lookup, splitmix, staged, table
@@ -98,7 +99,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     sets = staged(texts.join(needed, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, members binary"), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
+    right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
+    both = right.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,12 +143,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = staged(lookup(slim.select("doc_id", "n_shingles", "set_key"), classes, "set_key", F.col("doc_id")).select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "rows")
     copies = rows.where("doc_id <> class_id").select("doc_id")
     reps = slim.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
-    members = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")).dropDuplicates(["bucket", "doc_id"])
-    members = staged(members, "members")
-    order = F.struct(F.xxhash64("doc_id", F.col("band") % 8).alias("h"), "doc_id")
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n_key"), F.min(order)["doc_id"].alias("hub")).where("n_key > 1")
-    candidates = staged(lookup(members, staged(buckets, "buckets"), "bucket", F.col("doc_id")).where("hub IS NOT NULL"), "candidates")
-    stars = candidates.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+    members = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+    # a bucket's hub is the member least under one of eight reorderings of the ids, so hubs differ between bands
+    mask = F.element_at(F.array(*[F.lit(int(m) >> 24) for m in splitmix(np.arange(8, dtype=np.uint64))]), (F.col("band") % 8 + 1).cast("int"))
+    ordered = members.select("bucket", F.col("doc_id").bitwiseXOR(mask).alias("place"), mask.alias("mask"))
+    buckets = ordered.groupBy("bucket").agg(F.count("*").alias("n_key"), F.min("place").bitwiseXOR(F.first("mask")).alias("hub")).where("n_key > 1")
+    candidates = staged(lookup(members.select("bucket", "doc_id"), staged(buckets, "buckets"), "bucket", F.col("doc_id")).where("hub IS NOT NULL"), "candidates")
+    # each document first meets the two hubs with which it shares most buckets
+    shared = candidates.where("hub <> doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
+    best = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "hub"))
+    stars = shared.withColumn("rank", best).where("rank <= 2").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+    stars = staged(stars, "stars")
     same_id = rows.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     first = staged(confirm(stars, docs, k, percent), "links")
     grouped = components(first)

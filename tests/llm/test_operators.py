@@ -250,6 +250,14 @@ def test_personal_data(spark, docs, none):
     assert pii_crf.find(none, model).count() == 0
 
 
+def test_mail_matches_the_pattern():
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab@..%-_ 1"), 30))
+        assert list(pii_crf._emails(text)) == [m.span() for m in pattern.finditer(text)]
+
+
 def test_skip_edges_carry_labels():
     text = "card 4111111111111111 paid, later 4111-1111-1111-1111x and 2024"
     tokens = pii_crf._tokens(text)
