@@ -20,7 +20,7 @@ def duck():
 
 def cells(rows):
     def cell(v):
-        if v is None or v != v or str(v) in ("<NA>", "nan"):
+        if str(v) in ("None", "<NA>", "nan", "NaT"):
             return "null"
         return str(v) if isinstance(v, (str, bool)) or "bool" in type(v).__name__ else f"{float(v):.5f}"
 
