@@ -58,11 +58,12 @@ def fold_bucket(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
 
 
-def lookup(left: DataFrame, keyed: DataFrame, key: str, spread: Column, heavy_parts: int = 2000) -> DataFrame:
+def lookup(left: DataFrame, keyed: DataFrame, key: str, spread: Column, heavy_parts: int = 2000, join: str | None = None) -> DataFrame:
     """Left join to a table with one row per `key` and `n_key`, the number of left rows that have it.
 
     Keys with over total/heavy_parts rows number fewer than heavy_parts, so they are broadcast; their rows
     are then dealt out by `spread` instead of the key, and no task gets more than a small share of the rows.
+    `join` names a join strategy for the rest, so that plans are alike at every size.
     """
     values = [c for c in keyed.columns if c not in (key, "n_key")]
     total = keyed.agg(F.sum("n_key")).first()[0] or 0
@@ -74,6 +75,7 @@ def lookup(left: DataFrame, keyed: DataFrame, key: str, spread: Column, heavy_pa
     elsewhere = F.xxhash64(spread, F.lit(1)) if numeric else F.concat(F.lit("~"), F.xxhash64(spread).cast("string"))
     dealt = F.coalesce(F.when(F.col("_hot").isNull(), F.col(key)), elsewhere)
     cold = cold.withColumnRenamed("_cold_key", "_dealt")
+    cold = cold.hint(join) if join else cold
     joined = marked.withColumn("_dealt", dealt).join(cold, "_dealt", "left")
     both = [F.coalesce(F.col(f"_hot_{c}"), F.col(f"_cold_{c}")).alias(c) for c in values]
     return joined.select(*[left[c] for c in left.columns], *both)

@@ -6,8 +6,9 @@ same number of components. Bands of six components name candidates (a pair at si
 bands with probability 5e-6); every candidate link is confirmed on the full shingle sets.
 
 Contract. Equal sets are one class, so thousands of copies cost one member. Within a bucket each class is compared
-with the bucket's chosen representatives; what is still in different components afterwards is compared pairwise, so
-no candidate link between components is lost and no pair within a component is made. Null or wordless text has an
+with the bucket's chosen representatives; what is still in different components afterwards is compared in blocks of
+bounded size inside tasks, which only links leave, so no candidate link between components is lost and no list of
+pairs is ever written. Null or wordless text has an
 empty set and links with nothing. A row with a null id is compared with nothing: component null, kept. Rows that
 share an id form one node. Extra columns are ignored.
 """
@@ -27,6 +28,8 @@ from strataloom.llm.common import lookup, splitmix, staged, table
 
 PERMUTATIONS, ROWS = 120, 6
 BANDS = 2 * PERMUTATIONS // ROWS
+#: About how many documents and shingles a chunk holds; a block compares two chunks, or a hub with one.
+BLOCK, WEIGHT = 256, 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CACHE: dict[bytes, int] = {}
 
@@ -87,37 +90,75 @@ def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key string, bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * |intersection| >= percent * |union| on the full sets."""
-    pairs = staged(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _links(left: np.ndarray, right: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Index pairs (i, j), i of `left` and j of `right`, under different labels with 100 * |common| >= percent * |union|."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    universe, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    codes = [codes[e - n : e] for e, n in zip(ends, sizes)]
+    present = np.zeros(len(universe), bool)
+    for i in left:
+        bound = 100 * np.minimum(sizes[i], sizes[right]) >= percent * np.maximum(sizes[i], sizes[right])
+        partners = right[bound & (labels[right] != labels[i]) & (sizes[right] > 0)]
+        if not len(partners):
+            continue
+        present[codes[i]] = True
+        starts = np.cumsum([0, *sizes[partners[:-1]]])
+        common = np.add.reduceat(present[np.concatenate([codes[j] for j in partners])], starts, dtype=np.int64)
+        present[codes[i]] = False
+        for j in partners[100 * common >= percent * (sizes[i] + sizes[partners] - common)]:
+            yield i, j
+
+
+def compare(tasks: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) found within blocks, on the full sets.
+
+    `tasks` has a row (p, q, side, label, doc_id) per document of the block (p, q); a document on side 1 or 3 is
+    compared with each one on side 2 or 3 whose label differs. Only links leave a task. Texts are read once and
+    travel once, however many blocks a document is in; its set travels once a block.
+    """
+    wanted = tasks.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("p", "q", "side", "label")).alias("tasks"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column("text").to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 250):
+                batch = whole_batch.slice(at, 250)
+                sets = shingle_sets(batch.column("text").to_pylist(), k)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tasks"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tasks", "members"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sets = staged(texts.join(needed, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, members binary"), "sets")
-    right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
-    both = right.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a")
+    kind = "array<struct<p:long,q:long,side:int,label:long>>"
+    sets = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "tasks").mapInArrow(whole, f"doc_id long, tasks {kind}, members binary")
+    blocks = sets.select("doc_id", "members", F.explode("tasks").alias("t")).select("t.p", "t.q", "t.side", "t.label", "doc_id", "members")
+
+    def one(rows: pa.Table) -> list[tuple[int, int]]:
+        side, label, ids = (rows.column(c).to_numpy() for c in ("side", "label", "doc_id"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("members")]
+        found = _links(np.flatnonzero(side & 1), np.flatnonzero(side & 2), label, sets, percent)
+        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.Table] = []  # the rows of the block that a later batch may continue
+
+        def close(tables: list[pa.Table]) -> pa.RecordBatch:
+            links = one(pa.concat_tables(tables))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+        last = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(small) < percent * len(large) or not len(small):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                shared = int((large[at] == small).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct()
+            part = pa.Table.from_batches([batch])
+            p, q = part.column("p").to_numpy(), part.column("q").to_numpy()
+            cuts = [0, *(np.flatnonzero((p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1), len(p)] if len(p) else []
+            for start, end in zip(cuts, cuts[1:]):
+                if rest and (p[start], q[start]) != last:
+                    yield close(rest)
+                    rest = []
+                last = (p[start], q[start])
+                rest.append(part.slice(start, end - start))
+        if rest:
+            yield close(rest)
+
+    return blocks.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(linked, "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -135,6 +176,43 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _star_tasks(stars: DataFrame) -> DataFrame:
+    """Blocks of a hub (side 1) with up to about BLOCK of its documents (side 2)."""
+    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    spokes = stars.select("doc_id", "hub").join(sizes.hint("merge"), "hub").select(F.col("hub").alias("p"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("q"), F.lit(2).alias("side"), "doc_id")
+    hubs = sizes.select(F.col("hub").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("q"), F.lit(1).alias("side"), F.col("hub").alias("doc_id"))
+    return spokes.union(hubs).select("p", "q", "side", F.col("doc_id").alias("label"), "doc_id")
+
+
+def _block_tasks(slim: DataFrame, candidates: DataFrame, stars: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Blocks that hold every pair of documents which share a bucket and are in different components so far.
+
+    Documents are dealt to chunks of about BLOCK members and WEIGHT shingles, alike ones together; two chunks meet
+    if some bucket holds documents of both in different components.
+    """
+    # a component and what shares buckets with it widely; large components keep to themselves
+    near = components(stars.where(f"n >= {BANDS // 13}").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).select(F.col("id").alias("near_id"), F.col("component").alias("near"))
+    labelled = candidates.select("bucket", "doc_id").join(grouped.hint("merge"), candidates.doc_id == grouped.id, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n_key")).where("x <> y").select("bucket", "n_key", F.lit(True).alias("apart"))
+    apart = staged(lookup(labelled, staged(mixed, "mixed"), "bucket", F.col("doc_id"), join="merge").where("apart").select("bucket", "doc_id", "component"), "apart")
+    members = apart.select("doc_id", "component").distinct().join(slim.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).hint("merge"), "doc_id")
+    large = members.groupBy("component").agg((F.count("*") >= BLOCK // 4).alias("large"))
+    members = members.join(large, "component").join(near, F.col("doc_id") == F.col("near_id"), "left")
+    members = staged(members.select("doc_id", "component", "n_shingles", F.when(F.col("large"), F.col("component")).otherwise(F.coalesce("near", "component")).alias("root"), "large"), "members")
+    counts = members.groupBy("root", "large").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / WEIGHT)).alias("chunks"))
+    chunks = members.join(counts, ["root", "large"]).select("doc_id", "component", F.xxhash64("root", "large", F.pmod(F.xxhash64("doc_id"), "chunks")).alias("chunk"))
+    chunks = staged(chunks, "chunks")
+    met = apart.select("bucket", "doc_id").join(chunks, "doc_id").groupBy("bucket", "chunk").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    met = staged(met, "met")
+    other = met.select("bucket", F.col("chunk").alias("q"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = met.join(other, "bucket").where("chunk <= q AND NOT (x = y AND x2 = y2 AND x = x2)").select(F.col("chunk").alias("p"), "q").distinct()
+    pairs = staged(pairs, "pairs")
+    sides = pairs.where("p = q").select("p", "q", F.lit(3).alias("side"), F.col("p").alias("chunk"))
+    for side, key in ((1, "p"), (2, "q")):
+        sides = sides.union(pairs.where("p <> q").select("p", "q", F.lit(side).alias("side"), F.col(key).alias("chunk")))
+    return sides.join(chunks, "chunk").select("p", "q", "side", F.col("component").alias("label"), "doc_id")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id), one row per row of `docs`."""
     slim = staged(signatures(docs, k), "signatures")
@@ -148,21 +226,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     mask = F.element_at(F.array(*[F.lit(int(m) >> 24) for m in splitmix(np.arange(8, dtype=np.uint64))]), (F.col("band") % 8 + 1).cast("int"))
     ordered = members.select("bucket", F.col("doc_id").bitwiseXOR(mask).alias("place"), mask.alias("mask"))
     buckets = ordered.groupBy("bucket").agg(F.count("*").alias("n_key"), F.min("place").bitwiseXOR(F.first("mask")).alias("hub")).where("n_key > 1")
-    candidates = staged(lookup(members.select("bucket", "doc_id"), staged(buckets, "buckets"), "bucket", F.col("doc_id")).where("hub IS NOT NULL"), "candidates")
+    candidates = staged(lookup(members.select("bucket", "doc_id"), staged(buckets, "buckets"), "bucket", F.col("doc_id"), join="merge").where("hub IS NOT NULL"), "candidates")
     # each document first meets the two hubs with which it shares most buckets
     shared = candidates.where("hub <> doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
     best = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "hub"))
-    stars = shared.withColumn("rank", best).where("rank <= 2").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    stars = staged(stars, "stars")
+    stars = staged(shared.withColumn("rank", best).where("rank <= 2").select("doc_id", "hub", "n"), "stars")
     same_id = rows.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    first = staged(confirm(stars, docs, k, percent), "links")
-    grouped = components(first)
-    labelled = candidates.join(grouped, candidates.doc_id == grouped.id, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    labelled = staged(labelled.join(mixed, "bucket", "left_semi"), "apart")
-    other = labelled.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    cross = labelled.join(other, "bucket").where("doc_id < b AND component <> other").select(F.col("doc_id").alias("a"), "b").distinct()
-    second = staged(confirm(cross.join(stars, ["a", "b"], "left_anti"), docs, k, percent), "links")
+    first = staged(compare(_star_tasks(stars), docs, k, percent), "links")
+    second = staged(compare(staged(_block_tasks(slim, candidates, stars, components(first)), "tasks"), docs, k, percent), "links")
     tied = components(first.union(second).union(same_id))
     return rows.join(tied, rows.doc_id == tied.id, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component").isNull() | (F.col("doc_id") == F.col("component")), F.lit(True)).alias("kept")
