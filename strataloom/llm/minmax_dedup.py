@@ -184,21 +184,29 @@ def _star_tasks(stars: DataFrame) -> DataFrame:
     return spokes.union(hubs).select("p", "q", "side", F.col("doc_id").alias("label"), "doc_id")
 
 
-def _block_tasks(slim: DataFrame, candidates: DataFrame, stars: DataFrame, grouped: DataFrame) -> DataFrame:
+def _block_tasks(slim: DataFrame, candidates: DataFrame, grouped: DataFrame) -> DataFrame:
     """Blocks that hold every pair of documents which share a bucket and are in different components so far.
 
     Documents are dealt to chunks of about BLOCK members and WEIGHT shingles, alike ones together; two chunks meet
     if some bucket holds documents of both in different components.
     """
-    # a component and what shares buckets with it widely; large components keep to themselves
-    near = components(stars.where(f"n >= {BANDS // 13}").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).select(F.col("id").alias("near_id"), F.col("component").alias("near"))
     labelled = candidates.select("bucket", "doc_id").join(grouped.hint("merge"), candidates.doc_id == grouped.id, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n_key")).where("x <> y").select("bucket", "n_key", F.lit(True).alias("apart"))
-    apart = staged(lookup(labelled, staged(mixed, "mixed"), "bucket", F.col("doc_id"), join="merge").where("apart").select("bucket", "doc_id", "component"), "apart")
-    members = apart.select("doc_id", "component").distinct().join(slim.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).hint("merge"), "doc_id")
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n_key")).where("x <> y").select("bucket", "n_key", F.col("n_key").alias("size"))
+    apart = staged(lookup(labelled, staged(mixed, "mixed"), "bucket", F.col("doc_id"), join="merge").where("size IS NOT NULL").select("bucket", "doc_id", "component", "size"), "apart")
+    # a document goes with its largest bucket, so that families of whatever likeness gather; large components keep to themselves
+    members = apart.groupBy("doc_id", "component").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("largest")).join(slim.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).hint("merge"), "doc_id")
     large = members.groupBy("component").agg((F.count("*") >= BLOCK // 4).alias("large"))
-    members = members.join(large, "component").join(near, F.col("doc_id") == F.col("near_id"), "left")
-    members = staged(members.select("doc_id", "component", "n_shingles", F.when(F.col("large"), F.col("component")).otherwise(F.coalesce("near", "component")).alias("root"), "large"), "members")
+    members = members.join(large, "component")
+    roots = staged(members.select("doc_id", "component", "n_shingles", F.when(F.col("large"), F.col("component")).otherwise(F.col("largest")).alias("root"), "large"), "roots")
+    # then with the largest family that it shares a bucket with, with which it must be compared anyway
+    family = roots.where("NOT large").groupBy("root").agg(F.count("*").alias("n"))
+    sized = roots.where("NOT large").join(family.hint("merge"), "root").select(F.col("doc_id").alias("member"), F.struct("n", "root").alias("family"))
+    beside = apart.join(sized.hint("merge"), F.col("doc_id") == F.col("member"), "left").select("bucket", "doc_id", "family")
+    beside = staged(beside, "beside")
+    widest = staged(beside.groupBy("bucket").agg(F.max("family").alias("widest"), F.count("*").alias("n_key")), "widest")
+    moved = lookup(beside, widest, "bucket", F.col("doc_id"), join="merge").groupBy("doc_id").agg(F.max("widest")["root"].alias("moved"))
+    members = roots.join(moved.hint("merge"), "doc_id").select("doc_id", "component", "n_shingles", F.when(F.col("large"), F.col("root")).otherwise(F.col("moved")).alias("root"), "large")
+    members = staged(members, "members")
     counts = members.groupBy("root", "large").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / WEIGHT)).alias("chunks"))
     chunks = members.join(counts, ["root", "large"]).select("doc_id", "component", F.xxhash64("root", "large", F.pmod(F.xxhash64("doc_id"), "chunks")).alias("chunk"))
     chunks = staged(chunks, "chunks")
@@ -230,10 +238,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # each document first meets the two hubs with which it shares most buckets
     shared = candidates.where("hub <> doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
     best = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "hub"))
-    stars = staged(shared.withColumn("rank", best).where("rank <= 2").select("doc_id", "hub", "n"), "stars")
+    stars = staged(shared.withColumn("rank", best).where("rank <= 2").select("doc_id", "hub"), "stars")
     same_id = rows.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     first = staged(compare(_star_tasks(stars), docs, k, percent), "links")
-    second = staged(compare(staged(_block_tasks(slim, candidates, stars, components(first)), "tasks"), docs, k, percent), "links")
+    second = staged(compare(staged(_block_tasks(slim, candidates, components(first)), "tasks"), docs, k, percent), "links")
     tied = components(first.union(second).union(same_id))
     return rows.join(tied, rows.doc_id == tied.id, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component").isNull() | (F.col("doc_id") == F.col("component")), F.lit(True)).alias("kept")
