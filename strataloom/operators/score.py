@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators import stats
-from strataloom.operators.wald import MARGIN, family_sizes
+from strataloom.operators import stats, survival
+from strataloom.operators.wald import MARGIN, cox_scores, cox_sums, family_sizes
 
 
 def fit_null_linear(pheno: DataFrame, covariates: list[str] = (), weighted: bool = False) -> dict:
@@ -84,6 +85,51 @@ def logistic_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFram
     return out.select(key, "n", "u", "v", (F.col("u") / F.col("v")).alias("beta"), (1 / F.sqrt("v")).alias("se"), (F.col("u") * F.col("u") / F.col("v")).alias("chisq"))
 
 
+def fit_null_cox(surv: DataFrame, covariates: list[str]) -> dict:
+    """theta of a Cox model with late entry on the covariates, all subjects in one risk set."""
+    return survival.cox_fit(surv.withColumn("stratum", F.lit(0)), list(covariates)) if covariates else {"theta": np.zeros(0), "covariates": []}
+
+
+def cox_score(surv: DataFrame, gt: DataFrame, null: dict, weighted: bool = False, robust: bool = False, key: str = "variant") -> DataFrame:
+    """One row per variant: u, v, beta, se, chisq of the Cox score test; without covariates the log-rank score test.
+
+    Missing genotypes are imputed by their mean. v sums squared family scores, where families of one subject count by
+    the spread at their own event unless `robust`; v_a is the model's information, which takes the place of v where
+    1/v lies below 1/v_a less a margin. A variant's subjects are one group.
+    """
+    covariates, theta = list(null["covariates"]), np.r_[0.0, null["theta"]]
+    columns = [F.col(key).cast("long").alias("variant"), "fid", F.col("entry").cast("double"), F.col("exit").cast("double"), F.col("event").cast("boolean"), (F.col("wt").cast("double") if weighted else F.lit(1.0)).alias("w"), F.col("g").cast("double").alias("g"), *[F.col(c).cast("double") for c in covariates]]
+    names = ["variant", "n", "u", "v", "v_a", "beta", "se", "chisq"]
+
+    def test(group: pd.DataFrame) -> pd.DataFrame:
+        g, event = group["g"].to_numpy(float), group["event"].to_numpy(bool)
+        variant, n = group["variant"].iloc[0], len(group)
+        if not event.any() or np.isnan(g).all():
+            return pd.DataFrame([(variant, n, *[None] * 6)], columns=names)
+        x = np.column_stack([np.where(np.isnan(g), np.nanmean(g), g), *[group[c] for c in covariates]])
+        x = x - x.mean(0)
+        w, entry, exit_ = (group[c].to_numpy() for c in ("w", "entry", "exit"))
+        times, s0, s1, s2, _ = cox_sums(x, w, entry, exit_, event, theta)
+        mean = s1 / s0[:, None]
+        spread = s2 / s0[:, None, None] - mean[:, :, None] * mean[:, None, :]
+        at = np.searchsorted(times, exit_[event])
+        info = (np.bincount(at, w[event], len(times))[:, None, None] * spread).sum(0)
+        mix = np.r_[1.0, -np.linalg.solve(info[1:, 1:], info[1:, 0])]
+        score = w * (cox_scores(x, w, entry, exit_, event, theta) @ mix)
+        codes = np.unique(group["fid"].to_numpy(), return_inverse=True)[1]
+        sums, single = np.bincount(codes, score), (np.bincount(codes) == 1) & (not robust)
+        own = np.zeros(n)
+        own[event] = np.einsum("i,kij,j->k", mix, spread, mix)[at]
+        v = float((sums[~single] ** 2).sum() + (w * w * own)[single[codes]].sum())
+        v_a, u = float(mix @ info @ mix), float(score.sum())
+        if v_a > 0 and (not np.isfinite(v) or (v > 0 and 1 / v < 1 / v_a - MARGIN)):
+            v = v_a
+        rest = (u / v, v**-0.5, u * u / v) if v > 0 else (None, None, None)
+        return pd.DataFrame([(variant, n, u, v, v_a, *rest)], columns=names)
+
+    return surv.join(gt, "iid").select(*columns).groupBy("variant").applyInPandas(test, "variant long, n long, u double, v double, v_a double, beta double, se double, chisq double")
+
+
 def gene_score(pheno: DataFrame, gt: DataFrame, groups: DataFrame, stats_: DataFrame, key: str = "variant") -> DataFrame:
     """(gene, i, j, v): lower triangle of each gene's score variance under the intercept-only linear null.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataloom.functions.scalar import chi2_sf, chi2_tail
+
 S = "stratum"
 
 
@@ -93,3 +96,112 @@ def dual_log_rank(a: DataFrame, b: DataFrame, x: str, key: str = "iid") -> DataF
     va, vb = log_rank(a, x).select(F.col("v").alias("va")), log_rank(b, x).select(F.col("v").alias("vb"))
     one = sums.join(F.broadcast(va)).join(F.broadcast(vb))  # three one-row tables
     return one.select("covariance", (F.col("covariance") / F.sqrt(F.col("va") * F.col("vb"))).alias("correlation"))
+
+
+def _predictor(x: list[str], theta) -> object:
+    return sum((F.lit(float(t)) * F.col(c) for t, c in zip(theta, x)), F.lit(0.0))
+
+
+def _cox_step(rows: DataFrame, x: list[str], theta, km: bool, ties: bool) -> tuple[np.ndarray, np.ndarray, float]:
+    """Score, information and log likelihood at theta, summed over strata and event times: one row to the driver."""
+    p, e = len(x), F.exp(_predictor(x, theta))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = {"s0": e} | {f"a{i}": e * F.col(c) for i, c in enumerate(x)} | {f"b{i}_{j}": e * F.col(x[i]) * F.col(x[j]) for i, j in pairs}
+    own = rows.where("event").groupBy(S, F.col("exit").alias("time")).agg(F.sum(_predictor(x, theta)).alias("eta"), *[F.sum(c).alias(f"o{i}") for i, c in enumerate(x)])
+    t, weight = risk_table(rows, sums).where("events > 0").join(own, [S, "time"]), F.lit(1.0)
+    if km:
+        t, weight = t.join(kaplan_meier(rows, "left").select(S, "time", "survival"), [S, "time"]), F.col("survival")
+    constant = F.when(F.col("at_risk") == 1, 1.0).otherwise((F.col("at_risk") - F.col("events")) / (F.col("at_risk") - 1)) if ties else F.lit(1.0)
+    mean = [F.col(f"a{i}") / F.col("s0") for i in range(p)]
+    r = t.agg(
+        F.sum(F.col("eta") - F.col("events") * F.log("s0")).alias("ll"), *[F.sum(weight * (F.col(f"o{i}") - F.col("events") * mean[i])).alias(f"u{i}") for i in range(p)],
+        *[F.sum(weight * constant * F.col("events") * (F.col(f"b{i}_{j}") / F.col("s0") - mean[i] * mean[j])).alias(f"v{i}_{j}") for i, j in pairs],
+    ).first()
+    if r.ll is None:
+        raise ValueError("there is no event")
+    return np.array([r[f"u{i}"] for i in range(p)]), np.array([[r[f"v{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]), r.ll
+
+
+def cox_fit(df: DataFrame, x: list[str], km: bool = False, ties: bool = False) -> dict:
+    """theta and information of a Cox model; strata (column stratum) have risk sets of their own.
+
+    One pass of window sums per Newton step, at most 50 steps, each halved up to 10 times while the likelihood falls.
+    """
+    rows = df.select(S, "entry", "exit", F.col("event").cast("boolean").alias("event"), *[F.col(c).cast("double").alias(c) for c in x])
+    rows = rows.dropna().persist()
+    theta = np.zeros(len(x))
+    u, info, ll = _cox_step(rows, x, theta, km, ties)
+    for _ in range(50):
+        step = np.linalg.solve(info, u)
+        for _ in range(10):
+            after = _cox_step(rows, x, theta + step, km, ties)
+            if km or after[2] >= ll - 1e-9 * abs(ll):  # the weighted score is not this likelihood's gradient
+                break
+            step = step / 2
+        theta, (u, info, ll) = theta + step, after
+        if np.abs(step).sum() < 1e-8:
+            rows.unpersist()
+            return {"theta": theta, "info": info, "covariates": list(x)}
+    raise ValueError("Cox regression did not converge")
+
+
+def score_residuals(df: DataFrame, x: list[str], theta, key: str = "iid") -> DataFrame:
+    """(key, w0, w1, ...): each subject's part of the score, with late entry: own event term less the events while at risk."""
+    e = F.exp(_predictor(x, theta))
+    names = range(len(x))
+    t = risk_table(df, {"s0": e, **{f"a{i}": e * F.col(c) for i, c in enumerate(x)}}).where("events > 0")
+    up = W.partitionBy(S).orderBy("time").rowsBetween(W.unboundedPreceding, W.currentRow)
+    values = {"h": F.sum(F.col("events") / F.col("s0")).over(up)} | {f"m{i}": F.col(f"a{i}") / F.col("s0") for i in names} | {f"h{i}": F.sum(F.col("events") * F.col(f"a{i}") / F.col("s0") ** 2).over(up) for i in names}
+    steps = t.select(S, F.col("time").cast("double"), F.lit(1).alias("kind"), *[c.alias(n) for n, c in values.items()])
+    # events at the entry time count (entry <= time), so its probe comes before them; the exit's comes after
+    probe = lambda at, kind: df.select(S, F.col(at).cast("double").alias("time"), F.lit(kind).alias("kind"), key, F.col("event").cast("boolean").alias("event"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], e.alias("e"))
+    w = W.partitionBy(S).orderBy("time", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = steps.unionByName(probe("entry", 0).unionByName(probe("exit", 2)), allowMissingColumns=True).withColumns({n: F.last(n, True).over(w) for n in values}).where("kind <> 1")
+    sign = F.col("kind") - 1
+    spent = [F.sum(sign * F.col("e") * (F.col(f"x{i}") * F.coalesce("h", F.lit(0.0)) - F.coalesce(f"h{i}", F.lit(0.0)))) for i in names]
+    own = [F.sum(F.when((F.col("kind") == 2) & F.col("event"), F.col(f"x{i}") - F.col(f"m{i}")).otherwise(0.0)) for i in names]
+    return both.groupBy(key).agg(*[(own[i] - spent[i]).alias(f"w{i}") for i in names])
+
+
+def cox_regression(df: DataFrame, x: list[str], robust: bool = False, km: bool = False, ties: bool = False) -> DataFrame:
+    """One row per term: beta, se, z, pvalue; robust: inverse information around the sum of squared score residuals."""
+    fit = cox_fit(df, x, km, ties)
+    theta, cov = fit["theta"], np.linalg.inv(fit["info"])
+    if robust:
+        cov = cov @ _cross(score_residuals(df, x, theta), score_residuals(df, x, theta), len(x)) @ cov
+    se = np.sqrt(np.diag(cov))
+    rows = [(t, float(b), float(s), float(b / s), chi2_tail(float((b / s) ** 2))) for t, b, s in zip(x, theta, se)]
+    return df.sparkSession.createDataFrame(rows, "term string, beta double, se double, z double, pvalue double")
+
+
+def _cross(a: DataFrame, b: DataFrame, p: int, key: str = "iid") -> np.ndarray:
+    """Sum over common subjects of the outer products of two models' residuals."""
+    both = a.join(b.select(key, *[F.col(f"w{j}").alias(f"z{j}") for j in range(p)]), key)
+    r = both.agg(*[F.sum(F.col(f"w{i}") * F.col(f"z{j}")).alias(f"c{i}_{j}") for i in range(p) for j in range(p)]).first()
+    return np.array([[r[f"c{i}_{j}"] or 0.0 for j in range(p)] for i in range(p)])
+
+
+def dual_covariance(a: DataFrame, b: DataFrame, x: list[str], key: str = "iid") -> DataFrame:
+    """(term_a, term_b, covariance, correlation) of the estimates of two outcomes' Cox models over common subjects."""
+    fa, fb = cox_fit(a, x), cox_fit(b, x)
+    ia, ib = np.linalg.inv(fa["info"]), np.linalg.inv(fb["info"])
+    cov = ia @ _cross(score_residuals(a, x, fa["theta"], key), score_residuals(b, x, fb["theta"], key), len(x), key) @ ib
+    rows = [(s, t, float(cov[i, j]), float(cov[i, j] / np.sqrt(ia[i, i] * ib[j, j]))) for i, s in enumerate(x) for j, t in enumerate(x)]
+    return a.sparkSession.createDataFrame(rows, "term_a string, term_b string, covariance double, correlation double")
+
+
+#: Fixed value: two-sided five per cent point of the normal distribution.
+Z_95 = 1.9599639845
+
+
+def summarize(df: DataFrame) -> DataFrame:
+    """`df` (estimate, variance) with squared, se, z, pvalue, ci_width; a negative variance gives nulls."""
+    se = F.when(F.col("variance") >= 0, F.sqrt("variance"))
+    z = F.when(se > 0, F.col("estimate") / se)
+    return df.withColumns({"squared": F.col("estimate") * F.col("estimate"), "se": se, "z": z, "ci_width": 2 * Z_95 * se}).withColumn("pvalue", chi2_sf(F.col("z") * F.col("z")))
+
+
+def summarize_log_rank(df: DataFrame) -> DataFrame:
+    """`df` (u, v) with se = sqrt(v) and the Peto estimate u / v, its variance 1 / v and error 1 / sqrt(v)."""
+    ok = F.when(F.col("v") > 0, F.col("v"))
+    return df.withColumns({"squared": F.col("u") * F.col("u"), "se": F.sqrt(ok), "peto": F.col("u") / ok, "peto_variance": 1 / ok, "peto_se": 1 / F.sqrt(ok)})

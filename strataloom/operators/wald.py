@@ -91,6 +91,81 @@ def linear_wald(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), wei
     return fits.join(meat, "variant").mapInPandas(finish, RESULT)
 
 
+def linear_wald_hetero(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), stratum: str = "stratum", weighted: bool = False, robust: bool = False, key: str = "variant") -> DataFrame:
+    """linear_wald with a residual variance per stratum, refitted in turn with the coefficients until both settle.
+
+    Moments per variant and stratum are aggregated once; the iteration runs on them alone. A null stratum is one of its own.
+    """
+    centre = pheno.agg(F.avg("y").alias("y"), *[F.avg(c).alias(c) for c in covariates]).first()
+    rows = family_sizes(pheno).join(gt.where("g IS NOT NULL"), "iid")
+    x = [F.col("g"), F.lit(1), *[F.col(c) - centre[c] for c in covariates]]
+    p = len(x)
+    xs = [f"x{i}" for i in range(p)]
+    w = F.col("wt").cast("double") if weighted else F.lit(1.0)
+    level = F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("level")
+    rows = rows.select(F.col(key).cast("long").alias("variant"), level, "fid", "fam_size", w.alias("w"), (F.col("y") - centre["y"]).alias("y0"), *[c.cast("double").alias(n) for n, c in zip(xs, x)])
+    sums = stats.moments(rows, [F.col(c) for c in xs], F.col("y0"), F.col("w"), ["variant", "level"])
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:  # a row per stratum
+        a = np.array([np.reshape(m, (p, p)) for m in group["sxx"]])
+        b = np.array([np.asarray(m) for m in group["sxy"]])
+        syy, sw = group["syy"].to_numpy(), group["sw"].to_numpy()
+        residual = lambda t: syy - 2 * b @ t + np.einsum("i,kij,j->k", t, a, t)
+        out = pd.DataFrame({"variant": group["variant"], "level": group["level"], "n": int(group["n"].sum()), "theta": None, "sigma2": np.nan, "inverse": None, "status": "singular"})
+        try:
+            theta = np.linalg.solve(a.sum(0), b.sum(0))
+            sigma2 = np.full(len(sw), residual(theta).sum() / sw.sum())
+            for _ in range(ITERATIONS):
+                before, spread = theta, sigma2
+                theta = np.linalg.solve((a / sigma2[:, None, None]).sum(0), (b / sigma2[:, None]).sum(0))
+                sigma2 = residual(theta) / sw
+                if np.abs(theta - before).sum() + np.abs(sigma2 - spread).sum() < TOLERANCE:
+                    break
+            else:
+                return out.assign(status="not converged")
+            inverse = np.linalg.inv((a / sigma2[:, None, None]).sum(0))
+        except np.linalg.LinAlgError:
+            return out
+        if not np.isfinite(inverse).all() or not (sigma2 > 0).all():
+            return out.assign(status="variance")
+        return out.assign(theta=[theta.tolist()] * len(out), sigma2=sigma2, inverse=[inverse.ravel().tolist()] * len(out), status="ok")
+
+    fits = sums.groupBy("variant").applyInPandas(solve, "variant long, level string, n long, theta array<double>, sigma2 double, inverse array<double>, status string").persist()
+    r = F.col("y0") - sum((F.col("theta")[i] * F.col(c) for i, c in enumerate(xs)), F.lit(0.0))
+    scored = rows.join(fits.where("status = 'ok'").select("variant", "level", "theta", "sigma2"), ["variant", "level"]).withColumn("r", r)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    families = scored.groupBy("variant", "fid").agg(
+        F.first((F.col("fam_size") == 1) & F.lit(not robust)).alias("alone"), *[F.sum(F.expr(f"w * r * {c} / sigma2")).alias(f"u{i}") for i, c in enumerate(xs)], *[F.sum(F.expr(f"w * w * x{i} * x{j} / sigma2")).alias(f"q{i}_{j}") for i, j in pairs]
+    )
+    meat = families.groupBy("variant").agg(*[F.sum(F.when(F.col("alone"), F.col(f"q{i}_{j}")).otherwise(F.col(f"u{i}") * F.col(f"u{j}"))).alias(f"b{i}_{j}") for i, j in pairs])
+    meat = meat.select("variant", F.array(*[F.col(f"b{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]).alias("meat"))
+
+    def finish(batches):
+        for batch in batches:
+            out = []
+            for f in batch.itertuples():
+                if f.status != "ok":
+                    out.append(result_row(f.variant, f.n, None, None, f.status))
+                    continue
+                inverse = np.reshape(f.inverse, (p, p))
+                cov = inverse @ np.reshape(f.meat, (p, p)) @ inverse
+                if not weighted and cov[0, 0] < inverse[0, 0] - MARGIN:
+                    cov = inverse
+                out.append(result_row(f.variant, f.n, np.asarray(f.theta), cov))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    one = fits.groupBy("variant").agg(F.first("n").alias("n"), F.first("theta").alias("theta"), F.first("inverse").alias("inverse"), F.first("status").alias("status"))
+    return one.join(meat, "variant", "left").mapInPandas(finish, RESULT)
+
+
+def feature_wald(pheno: DataFrame, features: DataFrame, test=None, **options) -> DataFrame:
+    """A Wald scan (`test`, linear by default) over a feature matrix (feature_id, iid, g): feature_id replaces variant."""
+    keyed = features.withColumn("variant", F.xxhash64("feature_id"))
+    names = keyed.select("variant", "feature_id").distinct()
+    found = (test or linear_wald)(pheno, keyed.select("variant", "iid", "g"), **options)
+    return names.join(found, "variant").drop("variant")
+
+
 def interaction_test(results: DataFrame, k: int) -> DataFrame:
     """G x E: p of g, of its k interactions (theta 2 ... k + 1) and of both, from a Wald scan with extras."""
 

@@ -567,3 +567,129 @@ def _(s, d):
 @query("QE_extract_on_affection", duck("ped", "SELECT pid, round(CASE WHEN affected = 2 THEN trait END, 6) AS trait FROM ped"))
 def _(s, d):
     return rounded(pedigree.extract_on_affection(fx.ped(s, d), "affected", ["trait"]).select("pid", "trait"))
+
+
+# --- strata, features, Cox scores and models -------------------------------------------------------------------
+@query("T2_linear_wald_strata")
+def _(s, d):
+    return _slim(wald.linear_wald_hetero(fx.pheno(s, d), fx.geno(s, d), ["x1"]))
+
+
+@query("T9_feature_wald", "SELECT 'f' || variant AS feature_id, n, beta, se, chisq FROM (" + _wald_sql("1.0::DOUBLE", False, True) + ")")
+def _(s, d):
+    features = fx.geno(s, d).select(F.concat(F.lit("f"), F.col("variant").cast("string")).alias("feature_id"), "iid", "g")
+    found = wald.feature_wald(fx.pheno(s, d), features)
+    return found.select("feature_id", "n", (F.round("beta", 6) + 0.0).alias("beta"), F.round("se", 6).alias("se"), F.round("chisq", 5).alias("chisq"))
+
+
+@query("T11_log_rank_score", duck("pheno geno surv", """, f AS (SELECT variant, s.iid, s.fid, entry, exit, event, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) AS g FROM geno JOIN surv s USING (iid)),
+z AS (SELECT fid, count(*) AS size FROM surv GROUP BY 1), ev AS (SELECT variant, exit AS time, count(*) AS d FROM f WHERE event GROUP BY 1, 2),
+k AS (SELECT ev.variant, ev.time, any_value(d) AS d, count(*) AS s0, sum(g) AS s1, sum(g * g) AS s2 FROM ev JOIN f ON f.variant = ev.variant AND entry <= ev.time AND exit >= ev.time GROUP BY 1, 2),
+r AS (SELECT f.variant, f.iid, any_value(fid) AS fid, max(CASE WHEN event AND k.time = exit THEN g - s1 / s0 END) AS own, sum(d * (g / s0 - s1 / (s0 * s0))) AS spent, max(CASE WHEN event AND k.time = exit THEN s2 / s0 - (s1 / s0) * (s1 / s0) END) AS spread
+  FROM f LEFT JOIN k ON k.variant = f.variant AND k.time BETWEEN entry AND exit GROUP BY 1, 2),
+fam AS (SELECT variant, fid, any_value(size) AS size, sum(coalesce(own, 0) - coalesce(spent, 0)) AS s, sum(coalesce(spread, 0)) AS q, count(*) AS m FROM r JOIN z USING (fid) GROUP BY 1, 2),
+a AS (SELECT variant, sum(d * (s2 / s0 - (s1 / s0) * (s1 / s0))) AS va FROM k GROUP BY 1),
+t AS (SELECT variant, sum(m) AS n, sum(s) AS u, sum(CASE WHEN size = 1 THEN q ELSE s * s END) AS v0 FROM fam GROUP BY 1)
+SELECT variant, CAST(n AS BIGINT) AS n, round(u, 5) + 0.0 AS u, round(CASE WHEN 1 / v0 < 1 / va - 1e-8 THEN va ELSE v0 END, 5) AS v, round(va, 5) AS v_a FROM t JOIN a USING (variant)"""))
+def _(s, d):
+    out = score.cox_score(fx.surv(s, d), fx.geno(s, d), score.fit_null_cox(fx.surv(s, d), []))
+    return rounded(out.select("variant", "n", "u", "v", "v_a"), 5)
+
+
+@query("N3_T10_cox_score")
+def _(s, d):
+    p = fx.surv(s, d)
+    return rounded(score.cox_score(p, fx.geno(s, d), score.fit_null_cox(p, ["x1"])), 5)
+
+
+@query("T18_stratified_cox")
+def _(s, d):
+    return rounded(survival.cox_regression(fx.surv(s, d), ["arm", "x1"], robust=True), 5)
+
+
+@query("T19_dual_covariance")
+def _(s, d):
+    a = fx.surv(s, d)
+    b = a.withColumns({"event": F.col("event") & (F.col("exit") < 1500), "exit": F.least(F.col("exit"), F.lit(1500).cast("long"))})
+    return rounded(survival.dual_covariance(a, b, ["arm", "x1"]))
+
+
+@query("T20_summaries", duck("pheno", "SELECT iid, round(y * y, 6) AS squared, round(sqrt(wt), 6) AS se, round(y / sqrt(wt), 6) + 0.0 AS z, round(2 * 1.9599639845 * sqrt(wt), 6) AS ci_width FROM pheno"))
+def _(s, d):
+    rows = fx.pheno(s, d).select("iid", F.col("y").alias("estimate"), F.col("wt").alias("variance"))
+    return rounded(survival.summarize(rows).select("iid", "squared", "se", "z", "ci_width"))
+
+
+@query("T20_log_rank_summaries", duck("pheno", "SELECT iid, round(sqrt(wt), 6) AS se, round(y / wt, 6) + 0.0 AS peto, round(1 / wt, 6) AS peto_variance, round(1 / sqrt(wt), 6) AS peto_se FROM pheno"))
+def _(s, d):
+    rows = fx.pheno(s, d).select("iid", F.col("y").alias("u"), F.col("wt").alias("v"))
+    return rounded(survival.summarize_log_rank(rows).select("iid", "se", "peto", "peto_variance", "peto_se"))
+
+
+# --- alleles, reads ----------------------------------------------------------------------------------------------
+@query("A16_lump_alleles", duck("ped markers", """, c AS (SELECT marker, allele, count(*) AS n FROM (SELECT marker, unnest([a1, a2]) AS allele FROM markers) GROUP BY 1, 2),
+r AS (SELECT *, n <= floor(sum(n) OVER (PARTITION BY marker) * 0.333) AS rare FROM c)
+SELECT marker, allele, CASE WHEN rare THEN 'OTHER' ELSE CAST(row_number() OVER (PARTITION BY marker, rare ORDER BY n DESC, allele) AS VARCHAR) END AS code FROM r"""))
+def _(s, d):
+    return pedigree.lump_alleles(fx.markers(s, d), 0.333)
+
+
+@query("QB_x_linked", duck("ped markers", """SELECT c.pid, c.marker FROM ped p JOIN markers c USING (fid, pid) JOIN markers f ON f.fid = p.fid AND f.pid = p.fat AND f.marker = c.marker JOIN markers m ON m.fid = p.fid AND m.pid = p.mot AND m.marker = c.marker
+WHERE CASE WHEN sex = 1 THEN c.a1 <> c.a2 OR c.a1 NOT IN (m.a1, m.a2) ELSE NOT ((c.a1 = f.a1 AND c.a2 IN (m.a1, m.a2)) OR (c.a2 = f.a1 AND c.a1 IN (m.a1, m.a2))) END"""))
+def _(s, d):
+    return pedigree.mendel_errors(fx.ped(s, d), fx.markers(s, d), x=True).select("pid", "marker")
+
+
+_READS = """r AS (SELECT doc_id AS id, doc_id % 5 AS rname, doc_id AS pos, regexp_replace(translate(substr(text, 1, 20), 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS seq,
+  repeat(chr(CAST(40 + doc_id % 20 AS INT)), CAST(length(substr(text, 1, 20)) AS INT)) AS qual FROM documents WHERE length(text) > 0),
+b AS (SELECT id, rname, pos + unnest(range(length(seq))) AS refpos, unnest(string_split(seq, '')) AS base, unicode(qual) - 33 AS q FROM r)"""
+
+
+def _reads(spark, d):
+    cut = F.substring("text", 1, 20)
+    i = F.col("doc_id")
+    return fx.table(spark, d, "documents").where("length(text) > 0").select(
+        i.alias("id"), (i % 5).alias("rname"), i.alias("pos"), F.regexp_replace(F.translate(cut, "acgt", "ACGT"), "[^ACGT]", "N").alias("seq"), F.expr("repeat(char(cast(40 + doc_id % 20 as int)), length(substring(text, 1, 20)))").alias("qual"),
+        F.concat(F.length(cut).cast("string"), F.lit("M")).alias("cigar"), F.lit(0).alias("flag"),
+    )
+
+
+@query("A18_pileup", "WITH " + _READS + " SELECT rname, refpos, count(*) AS depth, string_agg(base, '' ORDER BY base) AS bases FROM b GROUP BY 1, 2")
+def _(s, d):
+    return reads.pileup(_reads(s, d))
+
+
+@query("QG_mismatch_filter", "WITH " + _READS + """, m AS (SELECT id, sum(q) FILTER (base <> substr('ACGT', CAST(refpos % 4 + 1 AS INT), 1)) AS bad FROM b GROUP BY 1)
+SELECT id, CASE WHEN bad > 250 THEN 4 ELSE 0 END AS flag FROM m""")
+def _(s, d):
+    rows = _reads(s, d)
+    sites = rows.select("rname", F.explode(F.sequence("pos", F.col("pos") + F.length("seq") - 1)).alias("pos")).distinct()
+    ref = sites.withColumn("base", F.expr("substring('ACGT', cast(pos % 4 + 1 as int), 1)"))
+    return reads.mismatch_filter(rows, ref, 250).select("id", "flag")
+
+
+@query("QF_fastq_checks", """WITH r AS (SELECT doc_id, '@r' || doc_id % 150 || ' x' AS id_line, 'r' || doc_id % 150 AS name, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 20) ELSE regexp_replace(translate(substr(text, 1, CAST(8 + doc_id % 13 AS INT)), 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') END AS seq,
+  CASE WHEN doc_id % 5 = 0 THEN '+other' ELSE '+' END AS plus, repeat('I', CAST(8 + doc_id % 13 AS INT)) AS qual FROM documents WHERE length(text) >= 20)
+SELECT doc_id, concat_ws('; ', CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'duplicate id' END, CASE WHEN NOT regexp_full_match(seq, '[ACGTNacgtn.]*') THEN 'invalid base' END, CASE WHEN length(seq) < 10 THEN 'read too short' END,
+  CASE WHEN plus <> '+' THEN 'plus line differs' END, CASE WHEN length(seq) <> length(qual) THEN 'lengths differ' END) AS errors FROM r""")
+def _(s, d):
+    k = "cast(8 + doc_id % 13 as int)"
+    rows = fx.table(s, d, "documents").where("length(text) >= 20").select(
+        "doc_id", (F.col("doc_id") * 4 + 1).alias("line"), F.expr("concat('@r', cast(doc_id % 150 as string), ' x')").alias("id_line"),
+        F.expr(f"CASE WHEN doc_id % 7 = 0 THEN substring(text, 1, 20) ELSE regexp_replace(translate(substring(text, 1, {k}), 'acgt', 'ACGT'), '[^ACGT]', 'N') END").alias("seq"),
+        F.expr("CASE WHEN doc_id % 5 = 0 THEN '+other' ELSE '+' END").alias("plus"), F.expr(f"repeat('I', {k})").alias("qual"),
+    )
+    return reads.validate_fastq(rows).select("doc_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("W5_trim_ends", """WITH r AS (SELECT doc_id, [unicode(c) % 40 FOR c IN string_split(substr(text, 1, 20), '')] AS q FROM documents WHERE length(text) >= 4),
+f AS (SELECT doc_id, q, coalesce(list_filter(range(0, len(q) - 3), lambda i: q[i + 1] + q[i + 2] + q[i + 3] + q[i + 4] > 80)[1], len(q)) AS first FROM r)
+SELECT doc_id, CAST(coalesce(list_max(list_filter(range(1, first + 1), lambda p: q[p] < 20)), 0) AS INT) AS cut FROM f""")
+def _(s, d):
+    rows = fx.table(s, d, "documents").where("length(text) >= 4").select("doc_id", F.expr("transform(filter(split(substring(text, 1, 20), ''), c -> c <> ''), c -> ascii(c) % 40)").alias("q"))
+    return rows.select("doc_id", reads.trim_index(F.col("q"), 20).alias("cut"))
+
+
+@query("W6_coordinate_sort", duck("align", "SELECT rname, pos, len, count(*) AS n FROM align GROUP BY 1, 2, 3"))
+def _(s, d):
+    return reads.coordinate_sorted(fx.align(s, d).groupBy("rname", "pos", "len").agg(F.count("*").alias("n")))

@@ -106,3 +106,18 @@ def write_vcf(variants: DataFrame, genotypes: DataFrame | None, path: str, sampl
     head = spark.createDataFrame([(0, "##fileformat=VCFv4.2"), (1, "\t".join(titles))], "o long, value string").coalesce(1)
     body = rows.orderBy("chrom", "pos").select(F.concat_ws("\t", *fixed).alias("value"))
     head.orderBy("o").select("value").unionByName(body).write.text(path)
+
+
+def write_mass(scores: DataFrame, cov: DataFrame, n_total: int, path: str) -> None:
+    """Gene summaries: a line "#Samples = n", then one line per gene and variant.
+
+    scores: gene, variant, id, af, ac, n, n_ref, n_het, n_alt, u; cov: gene, i, j, v with j <= i in variant order. A
+    line ends with its row of the lower triangle, zeros after it.
+    """
+    row = cov.groupBy("gene", F.col("i").alias("variant")).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda x: x["v"].cast("string")).alias("row"))
+    size = scores.groupBy("gene").agg(F.count("*").cast("int").alias("size"))
+    cells = F.concat("row", F.array_repeat(F.lit("0"), F.greatest(F.col("size") - F.size("row"), F.lit(0))))
+    fields = [F.col(c).cast("string") for c in ("gene", "id", "af", "ac", "n", "n_ref", "n_het", "n_alt", "u")]
+    body = scores.join(row, ["gene", "variant"]).join(size, "gene").orderBy("gene", "variant").select(F.concat_ws("\t", *fields, cells).alias("value"))
+    head = scores.sparkSession.createDataFrame([(f"#Samples = {n_total}",)], "value string").coalesce(1)
+    head.unionByName(body).write.text(path)
