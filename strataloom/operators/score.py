@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from strataloom.operators import stats, survival
 from strataloom.operators.wald import MARGIN, cox_scores, cox_sums, family_sizes
 
+#: About how many subjects a block of a gene's products holds.
+BLOCK = 4096
+
 
 def fit_null_linear(pheno: DataFrame, covariates: list[str] = (), weighted: bool = False) -> dict:
     """theta, sigma2 and the inverse of sum(w x x') of y on [1, covariates]: one aggregation, a driver solve."""
@@ -21,13 +24,9 @@ def fit_null_linear(pheno: DataFrame, covariates: list[str] = (), weighted: bool
     return {"theta": theta, "sigma2": float((r.syy - theta @ b) / r.sw), "a": a, "covariates": list(covariates), "weighted": weighted, "sw": float(r.sw), "n": int(r.n)}
 
 
-def linear_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame, rescale: str | None = None, key: str = "variant") -> DataFrame:
-    """One row per variant: u, v, beta, se, chisq, pvalue; missing genotypes are imputed by their mean.
-
-    The score of g adjusted for the null's nuisance terms is r (g - h'x): its family sums give v; where the unweighted
-    result has 1/v below the model's 1/v_a less a margin, v_a takes its place.
-    """
-    p, s2 = len(null["theta"]), null["sigma2"]
+def _adjusted(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame, key: str) -> DataFrame:
+    """Per variant and subject: w, the null's residual r, and e = g - h'x, the genotype adjusted for the null's terms."""
+    p = len(null["theta"])
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in null["covariates"]]]
     w = F.col("wt").cast("double") if null["weighted"] else F.lit(1.0)
     r = F.col("y") - sum((F.lit(float(t)) * c for t, c in zip(null["theta"], x)), F.lit(0.0))
@@ -37,7 +36,16 @@ def linear_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame,
     cross = rows.groupBy(key).agg(*[F.sum(F.expr(f"w * g * x{i}")).alias(f"c{i}") for i in range(p)])
     inverse = np.linalg.inv(null["a"])
     h = [sum((F.lit(float(inverse[i, j])) * F.col(f"c{j}") for j in range(p)), F.lit(0.0)).alias(f"h{i}") for i in range(p)]
-    adjusted = rows.join(cross.select(key, *h), key).withColumn("e", F.col("g") - sum((F.col(f"h{i}") * F.col(f"x{i}") for i in range(p)), F.lit(0.0)))
+    return rows.join(cross.select(key, *h), key).withColumn("e", F.col("g") - sum((F.col(f"h{i}") * F.col(f"x{i}") for i in range(p)), F.lit(0.0)))
+
+
+def linear_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame, rescale: str | None = None, key: str = "variant") -> DataFrame:
+    """One row per variant: u, v, beta, se, chisq, pvalue; missing genotypes are imputed by their mean.
+
+    The score of g adjusted for the null's nuisance terms is r (g - h'x): its family sums give v; where the unweighted
+    result has 1/v below the model's 1/v_a less a margin, v_a takes its place.
+    """
+    s2, adjusted = null["sigma2"], _adjusted(pheno, gt, null, stats_, key)
     families = adjusted.groupBy(key, "fid").agg(F.first("fam_size").alias("size"), F.sum(F.expr("w * r * e")).alias("s"), F.sum(F.expr("w * w * e * e")).alias("q"), F.sum(F.expr("w * e * e")).alias("a"), F.count("*").alias("m"))
     out = families.groupBy(key).agg(F.sum("m").alias("n"), (F.sum("s") / s2).alias("u"), F.sum(F.when(F.col("size") == 1, F.col("q") / s2).otherwise(F.col("s") * F.col("s") / (s2 * s2))).alias("v0"), (F.sum("a") / s2).alias("v_a"))
     v = F.col("v0") if null["weighted"] else F.when(1 / F.col("v0") < 1 / F.col("v_a") - MARGIN, F.col("v_a")).otherwise(F.col("v0"))
@@ -130,16 +138,38 @@ def cox_score(surv: DataFrame, gt: DataFrame, null: dict, weighted: bool = False
     return surv.join(gt, "iid").select(*columns).groupBy("variant").applyInPandas(test, "variant long, n long, u double, v double, v_a double, beta double, se double, chisq double")
 
 
+def _gene_products(rows: DataFrame, groups: DataFrame, subjects: int, key: str) -> DataFrame:
+    """(gene, i, j, v): sums of e_i * e_j over subjects. rows: key, iid, e; blocks of about BLOCK subjects give m x m
+    products each, and only these are shuffled and added."""
+    blocks = max(-(-subjects // BLOCK), 1)
+
+    def cross(block: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(block[key].to_numpy(), return_inverse=True)
+        who = np.unique(block["iid"].to_numpy(), return_inverse=True)[1]
+        e = np.zeros((who.max() + 1, len(names)))
+        e[who, at] = block["e"]
+        i, j = np.tril_indices(len(names))
+        return pd.DataFrame({"gene": block["gene"].iloc[0], "i": names[i], "j": names[j], "v": (e.T @ e)[i, j]})
+
+    kinds = groups.schema["gene"].dataType.simpleString(), groups.schema[key].dataType.simpleString()
+    parts = rows.join(groups.select("gene", key), key).select("gene", key, "iid", "e", F.pmod(F.xxhash64("iid"), F.lit(blocks)).alias("block"))
+    return parts.groupBy("gene", "block").applyInPandas(cross, f"gene {kinds[0]}, i {kinds[1]}, j {kinds[1]}, v double").groupBy("gene", "i", "j").agg(F.sum("v").alias("v"))
+
+
 def gene_score(pheno: DataFrame, gt: DataFrame, groups: DataFrame, stats_: DataFrame, key: str = "variant") -> DataFrame:
     """(gene, i, j, v): lower triangle of each gene's score variance under the intercept-only linear null.
 
-    Variants of a gene meet pairwise through one join on (gene, subject), summed before they leave the map side; the
-    model form V = sum (g_i - mean)(g_j - mean) / sigma2 is used.
+    The model form V = sum (g_i - mean)(g_j - mean) / sigma2 is used.
     """
-    s2 = pheno.agg(F.var_pop("y")).first()[0]
-    full = gt.join(stats_.select(key, "alt_af"), key).select(key, "iid", (F.coalesce(F.col("g").cast("double"), 2 * F.col("alt_af")) - 2 * F.col("alt_af")).alias("e"))
-    rows = full.join(groups, key).select("gene", key, "iid", "e")
-    packed = rows.groupBy("gene", "iid").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), "e"))).alias("es"))  # a gene's variants
-    i = packed.select("gene", "es", F.posexplode("es").alias("at", "a"))
-    pairs = i.select("gene", "a", F.explode(F.expr("slice(es, 1, at + 1)")).alias("b"))
-    return pairs.groupBy("gene", F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg((F.sum(F.col("a.e") * F.col("b.e")) / s2).alias("v"))
+    s2, n = pheno.agg(F.var_pop("y"), F.count("*")).first()
+    rows = gt.join(stats_.select(key, "alt_af"), key).select(key, "iid", (F.coalesce(F.col("g").cast("double"), 2 * F.col("alt_af")) - 2 * F.col("alt_af")).alias("e"))
+    return _gene_products(rows, groups, n, key).withColumn("v", F.col("v") / s2)
+
+
+def gene_moments(pheno: DataFrame, gt: DataFrame, groups: DataFrame, null: dict, stats_: DataFrame, key: str = "variant") -> DataFrame:
+    """(gene, i, j, u, v) under a linear null with covariates: v the score variance's lower triangle in the model form,
+    u the score of variant i, on the diagonal alone."""
+    adjusted = _adjusted(pheno, gt, null, stats_, key)
+    u = adjusted.groupBy(F.col(key).alias("i")).agg((F.sum(F.expr("w * r * e")) / null["sigma2"]).alias("u"))
+    v = _gene_products(adjusted.select(key, "iid", (F.sqrt("w") * F.col("e")).alias("e")), groups, null["n"], key)
+    return v.join(u, "i").select("gene", "i", "j", F.when(F.col("i") == F.col("j"), F.col("u")).alias("u"), (F.col("v") / null["sigma2"]).alias("v"))

@@ -626,6 +626,17 @@ def _(s, d):
     return rounded(survival.summarize_log_rank(rows).select("iid", "se", "peto", "peto_variance", "peto_se"))
 
 
+@query("A9_gene_moments", duck("pheno geno variants groups", """, nul AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a, (regr_syy(y, x1) - regr_sxy(y, x1) * regr_sxy(y, x1) / regr_sxx(y, x1)) / count(*) AS s2 FROM pheno),
+f AS (SELECT variant, iid, x1, y, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) AS g FROM geno JOIN pheno USING (iid)),
+h AS (SELECT variant, regr_slope(g, x1) AS hb, regr_intercept(g, x1) AS ha FROM f GROUP BY 1),
+e AS (SELECT f.variant, iid, g - ha - hb * x1 AS e, y - a - b * x1 AS r, s2 FROM f JOIN h USING (variant), nul)
+SELECT a.gene, a.variant AS i, b.variant AS j, round(CASE WHEN a.variant = b.variant THEN sum(x.r * x.e) / any_value(x.s2) END, 4) + 0.0 AS u, round(sum(x.e * w.e) / any_value(x.s2), 4) + 0.0 AS v
+FROM groups a JOIN groups b ON a.gene = b.gene AND b.variant <= a.variant JOIN e x ON x.variant = a.variant JOIN e w ON w.variant = b.variant AND w.iid = x.iid GROUP BY 1, 2, 3"""))
+def _(s, d):
+    p, g = fx.pheno(s, d), fx.geno(s, d)
+    return rounded(score.gene_moments(p, g, fx.groups(s, d), score.fit_null_linear(p, ["x1"]), stats.variant_stats(g)), 4)
+
+
 # --- alleles, reads ----------------------------------------------------------------------------------------------
 @query("A16_lump_alleles", duck("ped markers", """, c AS (SELECT marker, allele, count(*) AS n FROM (SELECT marker, unnest([a1, a2]) AS allele FROM markers) GROUP BY 1, 2),
 r AS (SELECT *, n <= floor(sum(n) OVER (PARTITION BY marker) * 0.333) AS rare FROM c)
