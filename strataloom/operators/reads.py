@@ -121,3 +121,14 @@ def validate_fastq(reads: DataFrame, min_length: int = 10) -> DataFrame:
         "lengths differ": F.length("seq") != F.length("qual"),
     }
     return reads.withColumn("errors", F.array_compact(F.array(*[F.when(c, F.lit(m)) for m, c in checks.items()])))
+
+
+def interleaved_errors(reads: DataFrame) -> DataFrame:
+    """(pair, first, second): neighbouring records of an interleaved file (line = 1, 5, 9, ...) whose ids differ in more
+    than a final /1 and /2; second is null where the last record stands alone."""
+    name = F.split(F.substring("id_line", 2, 100_000), r"\s")[0]
+    index = F.floor((F.col("line") - 1) / 4)
+    side = lambda k, c: F.max(F.when(F.col("k") == k, F.col("name"))).alias(c)
+    pairs = reads.select(F.floor(index / 2).alias("pair"), (index % 2).alias("k"), name.alias("name")).groupBy("pair").agg(side(0, "first"), side(1, "second"))
+    stem = lambda c, end: F.regexp_replace(c, f"/{end}$", "")
+    return pairs.where(F.col("second").isNull() | (stem("first", 1) != stem("second", 2)))

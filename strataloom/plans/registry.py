@@ -693,6 +693,14 @@ def _(s, d):
     return reads.validate_fastq(rows).select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
 
+@query("QF_interleaved_pairs", """WITH r AS (SELECT doc_id // 2 AS pair, doc_id % 2 AS k, 'r' || (doc_id // 2 + CASE WHEN doc_id % 14 = 1 THEN 1 ELSE 0 END) || '/' || (doc_id % 2 + 1) AS name FROM documents),
+p AS (SELECT pair, max(name) FILTER (k = 0) AS first, max(name) FILTER (k = 1) AS second FROM r GROUP BY 1)
+SELECT * FROM p WHERE second IS NULL OR regexp_replace(first, '/1$', '') <> regexp_replace(second, '/2$', '')""")
+def _(s, d):
+    name = F.expr("concat('@r', cast(floor(doc_id / 2) + CASE WHEN doc_id % 14 = 1 THEN 1 ELSE 0 END as string), '/', cast(doc_id % 2 + 1 as string), ' x')")
+    return reads.interleaved_errors(fx.table(s, d, "documents").select((F.col("doc_id") * 4 + 1).alias("line"), name.alias("id_line")))
+
+
 @query("W5_trim_ends", """WITH r AS (SELECT doc_id, [unicode(c) % 40 FOR c IN string_split(substr(text, 1, 20), '')] AS q FROM documents WHERE length(text) >= 4),
 f AS (SELECT doc_id, q, coalesce(list_filter(range(0, len(q) - 3), lambda i: q[i + 1] + q[i + 2] + q[i + 3] + q[i + 4] > 80)[1], len(q)) AS first FROM r)
 SELECT doc_id, CAST(coalesce(list_max(list_filter(range(1, first + 1), lambda p: q[p] < 20)), 0) AS INT) AS cut FROM f""")

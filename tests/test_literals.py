@@ -107,3 +107,9 @@ def test_fastq_errors(spark):
     df = spark.createDataFrame(rows, "line long, id_line string, seq string, plus string, qual string")
     found = {r.line: set(r.errors) for r in reads.validate_fastq(df).collect()}
     assert "duplicate id" in found[1] and {"read too short", "lengths differ"} <= found[5] and "id line does not start with @" in found[9]
+
+
+def test_interleaved_pairs(spark):
+    rows = [(1, "@a/1 x"), (5, "@a/2"), (9, "@b"), (13, "@b"), (17, "@c/1"), (21, "@d/2"), (25, "@e/1")]
+    bad = reads.interleaved_errors(spark.createDataFrame(rows, "line long, id_line string")).orderBy("pair").collect()
+    assert [tuple(r) for r in bad] == [(2, "c/1", "d/2"), (3, "e/1", None)]
