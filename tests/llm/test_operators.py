@@ -264,3 +264,29 @@ def test_skip_edges_carry_labels():
     model = {"weights": {}, "prior": np.log(np.full(5, 0.2)), "unseen": np.zeros(5)}
     belief = pii_crf.beliefs(model, text, tokens, [3, -1, -1])
     assert belief[1].argmax() == 3 and belief[1, 3] > 0.7 and belief[2].max() < 0.35
+
+
+def test_labels_reach_every_repeat():
+    text = "card 4111111111111111 paid" + ", later 4111-1111-1111-1111" * 20
+    tokens = pii_crf._tokens(text)
+    model = {"weights": {}, "prior": np.log(np.full(5, 0.2)), "unseen": np.zeros(5)}
+    belief = pii_crf.beliefs(model, text, tokens, [3] + [-1] * 20)
+    assert len(tokens) == 21 and (belief[:, 3] >= pii_crf.THRESHOLD).all()
+    one = pii_crf.beliefs(model, text[:53], tokens[:2], [3, -1])
+    assert one[1, 3] >= pii_crf.LEVELS[-1]
+
+
+def test_field_runs_without_base_spans(spark):
+    known = [(i, f"Write to name.{10 + i}@mail{i % 9}.example.com or call +1 (517) 555-{1000 + i} in version {i % 9}, page {i}") for i in range(200)]
+    model = pii_crf.fit(spark.createDataFrame(known, "doc_id long, text string"))
+    text = "Write to name.34@mail7,example,com in version 3, page 12"
+    assert pii_crf.base_spans(text) == []
+    clean = pii_crf.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, redact=True).first().text
+    assert clean == "Write to [email] in version 3, page 12"
+
+
+def test_threshold_from_hidden_labels():
+    rows = [(2, False, 30), (2, True, 30), (6, True, 100), (10, True, 1000), (10, False, 1)]
+    assert pii_crf._threshold(rows) == 0.5
+    assert pii_crf._threshold([(3, False, 50), (9, False, 5), (10, True, 200)]) == 0.65
+    assert pii_crf._threshold([(10, False, 50)]) == 0.95 and pii_crf._threshold([(10, True, 5)]) == pii_crf.THRESHOLD
