@@ -712,3 +712,99 @@ def _(s, d):
 @query("W6_coordinate_sort", duck("align", "SELECT rname, pos, len, count(*) AS n FROM align GROUP BY 1, 2, 3"))
 def _(s, d):
     return reads.coordinate_sorted(fx.align(s, d).groupBy("rname", "pos", "len").agg(F.count("*").alias("n")))
+
+
+# --- whole inputs: the queries above that read a part of the ids or of each text, here over all of it ---------------
+@query("F9_no_missing_all", duck("pheno geno", "SELECT variant FROM geno GROUP BY 1 HAVING count(*) = count(g)"))
+def _(s, d):
+    return filters.no_missing_gt(fx.geno(s, d))
+
+
+for _how, _test in (("overlapping", 'a.start <= b."end" AND b.start <= a."end"'), ("containing", 'a.start <= b.start AND b."end" <= a."end"'), ("contained", 'b.start <= a.start AND a."end" <= b."end"')):
+
+    @query(f"J11_{_how}_all", duck("regions", f"SELECT a.id AS a_id, b.id AS b_id FROM regions a JOIN regions b ON a.chrom = b.chrom AND {_test} WHERE a.id < b.id"))
+    def _(s, d, how=_how):
+        r = fx.regions(s, d)
+        return link.interval_join(r, r, how).where("a_id < b_id")
+
+
+@query("A7_design_meat_all", duck("pheno", """, s AS (SELECT *, CAST(x1 AS BIGINT) % 3 AS study, iid // 12 AS cluster, 1 / wt AS p FROM pheno),
+q AS (SELECT a.study, CASE WHEN a.iid = b.iid THEN a.p ELSE least(1, a.p * b.p * (1 + ((a.iid + b.iid) % 3) * 0.05)) END AS pij, a.p AS pi, b.p AS pj, a.wt AS wi, b.wt AS wj, a.fid = b.fid AS same, a.y AS yi, b.y AS yj FROM s a JOIN s b USING (study, cluster))
+SELECT round(sum(yi * yj * CASE WHEN same THEN wi * wj ELSE (pij - pi * pj) * wi * wj / pij END), 4) AS meat FROM q"""))
+def _(s, d):
+    # subjects of different sampling clusters (12 neighbouring ids, whole families) are drawn independently: they add 0
+    p = fx.pheno(s, d)
+    own = p.select((F.col("x1").cast("long") % 3).alias("study"), F.floor(F.col("iid") / 12).alias("cluster"), F.col("iid").alias("iid_i"), (1 / F.col("wt")).alias("a"))
+    other = own.select("study", "cluster", F.col("iid_i").alias("iid_j"), F.col("a").alias("b"))
+    joint = F.least(F.lit(1.0), F.col("a") * F.col("b") * (1 + ((F.col("iid_i") + F.col("iid_j")) % 3) * 0.05))
+    probs = own.join(other, ["study", "cluster"]).select("study", "iid_i", "iid_j", F.when(F.col("iid_i") == F.col("iid_j"), F.col("a")).otherwise(joint).alias("pi"))
+    delta = stats.design_weights(link.link_probs(p, probs), p)
+    return rounded(stats.design_meat(p.select("iid", F.col("y").alias("u")), delta, ["u"]).select(F.col("meat")[0].alias("meat")), 4)
+
+
+_CHARS = "c AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS cycle, unnest(l) AS ch FROM (SELECT doc_id, string_split(text, '') AS l FROM documents WHERE text <> ''))"
+
+
+@query("A11_base_composition_all", f"WITH {_CHARS}, e AS (SELECT cycle, regexp_replace(translate(lower(ch), 'aeinorst', 'ACGTACGT'), '[^ACGT]', 'N') AS base FROM c) SELECT cycle, count(*) AS n, round(100.0 * count(*) FILTER (base = 'A') / count(*), 6) AS pct_a, round(100.0 * count(*) FILTER (base = 'N') / count(*), 6) AS pct_n FROM e GROUP BY 1")
+def _(s, d):
+    seq = F.regexp_replace(F.translate(F.lower("text"), "aeinorst", "ACGTACGT"), "[^ACGT]", "N")
+    out = reads.base_composition(fx.table(s, d, "documents").select(seq.alias("seq")))
+    return rounded(out.select(F.col("cycle").cast("long").alias("cycle"), "n", "pct_a", "pct_n"))
+
+
+@query("A12_quality_by_cycle_all", f"WITH {_CHARS} SELECT cycle, round(avg(unicode(ch) % 40), 6) AS quality FROM c GROUP BY 1")
+def _(s, d):
+    chars = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.char(33 + F.ascii(c) % 40))
+    return rounded(reads.quality_by_cycle(fx.table(s, d, "documents").select(F.array_join(chars, "").alias("qual"))).select(F.col("cycle").cast("long").alias("cycle"), "quality"))
+
+
+_WHOLE_READS = _READS.replace("substr(text, 1, 20)", "text")
+
+
+def _whole_reads(spark, d):
+    i = F.col("doc_id")
+    return fx.table(spark, d, "documents").where("length(text) > 0").select(
+        i.alias("id"), (i % 5).alias("rname"), i.alias("pos"), F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "N").alias("seq"), F.expr("repeat(char(cast(40 + doc_id % 20 as int)), length(text))").alias("qual"),
+        F.concat(F.length("text").cast("string"), F.lit("M")).alias("cigar"), F.lit(0).alias("flag"),
+    )
+
+
+@query("A18_pileup_all", "WITH " + _WHOLE_READS + " SELECT rname, refpos, count(*) AS depth, string_agg(base, '' ORDER BY base) AS bases FROM b GROUP BY 1, 2")
+def _(s, d):
+    return reads.pileup(_whole_reads(s, d))
+
+
+@query("QG_mismatch_filter_all", "WITH " + _WHOLE_READS + """, m AS (SELECT id, sum(q) FILTER (base <> substr('ACGT', CAST(refpos % 4 + 1 AS INT), 1)) AS bad FROM b GROUP BY 1)
+SELECT id, CASE WHEN bad > 250 THEN 4 ELSE 0 END AS flag FROM m""")
+def _(s, d):
+    rows = _whole_reads(s, d)
+    sites = rows.groupBy("rname").agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.length("seq") - 1).alias("b")).select("rname", F.explode(F.sequence("a", "b")).alias("pos"))
+    ref = sites.withColumn("base", F.expr("substring('ACGT', cast(pos % 4 + 1 as int), 1)"))
+    return reads.mismatch_filter(rows, ref, 250).select("id", "flag")
+
+
+@query("QF_fastq_checks_all", """WITH r AS (SELECT doc_id, 'r' || doc_id % 150 AS name, CASE WHEN doc_id % 7 = 0 THEN text ELSE regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') END AS seq,
+  CASE WHEN doc_id % 5 = 0 THEN '+other' ELSE '+' END AS plus, length(text) + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS n_qual FROM documents WHERE length(text) > 0)
+SELECT doc_id, concat_ws('; ', CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'duplicate id' END, CASE WHEN NOT regexp_full_match(seq, '[ACGTNacgtn.]*') THEN 'invalid base' END, CASE WHEN length(seq) < 10 THEN 'read too short' END,
+  CASE WHEN plus <> '+' THEN 'plus line differs' END, CASE WHEN length(seq) <> n_qual THEN 'lengths differ' END) AS errors FROM r""")
+def _(s, d):
+    rows = fx.table(s, d, "documents").where("length(text) > 0").select(
+        "doc_id", (F.col("doc_id") * 4 + 1).alias("line"), F.expr("concat('@r', cast(doc_id % 150 as string), ' x')").alias("id_line"),
+        F.expr("CASE WHEN doc_id % 7 = 0 THEN text ELSE regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N') END").alias("seq"),
+        F.expr("CASE WHEN doc_id % 5 = 0 THEN '+other' ELSE '+' END").alias("plus"), F.expr("repeat('I', length(text) + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END)").alias("qual"),
+    )
+    return reads.validate_fastq(rows).select("doc_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("W5_trim_ends_all", """WITH r AS (SELECT doc_id, [unicode(c) % 40 FOR c IN string_split(text, '')] AS q FROM documents WHERE length(text) >= 4),
+f AS (SELECT doc_id, q, coalesce(list_filter(range(0, len(q) - 3), lambda i: q[i + 1] + q[i + 2] + q[i + 3] + q[i + 4] > 80)[1], len(q)) AS first FROM r)
+SELECT doc_id, CAST(coalesce(list_max(list_filter(range(1, first + 1), lambda p: q[p] < 20)), 0) AS INT) AS cut FROM f""")
+def _(s, d):
+    rows = fx.table(s, d, "documents").where("length(text) >= 4").select("doc_id", F.expr("transform(filter(split(text, ''), c -> c <> ''), c -> ascii(c) % 40)").alias("q"))
+    return rows.select("doc_id", reads.trim_index(F.col("q"), 20).alias("cut"))
+
+
+@query("M15_phred_all", f"WITH {_CHARS} SELECT doc_id, cycle, ascii(ch) - 33 AS q FROM c WHERE ascii(ch) BETWEEN 33 AND 126")
+def _(s, d):
+    at = fx.table(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("cycle", "ch"))
+    return at.where(F.ascii("ch").between(33, 126)).select("doc_id", F.col("cycle").cast("long").alias("cycle"), scalar.phred(F.col("ch")).alias("q"))
