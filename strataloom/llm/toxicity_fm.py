@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), x_i = 1/2 for each
-distinct lower-cased letter run, and each five-letter word start, whose training counts differ between the labels by
-MIN_Z standard deviations in at least MIN_DOCS rows (0 for others: chance terms would be learnt by heart); the factors let a pair such as insult and group mention weigh more than both
-alone. Each epoch, every partition of the training rows runs Adagrad from the common parameters and the results are
+score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j) over the distinct lower-cased letter runs and
+five-letter word starts of a text. Every term of at least MIN_DOCS training rows has an x_i > 0: 1/2 where its counts
+differ between the labels by MIN_Z standard deviations, else its inverse document frequency, scaled so that the squares
+of a mean row's other terms sum to REST (and none is over 1/2), since chance terms would be learnt by heart at full
+weight. The factors let a pair such as insult and group mention weigh more than both alone, also where neither tells
+anything by itself. Each epoch, every partition of the training rows runs Adagrad from the common parameters and the results are
 averaged, weighted by rows. `fit` uses a bounded sample of about `sample_rows` labelled rows, chosen by key hash.
 
 Contract. Null or termless texts score sigmoid(w0). Labels, language, source and ids are no inputs. Rows whose label
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from strataloom.llm.common import fold_bucket, staged, table
 
-BITS, FACTORS, EPOCHS, SAMPLE_ROWS, MIN_DOCS, MIN_Z = 16, 4, 8, 16000, 3, 3.5
+BITS, FACTORS, EPOCHS, SAMPLE_ROWS, MIN_DOCS, MIN_Z, REST = 16, 4, 8, 16000, 3, 3.5, 0.5
 RATE, SHRINK = 0.3, 1e-4
 TERM = re.compile(r"[^\W\d_]+")
 _CACHE: dict[str, int] = {}
@@ -69,6 +71,18 @@ def _epoch(model: dict, rows: list[tuple[np.ndarray, int]], rate: float, shrink:
     return m
 
 
+def _weights(found: list, rows: int) -> np.ndarray:
+    """x of every hashed term, from (term, n, telling) of those that are kept and the number of rows."""
+    x = np.zeros(1 << BITS, np.float32)
+    x[[r[0] for r in found if r[2]]] = 0.5
+    rest = [(r[0], r[1], np.log((1 + rows) / r[1])) for r in found if not r[2]]
+    if rest:
+        mass, most = sum(n * idf**2 for _, n, idf in rest) / rows, max(idf for _, _, idf in rest)
+        scale = min(0.5 / most, np.sqrt(REST / mass))
+        x[[t for t, _, _ in rest]] = [scale * idf for _, _, idf in rest]
+    return x
+
+
 def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, shards: int = 4) -> dict | None:
     """Parameters learnt from (key, text, label) rows; None without rows."""
     known = labelled.where(F.col(label).isNotNull()).select(key, "text", F.col(label).cast("int").alias("label"))
@@ -87,13 +101,11 @@ def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", sample_r
     by_term = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     share = (counted.pos or 0) / counted.n
     z = (F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-    telling = [r.term for r in by_term.where((F.col("n") >= MIN_DOCS) & (F.abs(z) >= MIN_Z)).select("term").collect()]  # at most 2**BITS
+    x = _weights(by_term.where(F.col("n") >= MIN_DOCS).select("term", "n", (F.abs(z) >= MIN_Z).alias("telling")).collect(), counted.n)  # at most 2**BITS
     size = 1 << BITS
-    x = np.zeros(size, np.float32)
-    x[telling] = 0.5
     positive = float(min(4.0, max(1.0, 0.5 * (counted.n - (counted.pos or 0)) / max(counted.pos or 0, 1))))
-    noise = np.random.default_rng(5).normal(0, 0.02, (size, FACTORS)).astype(np.float32)
-    model = {"w0": np.zeros(1, np.float32), "w": np.zeros(size, np.float32), "v": noise, "g0": np.full(1, 1.0, np.float32), "gw": np.full(size, 1e-2, np.float32), "gv": np.full((size, FACTORS), 1e-1, np.float32)}
+    noise = np.random.default_rng(5).normal(0, 0.1, (size, FACTORS)).astype(np.float32)
+    model = {"w0": np.zeros(1, np.float32), "w": np.zeros(size, np.float32), "v": noise, "g0": np.full(1, 1.0, np.float32), "gw": np.full(size, 1e-2, np.float32), "gv": np.full((size, FACTORS), 1e-2, np.float32)}
     spark = labelled.sparkSession
     for _ in range(epochs):
         shared = spark.sparkContext.broadcast(model | {"x": x})  # fixed size: 3 MB

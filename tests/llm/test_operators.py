@@ -290,3 +290,17 @@ def test_threshold_from_hidden_labels():
     assert pii_crf._threshold(rows) == 0.5
     assert pii_crf._threshold([(3, False, 50), (9, False, 5), (10, True, 200)]) == 0.65
     assert pii_crf._threshold([(10, False, 50)]) == 0.95 and pii_crf._threshold([(10, True, 5)]) == pii_crf.THRESHOLD
+
+
+def test_pairs_of_neutral_terms_are_learnt(spark):
+    rng = np.random.default_rng(11)
+    filler = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnop"]
+    rows = []
+    for i in range(5000):  # each insult and each group is toxic in half of its rows; only two of the four pairs are
+        a, b = rng.integers(0, 2, 2)
+        rows.append((i, " ".join([*rng.choice(filler, 8), ["xq", "yz"][a], ["gu", "hv"][b]]), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity_fm.fit(docs.where("doc_id < 4000"))
+    assert (model["x"][toxicity_fm.terms("xq yz gu hv wak wbl")] > 0).all()
+    found = toxicity_fm.score(docs.where("doc_id >= 4000"), model)
+    assert found.where("predicted = toxic").count() >= 900
