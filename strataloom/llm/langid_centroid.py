@@ -1,10 +1,11 @@
 """Language identification: nearest of several clustered TF-IDF n-gram centroids per language, by cosine.
 
 A text becomes a vector of hashed character 1- to 3-grams of its case-folded letters: 1 + log(count), times the
-n-gram's inverse document frequency, length normalised. `fit` takes a bounded sample of about `sample_rows` labelled
-rows, chosen by key hash at one rate for all languages; each language's own task clusters its rows by spherical
-k-means. Rejection is by distance: a text is accepted if its best cosine reaches its centroid's `floor`, half of
-the least cosine that a training row has with it.
+n-gram's inverse document frequency over all training rows, length normalised. `fit` takes about `label_rows` rows of
+each language, chosen by key hash, or all where it has fewer; each language's own task clusters three quarters of
+them by spherical k-means. Rejection is by distance: a text is accepted if its best cosine reaches its centroid's
+`floor`, half of the least cosine that a row of the last quarter has with it. A centroid nearest to fewer than SUPPORT
+such rows takes its language's floor, and a language with fewer the least floor of all languages with enough.
 
 Contract. Null text or text without a letter: `und`, score 0, not accepted. An empty training set leaves every row
 `und`. Ties go to the first language in code point order. Extra columns pass through.
@@ -25,7 +26,7 @@ from strataloom.llm.common import fold_bucket, table
 
 DIMENSIONS = 4096
 CLUSTERS = 4
-SAMPLE_ROWS = 4000
+LABEL_ROWS, SUPPORT = 1000, 20
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -60,22 +61,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def fit(labelled: DataFrame, label: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTERS) -> dict:
+def fit(labelled: DataFrame, label: str = "lang", key: str = "doc_id", label_rows: int = LABEL_ROWS, clusters: int = CLUSTERS) -> dict:
     """Centroids learnt from (key, text, label) rows: arrays `langs`, `centroids`, `floors` and `idf`."""
     known = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(key, "text", label)
-    rate = min(1.0, sample_rows / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64(F.col(key), F.lit(9)), F.lit(1_000_000)) < int(rate * 1_000_000))
+    sizes = known.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    dealt = F.pmod(F.xxhash64(F.col(key), F.lit(9)), F.lit(1_000_000)) < F.least(F.lit(1.0), label_rows / F.col("_n")) * 1_000_000
+    sample = known.join(F.broadcast(sizes), F.col(label) == F.col("_label")).where(dealt).select(key, "text", label)
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        present, rows = np.zeros(DIMENSIONS), 0
+        present, rows = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
             for v in filter(lambda v: v is not None, map(vector, batch["text"])):
                 present += v > 0
                 rows += 1
-        yield pd.DataFrame({"present": [present], "rows": [rows]})
+        yield pd.DataFrame({"gram": np.arange(DIMENSIONS + 1), "n": np.append(present, rows)})
 
-    parts = sample.select("text").mapInPandas(seen, "present array<double>, rows long").collect()
-    present, rows = sum((np.array(p.present) for p in parts), np.zeros(DIMENSIONS)), sum(p.rows for p in parts)
+    counts = known.select("text").mapInPandas(seen, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    present = np.zeros(DIMENSIONS + 1)
+    for r in counts:  # DIMENSIONS n-grams and the number of rows
+        present[r.gram] = r.n
+    present, rows = present[:-1], present[-1]
     idf = np.log((1 + rows) / (1 + present)).astype(np.float32) + np.float32(0.1)
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
@@ -83,19 +88,23 @@ def fit(labelled: DataFrame, label: str = "lang", key: str = "doc_id", sample_ro
         rows = [v * idf for v in map(vector, group["text"]) if v is not None]
         if not rows:
             return pd.DataFrame({"lang": [], "centroid": [], "floor": []})
-        x = _unit(np.stack(rows))
+        rows = _unit(np.stack(rows))
+        held = np.arange(len(rows)) % 4 == 3
+        x, apart = rows[~held], rows[held]
         centres = x[np.linspace(0, len(x) - 1, min(clusters, len(x))).astype(int)]
         for _ in range(12):
             near = (x @ centres.T).argmax(1)
             centres = _unit(np.stack([x[near == j].sum(0) if (near == j).any() else centres[j] for j in range(len(centres))]))
-        cosine = x @ centres.T
+        cosine = apart @ centres.T
         near, best = cosine.argmax(1), cosine.max(1)
-        floors = [0.5 * float(best[near == j].min()) if (near == j).any() else 0.5 * float(best.min()) for j in range(len(centres))]
-        return pd.DataFrame({"lang": group[label].iloc[0], "centroid": [c.tolist() for c in centres], "floor": floors})
+        least = lambda c: 0.5 * float(c.min()) if len(c) >= SUPPORT else None
+        floors = [f if (f := least(best[near == j])) is not None else least(best) for j in range(len(centres))]
+        return pd.DataFrame({"lang": group[label].iloc[0], "centroid": [c.tolist() for c in centres], "floor": pd.Series(floors, dtype=float)})
 
-    found = sample.groupBy(label).applyInPandas(cluster, "lang string, centroid array<float>, floor double").orderBy("lang", "floor").collect()
+    found = sample.groupBy(label).applyInPandas(cluster, "lang string, centroid array<float>, floor double").orderBy("lang", "floor", "centroid").collect()
+    other = min((f.floor for f in found if f.floor is not None), default=0.0)  # without any evidence all are near enough
     centroids = np.array([f.centroid for f in found], np.float32).reshape(-1, DIMENSIONS)
-    return {"langs": [f.lang for f in found], "centroids": centroids, "floors": np.array([f.floor for f in found]), "idf": idf}
+    return {"langs": [f.lang for f in found], "centroids": centroids, "floors": np.array([other if f.floor is None else f.floor for f in found]), "idf": idf}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

@@ -304,3 +304,12 @@ def test_pairs_of_neutral_terms_are_learnt(spark):
     assert (model["x"][toxicity_fm.terms("xq yz gu hv wak wbl")] > 0).all()
     found = toxicity_fm.score(docs.where("doc_id >= 4000"), model)
     assert found.where("predicted = toxic").count() >= 900
+
+
+def test_rare_languages_are_learnt(spark):
+    rng = np.random.default_rng(2)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(40))
+    rows = [(i, text("abcdefgh"), "big") for i in range(3000)] + [(3000 + i, text("qrstuvwx"), "rare") for i in range(8)]
+    model = langid_centroid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), label_rows=100)
+    new = spark.createDataFrame([(i, text("qrstuvwx")) for i in range(50)], "doc_id long, text string")
+    assert langid_centroid.predict(new, model).where("lang_pred = 'rare' AND accepted").count() == 50
