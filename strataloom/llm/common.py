@@ -40,14 +40,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later step reads."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -58,15 +50,16 @@ def fold_bucket(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
 
 
-def lookup(left: DataFrame, keyed: DataFrame, key: str, spread: Column, heavy_parts: int = 2000, join: str | None = None) -> DataFrame:
+def lookup(left: DataFrame, keyed: DataFrame, key: str, spread: Column, heavy_parts: int = 2000, join: str | None = None, total: int | None = None) -> DataFrame:
     """Left join to a table with one row per `key` and `n_key`, the number of left rows that have it.
 
     Keys with over total/heavy_parts rows number fewer than heavy_parts, so they are broadcast; their rows
     are then dealt out by `spread` instead of the key, and no task gets more than a small share of the rows.
-    `join` names a join strategy for the rest, so that plans are alike at every size.
+    `join` names a join strategy for the rest, so that plans are alike at every size; `total` is the sum of n_key, where
+    it is known.
     """
     values = [c for c in keyed.columns if c not in (key, "n_key")]
-    total = keyed.agg(F.sum("n_key")).first()[0] or 0
+    total = keyed.agg(F.sum("n_key")).first()[0] or 0 if total is None else total
     heavy = F.col("n_key") > max(total // heavy_parts, 1000)
     hot = keyed.where(heavy).select(key, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
     cold = keyed.where(~heavy).select(F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in values])

@@ -7,8 +7,8 @@ bands with probability 5e-6); every candidate link is confirmed on the full shin
 
 Contract. Equal sets are one class, so thousands of copies cost one member. Within a bucket each class is compared
 with the bucket's chosen representatives; what is still in different components afterwards is compared in blocks of
-bounded size inside tasks, which only links leave, so no candidate link between components is lost and no list of
-pairs is ever written. Null or wordless text has an
+bounded size inside tasks. A block yields only links that join two components, fewer than it has documents, so no
+candidate link between components is lost and no list of all pairs is ever written. Null or wordless text has an
 empty set and links with nothing. A row with a null id is compared with nothing: component null, kept. Rows that
 share an id form one node. Extra columns are ignored.
 """
@@ -30,6 +30,8 @@ PERMUTATIONS, ROWS = 120, 6
 BANDS = 2 * PERMUTATIONS // ROWS
 #: About how many documents and shingles a chunk holds; a block compares two chunks, or a hub with one.
 BLOCK, WEIGHT = 256, 1 << 20
+#: So many of a hub's blocks are handed on as one row.
+PART = 512
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CACHE: dict[bytes, int] = {}
 
@@ -91,7 +93,12 @@ def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
 
 
 def _links(left: np.ndarray, right: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Index pairs (i, j), i of `left` and j of `right`, under different labels with 100 * |common| >= percent * |union|."""
+    """Index pairs (i, j), i of `left` and j of `right`, with 100 * |common| >= percent * |union| that join two labels.
+
+    Labels that a link joins are one from then on, so a block yields fewer links than it has labels, and documents that
+    it has already joined aren't compared again.
+    """
+    labels = labels.copy()
     sizes = np.array([len(s) for s in sets], np.int64)
     universe, codes = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
@@ -106,18 +113,21 @@ def _links(left: np.ndarray, right: np.ndarray, labels: np.ndarray, sets: list[n
         starts = np.cumsum([0, *sizes[partners[:-1]]])
         common = np.add.reduceat(present[np.concatenate([codes[j] for j in partners])], starts, dtype=np.int64)
         present[codes[i]] = False
-        for j in partners[100 * common >= percent * (sizes[i] + sizes[partners] - common)]:
-            yield i, j
+        found = partners[100 * common >= percent * (sizes[i] + sizes[partners] - common)]
+        if len(found):
+            joined, first = np.unique(labels[found], return_index=True)
+            yield from ((i, j) for j in found[first])
+            labels[np.isin(labels, joined)] = labels[i]
 
 
 def compare(tasks: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) found within blocks, on the full sets.
 
-    `tasks` has a row (p, q, side, label, doc_id) per document of the block (p, q); a document on side 1 or 3 is
-    compared with each one on side 2 or 3 whose label differs. Only links leave a task. Texts are read once and
-    travel once, however many blocks a document is in; its set travels once a block.
+    `tasks` has a row (p, q, side, label, doc_id, part) per document of the block (p, q); a document on side 1 or 3 is
+    compared with each one on side 2 or 3 whose label differs. Only links leave a task. A document's text travels once
+    for each `part` of its blocks (a hub has one for every PART blocks); its set travels once a block.
     """
-    wanted = tasks.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("p", "q", "side", "label")).alias("tasks"))
+    wanted = tasks.groupBy(F.col("doc_id").alias("_id"), "part").agg(F.collect_list(F.struct("p", "q", "side", "label")).alias("tasks")).drop("part")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,26 +172,42 @@ def compare(tasks: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, for every id on an edge (a, b). Labels spread and jump each round."""
-    arcs = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "arcs")
-    labels = staged(arcs.groupBy(F.col("u").alias("id")).agg(F.least(F.first("u"), F.min("v")).alias("component")), "labels")
+    """(id, component): the smallest id reachable, for every id on an edge (a, b). Labels spread and jump each round.
+
+    Ids with many arcs and components with many ids are looked up as heavy keys, so no task gets all of their rows.
+    """
+    arcs = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("id")).union(edges.select("b", "a")).distinct(), "arcs")
+    labels = arcs.groupBy(F.col("u").alias("id")).agg(F.least(F.first("u"), F.min("id")).alias("component"), F.count("*").alias("n_key"))
+    labels = staged(labels, "labels")
+    n_arcs, n_ids = arcs.count(), labels.count()
     while True:
-        near = arcs.join(labels, arcs.v == labels.id).groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        spread = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        after = staged(spread.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        near = lookup(arcs, labels, "id", F.col("u"), total=n_arcs).groupBy("u").agg(F.min("component").alias("near"))
+        spread = labels.join(near, labels.id == near.u).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"), "n_key")
+        spread = staged(spread, "spread")
+        # each label's own label, with the number of ids that look it up
+        named = spread.groupBy("component").agg(F.count("*").alias("n_key"))
+        own = named.join(spread.select("id", F.col("component").alias("further")), named.component == F.col("id")).select(named.component, "further", named.n_key)
+        after = lookup(spread.withColumnRenamed("n_key", "degree"), own, "component", F.col("id"), total=n_ids)
+        after = staged(after.select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component"), F.col("degree").alias("n_key")), "labels")
         changed = after.where("old <> component").limit(1).count()
         labels = after.drop("old")
         if not changed:
-            return labels
+            return labels.drop("n_key")
 
 
 def _star_tasks(stars: DataFrame) -> DataFrame:
     """Blocks of a hub (side 1) with up to about BLOCK of its documents (side 2)."""
-    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    spokes = stars.select("doc_id", "hub").join(sizes.hint("merge"), "hub").select(F.col("hub").alias("p"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("q"), F.lit(2).alias("side"), "doc_id")
+    sizes = staged(stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.count("*").alias("n_key")), "hubs")
+    spokes = lookup(stars.select("doc_id", "hub"), sizes, "hub", F.col("doc_id"), join="merge").select(F.col("hub").alias("p"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("q"), F.lit(2).alias("side"), "doc_id", F.lit(0).cast("long").alias("part"))
     hubs = sizes.select(F.col("hub").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("q"), F.lit(1).alias("side"), F.col("hub").alias("doc_id"))
-    return spokes.union(hubs).select("p", "q", "side", F.col("doc_id").alias("label"), "doc_id")
+    hubs = hubs.withColumn("part", F.floor(F.col("q") / PART))
+    return spokes.union(hubs).select("p", "q", "side", F.col("doc_id").alias("label"), "doc_id", "part")
+
+
+def _with_count(df: DataFrame, key: str, spread: str, **measures) -> DataFrame:
+    """`df` with the `measures` of its `key` group added, heavy groups dealt out by `spread`."""
+    sums = df.groupBy(key).agg(F.count("*").alias("n_key"), *[m.alias(n) for n, m in measures.items()])
+    return lookup(df, staged(sums, "sums"), key, F.col(spread), join="merge")
 
 
 def _block_tasks(slim: DataFrame, candidates: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -195,30 +221,30 @@ def _block_tasks(slim: DataFrame, candidates: DataFrame, grouped: DataFrame) ->
     apart = staged(lookup(labelled, staged(mixed, "mixed"), "bucket", F.col("doc_id"), join="merge").where("size IS NOT NULL").select("bucket", "doc_id", "component", "size"), "apart")
     # a document goes with its largest bucket, so that families of whatever likeness gather; large components keep to themselves
     members = apart.groupBy("doc_id", "component").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("largest")).join(slim.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).hint("merge"), "doc_id")
-    large = members.groupBy("component").agg((F.count("*") >= BLOCK // 4).alias("large"))
-    members = members.join(large, "component")
+    members = _with_count(staged(members, "members"), "component", "doc_id", large=F.count("*") >= BLOCK // 4)
     roots = staged(members.select("doc_id", "component", "n_shingles", F.when(F.col("large"), F.col("component")).otherwise(F.col("largest")).alias("root"), "large"), "roots")
     # then with the largest family that it shares a bucket with, with which it must be compared anyway
-    family = roots.where("NOT large").groupBy("root").agg(F.count("*").alias("n"))
-    sized = roots.where("NOT large").join(family.hint("merge"), "root").select(F.col("doc_id").alias("member"), F.struct("n", "root").alias("family"))
+    sized = _with_count(roots.where("NOT large").select(F.col("doc_id").alias("member"), "root"), "root", "member", n=F.count("*")).select("member", F.struct("n", "root").alias("family"))
     beside = apart.join(sized.hint("merge"), F.col("doc_id") == F.col("member"), "left").select("bucket", "doc_id", "family")
-    beside = staged(beside, "beside")
-    widest = staged(beside.groupBy("bucket").agg(F.max("family").alias("widest"), F.count("*").alias("n_key")), "widest")
-    moved = lookup(beside, widest, "bucket", F.col("doc_id"), join="merge").groupBy("doc_id").agg(F.max("widest")["root"].alias("moved"))
-    members = roots.join(moved.hint("merge"), "doc_id").select("doc_id", "component", "n_shingles", F.when(F.col("large"), F.col("root")).otherwise(F.col("moved")).alias("root"), "large")
-    members = staged(members, "members")
-    counts = members.groupBy("root", "large").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / WEIGHT)).alias("chunks"))
-    chunks = members.join(counts, ["root", "large"]).select("doc_id", "component", F.xxhash64("root", "large", F.pmod(F.xxhash64("doc_id"), "chunks")).alias("chunk"))
-    chunks = staged(chunks, "chunks")
-    met = apart.select("bucket", "doc_id").join(chunks, "doc_id").groupBy("bucket", "chunk").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    moved = _with_count(staged(beside, "beside"), "bucket", "doc_id", widest=F.max("family")).groupBy("doc_id").agg(F.max("widest")["root"].alias("moved"))
+    members = roots.join(moved.hint("merge"), "doc_id").select("doc_id", "component", "n_shingles", F.xxhash64(F.when(F.col("large"), F.col("root")).otherwise(F.col("moved")), "large").alias("root"))
+    sized = _with_count(staged(members, "members"), "root", "doc_id", chunks=F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / WEIGHT)))
+    chunks = staged(sized.select("doc_id", "component", F.xxhash64("root", F.pmod(F.xxhash64("doc_id"), "chunks")).alias("chunk")), "chunks")
+    met = apart.select("bucket", "doc_id").join(chunks.hint("merge"), "doc_id").groupBy("bucket", "chunk").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     met = staged(met, "met")
-    other = met.select("bucket", F.col("chunk").alias("q"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = met.join(other, "bucket").where("chunk <= q AND NOT (x = y AND x2 = y2 AND x = x2)").select(F.col("chunk").alias("p"), "q").distinct()
+    # chunks wholly of the component that fills most chunks of the bucket needn't meet each other
+    filled = met.where("x = y").groupBy("bucket", "x").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "x"))["x"].alias("most"))
+    met = staged(met.join(filled.hint("merge"), "bucket", "left").select("bucket", "chunk", "x", "y", F.coalesce((F.col("x") == F.col("y")) & (F.col("x") == F.col("most")), F.lit(False)).alias("filled")), "met")
+    odd, plain = met.where("NOT filled"), met.where("filled")
+    other = lambda side: side.select("bucket", F.col("chunk").alias("q"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    apart_ = "NOT (x = y AND x2 = y2 AND x = x2)"
+    pairs = odd.join(other(odd), "bucket").where(f"chunk <= q AND {apart_}").select(F.col("chunk").alias("p"), "q")
+    pairs = pairs.union(odd.join(other(plain), "bucket").where(apart_).select(F.least("chunk", "q"), F.greatest("chunk", "q"))).distinct()
     pairs = staged(pairs, "pairs")
     sides = pairs.where("p = q").select("p", "q", F.lit(3).alias("side"), F.col("p").alias("chunk"))
     for side, key in ((1, "p"), (2, "q")):
         sides = sides.union(pairs.where("p <> q").select("p", "q", F.lit(side).alias("side"), F.col(key).alias("chunk")))
-    return sides.join(chunks, "chunk").select("p", "q", "side", F.col("component").alias("label"), "doc_id")
+    return sides.join(chunks, "chunk").select("p", "q", "side", F.col("component").alias("label"), "doc_id", F.lit(0).cast("long").alias("part"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

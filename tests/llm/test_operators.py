@@ -313,3 +313,29 @@ def test_rare_languages_are_learnt(spark):
     model = langid_centroid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), label_rows=100)
     new = spark.createDataFrame([(i, text("qrstuvwx")) for i in range(50)], "doc_id long, text string")
     assert langid_centroid.predict(new, model).where("lang_pred = 'rare' AND accepted").count() == 50
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_links_of_a_block_stay_linear(n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < 0.1, rng.integers(0, 2**63, 300, dtype=np.uint64), base)) for _ in range(n)]  # pairs lie around the threshold
+    everyone = np.arange(n)
+    links = list(minmax_dedup._links(everyone, everyone, everyone.copy(), sets, 80))
+    assert 0 < len(links) < n
+    up = everyone.copy()
+    for i, j in links:
+        assert 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+        assert up[i] != up[j]
+        up[up == up[j]] = up[i]
+    if n == 500:  # what stays apart is apart
+        inside = np.array([[len(np.intersect1d(a, b)) for b in sets[:120]] for a in sets[:120]])
+        sizes = np.array([len(s) for s in sets[:120]])
+        linked = 100 * inside >= 80 * (sizes[:, None] + sizes - inside)
+        assert all(up[i] == up[j] for i, j in zip(*np.nonzero(linked)))
+
+
+def test_components_of_a_large_star_and_a_chain(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(40)]
+    found = minmax_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.id: r.component for r in found} == {**{i: 0 for i in range(3000)}, **{10_000 + i: 10_000 for i in range(41)}}
