@@ -258,21 +258,84 @@ def test_mail_matches_the_pattern():
         assert list(pii_crf._emails(text)) == [m.span() for m in pattern.finditer(text)]
 
 
+FLAT = {"index": {}, "unary": np.zeros((2, pii_crf.LABELS)), "chain": np.zeros((pii_crf.LABELS, pii_crf.LABELS)), "skip": np.array([6.0])}
+
+
+@pytest.mark.parametrize("text, loops", [("id 12345678 then 87654321, again 1234-5678 and 1.2345678", False), ("12345678 87654321 12345678 87654321", True)])
+def test_beliefs_are_the_marginals(text, loops):
+    """Against the sum over all labellings, group nodes included: exact without loops, near it with them."""
+    rng = np.random.default_rng(4)
+    tokens, n = pii_crf._tokens(text), pii_crf.LABELS
+    groups, chained = pii_crf._groups(text, tokens), [i for i in range(len(tokens) - 1) if pii_crf._chained(tokens, i)]
+    assert bool(chained) == loops and groups
+    names = sorted({f for t in tokens for f in pii_crf._features(text, *t)})
+    model = {"index": {f: k for k, f in enumerate(names, 1)}, "unary": rng.normal(0, 0.4, (len(names) + 2, n)), "chain": rng.normal(0, 0.3, (n, n)), "skip": np.array([0.8])}
+    want = np.zeros((len(tokens), n))
+    own = np.array([model["unary"][[0, *(model["index"][f] for f in pii_crf._features(text, *t))]].sum(0) for t in tokens])
+    for labels in np.ndindex(*[n] * len(tokens)):
+        score = sum(own[i, l] for i, l in enumerate(labels)) + sum(model["chain"][labels[i], labels[i + 1]] for i in chained)
+        score += sum(np.log(sum(np.exp(0.8 * sum(labels[i] == z for i in g)) for z in range(n))) for g in groups)
+        for i, l in enumerate(labels):
+            want[i, l] += np.exp(score)
+    found = pii_crf.beliefs(model, text, tokens, [-1] * len(tokens))
+    assert np.abs(found - want / want.sum(1, keepdims=True)).max() < (0.05 if loops else 1e-3)
+
+
+def test_pair_weights_are_learnt():
+    card, none = (("s:99",), 3), (("s:99",), 0)
+    alone, with_card, with_none = (0,) * 6, (0, 0, 0, 2, 0, 0), (2, 0, 0, 0, 0, 0)
+    rows = [(*card, -1, -1, with_card, 40), (*none, -1, -1, with_none, 40), (*card, 1, -1, alone, 30), (*none, 2, -1, alone, 30), (*card, -1, -1, alone, 10), (*none, -1, -1, alone, 10)]
+    model = pii_crf.learn(rows)
+    assert model["skip"][0] > 1.5 and model["chain"][1, 3] > 0.5 + model["chain"][1, 0] and model["chain"][2, 0] > 0.5 + model["chain"][2, 3]
+    assert pii_crf.learn([])["unary"][0].argmax() == 0
+
+
+def test_base_spans_match_the_patterns():
+    """Random texts against the contract's patterns as they are written."""
+    rng = np.random.default_rng(8)
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    def want(text):
+        out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), 2) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+        out += [(m.start(), m.end(), 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        return [(a, b, pii_crf.KINDS[k]) for a, b, k in sorted(out, key=lambda s: (s[0], s[2], s[1]))]
+
+    seen = set()
+    for weights in ("0123456789.  ", "0123456789- -", "+0123456789().- ", "ab@.1 0"):
+        for _ in range(1500):
+            text = "".join(rng.choice(list(weights), int(rng.integers(8, 60))))
+            found = pii_crf.base_spans(text)
+            assert found == want(text), text
+            seen |= {k for _, _, k in found}
+    assert seen == set(pii_crf.KINDS)
+    assert pii_crf.base_spans("0" * 5000 + "1.1.1.1") == [(0, 5007, "ip")] and pii_crf.base_spans("9" * 6000 + ".1.1.1") == []
+
+
+def test_secrets_are_spans(spark):
+    value = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    docs = spark.createDataFrame([(1, f'see token = "{value}", later {value} alone'), (2, "a token of 12 coins")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii_crf.find(docs, FLAT).collect()}
+    assert rows[1].spans == f"secret:13:53,secret:62:102" and rows[1].n_spans == 2 and rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert rows[2].n_spans == 0
+
+
 def test_skip_edges_carry_labels():
     text = "card 4111111111111111 paid, later 4111-1111-1111-1111x and 2024"
     tokens = pii_crf._tokens(text)
-    model = {"weights": {}, "prior": np.log(np.full(5, 0.2)), "unseen": np.zeros(5)}
-    belief = pii_crf.beliefs(model, text, tokens, [3, -1, -1])
+    belief = pii_crf.beliefs(FLAT, text, tokens, [3, -1, -1])
     assert belief[1].argmax() == 3 and belief[1, 3] > 0.7 and belief[2].max() < 0.35
 
 
 def test_labels_reach_every_repeat():
     text = "card 4111111111111111 paid" + ", later 4111-1111-1111-1111" * 20
     tokens = pii_crf._tokens(text)
-    model = {"weights": {}, "prior": np.log(np.full(5, 0.2)), "unseen": np.zeros(5)}
-    belief = pii_crf.beliefs(model, text, tokens, [3] + [-1] * 20)
+    belief = pii_crf.beliefs(FLAT, text, tokens, [3] + [-1] * 20)
     assert len(tokens) == 21 and (belief[:, 3] >= pii_crf.THRESHOLD).all()
-    one = pii_crf.beliefs(model, text[:53], tokens[:2], [3, -1])
+    one = pii_crf.beliefs(FLAT, text[:53], tokens[:2], [3, -1])
     assert one[1, 3] >= pii_crf.LEVELS[-1]
 
 
