@@ -230,14 +230,61 @@ def test_near_duplicates_of_nothing(none):
 
 def test_licenses(spark, docs, none):
     found = license_compress.scan(docs).collect()
-    assert [(r.doc_id, r.license, r.confirmed) for r in found] == [(10, "MIT", True)]
+    assert [(r.doc_id, r.license, r.rank, r.confirmed, r.block_start, r.block_end) for r in found] == [(10, "MIT", 1, True, 0, 30)]
     ranker = license_compress.Ranker(license_compress.TEMPLATES)
-    assert all(ranker.rank(text)[0] == name and ranker.rank(text)[4] for name, text in license_compress.TEMPLATES.items())
-    changed = ranker.rank("Licensed under the Apache License, Version 3.0.")
-    assert changed[0] == "Apache-2.0" and changed[2] == ["2.0"] and not changed[4]
+    for name, text in license_compress.TEMPLATES.items():
+        own = list(license_compress.matches(ranker, "Some words of prose before it. " + re.sub("<[^<>]*>", "program", text) + " And others behind."))
+        assert [(m[2], m[7]) for m in own if m[7]] == [(name, True)], (name, own)
     assert license_compress.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("text, own", [
+    ("This work is licensed under the GNU General Public License, version 4.", "GPL-3.0"),
+    ("Licensed under the Apache License, Version 3.0.", "Apache-2.0"),
+    ("Licensed under CC BY-NC 3.0.", "CC-BY-NC-4.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "MPL-2.0"),
+    ("Not released under the MIT License.", "MIT"),
+    ("This code is not released under the MIT License.", "MIT"),
+    (license_compress.TEMPLATES["GPL-3.0-header"].replace("version 3 of", "version 7 of"), "GPL-3.0-header"),
+    (license_compress.TEMPLATES["BSD-3-Clause"].replace("Neither the name", "The name"), "BSD-3-Clause"),
+])
+def test_decisive_words_are_not_overlooked(text, own):
+    found = list(license_compress.matches(license_compress.Ranker(license_compress.TEMPLATES), text))
+    assert found and not any(m[7] for m in found)
+    only = license_compress.Ranker({own: license_compress.TEMPLATES[own]})
+    assert not any(m[7] for m in license_compress.matches(only, text))
+
+
+def test_versions_keep_apart():
+    full = license_compress.TEMPLATES
+    ranker = license_compress.Ranker(full)
+    for mine, other in (("GPL-2.0", "GPL-3.0"), ("GPL-2.0-header", "GPL-3.0-header"), ("AGPL-3.0", "GPL-3.0"), ("BSD-2-Clause", "BSD-3-Clause"), ("BSD-4-Clause", "BSD-3-Clause"), ("LGPL-2.1-header", "LGPL-3.0-header"), ("0BSD", "ISC")):
+        alone = license_compress.Ranker({other: full[other]})
+        assert [(m[2], m[7]) for m in license_compress.matches(ranker, re.sub("<[^<>]*>", "it", full[mine])) if m[7]] == [(mine, True)]
+        assert not any(m[7] for m in license_compress.matches(alone, full[mine]))
+
+
+def test_ranking_against_brute_force():
+    """Each template's size by a compressor of its own, and all matches of one long unwrapped line."""
+    full, rng = license_compress.TEMPLATES, np.random.default_rng(1)
+    ranker, names = license_compress.Ranker(full), sorted(full)
+    for _ in range(25):
+        words = license_compress.words_of(full[names[rng.integers(len(names))]])
+        block = " ".join(w for w in words if rng.random() < 0.9)
+        sizes = {}
+        for n in names:
+            held = zstandard.ZstdCompressionDict(full[n].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[n] = len(zstandard.ZstdCompressor(level=9, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(block.encode()))
+        found = ranker.rank(block, block.split())
+        assert sorted(sizes, key=lambda n: (sizes[n], n))[found[1] - 1] == found[0]
+        assert found[5] or found[1] == 1
+    line = "filler words here " * 3000 + " then ".join(["Released under the MIT License.", "Licensed under CC BY 4.0."] * 60) + " filler words" * 3000
+    found = list(license_compress.matches(ranker, line))
+    assert [m[2] for m in found if m[7]] == ["MIT", "CC-BY-4.0"] * 60
+    mine = {"House-7": "Anyone may dance to this tune on Sundays if they bow to the fiddler first and pay him after."}
+    assert [m[2] for m in license_compress.matches(license_compress.Ranker(mine), "x\n" + mine["House-7"].replace(" ", "\n"))] == ["House-7"]
+
+
 def test_personal_data(spark, docs, none):
     model = pii_crf.fit(docs)
     rows = {r.doc_id: r for r in pii_crf.find(docs, model).collect()}
