@@ -231,10 +231,11 @@ def _block_tasks(slim: DataFrame, candidates: DataFrame, grouped: DataFrame) ->
     sized = _with_count(staged(members, "members"), "root", "doc_id", chunks=F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / WEIGHT)))
     chunks = staged(sized.select("doc_id", "component", F.xxhash64("root", F.pmod(F.xxhash64("doc_id"), "chunks")).alias("chunk")), "chunks")
     met = apart.select("bucket", "doc_id").join(chunks.hint("merge"), "doc_id").groupBy("bucket", "chunk").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    met = staged(met, "met")
     # chunks wholly of the component that fills most chunks of the bucket needn't meet each other
-    filled = met.where("x = y").groupBy("bucket", "x").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "x"))["x"].alias("most"))
-    met = staged(met.join(filled.hint("merge"), "bucket", "left").select("bucket", "chunk", "x", "y", F.coalesce((F.col("x") == F.col("y")) & (F.col("x") == F.col("most")), F.lit(False)).alias("filled")), "met")
+    alike = F.when(F.col("x") == F.col("y"), F.count("*").over(W.partitionBy("bucket", "x", "y")))
+    most = F.max(F.struct(F.col("alike"), F.col("x"))).over(W.partitionBy("bucket"))["x"]
+    met = met.repartition("bucket").withColumn("alike", alike).withColumn("filled", F.coalesce((F.col("x") == F.col("y")) & (F.col("x") == most), F.lit(False)))
+    met = staged(met.select("bucket", "chunk", "x", "y", "filled"), "met")
     odd, plain = met.where("NOT filled"), met.where("filled")
     other = lambda side: side.select("bucket", F.col("chunk").alias("q"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     apart_ = "NOT (x = y AND x2 = y2 AND x = x2)"
