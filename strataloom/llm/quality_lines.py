@@ -1,25 +1,38 @@
 """Line-first cleaning, in DataFrame functions only.
 
-Every line is judged on its own: it fails as navigation (cells joined by bars or arrows), as boilerplate (a page
-phrase such as a cookie notice), as symbol noise (symbols outnumber its words) or as shouting (every word ends in
-two exclamation marks). Three words or more without closing punctuation fail only on top of a weak sign (a bar or
-a repeated mark), so headings and wrapped prose stay. Failing lines are removed; a document that loses over
+Every line is judged by rules of three kinds. Navigation: cells joined by bars or arrows, or a run of three or more
+short lines (at most SHORT words) without closing punctuation, such as a menu with a link a line. Boilerplate: page
+phrases (cookie notices, newsletters, copyright years, page numbers), bare addresses, symbol noise (symbols are as many
+as the words) and shouting (half of the words end in two exclamation marks). Punctuation: a line of FRAGMENT words or
+more without closing punctuation in any of several scripts fails, unless the next line shows it to be wrapped prose
+(that starts with a letter that is no capital, or this line is a long one that such a line or a closed one goes on
+from) or a heading of a closed line of HEADED words or more. Failing lines are removed; a document that loses over
 `max_loss` percent of its words is rejected.
 
 Contract. Null text has no words. `base_failed` and the counts follow the words of the whole text; `kept` is false
-where it is true. Repeated three-word windows are matched by 64-bit hashes. Extra columns are ignored.
+where it is true. Repeated three-word windows are matched by 64-bit hashes. Blank lines are no lines. Repeated rows
+give repeated results. Extra columns pass through; columns with an output's name give way.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import BLANKS, n_words, table
 
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = r"(?i)\b(cookie (policy|notice|settings)|privacy policy|terms of (use|service)|all rights reserved|enable javascript|click here|sign up for our newsletter|lorem ipsum)\b"
-CLOSED = r"[.!?…:;\"'”»)\]][\x20\x09-\x0D]*$"
+BARS = "|»›·→"
+CLOSING = ".!?…:;\"'”“’»«)]>。！？；：」』）》】｡।॥۔؟"
+#: Looked for in the lower-cased line.
+BOILERPLATE = (
+    r"\b(cookie (policy|notice|settings|preferences)|accept (all )?cookies|privacy policy|terms of (use|service)|terms and conditions|all rights reserved|enable javascript|click here|read more|"
+    r"(sign up for|subscribe to) (our|the) newsletter|lorem ipsum|powered by|back to top|skip to (main )?content|share (this|on (facebook|twitter))|add to cart|copyright [0-9]{4}|page [0-9]+ of [0-9]+|last (updated|modified))\b"
+    r"|(\(c\)|©) ?[0-9]{4}|^[\x20\x09]*https?://[^\x20\x09]+[\x20\x09\x0d]*$"
+)
+SHORT, FRAGMENT, HEADING, HEADED, LONG = 4, 3, 10, 8, 40
 MAX_LOSS = 50
 
 
@@ -27,19 +40,45 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with words is navigation, boilerplate, symbol noise or shouting."""
+def _has(line: Column, chars: str) -> Column:
+    found = line.contains(chars[0])
+    for c in chars[1:]:
+        found = found | line.contains(c)
+    return found
+
+
+def marks(line: Column) -> Column:
+    """What is known of a line with words by itself; each measure is taken once, here."""
     words = n_words(line)
-    bars = F.regexp_count(line, F.lit(r"(?:^|[\x20\x09])(?:\||»|›|·)(?=[\x20\x09]|$)"))
-    shouts = F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)"))
-    navigation = (bars >= 3) & (3 * bars >= words)
-    noise = _without(line, SYMBOLS) >= words
-    weak = (bars > 0) | (shouts > 0)
-    return navigation | line.rlike(BOILERPLATE) | noise | ((shouts >= 3) & (2 * shouts >= words)) | (~line.rlike(CLOSED) & weak & (words >= 3))
+    bars = F.when(_has(line, BARS), F.regexp_count(line, F.lit(rf"(?:^|[\x20\x09])(?:{'|'.join(map(re.escape, BARS))})(?=[\x20\x09]|$)"))).otherwise(0)
+    shouts = F.when(line.contains("!!"), F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)"))).otherwise(0)
+    symbols = F.when(_has(line, SYMBOLS), _without(line, SYMBOLS)).otherwise(0)
+    closed = F.instr(F.lit(CLOSING), F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1))) > 0
+    goes_on = line.rlike(r"^[\x20\x09-\x0D]*[\p{Ll}\p{Lo}]")
+    measures = {"line": line, "n": words, "bars": bars, "shouts": shouts, "symbols": symbols, "closed": closed, "goes_on": goes_on, "long": F.length(line) >= LONG, "boilerplate": F.lower(line).rlike(BOILERPLATE)}
+    return F.struct(*[m.alias(name) for name, m in measures.items()])
+
+
+def judged(marked: str) -> Column:
+    """Each line of the array column `marked` as (line, n, fails), fails: it is to go."""
+
+    def judge(x: Column, i: Column) -> Column:
+        at = lambda k: F.get(F.col(marked), i + k)
+        short = lambda y: F.coalesce(~y["closed"] & (y["n"] <= SHORT), F.lit(False))
+        before, after = short(at(-1)), short(at(1))
+        menu = short(x) & ((before & after) | (after & short(at(2))) | (before & short(at(-2))))
+        wrapped = F.coalesce(at(1)["goes_on"] | (x["long"] & (x["goes_on"] | at(1)["closed"])), F.lit(False))
+        heading = F.coalesce((x["n"] <= HEADING) & at(1)["closed"] & (at(1)["n"] >= HEADED), F.lit(False))
+        alone = ((x["bars"] >= 3) & (3 * x["bars"] >= x["n"])) | ((x["shouts"] >= 3) & (2 * x["shouts"] >= x["n"])) | (x["symbols"] >= x["n"]) | x["boilerplate"]
+        fails = alone | menu | (~x["closed"] & (x["n"] >= FRAGMENT) & ~wrapped & ~heading)
+        return F.struct(x["line"].alias("line"), x["n"].alias("n"), fails.alias("fails"))
+
+    return F.transform(F.col(marked), judge)
 
 
 def line_quality(docs: DataFrame, max_loss: int = MAX_LOSS) -> DataFrame:
     """`docs` with the base counts, clean_text, n_clean_words, base_failed and kept added."""
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_clean_words", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
@@ -49,8 +88,9 @@ def line_quality(docs: DataFrame, max_loss: int = MAX_LOSS) -> DataFrame:
         "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
         "n_symbols": _without(text, SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "clean_text": F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n"),
+        "_marks": F.transform("_lines", marks),
     })
+    rows = rows.withColumn("_clean", F.filter(judged("_marks"), lambda x: ~x["fails"]))
     # words in three-word windows that occur twice or more; each step is a column of its own, computed once a row
     windows = F.transform(F.sequence(F.lit(1), F.size("_words") - 2), lambda i: F.xxhash64(F.get("_words", i - 1), F.get("_words", i), F.get("_words", i + 1)))
     rows = rows.withColumn("_windows", F.when(F.col("n_words") >= 3, windows))
@@ -62,10 +102,13 @@ def line_quality(docs: DataFrame, max_loss: int = MAX_LOSS) -> DataFrame:
     # a window adds three words, or as many as it lies behind the marked window before it
     covered = F.transform("_at", lambda i, k: F.least(F.lit(3), i - F.coalesce(F.get("_at", k - 1), F.lit(-3))))
     rows = rows.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_clean_words", n_words(F.col("clean_text")))
+    rows = rows.withColumns({
+        "clean_text": F.array_join(F.transform("_clean", lambda x: x["line"]), "\n"),
+        "n_clean_words": F.aggregate("_clean", F.lit(0).cast("long"), lambda a, x: a + x["n"]),
+    })
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (100 * (F.col("n_words") - F.col("n_clean_words")) <= max_loss * F.col("n_words"))
-    return rows.withColumns({"base_failed": failed, "kept": kept}).drop("_words", "_lines", "_windows", "_ordered", "_at")
+    return rows.withColumns({"base_failed": failed, "kept": kept}).drop("_words", "_lines", "_marks", "_clean", "_windows", "_ordered", "_at")
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,23 +118,32 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_CLOSING, _BARS = CLOSING.replace("'", "''"), "|".join(map(re.escape, BARS))
 OP4_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_SPLIT} AS w FROM documents
 ), l AS (
-  SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d
+  SELECT rid, generate_subscripts(s, 1) AS pos, unnest(s) AS line FROM (SELECT rid, string_split(text, chr(10)) AS s FROM d)
 ), j AS (
-  SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
-         len(regexp_extract_all(regexp_replace(' ' || line || ' ', '[\x20\x09]', '  ', 'g'), '[\x20\x09](\||»|›|·)[\x20\x09]')) AS bars,
+  SELECT rid, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         len(regexp_extract_all(regexp_replace(' ' || line || ' ', '[\x20\x09]', '  ', 'g'), '[\x20\x09]({_BARS})[\x20\x09]')) AS bars,
          len(regexp_extract_all(regexp_replace(line || ' ', '[\x20\x09-\x0D]', '  ', 'g'), '!![\x20]')) AS shouts,
-         length(line) - length(translate(line, '#*$%&|<>', '')) AS symbols
+         length(line) - length(translate(line, '#*$%&|<>', '')) AS symbols,
+         contains('{_CLOSING}', right(rtrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 1)) AS closed,
+         regexp_matches(line, '^[\x20\x09-\x0D]*[\p{{Ll}}\p{{Lo}}]') AS goes_on, length(line) >= {LONG} AS long
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), v AS (
-  SELECT *, (bars >= 3 AND 3 * bars >= n)
-      OR regexp_matches(line, '(?i)\b(cookie (policy|notice|settings)|privacy policy|terms of (use|service)|all rights reserved|enable javascript|click here|sign up for our newsletter|lorem ipsum)\b')
-      OR symbols >= n OR (shouts >= 3 AND 2 * shouts >= n)
-      OR (NOT regexp_matches(line, '[.!?…:;"''”»)\]][\x20\x09-\x0D]*$') AND (bars > 0 OR shouts > 0) AND n >= 3) AS fails
+), k AS (
+  SELECT *, NOT closed AND n <= {SHORT} AS short,
+         (bars >= 3 AND 3 * bars >= n) OR symbols >= n OR (shouts >= 3 AND 2 * shouts >= n) OR regexp_matches(lower(line), '{BOILERPLATE}') AS alone
   FROM j
+), c AS (
+  SELECT *, coalesce(lag(short) OVER o, false) AS b1, coalesce(lag(short, 2) OVER o, false) AS b2, coalesce(lead(short) OVER o, false) AS a1, coalesce(lead(short, 2) OVER o, false) AS a2,
+         coalesce(lead(goes_on) OVER o, false) AS next_goes_on, coalesce(lead(closed) OVER o, false) AS next_closed, coalesce(lead(n) OVER o, 0) AS next_n
+  FROM k WINDOW o AS (PARTITION BY rid ORDER BY pos)
+), v AS (
+  SELECT *, alone OR (short AND ((b1 AND a1) OR (a1 AND a2) OR (b1 AND b2)))
+      OR (NOT closed AND n >= {FRAGMENT} AND NOT (next_goes_on OR (long AND (next_closed OR (goes_on AND next_n > 0)))) AND NOT (n <= {HEADING} AND next_closed AND next_n >= {HEADED})) AS fails
+  FROM c
 ), s AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(n) FILTER (NOT fails), 0) AS n_clean_words FROM v GROUP BY rid
 ), g AS (

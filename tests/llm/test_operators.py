@@ -145,6 +145,31 @@ def test_line_quality_edges(spark, docs, none):
     assert quality_lines.line_quality(none).count() == 0
 
 
+@pytest.fixture(scope="module")
+def judged(spark):
+    prose = "This is a sentence of plain words that ends with a mark."
+    wrapped = "It was a long evening in the valley and the wind from\nthe hills had not yet come down to the houses by the\nRiver where we sat and waited for the boat that never\ncame."
+    texts = {
+        "menu": "Home\nAbout us\nContact\nNews archive\n" + prose,
+        "headlines": "Senate passes the new budget bill after a long debate\nRiver towns brace for another week of heavy rain\nLocal team wins the cup for the third time",
+        "wrapped": wrapped,
+        "heading": "A heading of five words\n" + prose,
+        "boiler": f"{prose}\nCopyright 2021 by the owners of this page.\nPage 3 of 9.\nhttps://example.org/a?b=c.\nUser: see our privacy policy.",
+        "scripts": "これは 長い 文章 です。\nवह घर गया था।\nهل هذا بيت؟",
+        "bars": "Home | About | News | Contact\n" + prose,
+    }
+    rows = list(texts.items())
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    kept = {r.doc_id: r.clean_text.split("\n") if r.clean_text else [] for r in quality_lines.line_quality(frame).collect()}
+    return {name: (text.split("\n"), kept[i]) for i, (name, text) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("name, goes", [("menu", [0, 1, 2, 3]), ("headlines", [0, 1, 2]), ("wrapped", []), ("heading", []), ("boiler", [1, 2, 3, 4]), ("scripts", []), ("bars", [0])])
+def test_lines_that_go(judged, name, goes):
+    lines, kept = judged[name]
+    assert [line for i, line in enumerate(lines) if i not in goes] == kept
+
+
 def test_toxicity_and_language(spark, real, docs, none):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
     model = toxicity_fm.fit(real.join(labels, "doc_id"))
