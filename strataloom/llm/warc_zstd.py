@@ -9,7 +9,8 @@ tasks leave complete files, and only files named by the tasks that Spark accepte
 
 Contract. Null html is an empty payload. Payloads of at least 1000 bytes that occur under several page_ids are stored
 once, by the largest page_id; the others are revisits that refer to it. Rows with a null page_id are responses and
-never referred to. Repeated rows of the largest page_id are all responses. Extra columns are ignored.
+never referred to. Repeated rows of the largest page_id are all responses. No pages make no archive, and no archives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from strataloom.llm.common import fresh_path, lookup, staged, table
 MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES, DICTIONARY_SAMPLE = 32 << 10, 200
+#: Records wait for a dictionary until there are DICTIONARY_SAMPLE or these many bytes of them.
+WAITING_BYTES = 8 << 20
 LEAST_REVISIT = 1000
 
 
@@ -140,7 +143,7 @@ def write_warc(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame
             return pa.RecordBatch.from_pydict({"path": [folder + name[len(base) :] + ".warc.zst"], "records": pa.array([n], pa.int64())})
 
         waiting: list[bytes] = []
-        packer, parts, size, n = None, [], 0, 0
+        packer, parts, size, n, held = None, [], 0, 0, 0
 
         def start() -> None:
             nonlocal packer, parts, size, n
@@ -166,8 +169,10 @@ def write_warc(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame
                 page_id, url, html, digest, length, refers = (x.as_py() for x in row)
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 waiting.append(record(page_id, url, payload, "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(), length, refers))
-                if len(waiting) >= DICTIONARY_SAMPLE or sum(map(len, waiting[-1:])) > 1 << 22:
+                held += len(waiting[-1])
+                if len(waiting) >= DICTIONARY_SAMPLE or held > WAITING_BYTES:
                     yield from drain()
+                    held = 0
         yield from drain()
         if packer is not None:
             yield close(parts, n)
@@ -176,16 +181,19 @@ def write_warc(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame
     return staged(rows.select(*columns).mapInArrow(run, "path string, records long"), "manifest")
 
 
-def read_warc(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
-    """One row per record: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload, error."""
+def read_warc(spark: SparkSession, paths: DataFrame | list[str], strict: bool = True) -> DataFrame:
+    """Read archives, given as a table with their `path` or as a list. One row per record: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload, error."""
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload", "error"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
+            for path in batch.column("path").to_pylist():
                 rows, size = [], 0
-                for raw in read_archive(content.as_buffer().to_pybytes()):
+                store, name = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(name, compression=None) as file:
+                    content = file.read()
+                for raw in read_archive(content):
                     try:
                         r = parse(raw)
                     except (ValueError, UnicodeDecodeError) as why:
@@ -204,8 +212,11 @@ def read_warc(spark: SparkSession, paths: list[str], strict: bool = True) -> Dat
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    files = spark.read.format("binaryFile").load(paths).select("content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string")
+    if not isinstance(paths, DataFrame):
+        paths = spark.createDataFrame([(p,) for p in paths], "path string")
+    # a path per row, dealt out whole: about four archives a task, at any number of them
+    dealt = paths.select("path").repartition(max(1, -(-paths.count() // 4)), "path")
+    return dealt.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string")
 
 
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -221,10 +232,7 @@ def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, read the archives back, and return what the records say."""
     manifest = write_warc(revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
-    paths = [r.path for r in manifest.select("path").collect()]  # a name per archive
-    if not paths:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_warc(spark, paths).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """
