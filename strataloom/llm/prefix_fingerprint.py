@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,23 +122,37 @@ def likeness(a: str, b: str, keep: int = KEEP) -> float:
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, head, doc_id, text): documents in `parts` ranges of doc_id; a range also gets, with head set, the
-    rows of the next range's first id, so that each task finds its last document's follower."""
+    """(part, head, doc_id, text): documents in at most `parts` ranges of doc_id, each range a partition of its own in
+    order; a range also gets, with head set, the rows of the next range's first id, so that each task finds its last
+    document's follower. The bounds are one number a partition, looked up by binary search; texts move once."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(2**63 - 1))
-    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bound = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    ranged = docs.withColumn("key", key).withColumn("part", F.aggregate(bound, F.lit(0), lambda n, c: n + (F.col("key") >= c).cast("int")))
-    firsts = sorted(ranged.groupBy("part").agg(F.min("key").alias("key")).collect())  # at most `parts` rows
-    if not firsts:
-        return ranged.select("part", F.lit(False).alias("head"), "doc_id", "text")
-    before = {f.key: firsts[i - 1].part for i, f in enumerate(firsts)}
-    previous = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])
-    targets = F.when(F.col("key").isin(list(before)), F.array(F.struct(F.col("part"), F.lit(False).alias("head")), F.struct(previous[F.col("key")].alias("part"), F.lit(True).alias("head"))))
-    sent = ranged.select(F.explode(F.coalesce(targets, F.array(F.struct(F.col("part"), F.lit(False).alias("head"))))).alias("to"), "key", "doc_id", "text")
-    sent = sent.select("to.part", "to.head", "key", "doc_id", "text")
-    return sent.repartition(parts, "part").sortWithinPartitions("part", "head", "key", "text").select("part", "head", "doc_id", "text")
+    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
+    cuts = np.array(sorted(set(cuts or [])), np.int64)
+    held = docs.sparkSession.sparkContext.broadcast(cuts)  # fewer than `parts` numbers
+
+    @F.pandas_udf("int")
+    def part_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held.value, keys.to_numpy(), side="right").astype(np.int32))
+
+    # a range starts at its bound or behind it; of an empty one the follower is the next one's, so first ids are taken from the ids
+    firsts = sorted(docs.select(key.alias("key")).groupBy(part_of("key").alias("part")).agg(F.min("key").alias("key")).collect())  # at most `parts` rows
+    ids, before = np.array([f.key for f in firsts], np.int64), np.array([firsts[i - 1].part for i in range(len(firsts))], np.int32)
+    order = np.argsort(ids)
+    starts = docs.sparkSession.sparkContext.broadcast((ids[order], before[order]))
+
+    @F.pandas_udf("int")
+    def heads(keys: pd.Series) -> pd.Series:  # the part that a range's first rows are also sent to
+        ids, before = starts.value
+        if not len(ids):
+            return pd.Series([None] * len(keys), dtype="Int32")
+        at = np.minimum(np.searchsorted(ids, keys.to_numpy()), len(ids) - 1)
+        return pd.Series(np.where(ids[at] == keys.to_numpy(), before[at], -1).astype(np.int32))
+
+    ranged = docs.withColumn("key", key).select("doc_id", "text", "key", part_of("key").alias("own"), heads("key").alias("also"))
+    to = F.filter(F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("head")), F.struct(F.col("also").alias("part"), F.lit(True).alias("head"))), lambda x: x["part"] >= 0)
+    sent = ranged.select(F.explode(to).alias("to"), "key", "doc_id", "text").select("to.part", "to.head", "key", "doc_id", "text")
+    return sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "head", "key", "text").select("part", "head", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:

@@ -75,6 +75,26 @@ def test_warc_round_trip(spark):
     assert {r.payload_digest for r in found if r.page_id in (1, 2)} == {hashlib.sha1(same.encode()).hexdigest()}
 
 
+def test_warc_of_nothing_many_archives_and_bad_records(spark, none):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc_zstd.read_warc(spark, warc_zstd.write_warc(warc_zstd.revisits(empty))).count() == 0
+    rng = np.random.default_rng(5)
+    rows = [(i, f"http://h/{i}", "".join(chr(c) for c in rng.integers(33, 500, 3000)), "x", "y") for i in range(120)] + [(500, "http://long", "z" * 3_000_000 + "é", "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, path string").repartition(2)
+    manifest = warc_zstd.write_warc(warc_zstd.revisits(pages), archive_bytes=60_000)
+    assert manifest.count() > 4
+    found = warc_zstd.read_warc(spark, manifest).select("page_id", "payload").collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in found} == {r[0]: r[2] for r in rows}
+    path = manifest.first().path.removeprefix("file://")
+    good = warc_zstd.record(1, "u", b"pay", warc_zstd._digest(b"pay"), 3, None)
+    with open(path, "wb") as file:  # one record's block is longer than its Content-Length says
+        file.write(b"".join(zstandard.ZstdCompressor().compress(r) for r in (good, good.replace(b"\r\n\r\npay", b"\r\n\r\npays"))))
+    lenient = warc_zstd.read_warc(spark, [path], strict=False).collect()
+    assert [(r.page_id, r.error is None) for r in lenient] == [(1, True), (None, False)]
+    with pytest.raises(Exception, match="Content-Length"):
+        warc_zstd.read_warc(spark, [path]).collect()
+
+
 def test_warc_dictionary_and_checks():
     raw = warc_zstd.record(1, "http://a", b"<p>hello" * 40, warc_zstd._digest(b"<p>hello" * 40), 320, None)
     dictionary = warc_zstd.train([raw + bytes([i]) * i for i in range(60)])
@@ -206,6 +226,22 @@ def test_fingerprints(spark, docs, none):
     prints = {(r.n_chars, r.fingerprint) for r in found if r.doc_id in (5, 6)}
     assert len(prints) == 1 and all(0 <= r.near_edited <= 1 for r in found)
     assert prefix_fingerprint.fingerprints(none, 3).count() == 0
+    many = [r.edited_sha256 for r in prefix_fingerprint.fingerprints(docs, 40).orderBy("doc_id", "n_chars", "edited_sha256").collect()]
+    assert many == [r.edited_sha256 for r in prefix_fingerprint.fingerprints(docs, 1).orderBy("doc_id", "n_chars", "edited_sha256").collect()]
+
+
+def test_likeness_is_near_jaccard():
+    """The sketch's estimate against the exact Jaccard similarity of the 16-character span sets."""
+    rng, spans = np.random.default_rng(6), lambda t: {t[i : i + 16] for i in range(len(t) - 15)}
+    gaps = []
+    for k in range(60):
+        a = "".join(rng.choice(list("abcdef gh"), 2000))
+        cut = int(2000 * k / 60)
+        b = a[:cut] + "".join(rng.choice(list("abcdef gh"), 2000 - cut))
+        x, y = (prefix_fingerprint.Prefixes(t) for t in (a, b))
+        found = prefix_fingerprint.likeness(*(prefix_fingerprint.fingerprint(p, prefix_fingerprint.sketch(p)) for p in (x, y)))
+        gaps.append(found - len(spans(a) & spans(b)) / len(spans(a) | spans(b)))
+    assert abs(np.mean(gaps)) < 0.03 and np.abs(gaps).max() < 0.3
 
 
 def test_span_equality():
