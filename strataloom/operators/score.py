@@ -8,20 +8,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators import stats, survival
-from strataloom.operators.wald import MARGIN, cox_scores, cox_sums, family_sizes
+from strataloom.operators.wald import ITERATIONS, MARGIN, TOLERANCE, cox_scores, cox_sums, family_sizes
 
 #: About how many subjects a block of a gene's products holds.
 BLOCK = 4096
 
 
-def fit_null_linear(pheno: DataFrame, covariates: list[str] = (), weighted: bool = False) -> dict:
-    """theta, sigma2 and the inverse of sum(w x x') of y on [1, covariates]: one aggregation, a driver solve."""
+def fit_null_linear(pheno: DataFrame, covariates: list[str] = (), weighted: bool = False, stratum: str | None = None) -> dict:
+    """theta, sigma2 and the inverse of sum(w x x') of y on [1, covariates]: one aggregation, a driver solve.
+
+    With `stratum`, a residual variance for each (`sigma2s`), refitted in turn with theta; a null stratum is one of its own.
+    """
     w = F.col("wt").cast("double") if weighted else F.lit(1.0)
-    r = stats.moments(pheno, [F.lit(1), *[F.col(c) for c in covariates]], F.col("y").cast("double"), w, []).first()
-    p = 1 + len(covariates)
+    x = [F.lit(1), *[F.col(c) for c in covariates]]
+    p = len(x)
+    r = stats.moments(pheno, x, F.col("y").cast("double"), w, []).first()
     a, b = np.reshape(r.sxx, (p, p)), np.asarray(r.sxy)
     theta = np.linalg.solve(a, b)
-    return {"theta": theta, "sigma2": float((r.syy - theta @ b) / r.sw), "a": a, "covariates": list(covariates), "weighted": weighted, "sw": float(r.sw), "n": int(r.n)}
+    null = {"theta": theta, "sigma2": float((r.syy - theta @ b) / r.sw), "a": a, "covariates": list(covariates), "weighted": weighted, "sw": float(r.sw), "n": int(r.n)}
+    if stratum is None:
+        return null
+    level = F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("level")
+    rows = stats.moments(pheno.select("*", level), x, F.col("y").cast("double"), w, ["level"]).orderBy("level").collect()  # a row per stratum
+    a, b = np.array([np.reshape(q.sxx, (p, p)) for q in rows]), np.array([q.sxy for q in rows])
+    syy, sw = np.array([q.syy for q in rows]), np.array([q.sw for q in rows])
+    spread = np.full(len(rows), null["sigma2"])
+    for _ in range(ITERATIONS):
+        before, was = theta, spread
+        theta = np.linalg.solve((a / spread[:, None, None]).sum(0), (b / spread[:, None]).sum(0))
+        spread = (syy - 2 * b @ theta + np.einsum("i,kij,j->k", theta, a, theta)) / sw
+        if np.abs(theta - before).sum() + np.abs(spread - was).sum() < TOLERANCE:
+            return null | {"theta": theta, "sigma2s": {q.level: float(v) for q, v in zip(rows, spread)}}
+    raise ValueError("the null model did not converge")
 
 
 def _adjusted(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame, key: str) -> DataFrame:
@@ -32,7 +50,7 @@ def _adjusted(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame, ke
     r = F.col("y") - sum((F.lit(float(t)) * c for t, c in zip(null["theta"], x)), F.lit(0.0))
     people = family_sizes(pheno).select("iid", "fid", "fam_size", w.alias("w"), r.alias("r"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
     full = gt.join(stats_.select(key, "alt_af"), key).withColumn("g", F.coalesce(F.col("g").cast("double"), 2 * F.col("alt_af")))
-    rows = full.join(people, "iid").persist()
+    rows = full.join(people, "iid")
     cross = rows.groupBy(key).agg(*[F.sum(F.expr(f"w * g * x{i}")).alias(f"c{i}") for i in range(p)])
     inverse = np.linalg.inv(null["a"])
     h = [sum((F.lit(float(inverse[i, j])) * F.col(f"c{j}") for j in range(p)), F.lit(0.0)).alias(f"h{i}") for i in range(p)]
@@ -55,22 +73,23 @@ def linear_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame,
         k = null["n"] / null["sw"]
         out = out.withColumns({"u": F.col("u") * k, "v": F.col("v") * k * k})
     elif rescale == "optimal":
-        k = F.col("v_a") / F.col("v")
+        k = F.when((F.col("v0") > 0) & (F.col("v_a") > 0), F.col("v_a") / F.col("v0")).otherwise(null["n"] / null["sw"] if null["weighted"] else 1.0)
         out = out.withColumns({"u": F.col("u") * k, "v": F.col("v") * k * k})
     return out.select(key, "n", "u", "v", "beta", "se", "chisq")
 
 
-def fit_null_logistic(pheno: DataFrame, covariates: list[str] = ()) -> dict:
+def fit_null_logistic(pheno: DataFrame, covariates: list[str] = (), weighted: bool = False) -> dict:
     """theta of y on [1, covariates] by one aggregation per Newton step."""
     from strataloom.operators.wald import logistic_regression
 
-    fitted = logistic_regression(pheno, "y", list(covariates)).collect() if covariates else None
-    if fitted:
-        return {"theta": np.array([r.beta for r in fitted]), "covariates": list(covariates)}
-    mean = pheno.agg(F.avg("y")).first()[0]
+    if covariates:
+        fitted = logistic_regression(pheno, "y", list(covariates), "wt" if weighted else None).collect()  # a row a term
+        return {"theta": np.array([r.beta for r in fitted]), "covariates": list(covariates), "weighted": weighted}
+    w = F.col("wt").cast("double") if weighted else F.lit(1.0)
+    mean = pheno.where("y IS NOT NULL").agg(F.sum(F.col("y") * w) / F.sum(w)).first()[0]
     if mean in (None, 0.0, 1.0):
         raise ValueError("the outcome does not vary")
-    return {"theta": np.array([np.log(mean / (1 - mean))]), "covariates": []}
+    return {"theta": np.array([np.log(mean / (1 - mean))]), "covariates": [], "weighted": weighted}
 
 
 def logistic_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame, key: str = "variant") -> DataFrame:
@@ -93,16 +112,18 @@ def logistic_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFram
     return out.select(key, "n", "u", "v", (F.col("u") / F.col("v")).alias("beta"), (1 / F.sqrt("v")).alias("se"), (F.col("u") * F.col("u") / F.col("v")).alias("chisq"))
 
 
-def fit_null_cox(surv: DataFrame, covariates: list[str]) -> dict:
+def fit_null_cox(surv: DataFrame, covariates: list[str], weighted: bool = False) -> dict:
     """theta of a Cox model with late entry on the covariates, all subjects in one risk set."""
-    return survival.cox_fit(surv.withColumn("stratum", F.lit(0)), list(covariates)) if covariates else {"theta": np.zeros(0), "covariates": []}
+    if not covariates:
+        return {"theta": np.zeros(0), "covariates": []}
+    return survival.cox_fit(surv.withColumn("stratum", F.lit(0)), list(covariates), weight="wt" if weighted else None)
 
 
 def cox_score(surv: DataFrame, gt: DataFrame, null: dict, weighted: bool = False, robust: bool = False, key: str = "variant") -> DataFrame:
     """One row per variant: u, v, beta, se, chisq of the Cox score test; without covariates the log-rank score test.
 
     Missing genotypes are imputed by their mean. v sums squared family scores, where families of one subject count by
-    the spread at their own event unless `robust`; v_a is the model's information, which takes the place of v where
+    the spread at their own event unless `robust`; v_a is the model's information, which unweighted takes the place of v where
     1/v lies below 1/v_a less a margin. A variant's subjects are one group.
     """
     covariates, theta = list(null["covariates"]), np.r_[0.0, null["theta"]]
@@ -130,7 +151,7 @@ def cox_score(surv: DataFrame, gt: DataFrame, null: dict, weighted: bool = False
         own[event] = np.einsum("i,kij,j->k", mix, spread, mix)[at]
         v = float((sums[~single] ** 2).sum() + (w * w * own)[single[codes]].sum())
         v_a, u = float(mix @ info @ mix), float(score.sum())
-        if v_a > 0 and (not np.isfinite(v) or (v > 0 and 1 / v < 1 / v_a - MARGIN)):
+        if not weighted and v_a > 0 and (not np.isfinite(v) or (v > 0 and 1 / v < 1 / v_a - MARGIN)):
             v = v_a
         rest = (u / v, v**-0.5, u * u / v) if v > 0 else (None, None, None)
         return pd.DataFrame([(variant, n, u, v, v_a, *rest)], columns=names)

@@ -104,45 +104,47 @@ def _predictor(x: list[str], theta) -> object:
 
 def _cox_step(rows: DataFrame, x: list[str], theta, km: bool, ties: bool) -> tuple[np.ndarray, np.ndarray, float]:
     """Score, information and log likelihood at theta, summed over strata and event times: one row to the driver."""
-    p, e = len(x), F.exp(_predictor(x, theta))
+    p, e = len(x), F.col("_w") * F.exp(_predictor(x, theta))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = {"s0": e} | {f"a{i}": e * F.col(c) for i, c in enumerate(x)} | {f"b{i}_{j}": e * F.col(x[i]) * F.col(x[j]) for i, j in pairs}
-    own = rows.where("event").groupBy(S, F.col("exit").alias("time")).agg(F.sum(_predictor(x, theta)).alias("eta"), *[F.sum(c).alias(f"o{i}") for i, c in enumerate(x)])
+    own = rows.where("event").groupBy(S, F.col("exit").alias("time")).agg(F.sum("_w").alias("hits"), F.sum(F.col("_w") * _predictor(x, theta)).alias("eta"), *[F.sum(F.col("_w") * F.col(c)).alias(f"o{i}") for i, c in enumerate(x)])
     t, weight = risk_table(rows, sums).where("events > 0").join(own, [S, "time"]), F.lit(1.0)
     if km:
         t, weight = t.join(kaplan_meier(rows, "left").select(S, "time", "survival"), [S, "time"]), F.col("survival")
     constant = F.when(F.col("at_risk") == 1, 1.0).otherwise((F.col("at_risk") - F.col("events")) / (F.col("at_risk") - 1)) if ties else F.lit(1.0)
     mean = [F.col(f"a{i}") / F.col("s0") for i in range(p)]
     r = t.agg(
-        F.sum(F.col("eta") - F.col("events") * F.log("s0")).alias("ll"), *[F.sum(weight * (F.col(f"o{i}") - F.col("events") * mean[i])).alias(f"u{i}") for i in range(p)],
-        *[F.sum(weight * constant * F.col("events") * (F.col(f"b{i}_{j}") / F.col("s0") - mean[i] * mean[j])).alias(f"v{i}_{j}") for i, j in pairs],
+        F.sum(F.col("eta") - F.col("hits") * F.log("s0")).alias("ll"), *[F.sum(weight * (F.col(f"o{i}") - F.col("hits") * mean[i])).alias(f"u{i}") for i in range(p)],
+        *[F.sum(weight * constant * F.col("hits") * (F.col(f"b{i}_{j}") / F.col("s0") - mean[i] * mean[j])).alias(f"v{i}_{j}") for i, j in pairs],
     ).first()
     if r.ll is None:
         raise ValueError("there is no event")
     return np.array([r[f"u{i}"] for i in range(p)]), np.array([[r[f"v{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]), r.ll
 
 
-def cox_fit(df: DataFrame, x: list[str], km: bool = False, ties: bool = False) -> dict:
+def cox_fit(df: DataFrame, x: list[str], km: bool = False, ties: bool = False, weight: str | None = None) -> dict:
     """theta and information of a Cox model; strata (column stratum) have risk sets of their own.
 
     One pass of window sums per Newton step, at most 50 steps, each halved up to 10 times while the likelihood falls.
     """
-    rows = df.select(S, "entry", "exit", F.col("event").cast("boolean").alias("event"), *[F.col(c).cast("double").alias(c) for c in x])
+    rows = df.select(S, "entry", "exit", F.col("event").cast("boolean").alias("event"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), *[F.col(c).cast("double").alias(c) for c in x])
     rows = rows.dropna().persist()
     theta = np.zeros(len(x))
-    u, info, ll = _cox_step(rows, x, theta, km, ties)
-    for _ in range(50):
-        step = np.linalg.solve(info, u)
-        for _ in range(10):
-            after = _cox_step(rows, x, theta + step, km, ties)
-            if km or after[2] >= ll - 1e-9 * abs(ll):  # the weighted score is not this likelihood's gradient
-                break
-            step = step / 2
-        theta, (u, info, ll) = theta + step, after
-        if np.abs(step).sum() < 1e-8:
-            rows.unpersist()
-            return {"theta": theta, "info": info, "covariates": list(x)}
-    raise ValueError("Cox regression did not converge")
+    try:
+        u, info, ll = _cox_step(rows, x, theta, km, ties)
+        for _ in range(50):
+            step = np.linalg.solve(info, u)
+            for _ in range(10):
+                after = _cox_step(rows, x, theta + step, km, ties)
+                if km or after[2] >= ll - 1e-9 * abs(ll):  # the weighted score is not this likelihood's gradient
+                    break
+                step = step / 2
+            theta, (u, info, ll) = theta + step, after
+            if np.abs(step).sum() < 1e-8:
+                return {"theta": theta, "info": info, "covariates": list(x)}
+        raise ValueError("Cox regression did not converge")
+    finally:
+        rows.unpersist()
 
 
 def score_residuals(df: DataFrame, x: list[str], theta, key: str = "iid") -> DataFrame:

@@ -19,8 +19,10 @@ TOLERANCE, ITERATIONS, MARGIN, STEP_CAP = 1e-4, 500, 1e-8, 500.0
 RESULT = "variant long, n long, beta double, se double, chisq double, pvalue double, status string, theta array<double>, cov array<double>"
 
 
-def family_sizes(pheno: DataFrame) -> DataFrame:
-    """`pheno` with fam_size, the number of linked subjects of its family."""
+def family_sizes(pheno: DataFrame, gt: DataFrame | None = None) -> DataFrame:
+    """`pheno` with fam_size, the number of its family's subjects; with `gt` only subjects with genotypes are left."""
+    if gt is not None:
+        pheno = pheno.join(gt.select("iid").distinct(), "iid", "left_semi")
     return pheno.join(pheno.groupBy("fid").agg(F.count("*").alias("fam_size")), "fid")
 
 
@@ -40,7 +42,7 @@ def linear_wald(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), wei
     rows, such as "g * x1". Unweighted variances under the model's own, less a margin, give way to it.
     """
     centre = pheno.agg(F.avg("y").alias("y"), *[F.avg(c).alias(c) for c in covariates]).first()
-    rows = family_sizes(pheno).join(gt.where("g IS NOT NULL"), "iid")
+    rows = family_sizes(pheno, gt).join(gt.where("g IS NOT NULL"), "iid")
     x = [F.col("g"), F.lit(1), *[F.expr(e) for e in extras], *[F.col(c) - centre[c] for c in covariates]]
     p = len(x)
     w = F.col("wt").cast("double") if weighted else F.lit(1.0)
@@ -63,7 +65,6 @@ def linear_wald(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), wei
             yield pd.DataFrame(out, columns=["variant", "n", "theta", "sigma2", "inverse"])
 
     fits = sums.mapInPandas(solve, "variant long, n long, theta array<double>, sigma2 double, inverse array<double>")
-    fits = fits.persist()
     residual = F.col("y0") - sum((F.col("theta")[i] * F.col(c) for i, c in enumerate(xs)), F.lit(0.0))
     scored = rows.join(fits.select("variant", "theta", "sigma2"), "variant").withColumn("r", residual)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
@@ -97,7 +98,7 @@ def linear_wald_hetero(pheno: DataFrame, gt: DataFrame, covariates: list[str] =
     Moments per variant and stratum are aggregated once; the iteration runs on them alone. A null stratum is one of its own.
     """
     centre = pheno.agg(F.avg("y").alias("y"), *[F.avg(c).alias(c) for c in covariates]).first()
-    rows = family_sizes(pheno).join(gt.where("g IS NOT NULL"), "iid")
+    rows = family_sizes(pheno, gt).join(gt.where("g IS NOT NULL"), "iid")
     x = [F.col("g"), F.lit(1), *[F.col(c) - centre[c] for c in covariates]]
     p = len(x)
     xs = [f"x{i}" for i in range(p)]
@@ -130,7 +131,7 @@ def linear_wald_hetero(pheno: DataFrame, gt: DataFrame, covariates: list[str] =
             return out.assign(status="variance")
         return out.assign(theta=[theta.tolist()] * len(out), sigma2=sigma2, inverse=[inverse.ravel().tolist()] * len(out), status="ok")
 
-    fits = sums.groupBy("variant").applyInPandas(solve, "variant long, level string, n long, theta array<double>, sigma2 double, inverse array<double>, status string").persist()
+    fits = sums.groupBy("variant").applyInPandas(solve, "variant long, level string, n long, theta array<double>, sigma2 double, inverse array<double>, status string")
     r = F.col("y0") - sum((F.col("theta")[i] * F.col(c) for i, c in enumerate(xs)), F.lit(0.0))
     scored = rows.join(fits.where("status = 'ok'").select("variant", "level", "theta", "sigma2"), ["variant", "level"]).withColumn("r", r)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
@@ -229,7 +230,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
 
 def logistic_wald(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), weighted: bool = False, robust: bool = False, key: str = "variant") -> DataFrame:
     """One row per variant: logistic regression of y (0/1) on [g, 1, covariates]. A variant's subjects are one group."""
-    rows = family_sizes(pheno).join(gt.where("g IS NOT NULL"), "iid")
+    rows = family_sizes(pheno, gt).join(gt.where("g IS NOT NULL"), "iid")
     columns = [F.col(key).cast("long").alias("variant"), F.col("fid"), F.col("fam_size"), F.col("y").cast("double").alias("y"), (F.col("wt").cast("double") if weighted else F.lit(1.0)).alias("w"), F.col("g").cast("double").alias("g"), *[F.col(c).cast("double").alias(c) for c in covariates]]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -300,10 +301,14 @@ def cox_scores(x, w, entry, exit_, event, theta):
     return u
 
 
-def cox_wald(surv: DataFrame, gt: DataFrame, covariates: list[str] = (), weighted: bool = False, key: str = "variant") -> DataFrame:
-    """One row per variant: Cox regression on [g, covariates] with left truncation and family-clustered variance."""
-    rows = surv.join(gt.where("g IS NOT NULL"), "iid")
-    columns = [F.col(key).cast("long").alias("variant"), "fid", F.col("entry").cast("double"), F.col("exit").cast("double"), F.col("event").cast("boolean"), (F.col("wt").cast("double") if weighted else F.lit(1.0)).alias("w"), F.col("g").cast("double").alias("g"), *[F.col(c).cast("double") for c in covariates]]
+def cox_wald(surv: DataFrame, gt: DataFrame, covariates: list[str] = (), weighted: bool = False, robust: bool = False, key: str = "variant") -> DataFrame:
+    """One row per variant: Cox regression on [g, covariates] with left truncation and family-clustered variance.
+
+    Families of one subject count by the spread at their own event unless `robust`. A variant's subjects are one group;
+    `packed.wald_scan` is the form for many variants.
+    """
+    rows = family_sizes(surv, gt).join(gt.where("g IS NOT NULL"), "iid")
+    columns = [F.col(key).cast("long").alias("variant"), "fid", "fam_size", F.col("entry").cast("double"), F.col("exit").cast("double"), F.col("event").cast("boolean"), (F.col("wt").cast("double") if weighted else F.lit(1.0)).alias("w"), F.col("g").cast("double").alias("g"), *[F.col(c).cast("double") for c in covariates]]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         x = np.column_stack([group["g"], *[group[c] for c in covariates]])
@@ -314,11 +319,16 @@ def cox_wald(surv: DataFrame, gt: DataFrame, covariates: list[str] = (), weighte
         if not ok:
             return pd.DataFrame([result_row(variant, n, None, None, "not converged")])
         u = cox_scores(x, w, entry, exit_, event, theta) * w[:, None]
+        single = (group["fam_size"].to_numpy() == 1) & (not robust)
         codes = np.unique(group["fid"].to_numpy(), return_inverse=True)[1]
         sums = np.zeros((codes.max() + 1, x.shape[1]))
-        np.add.at(sums, codes, u)
+        np.add.at(sums, codes[~single], u[~single])
+        times, s0, s1, s2, _ = cox_sums(x, w, entry, exit_, event, theta)
+        mean = s1 / s0[:, None]
+        own = np.bincount(np.searchsorted(times, exit_[event & single]), w[event & single] ** 2, len(times))
+        meat = sums.T @ sums + (own[:, None, None] * (s2 / s0[:, None, None] - mean[:, :, None] * mean[:, None, :])).sum(0)
         inverse = np.linalg.inv(a)
-        cov = inverse @ (sums.T @ sums) @ inverse
+        cov = inverse @ meat @ inverse
         if not weighted and cov[0, 0] < inverse[0, 0] - MARGIN:
             cov = inverse
         return pd.DataFrame([result_row(variant, n, theta, cov)])
@@ -338,22 +348,25 @@ def linear_regression(df: DataFrame, y: str, x: list[str]) -> DataFrame:
     return spark.createDataFrame([(t, float(m), float(s), float(m / s), chi2_tail(float((m / s) ** 2))) for t, m, s in zip(terms, theta, se)], "term string, beta double, se double, t double, pvalue double")
 
 
-def logistic_regression(df: DataFrame, y: str, x: list[str]) -> DataFrame:
+def logistic_regression(df: DataFrame, y: str, x: list[str], weight: str | None = None) -> DataFrame:
     """Plain logistic regression with intercept: one aggregation per Newton step, p sums to the driver."""
     terms = ["(Intercept)", *x]
-    rows = df.dropna(subset=[y, *x]).select(F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_x0"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(x, 1)]).persist()
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.dropna(subset=[y, *x]).select(F.col(y).cast("double").alias("_y"), w.alias("_w"), F.lit(1.0).alias("_x0"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(x, 1)]).persist()
     p, theta = len(terms), np.zeros(len(terms))
-    for _ in range(50):
-        eta = sum((F.lit(float(t)) * F.col(f"_x{i}") for i, t in enumerate(theta)), F.lit(0.0))
-        mu = rows.withColumn("_m", 1 / (1 + F.exp(-eta)))
-        r = mu.agg(*[F.sum(F.expr(f"_x{i} * (_y - _m)")).alias(f"u{i}") for i in range(p)], *[F.sum(F.expr(f"_m * (1 - _m) * _x{i} * _x{j}")).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)]).first()
-        a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-        step = np.linalg.solve(a, np.array([r[f"u{i}"] for i in range(p)]))
-        theta = theta + step
-        if np.abs(step).sum() < 1e-8:
-            break
-    else:
-        raise ValueError("logistic regression did not converge")
-    rows.unpersist()
+    try:
+        for _ in range(50):
+            eta = sum((F.lit(float(t)) * F.col(f"_x{i}") for i, t in enumerate(theta)), F.lit(0.0))
+            mu = rows.withColumn("_m", 1 / (1 + F.exp(-eta)))
+            r = mu.agg(*[F.sum(F.expr(f"_w * _x{i} * (_y - _m)")).alias(f"u{i}") for i in range(p)], *[F.sum(F.expr(f"_w * _m * (1 - _m) * _x{i} * _x{j}")).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)]).first()
+            a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+            step = np.linalg.solve(a, np.array([r[f"u{i}"] for i in range(p)]))
+            theta = theta + step
+            if np.abs(step).sum() < 1e-8:
+                break
+        else:
+            raise ValueError("logistic regression did not converge")
+    finally:
+        rows.unpersist()
     se = np.sqrt(np.diag(np.linalg.inv(a)))
     return df.sparkSession.createDataFrame([(t, float(m), float(s), float(m / s), chi2_tail(float((m / s) ** 2))) for t, m, s in zip(terms, theta, se)], "term string, beta double, se double, z double, pvalue double")
