@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions import scalar
-from strataloom.operators import filters, link, model, pedigree, reads, score, stats, survival, wald
+from strataloom.operators import filters, link, model, packed, pedigree, reads, score, stats, survival, wald
 from strataloom.plans import fixtures as fx
+from strataloom.plans import twins
 from strataloom.plans.fixtures import duck
 
 _QUERIES: dict = {}
@@ -92,11 +93,6 @@ def _(s, d):
     return filters.all_phased(fx.geno(s, d).withColumn("phased", (F.col("iid") % 97 != 1) | (F.col("variant") % 2 == 0)))
 
 
-@query("F9_no_missing", duck("pheno geno", "SELECT variant FROM geno WHERE iid <= 30 GROUP BY 1 HAVING count(*) = count(g)"))
-def _(s, d):
-    return filters.no_missing_gt(fx.geno(s, d).where("iid <= 30"))
-
-
 @query("F10_min_alt_count", duck("pheno geno", "SELECT variant, CAST(sum(coalesce(g, 0)) AS BIGINT) AS alt_count FROM geno WHERE iid IN (SELECT iid FROM pheno WHERE wt = 2) GROUP BY 1 HAVING sum(coalesce(g, 0)) >= 50"))
 def _(s, d):
     return filters.min_alt_count(fx.geno(s, d), 50, fx.pheno(s, d).where("wt = 2").select("iid"))
@@ -213,11 +209,6 @@ def _(s, d):
     return rounded(model.impute_mean(g, stats.variant_stats(g)).select("iid", "variant", "g"))
 
 
-@query("M15_phred", "SELECT doc_id, ascii(substr(text, 1, 1)) - 33 AS q FROM documents WHERE ascii(substr(text, 1, 1)) BETWEEN 33 AND 126")
-def _(s, d):
-    return fx.table(s, d, "documents").where(F.ascii("text").between(33, 126)).select("doc_id", scalar.phred(F.substring("text", 1, 1)).alias("q"))
-
-
 @query("M16_map_functions", "SELECT l_orderkey, l_linenumber, round((1 - exp(-2 * CAST(l_discount AS DOUBLE))) / 2, 6) AS h, round((exp(4 * CAST(l_discount AS DOUBLE)) - 1) / (exp(4 * CAST(l_discount AS DOUBLE)) + 1) / 2, 6) AS k, round(CAST(l_discount AS DOUBLE), 6) AS back FROM lineitem")
 def _(s, d):
     x = F.col("l_discount").cast("double")
@@ -282,14 +273,6 @@ def _(s, d):
     return link.in_regions(points, link.merge_regions(fx.regions(s, d))).select("id", "inside")
 
 
-for _how, _test in (("overlapping", 'a.start <= b."end" AND b.start <= a."end"'), ("containing", 'a.start <= b.start AND b."end" <= a."end"'), ("contained", 'b.start <= a.start AND a."end" <= b."end"')):
-
-    @query(f"J11_{_how}", duck("regions", f"SELECT a.id AS a_id, b.id AS b_id FROM regions a JOIN regions b ON a.chrom = b.chrom AND {_test} WHERE a.id % 2 = 0 AND b.id % 2 = 1"))
-    def _(s, d, how=_how):
-        r = fx.regions(s, d)
-        return link.interval_join(r.where("id % 2 = 0"), r.where("id % 2 = 1"), how)
-
-
 @query("J8_exclude_positions", duck("align", "SELECT rname, pos, count(*) AS depth FROM align WHERE pos % 3 <> 0 GROUP BY 1, 2"))
 def _(s, d):
     starts = fx.align(s, d).groupBy("rname", "pos").agg(F.count("*").alias("depth"))
@@ -331,40 +314,11 @@ def _(s, d):
     return rounded(stats.residual_variance(fx.pheno(s, d).select("stratum", F.col("wt").alias("w"), (F.col("y") - 4).alias("r")), ["stratum"]))
 
 
-@query("A7_design_meat", duck("pheno", """, s AS (SELECT *, CAST(x1 AS BIGINT) % 3 AS study, 1 / wt AS p FROM pheno WHERE iid < 120),
-q AS (SELECT a.study, a.iid AS i, b.iid AS j, CASE WHEN a.iid = b.iid THEN a.p ELSE least(1, a.p * b.p * (1 + ((a.iid + b.iid) % 3) * 0.05)) END AS pij, a.p AS pi, b.p AS pj, a.wt AS wi, b.wt AS wj, a.fid = b.fid AS same, a.y AS yi, b.y AS yj FROM s a JOIN s b USING (study))
-SELECT round(sum(yi * yj * CASE WHEN same THEN wi * wj ELSE (pij - pi * pj) * wi * wj / pij END), 4) AS meat FROM q"""))
-def _(s, d):
-    p = fx.pheno(s, d).where("iid < 120")
-    own = p.select((F.col("x1").cast("long") % 3).alias("study"), F.col("iid").alias("iid_i"), (1 / F.col("wt")).alias("a"))
-    other = own.select("study", F.col("iid_i").alias("iid_j"), F.col("a").alias("b"))
-    joint = F.least(F.lit(1.0), F.col("a") * F.col("b") * (1 + ((F.col("iid_i") + F.col("iid_j")) % 3) * 0.05))
-    probs = own.join(other, "study").select("study", "iid_i", "iid_j", F.when(F.col("iid_i") == F.col("iid_j"), F.col("a")).otherwise(joint).alias("pi"))
-    delta = stats.design_weights(link.link_probs(p, probs), p)
-    return rounded(stats.design_meat(p.select("iid", F.col("y").alias("u")), delta, ["u"]).select(F.col("meat")[0].alias("meat")), 4)
-
-
 @query("A10_read_stats", duck("align", "SELECT rname, count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 1024 <> 0) AS duplicates, CAST(sum(len) AS BIGINT) AS total_bases FROM align GROUP BY 1"))
 def _(s, d):
     return reads.read_stats(fx.align(s, d), ["rname"]).select("rname", "total", "mapped", "duplicates", "total_bases")
 
 
-_BASES = "b AS (SELECT doc_id, translate(lower(substr(text, 1, 80)), 'aeinorst', 'ACGTACGT') AS raw FROM documents), r AS (SELECT doc_id, regexp_replace(raw, '[^ACGT]', 'N', 'g') AS seq FROM b), e AS (SELECT doc_id, generate_subscripts(string_split(seq, ''), 1) - 1 AS cycle, unnest(string_split(seq, '')) AS base FROM r WHERE seq <> '')"
-
-
-@query("A11_base_composition", f"WITH {_BASES} SELECT cycle, count(*) AS n, round(100.0 * count(*) FILTER (base = 'A') / count(*), 6) AS pct_a, round(100.0 * count(*) FILTER (base = 'N') / count(*), 6) AS pct_n FROM e GROUP BY 1")
-def _(s, d):
-    seq = F.regexp_replace(F.translate(F.lower(F.substring("text", 1, 80)), "aeinorst", "ACGTACGT"), "[^ACGT]", "N")
-    out = reads.base_composition(fx.table(s, d, "documents").select(seq.alias("seq")))
-    return rounded(out.select(F.col("cycle").cast("long").alias("cycle"), "n", "pct_a", "pct_n"))
-
-
-@query("A12_quality_by_cycle", "WITH e AS (SELECT unnest(range(least(length(text), 80))) AS cycle, text FROM documents), q AS (SELECT cycle, 33 + (unicode(substr(text, cycle + 1, 1)) % 40) - 33 AS q FROM e) SELECT cycle, round(avg(q), 6) AS quality FROM q GROUP BY 1")
-def _(s, d):
-    chars = F.transform(F.split(F.substring("text", 1, 80), ""), lambda c: F.char(33 + F.ascii(c) % 40))
-    return rounded(reads.quality_by_cycle(fx.table(s, d, "documents").select(F.array_join(chars, "").alias("qual"))).select(F.col("cycle").cast("long").alias("cycle"), "quality"))
-
-
 @query("A13_running_stats", "SELECT l_suppkey, count(*) AS n, round(avg(CAST(l_extendedprice AS DOUBLE)), 4) AS mean, round(coalesce(stddev_samp(CAST(l_extendedprice AS DOUBLE)), 0), 4) AS sd FROM lineitem GROUP BY 1")
 def _(s, d):
     rows = fx.table(s, d, "lineitem").select("l_suppkey", F.col("l_extendedprice").cast("double").alias("v"))
@@ -418,8 +372,8 @@ o AS (SELECT variant, n, beta, {keep} AS var FROM b JOIN t USING (variant))
 SELECT variant, n, round(beta, 6) + 0.0 AS beta, round(sqrt(var), 6) AS se, round(beta * beta / var, 5) AS chisq FROM o""")
 
 
-def _slim(df):
-    return df.select("variant", "n", (F.round("beta", 6) + 0.0).alias("beta"), F.round("se", 6).alias("se"), F.round("chisq", 5).alias("chisq"))
+def _slim(df, digits: int = 6):
+    return df.select("variant", "n", (F.round("beta", digits) + 0.0).alias("beta"), F.round("se", digits).alias("se"), F.round("chisq", digits - 1).alias("chisq"))
 
 
 @query("T1_linear_wald", _wald_sql("1.0::DOUBLE", False, True))
@@ -432,27 +386,6 @@ def _(s, d):
     return _slim(wald.linear_wald(fx.pheno(s, d), fx.geno(s, d), weighted=True, robust=True))
 
 
-@query("T3_logistic_wald")
-def _(s, d):
-    return _slim(wald.logistic_wald(fx.pheno(s, d).withColumn("y", F.col("yb")), fx.geno(s, d)))
-
-
-@query("T4_cox_wald")
-def _(s, d):
-    return _slim(wald.cox_wald(fx.surv(s, d), fx.geno(s, d), ["x1"]))
-
-
-@query("T7_conditional")
-def _(s, d):
-    p = link.attach_conditions(fx.pheno(s, d), fx.geno(s, d), [3])
-    return _slim(wald.linear_wald(p, fx.geno(s, d).where("variant <> 3"), ["c_3"]))
-
-
-@query("T8_interaction")
-def _(s, d):
-    return rounded(wald.interaction_test(wald.linear_wald(fx.pheno(s, d), fx.geno(s, d), ["x1"], extras=["g * x1"]), 1))
-
-
 @query("T10_linear_score", duck("pheno geno", """, z AS (SELECT fid, count(*) AS size FROM pheno GROUP BY 1), nul AS (SELECT avg(y) AS my, var_pop(y) AS s2 FROM pheno),
 r AS (SELECT variant, fid, size, y - my AS r, s2, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) AS g FROM geno JOIN pheno USING (iid) JOIN z USING (fid), nul),
 c AS (SELECT *, g - avg(g) OVER (PARTITION BY variant) AS e FROM r),
@@ -461,8 +394,8 @@ t AS (SELECT variant, sum(m) AS n, any_value(s2) AS s2, sum(s) / any_value(s2) A
 o AS (SELECT *, CASE WHEN 1 / v0 < 1 / va - 1e-8 THEN va ELSE v0 END AS v FROM t)
 SELECT variant, CAST(n AS BIGINT) AS n, round(u, 5) + 0.0 AS u, round(v, 4) AS v, round(u / v, 6) + 0.0 AS beta, round(1 / sqrt(v), 6) AS se FROM o"""))
 def _(s, d):
-    p, g = fx.pheno(s, d), fx.geno(s, d)
-    out = score.linear_score(p, g, score.fit_null_linear(p), stats.variant_stats(g))
+    p = fx.pheno(s, d)
+    out = packed.score_scan(*_scan(s, d, p), score.fit_null_linear(p))
     return out.select("variant", "n", (F.round("u", 5) + 0.0).alias("u"), F.round("v", 4).alias("v"), (F.round("beta", 6) + 0.0).alias("beta"), F.round("se", 6).alias("se"))
 
 
@@ -474,8 +407,8 @@ t AS (SELECT variant, sum(m) AS n, sum(s) AS u, sum(CASE WHEN size = 1 THEN q EL
 o AS (SELECT *, CASE WHEN 1 / v0 < 1 / va - 1e-8 THEN va ELSE v0 END AS v FROM t)
 SELECT variant, CAST(n AS BIGINT) AS n, round(u, 5) + 0.0 AS u, round(v, 4) AS v, round(u / v, 6) + 0.0 AS beta FROM o"""))
 def _(s, d):
-    p, g = fx.pheno(s, d).withColumn("y", F.col("yb").cast("double")), fx.geno(s, d)
-    out = score.logistic_score(p, g, score.fit_null_logistic(p), stats.variant_stats(g))
+    p = fx.pheno(s, d).withColumn("y", F.col("yb").cast("double"))
+    out = packed.score_scan(*_scan(s, d, p, "logistic"), score.fit_null_logistic(p))
     return out.select("variant", "n", (F.round("u", 5) + 0.0).alias("u"), F.round("v", 4).alias("v"), (F.round("beta", 6) + 0.0).alias("beta"))
 
 
@@ -535,13 +468,6 @@ def _(s, d):
     return rounded(survival.influence(fx.surv(s, d).withColumn("entry", F.lit(-1).cast("long")), "arm"))
 
 
-@query("V6_dual_log_rank")
-def _(s, d):
-    a = fx.surv(s, d).withColumn("entry", F.lit(-1).cast("long"))
-    b = a.withColumns({"event": F.col("event") & (F.col("exit") < 1500), "exit": F.least(F.col("exit"), F.lit(1500).cast("long"))})
-    return rounded(survival.dual_log_rank(a, b, "arm"))
-
-
 # --- windows, quality checks -----------------------------------------------------------------------------------
 @query("W7_sort_check", duck("align", ", o AS (SELECT rname, pos, l_orderkey AS k, l_linenumber AS n FROM (SELECT l_suppkey % 5 AS rname, l_partkey AS pos, l_orderkey, l_linenumber FROM lineitem)), p AS (SELECT *, lag(pos) OVER (PARTITION BY rname ORDER BY k, n, pos) AS before FROM o) SELECT rname, count(*) AS n_out_of_order FROM p WHERE pos < before GROUP BY 1"))
 def _(s, d):
@@ -592,40 +518,16 @@ a AS (SELECT variant, sum(d * (s2 / s0 - (s1 / s0) * (s1 / s0))) AS va FROM k GR
 t AS (SELECT variant, sum(m) AS n, sum(s) AS u, sum(CASE WHEN size = 1 THEN q ELSE s * s END) AS v0 FROM fam GROUP BY 1)
 SELECT variant, CAST(n AS BIGINT) AS n, round(u, 5) + 0.0 AS u, round(CASE WHEN 1 / v0 < 1 / va - 1e-8 THEN va ELSE v0 END, 5) AS v, round(va, 5) AS v_a FROM t JOIN a USING (variant)"""))
 def _(s, d):
-    out = score.cox_score(fx.surv(s, d), fx.geno(s, d), score.fit_null_cox(fx.surv(s, d), []))
+    out = packed.score_scan(*_scan(s, d, fx.surv(s, d), "cox"), score.fit_null_cox(fx.surv(s, d), []))
     return rounded(out.select("variant", "n", "u", "v", "v_a"), 5)
 
 
-@query("N3_T10_cox_score")
-def _(s, d):
-    p = fx.surv(s, d)
-    return rounded(score.cox_score(p, fx.geno(s, d), score.fit_null_cox(p, ["x1"])), 5)
-
-
-@query("T18_stratified_cox")
-def _(s, d):
-    return rounded(survival.cox_regression(fx.surv(s, d), ["arm", "x1"], robust=True), 5)
-
-
-@query("T19_dual_covariance")
-def _(s, d):
-    a = fx.surv(s, d)
-    b = a.withColumns({"event": F.col("event") & (F.col("exit") < 1500), "exit": F.least(F.col("exit"), F.lit(1500).cast("long"))})
-    return rounded(survival.dual_covariance(a, b, ["arm", "x1"]))
-
-
 @query("T20_summaries", duck("pheno", "SELECT iid, round(y * y, 6) AS squared, round(sqrt(wt), 6) AS se, round(y / sqrt(wt), 6) + 0.0 AS z, round(2 * 1.9599639845 * sqrt(wt), 6) AS ci_width FROM pheno"))
 def _(s, d):
     rows = fx.pheno(s, d).select("iid", F.col("y").alias("estimate"), F.col("wt").alias("variance"))
     return rounded(survival.summarize(rows).select("iid", "squared", "se", "z", "ci_width"))
 
 
-@query("T20_log_rank_summaries", duck("pheno", "SELECT iid, round(sqrt(wt), 6) AS se, round(y / wt, 6) + 0.0 AS peto, round(1 / wt, 6) AS peto_variance, round(1 / sqrt(wt), 6) AS peto_se FROM pheno"))
-def _(s, d):
-    rows = fx.pheno(s, d).select("iid", F.col("y").alias("u"), F.col("wt").alias("v"))
-    return rounded(survival.summarize_log_rank(rows).select("iid", "se", "peto", "peto_variance", "peto_se"))
-
-
 @query("A9_gene_moments", duck("pheno geno variants groups", """, nul AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a, (regr_syy(y, x1) - regr_sxy(y, x1) * regr_sxy(y, x1) / regr_sxx(y, x1)) / count(*) AS s2 FROM pheno),
 f AS (SELECT variant, iid, x1, y, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) AS g FROM geno JOIN pheno USING (iid)),
 h AS (SELECT variant, regr_slope(g, x1) AS hb, regr_intercept(g, x1) AS ha FROM f GROUP BY 1),
@@ -651,48 +553,11 @@ def _(s, d):
     return pedigree.mendel_errors(fx.ped(s, d), fx.markers(s, d), x=True).select("pid", "marker")
 
 
-_READS = """r AS (SELECT doc_id AS id, doc_id % 5 AS rname, doc_id AS pos, regexp_replace(translate(substr(text, 1, 20), 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS seq,
-  repeat(chr(CAST(40 + doc_id % 20 AS INT)), CAST(length(substr(text, 1, 20)) AS INT)) AS qual FROM documents WHERE length(text) > 0),
+_READS = """r AS (SELECT doc_id AS id, doc_id % 5 AS rname, doc_id AS pos, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS seq,
+  repeat(chr(CAST(40 + doc_id % 20 AS INT)), CAST(length(text) AS INT)) AS qual FROM documents WHERE length(text) > 0),
 b AS (SELECT id, rname, pos + unnest(range(length(seq))) AS refpos, unnest(string_split(seq, '')) AS base, unicode(qual) - 33 AS q FROM r)"""
 
 
-def _reads(spark, d):
-    cut = F.substring("text", 1, 20)
-    i = F.col("doc_id")
-    return fx.table(spark, d, "documents").where("length(text) > 0").select(
-        i.alias("id"), (i % 5).alias("rname"), i.alias("pos"), F.regexp_replace(F.translate(cut, "acgt", "ACGT"), "[^ACGT]", "N").alias("seq"), F.expr("repeat(char(cast(40 + doc_id % 20 as int)), length(substring(text, 1, 20)))").alias("qual"),
-        F.concat(F.length(cut).cast("string"), F.lit("M")).alias("cigar"), F.lit(0).alias("flag"),
-    )
-
-
-@query("A18_pileup", "WITH " + _READS + " SELECT rname, refpos, count(*) AS depth, string_agg(base, '' ORDER BY base) AS bases FROM b GROUP BY 1, 2")
-def _(s, d):
-    return reads.pileup(_reads(s, d))
-
-
-@query("QG_mismatch_filter", "WITH " + _READS + """, m AS (SELECT id, sum(q) FILTER (base <> substr('ACGT', CAST(refpos % 4 + 1 AS INT), 1)) AS bad FROM b GROUP BY 1)
-SELECT id, CASE WHEN bad > 250 THEN 4 ELSE 0 END AS flag FROM m""")
-def _(s, d):
-    rows = _reads(s, d)
-    sites = rows.select("rname", F.explode(F.sequence("pos", F.col("pos") + F.length("seq") - 1)).alias("pos")).distinct()
-    ref = sites.withColumn("base", F.expr("substring('ACGT', cast(pos % 4 + 1 as int), 1)"))
-    return reads.mismatch_filter(rows, ref, 250).select("id", "flag")
-
-
-@query("QF_fastq_checks", """WITH r AS (SELECT doc_id, '@r' || doc_id % 150 || ' x' AS id_line, 'r' || doc_id % 150 AS name, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 20) ELSE regexp_replace(translate(substr(text, 1, CAST(8 + doc_id % 13 AS INT)), 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') END AS seq,
-  CASE WHEN doc_id % 5 = 0 THEN '+other' ELSE '+' END AS plus, repeat('I', CAST(8 + doc_id % 13 AS INT)) AS qual FROM documents WHERE length(text) >= 20)
-SELECT doc_id, concat_ws('; ', CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'duplicate id' END, CASE WHEN NOT regexp_full_match(seq, '[ACGTNacgtn.]*') THEN 'invalid base' END, CASE WHEN length(seq) < 10 THEN 'read too short' END,
-  CASE WHEN plus <> '+' THEN 'plus line differs' END, CASE WHEN length(seq) <> length(qual) THEN 'lengths differ' END) AS errors FROM r""")
-def _(s, d):
-    k = "cast(8 + doc_id % 13 as int)"
-    rows = fx.table(s, d, "documents").where("length(text) >= 20").select(
-        "doc_id", (F.col("doc_id") * 4 + 1).alias("line"), F.expr("concat('@r', cast(doc_id % 150 as string), ' x')").alias("id_line"),
-        F.expr(f"CASE WHEN doc_id % 7 = 0 THEN substring(text, 1, 20) ELSE regexp_replace(translate(substring(text, 1, {k}), 'acgt', 'ACGT'), '[^ACGT]', 'N') END").alias("seq"),
-        F.expr("CASE WHEN doc_id % 5 = 0 THEN '+other' ELSE '+' END").alias("plus"), F.expr(f"repeat('I', {k})").alias("qual"),
-    )
-    return reads.validate_fastq(rows).select("doc_id", F.array_join("errors", "; ").alias("errors"))
-
-
 @query("QF_interleaved_pairs", """WITH r AS (SELECT doc_id // 2 AS pair, doc_id % 2 AS k, 'r' || (doc_id // 2 + CASE WHEN doc_id % 14 = 1 THEN 1 ELSE 0 END) || '/' || (doc_id % 2 + 1) AS name FROM documents),
 p AS (SELECT pair, max(name) FILTER (k = 0) AS first, max(name) FILTER (k = 1) AS second FROM r GROUP BY 1)
 SELECT * FROM p WHERE second IS NULL OR regexp_replace(first, '/1$', '') <> regexp_replace(second, '/2$', '')""")
@@ -701,34 +566,26 @@ def _(s, d):
     return reads.interleaved_errors(fx.table(s, d, "documents").select((F.col("doc_id") * 4 + 1).alias("line"), name.alias("id_line")))
 
 
-@query("W5_trim_ends", """WITH r AS (SELECT doc_id, [unicode(c) % 40 FOR c IN string_split(substr(text, 1, 20), '')] AS q FROM documents WHERE length(text) >= 4),
-f AS (SELECT doc_id, q, coalesce(list_filter(range(0, len(q) - 3), lambda i: q[i + 1] + q[i + 2] + q[i + 3] + q[i + 4] > 80)[1], len(q)) AS first FROM r)
-SELECT doc_id, CAST(coalesce(list_max(list_filter(range(1, first + 1), lambda p: q[p] < 20)), 0) AS INT) AS cut FROM f""")
-def _(s, d):
-    rows = fx.table(s, d, "documents").where("length(text) >= 4").select("doc_id", F.expr("transform(filter(split(substring(text, 1, 20), ''), c -> c <> ''), c -> ascii(c) % 40)").alias("q"))
-    return rows.select("doc_id", reads.trim_index(F.col("q"), 20).alias("cut"))
-
-
 @query("W6_coordinate_sort", duck("align", "SELECT rname, pos, len, count(*) AS n FROM align GROUP BY 1, 2, 3"))
 def _(s, d):
     return reads.coordinate_sorted(fx.align(s, d).groupBy("rname", "pos", "len").agg(F.count("*").alias("n")))
 
 
-# --- whole inputs: the queries above that read a part of the ids or of each text, here over all of it ---------------
-@query("F9_no_missing_all", duck("pheno geno", "SELECT variant FROM geno GROUP BY 1 HAVING count(*) = count(g)"))
+# --- whole texts and all pairs of ids ------------------------------------------------------------------------------
+@query("F9_no_missing", duck("pheno geno", "SELECT variant FROM geno GROUP BY 1 HAVING count(*) = count(g)"))
 def _(s, d):
     return filters.no_missing_gt(fx.geno(s, d))
 
 
 for _how, _test in (("overlapping", 'a.start <= b."end" AND b.start <= a."end"'), ("containing", 'a.start <= b.start AND b."end" <= a."end"'), ("contained", 'b.start <= a.start AND a."end" <= b."end"')):
 
-    @query(f"J11_{_how}_all", duck("regions", f"SELECT a.id AS a_id, b.id AS b_id FROM regions a JOIN regions b ON a.chrom = b.chrom AND {_test} WHERE a.id < b.id"))
+    @query(f"J11_{_how}", duck("regions", f"SELECT a.id AS a_id, b.id AS b_id FROM regions a JOIN regions b ON a.chrom = b.chrom AND {_test} WHERE a.id < b.id"))
     def _(s, d, how=_how):
         r = fx.regions(s, d)
         return link.interval_join(r, r, how).where("a_id < b_id")
 
 
-@query("A7_design_meat_all", duck("pheno", """, s AS (SELECT *, CAST(x1 AS BIGINT) % 3 AS study, iid // 12 AS cluster, 1 / wt AS p FROM pheno),
+@query("A7_design_meat", duck("pheno", """, s AS (SELECT *, CAST(x1 AS BIGINT) % 3 AS study, iid // 12 AS cluster, 1 / wt AS p FROM pheno),
 q AS (SELECT a.study, CASE WHEN a.iid = b.iid THEN a.p ELSE least(1, a.p * b.p * (1 + ((a.iid + b.iid) % 3) * 0.05)) END AS pij, a.p AS pi, b.p AS pj, a.wt AS wi, b.wt AS wj, a.fid = b.fid AS same, a.y AS yi, b.y AS yj FROM s a JOIN s b USING (study, cluster))
 SELECT round(sum(yi * yj * CASE WHEN same THEN wi * wj ELSE (pij - pi * pj) * wi * wj / pij END), 4) AS meat FROM q"""))
 def _(s, d):
@@ -745,23 +602,20 @@ def _(s, d):
 _CHARS = "c AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS cycle, unnest(l) AS ch FROM (SELECT doc_id, string_split(text, '') AS l FROM documents WHERE text <> ''))"
 
 
-@query("A11_base_composition_all", f"WITH {_CHARS}, e AS (SELECT cycle, regexp_replace(translate(lower(ch), 'aeinorst', 'ACGTACGT'), '[^ACGT]', 'N') AS base FROM c) SELECT cycle, count(*) AS n, round(100.0 * count(*) FILTER (base = 'A') / count(*), 6) AS pct_a, round(100.0 * count(*) FILTER (base = 'N') / count(*), 6) AS pct_n FROM e GROUP BY 1")
+@query("A11_base_composition", f"WITH {_CHARS}, e AS (SELECT cycle, regexp_replace(translate(lower(ch), 'aeinorst', 'ACGTACGT'), '[^ACGT]', 'N') AS base FROM c) SELECT cycle, count(*) AS n, round(100.0 * count(*) FILTER (base = 'A') / count(*), 6) AS pct_a, round(100.0 * count(*) FILTER (base = 'N') / count(*), 6) AS pct_n FROM e GROUP BY 1")
 def _(s, d):
     seq = F.regexp_replace(F.translate(F.lower("text"), "aeinorst", "ACGTACGT"), "[^ACGT]", "N")
     out = reads.base_composition(fx.table(s, d, "documents").select(seq.alias("seq")))
     return rounded(out.select(F.col("cycle").cast("long").alias("cycle"), "n", "pct_a", "pct_n"))
 
 
-@query("A12_quality_by_cycle_all", f"WITH {_CHARS} SELECT cycle, round(avg(unicode(ch) % 40), 6) AS quality FROM c GROUP BY 1")
+@query("A12_quality_by_cycle", f"WITH {_CHARS} SELECT cycle, round(avg(unicode(ch) % 40), 6) AS quality FROM c GROUP BY 1")
 def _(s, d):
     chars = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.char(33 + F.ascii(c) % 40))
     return rounded(reads.quality_by_cycle(fx.table(s, d, "documents").select(F.array_join(chars, "").alias("qual"))).select(F.col("cycle").cast("long").alias("cycle"), "quality"))
 
 
-_WHOLE_READS = _READS.replace("substr(text, 1, 20)", "text")
-
-
-def _whole_reads(spark, d):
+def _reads(spark, d):
     i = F.col("doc_id")
     return fx.table(spark, d, "documents").where("length(text) > 0").select(
         i.alias("id"), (i % 5).alias("rname"), i.alias("pos"), F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "N").alias("seq"), F.expr("repeat(char(cast(40 + doc_id % 20 as int)), length(text))").alias("qual"),
@@ -769,21 +623,21 @@ def _whole_reads(spark, d):
     )
 
 
-@query("A18_pileup_all", "WITH " + _WHOLE_READS + " SELECT rname, refpos, count(*) AS depth, string_agg(base, '' ORDER BY base) AS bases FROM b GROUP BY 1, 2")
+@query("A18_pileup", "WITH " + _READS + " SELECT rname, refpos, count(*) AS depth, string_agg(base, '' ORDER BY base) AS bases FROM b GROUP BY 1, 2")
 def _(s, d):
-    return reads.pileup(_whole_reads(s, d))
+    return reads.pileup(_reads(s, d))
 
 
-@query("QG_mismatch_filter_all", "WITH " + _WHOLE_READS + """, m AS (SELECT id, sum(q) FILTER (base <> substr('ACGT', CAST(refpos % 4 + 1 AS INT), 1)) AS bad FROM b GROUP BY 1)
+@query("QG_mismatch_filter", "WITH " + _READS + """, m AS (SELECT id, sum(q) FILTER (base <> substr('ACGT', CAST(refpos % 4 + 1 AS INT), 1)) AS bad FROM b GROUP BY 1)
 SELECT id, CASE WHEN bad > 250 THEN 4 ELSE 0 END AS flag FROM m""")
 def _(s, d):
-    rows = _whole_reads(s, d)
+    rows = _reads(s, d)
     sites = rows.groupBy("rname").agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.length("seq") - 1).alias("b")).select("rname", F.explode(F.sequence("a", "b")).alias("pos"))
     ref = sites.withColumn("base", F.expr("substring('ACGT', cast(pos % 4 + 1 as int), 1)"))
     return reads.mismatch_filter(rows, ref, 250).select("id", "flag")
 
 
-@query("QF_fastq_checks_all", """WITH r AS (SELECT doc_id, 'r' || doc_id % 150 AS name, CASE WHEN doc_id % 7 = 0 THEN text ELSE regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') END AS seq,
+@query("QF_fastq_checks", """WITH r AS (SELECT doc_id, 'r' || doc_id % 150 AS name, CASE WHEN doc_id % 7 = 0 THEN text ELSE regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') END AS seq,
   CASE WHEN doc_id % 5 = 0 THEN '+other' ELSE '+' END AS plus, length(text) + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS n_qual FROM documents WHERE length(text) > 0)
 SELECT doc_id, concat_ws('; ', CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'duplicate id' END, CASE WHEN NOT regexp_full_match(seq, '[ACGTNacgtn.]*') THEN 'invalid base' END, CASE WHEN length(seq) < 10 THEN 'read too short' END,
   CASE WHEN plus <> '+' THEN 'plus line differs' END, CASE WHEN length(seq) <> n_qual THEN 'lengths differ' END) AS errors FROM r""")
@@ -796,7 +650,7 @@ def _(s, d):
     return reads.validate_fastq(rows).select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("W5_trim_ends_all", """WITH r AS (SELECT doc_id, [unicode(c) % 40 FOR c IN string_split(text, '')] AS q FROM documents WHERE length(text) >= 4),
+@query("W5_trim_ends", """WITH r AS (SELECT doc_id, [unicode(c) % 40 FOR c IN string_split(text, '')] AS q FROM documents WHERE length(text) >= 4),
 f AS (SELECT doc_id, q, coalesce(list_filter(range(0, len(q) - 3), lambda i: q[i + 1] + q[i + 2] + q[i + 3] + q[i + 4] > 80)[1], len(q)) AS first FROM r)
 SELECT doc_id, CAST(coalesce(list_max(list_filter(range(1, first + 1), lambda p: q[p] < 20)), 0) AS INT) AS cut FROM f""")
 def _(s, d):
@@ -804,7 +658,179 @@ def _(s, d):
     return rows.select("doc_id", reads.trim_index(F.col("q"), 20).alias("cut"))
 
 
-@query("M15_phred_all", f"WITH {_CHARS} SELECT doc_id, cycle, ascii(ch) - 33 AS q FROM c WHERE ascii(ch) BETWEEN 33 AND 126")
+@query("M15_phred", f"WITH {_CHARS} SELECT doc_id, count(*) AS n, CAST(sum(ascii(ch) - 33) AS BIGINT) AS total, min(ascii(ch) - 33) AS least, max(ascii(ch) - 33) AS most FROM c WHERE ascii(ch) BETWEEN 33 AND 126 GROUP BY 1")
+def _(s, d):
+    at = fx.table(s, d, "documents").select("doc_id", F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch")).where(F.ascii("ch").between(33, 126))
+    q = scalar.phred(F.col("ch"))
+    return at.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(q).cast("long").alias("total"), F.min(q).alias("least"), F.max(q).alias("most"))
+
+
+@query("T20_log_rank_summaries", duck("pheno", "SELECT iid, round(sqrt(wt), 8) AS se, round(y / wt, 8) + 0.0 AS peto, round(1 / wt, 8) AS peto_variance, round(1 / sqrt(wt), 8) AS peto_se FROM pheno"))
+def _(s, d):
+    rows = fx.pheno(s, d).select("iid", F.col("y").alias("u"), F.col("wt").alias("v"))
+    return rounded(survival.summarize_log_rank(rows).select("iid", "se", "peto", "peto_variance", "peto_se"), 8)
+
+
+# --- packed scans, and fits whose twins unroll Newton's steps --------------------------------------------------------
+def _scan(s, d, pheno, model="linear", covariates=(), gt=None, **options):
+    gt = fx.geno(s, d) if gt is None else gt
+    made = packed.design(pheno, list(covariates), model, genotyped=gt, **options)
+    return packed.pack(gt, made), made
+
+
+_SIZES = ", z AS (SELECT fid, count(*) = 1 AS single FROM {of} GROUP BY 1)"
+_VARIANT_COX = ", rows AS (SELECT variant AS v, 0 AS part, s.iid, s.fid, single, entry, exit, event, CAST(g AS DOUBLE) AS p, x1 AS q FROM geno JOIN surv s USING (iid) JOIN z ON z.fid = s.fid WHERE g IS NOT NULL)"
+
+
+@query("T3_logistic_wald", duck("pheno geno", _SIZES.format(of="pheno") + ", r AS (SELECT variant, fid, single, g, yb AS y FROM geno JOIN pheno USING (iid) JOIN z USING (fid) WHERE g IS NOT NULL)" + twins.logistic("r") + " SELECT variant, n, round(beta, 4) + 0.0 AS beta, round(sqrt(CASE WHEN var < model - 1e-8 THEN model ELSE var END), 4) AS se, round(beta * beta / CASE WHEN var < model - 1e-8 THEN model ELSE var END, 3) AS chisq FROM lv"))
+def _(s, d):
+    return _slim(packed.wald_scan(*_scan(s, d, fx.pheno(s, d).withColumn("y", F.col("yb")), "logistic")), 4)
+
+
+@query("T4_cox_wald", duck("pheno geno surv", _SIZES.format(of="surv") + _VARIANT_COX + twins.cox("rows") + twins.cox_sandwich() + ", n AS (SELECT v, count(*) AS n FROM rows GROUP BY 1), o AS (SELECT v, n, a, CASE WHEN v11 < m11 - 1e-8 THEN m11 ELSE v11 END AS var FROM cv JOIN n USING (v)) SELECT v AS variant, n, round(a, 4) + 0.0 AS beta, round(sqrt(var), 4) AS se, round(a * a / var, 3) AS chisq FROM o"))
+def _(s, d):
+    return _slim(packed.wald_scan(*_scan(s, d, fx.surv(s, d), "cox", ["x1"])), 4)
+
+
+@query("N3_T10_cox_score", duck("pheno geno surv", _SIZES.format(of="surv") + ", base AS (SELECT 0 AS v, 0 AS part, iid, fid, false AS single, entry, exit, event, x1 AS p, 0.0::DOUBLE AS q FROM surv)" + twins.cox("base", "n", one=True) + """
+, rows AS (SELECT variant AS v, 0 AS part, s.iid, s.fid, single, entry, exit, event, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) AS p, x1 AS q FROM geno JOIN surv s USING (iid) JOIN z ON z.fid = s.fid),
+start AS (SELECT v, 0.0::DOUBLE AS a, b FROM (SELECT DISTINCT v FROM rows), (SELECT a AS b FROM nf))""" + twins.cox("rows", given="start") + """
+, s AS (SELECT v, fid, any_value(single) AS single, sum(u1) AS u, sum(u1 - i12 / i22 * u2) AS s, sum(c11 - 2 * i12 / i22 * c12 + (i12 / i22) * (i12 / i22) * c22) AS q, count(*) AS m FROM cr JOIN ci USING (v) GROUP BY 1, 2),
+t AS (SELECT v, sum(m) AS n, sum(u) AS u, sum(CASE WHEN single THEN q ELSE s * s END) AS v0, any_value(i11 - i12 * i12 / i22) AS va FROM s JOIN ci USING (v) GROUP BY 1),
+o AS (SELECT *, CASE WHEN 1 / v0 < 1 / va - 1e-8 THEN va ELSE v0 END AS vv FROM t)
+SELECT v AS variant, CAST(n AS BIGINT) AS n, round(u, 4) + 0.0 AS u, round(vv, 4) AS v, round(va, 4) AS v_a, round(u / vv, 5) + 0.0 AS beta, round(1 / sqrt(vv), 5) AS se FROM o"""))
+def _(s, d):
+    p = fx.surv(s, d)
+    out = packed.score_scan(*_scan(s, d, p, "cox", ["x1"]), score.fit_null_cox(p, ["x1"]))
+    return out.select("variant", "n", (F.round("u", 4) + 0.0).alias("u"), F.round("v", 4).alias("v"), F.round("v_a", 4).alias("v_a"), (F.round("beta", 5) + 0.0).alias("beta"), F.round("se", 5).alias("se"))
+
+
+@query("T7_conditional", duck("pheno geno", """, c AS (SELECT iid, g AS c3 FROM geno WHERE variant = 3 AND g IS NOT NULL), z AS (SELECT fid, count(*) = 1 AS single FROM pheno JOIN c USING (iid) GROUP BY 1),
+r AS (SELECT variant, fid, single, g - avg(g) OVER w AS p, c3 - avg(c3) OVER w AS q, y - avg(y) OVER w AS y FROM geno JOIN pheno USING (iid) JOIN c USING (iid) JOIN z USING (fid) WHERE g IS NOT NULL AND variant <> 3 WINDOW w AS (PARTITION BY variant))""" + twins.two_terms("r") + """
+SELECT variant, 'g' AS term, round(b1, 6) + 0.0 AS beta, round(sqrt(v11), 6) AS se FROM ov UNION ALL SELECT variant, 'c_3', round(b2, 6) + 0.0, round(sqrt(v22), 6) FROM ov"""))
+def _(s, d):
+    gt = fx.geno(s, d)
+    p = link.attach_conditions(fx.pheno(s, d), gt, [3])
+    found = packed.wald_scan(*_scan(s, d, p, "linear", ["c_3"], gt.where("variant <> 3")))
+    return rounded(packed.term_rows(found, {"g": 0, "c_3": 2}).drop("pvalue"))
+
+
+_CROSS = """, r0 AS (SELECT variant, fid, single, CAST(g AS DOUBLE) AS g, g * x1 AS gx, x1, y FROM geno JOIN pheno USING (iid) JOIN z USING (fid) WHERE g IS NOT NULL),
+f0 AS (SELECT variant, regr_slope(g, x1) AS bg, regr_intercept(g, x1) AS ag, regr_slope(gx, x1) AS bx, regr_intercept(gx, x1) AS ax, regr_slope(y, x1) AS by_, regr_intercept(y, x1) AS ay FROM r0 GROUP BY 1),
+r AS (SELECT variant, fid, single, g - ag - bg * x1 AS p, gx - ax - bx * x1 AS q, y - ay - by_ * x1 AS y FROM r0 JOIN f0 USING (variant))"""
+
+
+@query("T8_interaction", duck("pheno geno", _SIZES.format(of="pheno") + _CROSS + twins.two_terms("r") + ", t AS (SELECT *, (b1 * b1 * v22 - 2 * b1 * b2 * v12 + b2 * b2 * v11) / (v11 * v22 - v12 * v12) AS both_ FROM ov) SELECT variant, round(b1 * b1 / v11, 5) AS chisq_g, round(b2 * b2 / v22, 5) AS chisq_inter, round(both_, 5) AS chisq_both, round(exp(-both_ / 2), 6) AS p_both FROM t"))
 def _(s, d):
-    at = fx.table(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("cycle", "ch"))
-    return at.where(F.ascii("ch").between(33, 126)).select("doc_id", F.col("cycle").cast("long").alias("cycle"), scalar.phred(F.col("ch")).alias("q"))
+    found = wald.interaction_test(packed.wald_scan(*_scan(s, d, fx.pheno(s, d), "linear", ["x1"]), ["x1"]), 1)
+    return found.select("variant", F.round("chisq_g", 5).alias("chisq_g"), F.round("chisq_inter", 5).alias("chisq_inter"), F.round("chisq_both", 5).alias("chisq_both"), F.round("p_both", 6).alias("p_both"))
+
+
+@query("T8_interaction_detail", duck("pheno geno", _SIZES.format(of="pheno") + _CROSS + twins.two_terms("r") + " SELECT variant, 'g' AS a, 'g' AS b, round(v11, 7) AS cov FROM ov UNION ALL SELECT variant, 'g', 'g_x_x1', round(v12, 7) + 0.0 FROM ov UNION ALL SELECT variant, 'g_x_x1', 'g_x_x1', round(v22, 7) FROM ov"))
+def _(s, d):
+    found = packed.wald_scan(*_scan(s, d, fx.pheno(s, d), "linear", ["x1"]), ["x1"])
+    return rounded(packed.covariances(found, {"g": 0, "g_x_x1": 2}), 7)
+
+
+_STRATA = ", rows AS (SELECT 0 AS v, stratum AS part, iid, iid AS fid, false AS single, entry, exit, event, arm AS p, x1 AS q FROM surv)"
+_LATE = ", late AS (SELECT 0 AS v, stratum AS part, iid, iid AS fid, false AS single, entry, least(exit, 1500) AS exit, event AND exit < 1500 AS event, arm AS p, x1 AS q FROM surv)"
+
+
+@query("T18_stratified_cox", duck("pheno surv", _STRATA + twins.cox("rows") + twins.cox_sandwich() + " SELECT 'arm' AS term, round(a, 5) + 0.0 AS beta, round(sqrt(v11), 5) AS se, round(a / sqrt(v11), 5) + 0.0 AS z FROM cv UNION ALL SELECT 'x1', round(b, 5) + 0.0, round(sqrt(v22), 5), round(b / sqrt(v22), 5) + 0.0 FROM cv"))
+def _(s, d):
+    return rounded(survival.cox_regression(fx.surv(s, d), ["arm", "x1"], robust=True).drop("pvalue"), 5)
+
+
+@query("T19_dual_covariance", duck("pheno surv", _STRATA + _LATE + twins.cox("rows", "a") + twins.cox("late", "b") + """
+, x AS (SELECT sum(a.u1 * b.u1) AS c11, sum(a.u1 * b.u2) AS c12, sum(a.u2 * b.u1) AS c21, sum(a.u2 * b.u2) AS c22 FROM ar a JOIN br b USING (iid)),
+i AS (SELECT a.i22 / (a.i11 * a.i22 - a.i12 * a.i12) AS a11, -a.i12 / (a.i11 * a.i22 - a.i12 * a.i12) AS a12, a.i11 / (a.i11 * a.i22 - a.i12 * a.i12) AS a22, b.i22 / (b.i11 * b.i22 - b.i12 * b.i12) AS b11, -b.i12 / (b.i11 * b.i22 - b.i12 * b.i12) AS b12, b.i11 / (b.i11 * b.i22 - b.i12 * b.i12) AS b22 FROM ai a, bi b),
+h AS (SELECT a11 * c11 + a12 * c21 AS h11, a11 * c12 + a12 * c22 AS h12, a12 * c11 + a22 * c21 AS h21, a12 * c12 + a22 * c22 AS h22, i.* FROM i, x),
+o AS (SELECT 'arm' AS term_a, 'arm' AS term_b, h11 * b11 + h12 * b12 AS c, a11 * b11 AS m FROM h UNION ALL SELECT 'arm', 'x1', h11 * b12 + h12 * b22, a11 * b22 FROM h UNION ALL SELECT 'x1', 'arm', h21 * b11 + h22 * b12, a22 * b11 FROM h UNION ALL SELECT 'x1', 'x1', h21 * b12 + h22 * b22, a22 * b22 FROM h)
+SELECT term_a, term_b, round(c, 6) + 0.0 AS covariance, round(c / sqrt(m), 6) + 0.0 AS correlation FROM o"""))
+def _(s, d):
+    a = fx.surv(s, d)
+    b = a.withColumns({"event": F.col("event") & (F.col("exit") < 1500), "exit": F.least(F.col("exit"), F.lit(1500).cast("long"))})
+    return rounded(survival.dual_covariance(a, b, ["arm", "x1"]))
+
+
+@query("V6_dual_log_rank", duck("pheno surv", (_STRATA + _LATE).replace(" entry,", " -1 AS entry,") + ", zero AS (SELECT 0 AS v, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)" + twins.cox("rows", "a", given="zero") + twins.cox("late", "b", given="zero") + """
+, x AS (SELECT sum(a.u1 * b.u1) AS c FROM ar a JOIN br b USING (iid)) SELECT round(c, 6) + 0.0 AS covariance, round(c / sqrt(a.i11 * b.i11), 6) + 0.0 AS correlation FROM x, ai a, bi b"""))
+def _(s, d):
+    a = fx.surv(s, d).withColumn("entry", F.lit(-1).cast("long"))
+    b = a.withColumns({"event": F.col("event") & (F.col("exit") < 1500), "exit": F.least(F.col("exit"), F.lit(1500).cast("long"))})
+    return rounded(survival.dual_log_rank(a, b, "arm"))
+
+
+def _study_probs(s, d):
+    """Subjects with a study, and joint inclusion probabilities of those that share a sampling cluster of 12 neighbouring ids."""
+    p = fx.pheno(s, d).withColumn("study", F.col("x1").cast("long") % 3)
+    own = p.select("study", F.floor(F.col("iid") / 12).alias("cluster"), F.col("iid").alias("iid_i"), (1 / F.col("wt")).alias("a"))
+    other = own.select("study", "cluster", F.col("iid_i").alias("iid_j"), F.col("a").alias("b"))
+    joint = F.least(F.lit(1.0), F.col("a") * F.col("b") * (1 + ((F.col("iid_i") + F.col("iid_j")) % 3) * 0.05))
+    return p, own.join(other, ["study", "cluster"]).select("study", "iid_i", "iid_j", F.when(F.col("iid_i") == F.col("iid_j"), F.col("a")).otherwise(joint).alias("pi"))
+
+
+_DELTA = """, s AS (SELECT *, CAST(x1 AS BIGINT) % 3 AS study, iid // 12 AS cluster, 1 / wt AS pi FROM pheno),
+r AS (SELECT variant, iid, s.fid, study, cluster, wt AS w, pi, CAST(g AS DOUBLE) AS g, {y} AS y FROM geno JOIN s USING (iid) WHERE g IS NOT NULL),
+q AS (SELECT variant, a.iid AS i, b.iid AS j, a.h * a.e AS x, b.h * b.e AS x2, a.h1 * a.e AS k, b.h1 * b.e AS k2,
+ CASE WHEN a.fid = b.fid THEN a.w * b.w ELSE (least(1, a.pi * b.pi * (1 + ((a.iid + b.iid) % 3) * 0.05)) - a.pi * b.pi) * a.w * b.w / least(1, a.pi * b.pi * (1 + ((a.iid + b.iid) % 3) * 0.05)) END AS delta FROM f a JOIN f b USING (variant, study, cluster))"""
+
+
+@query("T1_inclusion_probabilities", duck("pheno geno", _DELTA.format(y="y").split("\nq AS")[0].rstrip(",") + """,
+m AS (SELECT variant, count(*) AS n, sum(w) AS sw, sum(w * g) / sum(w) AS mg, sum(w * y) / sum(w) AS my FROM r GROUP BY 1),
+b AS (SELECT variant, sum(w * (g - mg) * (g - mg)) AS sxx, sum(w * (g - mg) * (y - my)) / sum(w * (g - mg) * (g - mg)) AS beta FROM r JOIN m USING (variant) GROUP BY 1),
+f AS (SELECT r.*, y - my - beta * (g - mg) AS e, (g - mg) / sxx AS h, 1 / sw - mg * (g - mg) / sxx AS h1 FROM r JOIN m USING (variant) JOIN b USING (variant)),
+""" + "q AS" + _DELTA.split("\nq AS")[1] + """,
+o AS (SELECT variant, sum(delta * x * x2) AS var, sum(delta * k * k2) AS var1 FROM q GROUP BY 1)
+SELECT variant, n, CASE WHEN var > 0 AND var1 > 0 THEN round(beta, 6) + 0.0 END AS beta, CASE WHEN var > 0 AND var1 > 0 THEN round(sqrt(var), 6) END AS se FROM o JOIN m USING (variant) JOIN b USING (variant)"""))
+def _(s, d):
+    p, probs = _study_probs(s, d)
+    out = packed.wald_scan(*_scan(s, d, p, weighted=True, robust=True, probs=probs))
+    return out.select("variant", "n", (F.round("beta", 6) + 0.0).alias("beta"), F.round("se", 6).alias("se"))
+
+
+@query("T3_inclusion_probabilities")
+def _(s, d):
+    p, probs = _study_probs(s, d)
+    return _slim(packed.wald_scan(*_scan(s, d, p.withColumn("y", F.col("yb")), "logistic", weighted=True, probs=probs)))
+
+
+@query("T4_inclusion_probabilities")
+def _(s, d):
+    p, probs = _study_probs(s, d)
+    studied = fx.surv(s, d).join(p.select("iid", "study"), "iid")
+    return _slim(packed.wald_scan(*_scan(s, d, studied, "cox", ["arm"], weighted=True, probs=probs)))
+
+
+def _weighted_score_sql(scale: str) -> str:
+    return duck("pheno geno", f""", z AS (SELECT fid, count(*) = 1 AS single FROM pheno GROUP BY 1), nul AS (SELECT sum(wt * y) / sum(wt) AS my, count(*) AS n, sum(wt) AS sw FROM pheno), nu2 AS (SELECT nul.*, (SELECT sum(wt * (y - my) * (y - my)) / sum(wt) FROM pheno) AS s2 FROM nul),
+r AS (SELECT variant, fid, single, wt AS w, y - my AS r, s2, n, sw, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) AS g FROM geno JOIN pheno USING (iid) JOIN z USING (fid), nu2),
+c AS (SELECT *, g - sum(w * g) OVER (PARTITION BY variant) / sum(w) OVER (PARTITION BY variant) AS e FROM r),
+f AS (SELECT variant, fid, any_value(single) AS single, any_value(s2) AS s2, any_value(n) AS n, any_value(sw) AS sw, sum(w * r * e) / any_value(s2) AS s, sum(w * w * e * e) / any_value(s2) AS q, sum(w * e * e) / any_value(s2) AS a FROM c GROUP BY 1, 2),
+t AS (SELECT variant, any_value(n) / any_value(sw) AS naive, sum(s) AS u, sum(CASE WHEN single THEN q ELSE s * s END) AS v0, sum(a) AS va FROM f GROUP BY 1),
+o AS (SELECT *, {scale} AS k FROM t)
+SELECT variant, round(u * k, 5) + 0.0 AS u, round(v0 * k * k, 4) AS v, round(u / v0, 6) + 0.0 AS beta, round(1 / sqrt(v0), 6) AS se FROM o""")
+
+
+for _rescale, _k in (("naive", "naive"), ("optimal", "CASE WHEN v0 > 0 AND va > 0 THEN va / v0 ELSE naive END")):
+
+    @query(f"T15_{_rescale}_rescale", _weighted_score_sql(_k))
+    def _(s, d, rescale=_rescale):
+        p = fx.pheno(s, d)
+        out = packed.score_scan(*_scan(s, d, p, weighted=True), score.fit_null_linear(p, weighted=True), rescale)
+        return out.select("variant", (F.round("u", 5) + 0.0).alias("u"), F.round("v", 4).alias("v"), (F.round("beta", 6) + 0.0).alias("beta"), F.round("se", 6).alias("se"))
+
+
+@query("T12_gene_score_families", duck("pheno geno variants groups", """, z AS (SELECT fid, count(*) = 1 AS single FROM pheno GROUP BY 1), nul AS (SELECT avg(y) AS my, var_pop(y) AS s2 FROM pheno),
+e AS (SELECT variant, iid, fid, single, y - my AS r, s2, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) - avg(g) OVER (PARTITION BY variant) AS e FROM geno JOIN pheno USING (iid) JOIN z USING (fid), nul),
+h AS (SELECT DISTINCT gene, variant FROM groups), k AS (SELECT DISTINCT a.variant AS i, b.variant AS j FROM h a JOIN h b ON a.gene = b.gene AND b.variant <= a.variant),
+m AS (SELECT i, j, sum(x.e * y.e) / any_value(x.s2) AS va, sum(x.e * y.e) FILTER (x.single) / any_value(x.s2) AS one FROM k JOIN e x ON x.variant = i JOIN e y ON y.variant = j AND y.iid = x.iid GROUP BY 1, 2),
+fs AS (SELECT variant, fid, sum(r * e) / any_value(s2) AS s FROM e WHERE NOT single GROUP BY 1, 2), us AS (SELECT variant, sum(r * e) / any_value(s2) AS u FROM e GROUP BY 1),
+n AS (SELECT i, j, sum(x.s * y.s) AS many FROM k JOIN fs x ON x.variant = i JOIN fs y ON y.variant = j AND y.fid = x.fid GROUP BY 1, 2),
+v AS (SELECT i, j, va, coalesce(one, 0) + coalesce(many, 0) AS v0 FROM m LEFT JOIN n USING (i, j)), low AS (SELECT i AS variant, 1 / v0 < 1 / va - 1e-8 AS low FROM v WHERE i = j)
+SELECT a.gene, i, j, CASE WHEN i = j THEN round(u, 5) + 0.0 END AS u, round(CASE WHEN li.low OR lj.low THEN va ELSE v0 END, 4) + 0.0 AS v FROM v JOIN h a ON a.variant = i JOIN h b ON b.variant = j AND b.gene = a.gene JOIN us ON us.variant = i JOIN low li ON li.variant = i JOIN low lj ON lj.variant = j"""))
+def _(s, d):
+    p = fx.pheno(s, d)
+    table, made = _scan(s, d, p)
+    out = packed.gene_scan(table, fx.groups(s, d), made, score.fit_null_linear(p), maf_ub=1.0)
+    return out.select("gene", "i", "j", (F.round("u", 5) + 0.0).alias("u"), (F.round("v", 4) + 0.0).alias("v"))
