@@ -1,11 +1,16 @@
 """Corpus pipeline: the stages in order, each written as Parquet and read again as the next one's documents.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Contract. No documents make no rows. A null text, or one without a letter, has no language and goes in the first stage.
+Null ids and sources are kept. Rows that share an id count as one document in the second stage, which drops an id with
+all of its rows; rows that are the same in every column stay rows of their own. Extra columns are left behind.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.llm import langid_centroid, minmax_dedup, mixing, pii_crf, sentencepiece_lattice
@@ -35,12 +40,17 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; rows that are the same share out what the mix takes of them all."""
     key = F.xxhash64(F.col("doc_id").cast("long"), "source", "text")
-    copies = mixing.mix(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).select("row_key", "copies").where("copies > 0")
-    copies = copies.dropDuplicates(["row_key"])
-    taken = docs.withColumn("row_key", key).join(copies, "row_key")
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    mixed = mixing.mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"))
+    copies = staged(mixed.groupBy("row_key").agg(F.sum("copies").alias("total"), F.count("*").alias("n")).where("total > 0"), "copies")
+    keyed = docs.select(*COLUMNS).withColumn("row_key", key)
+    once = keyed.join(copies.where("n = 1"), "row_key").withColumn("times", F.col("total"))
+    place = F.row_number().over(W.partitionBy("row_key").orderBy("lang", "n_chars"))
+    more = keyed.join(copies.where("n > 1"), "row_key").withColumn("place", place)
+    more = more.withColumn("times", F.floor(F.col("total") / F.col("n")) + (F.col("place") <= F.col("total") % F.col("n")).cast("long"))
+    taken = once.select(*COLUMNS, "times").union(more.select(*COLUMNS, "times")).where("times > 0")
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
