@@ -510,3 +510,79 @@ def test_components_of_a_large_star_and_a_chain(spark):
     edges = [(0, i) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(40)]
     found = minmax_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.id: r.component for r in found} == {**{i: 0 for i in range(3000)}, **{10_000 + i: 10_000 for i in range(41)}}
+
+
+def test_tilts_solve_the_dual(spark):
+    """Each source's tilt against bisection on the exact document sizes."""
+    rng = np.random.default_rng(7)
+    rows = [("abc"[k % 3], int(rng.integers(0, 900))) for k in range(900)] + [("d", 40)] * 3 + [(None, int(s)) for s in rng.integers(1, 60, 50)]
+    sizes = spark.createDataFrame(rows, "source string, size long")
+    goals = mixing.targets(sizes)
+    found = {r.source: r.tilt for r in mixing.tilts(sizes, goals).collect()}
+    for g in goals.collect():
+        x = np.array([s for k, s in rows if k == g.source and s > 0], float)
+        mean = g.source_size / g.n_docs
+        taken = lambda t: (x * np.minimum(3, np.exp(np.minimum(t * x / mean, 5)))).sum()  # noqa: B023, E731
+        if g.target >= 3 * g.source_size - 1e-6:
+            assert taken(found[g.source]) >= 0.999 * g.target
+            continue
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if taken(middle) < g.target else (low, middle)
+        assert found[g.source] == pytest.approx(low, abs=1e-5) and taken(found[g.source]) == pytest.approx(g.target, rel=1e-6)
+
+
+def test_centroids_against_brute_force(spark, real):
+    """Predictions and scores by cosines with every centroid; ties go to the first language."""
+    model = langid_centroid.fit(langid_centroid.train_rows(real))
+    for r in langid_centroid.predict(real.limit(60), model).collect():
+        v = langid_centroid.vector(r.text)
+        v = v * model["idf"] / np.linalg.norm(v * model["idf"])
+        cosine = model["centroids"] @ v
+        assert r.lang_pred == model["langs"][int(cosine.argmax())] and r.score == pytest.approx(float(cosine.max()), abs=1e-4)
+        assert r.accepted == bool(cosine.max() >= model["floors"][int(cosine.argmax())])
+    twins = {"langs": ["aa", "bb"], "centroids": model["centroids"][:1].repeat(2, 0), "floors": np.zeros(2), "idf": model["idf"]}
+    assert {r.lang_pred for r in langid_centroid.predict(real.limit(20), twins).collect()} == {"aa"}
+
+
+def test_noise_is_rejected(spark, real):
+    rng = np.random.default_rng(9)
+    model = langid_centroid.fit(langid_centroid.train_rows(real))
+    odd = ["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 400)), "".join(rng.choice(list("qxzjkvw"), 500))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    assert langid_centroid.predict(rows, model).where("accepted").count() == 0
+
+
+def test_held_out_toxicity_and_ties(spark):
+    """Held-out accuracy on the given labels; equal texts get equal scores whatever their ids."""
+    sf_dir = "/root/testdata/sf0.01"
+    from strataloom.llm import queries
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    found = queries.QUERIES["op5_toxicity"](spark, sf_dir).join(labels, "doc_id").where("held_out").collect()
+    clean = [r for r in found if not r.toxic]
+    assert sum(r.predicted for r in clean) <= 0.03 * len(clean)
+    assert np.mean([r.score for r in found if r.toxic]) > np.mean([r.score for r in clean]) + 0.3
+    model = toxicity_fm.fit(spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, "doc_id"))
+    same = spark.createDataFrame([(i, BASE) for i in range(5)], "doc_id long, text string")
+    assert toxicity_fm.score(same, model).select("score").distinct().count() == 1
+
+
+def test_columns_of_the_outputs_names_give_way(spark):
+    clash = "piece_ids score predicted lang_pred accepted n_email spans n_spans kept clean_text component_id n_shingles confirmed license".split()
+    rows = spark.createDataFrame([(1, BASE, *["old"] * len(clash)), (2, None, *["old"] * len(clash))], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
+    assert [len(r.piece_ids or []) > 1 for r in sentencepiece_lattice.encode(rows).orderBy("doc_id").collect()] == [True, False]
+    assert [r.kept for r in quality_lines.line_quality(rows).orderBy("doc_id").collect()] == [True, False]
+    assert [r.n_spans for r in pii_crf.find(rows, FLAT).orderBy("doc_id").collect()] == [0, 0]
+    assert [r.component_id for r in minmax_dedup.near_duplicates(rows).orderBy("doc_id").collect()] == [1, 2]
+    assert license_compress.scan(rows).count() == 0 and toxicity_fm.score(rows, None).count() == 2
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 60_000)]
+    near = [*words[:30_000], "changed", *words[30_001:]]
+    rows = [(3, " ".join(words)), (2, " ".join(near)), (5, " ".join(words[:40_000])), (4, " ".join(words).upper())]
+    found = {r.doc_id: r.component_id for r in minmax_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {3: 2, 2: 2, 4: 2, 5: 5}
