@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataloom.operators.running import running
+
 
 def last_row(df: DataFrame, key: str, order: str | None) -> DataFrame:
     """One row per key: the last by `order`; without an order duplicates raise."""
@@ -30,12 +32,24 @@ def link_probs(pheno: DataFrame, probs: DataFrame) -> DataFrame:
     return known.join(ids.withColumnRenamed("iid", "iid_j"), "iid_j", "left_semi")
 
 
-def attach_conditions(pheno: DataFrame, gt: DataFrame, variants: list) -> DataFrame:
-    """Condition variants' genotypes as covariates c_<variant>; subjects missing any are dropped."""
+def attach_conditions(pheno: DataFrame, gt: DataFrame, variants: list, sites: DataFrame | None = None) -> DataFrame:
+    """Condition variants' genotypes as covariates c_<variant>; subjects missing any are dropped.
+
+    With `sites` (variant, alt) a multi-allelic condition variant raises; `absent_conditions` reports those that don't exist.
+    """
+    if sites is not None:
+        several = [r.variant for r in sites.where(F.col("variant").isin(variants) & F.col("alt").contains(",")).select("variant").collect()]  # of the list
+        if several:
+            raise ValueError(f"multi-allelic condition variants: {sorted(several)}")
     wide = gt.where(F.col("variant").isin(variants)).groupBy("iid").agg(*[F.max(F.when(F.col("variant") == v, F.col("g"))).cast("double").alias(f"c_{v}") for v in variants])
     return pheno.join(wide, "iid").dropna(subset=[f"c_{v}" for v in variants])
 
 
+def absent_conditions(listed: DataFrame, sites: DataFrame) -> DataFrame:
+    """Rows of a condition list (chrom, pos) at which no variant exists."""
+    return listed.select("chrom", "pos").distinct().join(sites.select("chrom", "pos"), ["chrom", "pos"], "left_anti")
+
+
 def group_variants(groups: DataFrame, variants: DataFrame) -> DataFrame:
     """(gene, ...variant columns): genes' variants that exist."""
     return variants.join(groups, ["chrom", "pos"])
@@ -76,11 +90,9 @@ def asof_values(obs: DataFrame, grid: DataFrame, how: str = "left", left: str |
 
 def merge_regions(df: DataFrame, by: str = "chrom") -> DataFrame:
     """Merged overlapping or touching half-open regions per chromosome; empty ones are dropped."""
-    good = df.where("start < end")
-    order = W.partitionBy(by).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = good.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-    islands = marked.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    good = running(df.where("start < end").select(by, "start", "end"), [by], ["start", "end"], current=False, maxima={"_reach": F.col("end")})
+    fresh = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0)
+    islands = running(good.withColumn("_fresh", fresh), [by], ["start", "end"], sums={"island": F.col("_fresh")})
     return islands.groupBy(by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
@@ -92,17 +104,31 @@ def in_regions(positions: DataFrame, merged: DataFrame, by: str = "chrom", width
     return positions.join(spread, hit, "left").select(*positions.columns, F.col("start").isNotNull().alias("inside"))
 
 
-def interval_join(a: DataFrame, b: DataFrame, how: str = "overlapping", by: str = "chrom", width: int = 1024) -> DataFrame:
+def interval_join(a: DataFrame, b: DataFrame, how: str = "overlapping", by: str = "chrom", width: int | None = None, fan: int = 32, levels: int = 5) -> DataFrame:
     """Pairs of closed intervals (a_id, b_id): overlapping, containing (a contains b), contained (a in b).
 
-    Both sides spread over bins, joined on (chromosome, bin); a pair is kept in the bin where both first meet.
+    Both sides spread over bins, joined on (chromosome, bin); a pair is kept in the bin where both first meet. Bins are
+    about as wide as most intervals (`width`, if not given, from the lengths' 90 % quantile); an interval of over `fan`
+    bins is at home on a coarser level with bins `fan` times as wide, so none is copied to more than fan + 1 of them, but
+    for the last level. Two intervals meet on the coarser one of their levels.
     """
-    def spread(df, p):
-        bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bin")
-        return df.select(F.col("id").alias(f"{p}_id"), F.col(by), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), bins)
+    if width is None:
+        lengths = a.select((F.col("end") - F.col("start")).alias("n")).union(b.select(F.col("end") - F.col("start")))
+        width = max(16, int(lengths.agg(F.percentile_approx("n", 0.9, 1000)).first()[0] or 0))
+    size = lambda level: F.lit(width).cast("long") * F.pow(F.lit(fan), level).cast("long")
 
-    pairs = spread(a, "a").join(spread(b, "b"), [by, "bin"])
-    pairs = pairs.where(F.col("bin") == F.floor(F.greatest("a_start", "b_start") / width))
+    def spread(df, p):
+        home = F.lit(0)
+        for k in range(1, levels):
+            home = F.when(F.col("end") - F.col("start") > width * fan**k, k).otherwise(home)
+        rows = df.select(F.col("id").alias(f"{p}_id"), F.col(by), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), home.alias("home"))
+        rows = rows.select("*", F.explode(F.sequence("home", F.lit(levels - 1))).alias("level"))
+        bins = F.sequence(F.floor(F.col(f"{p}_start") / size(F.col("level"))), F.floor(F.col(f"{p}_end") / size(F.col("level"))))
+        return rows.select(f"{p}_id", by, f"{p}_start", f"{p}_end", "level", (F.col("home") == F.col("level")).alias("at_home"), F.explode(bins).alias("bin"))
+
+    left, right, keys = spread(a, "a"), spread(b, "b"), [by, "level", "bin"]
+    pairs = left.where("at_home").drop("at_home").join(right.drop("at_home"), keys).unionByName(left.where("NOT at_home").drop("at_home").join(right.where("at_home").drop("at_home"), keys))
+    pairs = pairs.where(F.col("bin") == F.floor(F.greatest("a_start", "b_start") / size(F.col("level"))))
     test = {
         "overlapping": "a_start <= b_end AND b_start <= a_end",
         "containing": "a_start <= b_start AND b_end <= a_end",

@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.scalar import round_to
+from strataloom.functions.scalar import GAMMA, PHI, round_to
 
-ALLOWED = {"log": "ln", "ln": "ln", "exp": "exp", "sqrt": "sqrt", "pow": "pow", "abs": "abs", "sin": "sin", "cos": "cos", "tan": "tan", "factorial": "factorial", "i": "I"}
+ALLOWED = {"log": "ln", "ln": "ln", "exp": "exp", "sqrt": "sqrt", "pow": "pow", "abs": "abs", "sin": "sin", "cos": "cos", "tan": "tan", "factorial": "factorial", "i": "I", "gamma": "strataloom_gamma", "phi": "strataloom_phi"}
 
 
 def _term(text: str) -> str:
@@ -37,10 +37,27 @@ def _split_terms(text: str) -> list[str]:
     return [p.strip() for p in [*parts, text[last:]]]
 
 
-def model_matrix(df: DataFrame, formula: str) -> DataFrame:
-    """`df` with `y` and one column x1, x2, ... per top-level term of "outcome = term + term"."""
+def _expanded(term: str, nominal: dict[str, list]) -> list[str]:
+    """A term for each combination of the levels, but the first, of the nominal columns that it names."""
+    out = [term]
+    for col, levels in nominal.items():
+        if re.search(rf"\b{re.escape(col)}\b", term):
+            quoted = [str(v).replace("\\", "\\\\").replace("'", "\\'") for v in levels[1:]]
+            out = [re.sub(rf"\b{re.escape(col)}\b", lambda m, v=v: f"CAST(({col} = '{v}') AS DOUBLE)", t) for t in out for v in quoted]  # noqa: B023
+    return out
+
+
+def model_matrix(df: DataFrame, formula: str, nominal: dict[str, list] | None = None) -> DataFrame:
+    """`df` with `y` and one column x1, x2, ... per top-level term of "outcome = term + term".
+
+    A term that names a `nominal` column (with its levels), alone or in a product, stands for one term per level but the first.
+    """
     left, _, right = formula.partition("=")
-    terms = {f"x{i}": F.expr(_term(t)).cast("double") for i, t in enumerate(_split_terms(right), 1)}
+    if re.search(r"\b(gamma|phi)\s*\(", formula, re.IGNORECASE):  # functions that SQL lacks
+        df.sparkSession.udf.register("strataloom_gamma", GAMMA)
+        df.sparkSession.udf.register("strataloom_phi", PHI)
+    whole = [x for t in _split_terms(right) for x in _expanded(_term(t), nominal or {})]
+    terms = {f"x{i}": F.expr(t).cast("double") for i, t in enumerate(whole, 1)}
     return df.select(*[c for c in df.columns if c not in {"y", *terms}], F.expr(_term(left.strip())).cast("double").alias("y"), *[c.alias(n) for n, c in terms.items()])
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataloom.operators.running import previous
+
 
 def read_stats(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Flag counts per group; rates in percent."""
@@ -29,10 +31,11 @@ def base_composition(reads: DataFrame) -> DataFrame:
     return at.groupBy("cycle").agg(F.count("*").alias("n"), *pct)
 
 
-def quality_by_cycle(reads: DataFrame) -> DataFrame:
-    """Average Phred quality per read position (0-based)."""
+def quality_by_cycle(reads: DataFrame, overall: bool = False) -> DataFrame:
+    """Average Phred quality per read position (0-based); `overall` adds the average of all bases, cycle null."""
     at = reads.select(F.posexplode(F.split("qual", "")).alias("cycle", "q")).where("q <> ''")
-    return at.groupBy("cycle").agg(F.avg(F.ascii("q") - 33).alias("quality"), F.count("*").alias("n"))
+    grouped = at.rollup("cycle") if overall else at.groupBy("cycle")
+    return grouped.agg(F.avg(F.ascii("q") - 33).alias("quality"), F.count("*").alias("n"))
 
 
 def depth(reads: DataFrame, width: int = 4096) -> DataFrame:
@@ -68,11 +71,23 @@ def cigar_positions(reads: DataFrame) -> DataFrame:
     return at.select(*[c for c in reads.columns if c not in ("qual",)], (F.col("_p.r") + F.col("_k")).alias("refpos"), F.when(gap, "-").otherwise(F.expr("substring(seq, _p.q + _k + 1, 1)")).alias("base"), F.when(~gap, F.expr("substring(qual, _p.q + _k + 1, 1)")).alias("qual"), index.alias("read_index"))
 
 
-def pileup(reads: DataFrame, del_as_base: bool = False) -> DataFrame:
-    """(rname, refpos, depth, bases): sorted bases that cover each position."""
+def pileup(reads: DataFrame, del_as_base: bool = False, region: tuple | None = None) -> DataFrame:
+    """(rname, refpos, depth, bases, quals): what covers each position, sorted by base and quality.
+
+    `region` (rname, start, end) is end-exclusive; only reads that reach it are walked. Equal pairs of base and quality
+    are counted first, so a deep position is a few rows; a deletion's quality is a space.
+    """
+    if region is not None:
+        name, start, end = region
+        reads = reads.where((F.col("rname") == name) & (F.col("pos") < end))
     at = cigar_positions(reads)
     at = at if del_as_base else at.where("base <> '-'")
-    return at.groupBy("rname", "refpos").agg(F.count("*").alias("depth"), F.array_join(F.sort_array(F.collect_list("base")), "").alias("bases"))
+    if region is not None:
+        at = at.where((F.col("refpos") >= start) & (F.col("refpos") < end))
+    pairs = at.groupBy("rname", "refpos", "base", F.coalesce("qual", F.lit(" ")).alias("qual")).agg(F.count("*").cast("int").alias("n"))
+    held = pairs.groupBy("rname", "refpos").agg(F.sum("n").cast("long").alias("depth"), F.array_sort(F.collect_list(F.struct("base", "qual", "n"))).alias("held"))
+    text = lambda c: F.array_join(F.transform("held", lambda x: F.repeat(x[c], x["n"])), "")
+    return held.select("rname", "refpos", "depth", text("base").alias("bases"), text("qual").alias("quals"))
 
 
 def mismatch_filter(reads: DataFrame, ref: DataFrame, threshold: int, default_q: int = 20) -> DataFrame:
@@ -98,8 +113,7 @@ def trim_index(quals: Column, mean: int, from_left: bool = True, window: int = 4
 
 def out_of_order(rows: DataFrame, by: list[str], file_order: list[str]) -> DataFrame:
     """Records whose position lies before the one that precedes them in file order."""
-    before = F.lag("pos").over(W.partitionBy(*by).orderBy(*file_order))
-    return rows.withColumn("before", before).where("pos < before")
+    return previous(rows, by, file_order, "pos", "before").where("pos < before")
 
 
 def coordinate_sorted(reads: DataFrame) -> DataFrame:
@@ -108,7 +122,7 @@ def coordinate_sorted(reads: DataFrame) -> DataFrame:
 
 def validate_fastq(reads: DataFrame, min_length: int = 10) -> DataFrame:
     """`reads` (line, id_line, seq, plus, qual) with errors array<string>."""
-    name = F.split(F.substring("id_line", 2, 100_000), r"\s")[0]
+    name = F.split(F.expr("substring(id_line, 2)"), r"\s")[0]
     same = W.partitionBy(name)
     checks = {
         "id line does not start with @": ~F.col("id_line").startswith("@"),
@@ -116,7 +130,7 @@ def validate_fastq(reads: DataFrame, min_length: int = 10) -> DataFrame:
         "duplicate id": F.count("*").over(same) > 1,
         "invalid base": ~F.col("seq").rlike(r"^[ACGTNacgtn.]*$"),
         "read too short": F.length("seq") < min_length,
-        "plus line differs": ~F.col("plus").startswith("+") | ((F.length("plus") > 1) & (F.substring("plus", 2, 100_000) != F.substring("id_line", 2, 100_000))),
+        "plus line differs": ~F.col("plus").startswith("+") | ((F.length("plus") > 1) & (F.expr("substring(plus, 2)") != F.expr("substring(id_line, 2)"))),
         "invalid quality": F.col("qual").rlike(r"[\x00-\x20]"),
         "lengths differ": F.length("seq") != F.length("qual"),
     }
@@ -126,7 +140,7 @@ def validate_fastq(reads: DataFrame, min_length: int = 10) -> DataFrame:
 def interleaved_errors(reads: DataFrame) -> DataFrame:
     """(pair, first, second): neighbouring records of an interleaved file (line = 1, 5, 9, ...) whose ids differ in more
     than a final /1 and /2; second is null where the last record stands alone."""
-    name = F.split(F.substring("id_line", 2, 100_000), r"\s")[0]
+    name = F.split(F.expr("substring(id_line, 2)"), r"\s")[0]
     index = F.floor((F.col("line") - 1) / 4)
     side = lambda k, c: F.max(F.when(F.col("k") == k, F.col("name"))).alias(c)
     pairs = reads.select(F.floor(index / 2).alias("pair"), (index % 2).alias("k"), name.alias("name")).groupBy("pair").agg(side(0, "first"), side(1, "second"))

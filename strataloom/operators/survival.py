@@ -1,13 +1,13 @@
-"""Survival operators on the distinct-time table of each stratum: no theta joins, one window per stratum."""
+"""Survival operators on the distinct-time table of each stratum: no theta joins, running sums in ranges of time."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.functions.scalar import chi2_sf, chi2_tail
+from strataloom.operators.running import running
 
 S = "stratum"
 
@@ -26,21 +26,18 @@ def risk_table(df: DataFrame, sums: dict | None = None) -> DataFrame:
         *[x for n in sums for x in (F.sum(F.when(F.col("side") == 0, F.col(n)).otherwise(0.0)).alias(f"l_{n}"), F.sum(F.when(F.col("side") == 1, F.col(n)).otherwise(0.0)).alias(f"e_{n}"))],
         F.max(F.when(F.col("side") == 0, 1).otherwise(0)).alias("is_exit"),
     )
-    down = W.partitionBy(S).orderBy(F.col("time").desc())
-    here, later = down.rowsBetween(W.unboundedPreceding, W.currentRow), down.rowsBetween(W.unboundedPreceding, -1)
-    out = points.select(S, "time", "events", "is_exit", *[(F.sum(f"l_{n}").over(here) + F.coalesce(F.sum(f"e_{n}").over(later), F.lit(0.0))).alias(n) for n in sums])
-    return out.where("is_exit = 1").drop("is_exit")
+    # both sums run down in time; those of later entries leave out the time itself
+    run = running(points, [S], ["time"], down=True, sums={f"s_{n}": F.col(f"l_{n}") + F.col(f"e_{n}") for n in sums})
+    return run.where("is_exit = 1").select(S, "time", "events", *[(F.col(f"s_{n}") - F.col(f"e_{n}")).alias(n) for n in sums])
 
 
 def kaplan_meier(df: DataFrame, continuity: str = "right") -> DataFrame:
     """(stratum, time, at_risk, events, survival) at each distinct exit time; left: the value just before it."""
     table = risk_table(df)
-    up = W.partitionBy(S).orderBy("time")
-    frame = up.rowsBetween(W.unboundedPreceding, W.currentRow if continuity == "right" else -1)
     alive = F.col("events") < F.col("at_risk")
-    factor = F.when(alive, F.log(1 - F.col("events") / F.col("at_risk")))
-    dead = F.coalesce(F.max(F.when(alive, 0).otherwise(1)).over(frame), F.lit(0))
-    survival = F.when(dead == 1, 0.0).otherwise(F.exp(F.coalesce(F.sum(factor).over(frame), F.lit(0.0))))
+    factor = F.when(alive, F.log(1 - F.col("events") / F.col("at_risk"))).otherwise(0.0)
+    table = running(table, [S], ["time"], current=continuity == "right", sums={"_log": factor, "_dead": F.when(alive, 0).otherwise(1)})
+    survival = F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp(F.coalesce("_log", F.lit(0.0))))
     return table.select(S, "time", F.col("at_risk").cast("long").alias("at_risk"), F.col("events").cast("long").alias("events"), survival.alias("survival"))
 
 
@@ -76,17 +73,15 @@ def log_rank(df: DataFrame, x: str, km: bool = False, ties: bool = False) -> Dat
 def influence(df: DataFrame, x: str, beta: float = 0.0, key: str = "iid") -> DataFrame:
     """Per-subject influence on the score (right-censored data): own event term less the events it was at risk for."""
     t = risk_sums(df, x, beta)
-    up = W.partitionBy(S).orderBy("time").rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = t.select(S, "time", (F.col("s1") / F.col("s0")).alias("mean"), F.sum(F.col("events") / F.col("s0")).over(up).alias("h0"), F.sum(F.col("events") * F.col("s1") / F.col("s0") ** 2).over(up).alias("h1"))
-    # as-of: the cumulative sums at the last event time not after the exit
-    steps = t.select(S, F.col("time").alias("exit"), "mean", "h0", "h1", F.lit(None).cast("string").alias("who"), F.lit(None).cast("double").alias("xv"), F.lit(None).cast("int").alias("d"))
-    rows = df.select(S, "exit", F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("h0"), F.lit(None).cast("double").alias("h1"), F.col(key).cast("string").alias("who"), F.col(x).cast("double").alias("xv"), F.col("event").cast("int").alias("d"))
-    w = W.partitionBy(S).orderBy("exit").rangeBetween(W.unboundedPreceding, W.currentRow)
-    both = steps.unionByName(rows).withColumns({c: F.last(c, True).over(w) for c in ("mean", "h0", "h1")}).where("who IS NOT NULL")
+    mean = F.col("s1") / F.col("s0")
+    steps = t.select(S, F.col("time").alias("exit"), F.lit(0).alias("kind"), (F.col("events") / F.col("s0")).alias("h0"), (F.col("events") * mean / F.col("s0")).alias("h1"))
+    rows = df.select(S, "exit", F.lit(1).alias("kind"), F.col(key).alias("_key"), F.col(x).cast("double").alias("xv"), F.col("event").cast("int").alias("d"))
+    run = running(steps.unionByName(rows, allowMissingColumns=True), [S], ["exit", "kind"], sums={"c0": F.coalesce("h0", F.lit(0.0)), "c1": F.coalesce("h1", F.lit(0.0))}).where("kind = 1")
+    own = t.select(F.col(S).alias("_s"), F.col("time").alias("_t"), mean.alias("mean"))
+    run = run.join(own, run[S].eqNullSafe(F.col("_s")) & (F.col("exit") == F.col("_t")) & (F.col("d") == 1), "left")
     e = F.exp(F.lit(float(beta)) * F.col("xv"))
-    own = F.when(F.col("d") == 1, F.col("xv") - F.col("mean")).otherwise(0.0)
-    spent = e * (F.col("xv") * F.coalesce("h0", F.lit(0.0)) - F.coalesce("h1", F.lit(0.0)))
-    return both.select(F.col("who").cast(df.schema[key].dataType).alias(key), (own - spent).alias("w"))
+    w = F.when(F.col("d") == 1, F.col("xv") - F.col("mean")).otherwise(0.0) - e * (F.col("xv") * F.col("c0") - F.col("c1"))
+    return run.select(F.col("_key").alias(key), w.alias("w"))
 
 
 def dual_log_rank(a: DataFrame, b: DataFrame, x: str, key: str = "iid") -> DataFrame:
@@ -152,15 +147,16 @@ def score_residuals(df: DataFrame, x: list[str], theta, key: str = "iid") -> Dat
     e = F.exp(_predictor(x, theta))
     names = range(len(x))
     t = risk_table(df, {"s0": e, **{f"a{i}": e * F.col(c) for i, c in enumerate(x)}}).where("events > 0")
-    up = W.partitionBy(S).orderBy("time").rowsBetween(W.unboundedPreceding, W.currentRow)
-    values = {"h": F.sum(F.col("events") / F.col("s0")).over(up)} | {f"m{i}": F.col(f"a{i}") / F.col("s0") for i in names} | {f"h{i}": F.sum(F.col("events") * F.col(f"a{i}") / F.col("s0") ** 2).over(up) for i in names}
-    steps = t.select(S, F.col("time").cast("double"), F.lit(1).alias("kind"), *[c.alias(n) for n, c in values.items()])
+    rises = {"h": F.col("events") / F.col("s0")} | {f"h{i}": F.col("events") * F.col(f"a{i}") / F.col("s0") ** 2 for i in names}
+    steps = t.select(S, F.col("time").cast("double"), F.lit(1).alias("kind"), *[c.alias(f"_{n}") for n, c in rises.items()])
     # events at the entry time count (entry <= time), so its probe comes before them; the exit's comes after
     probe = lambda at, kind: df.select(S, F.col(at).cast("double").alias("time"), F.lit(kind).alias("kind"), key, F.col("event").cast("boolean").alias("event"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], e.alias("e"))
-    w = W.partitionBy(S).orderBy("time", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = steps.unionByName(probe("entry", 0).unionByName(probe("exit", 2)), allowMissingColumns=True).withColumns({n: F.last(n, True).over(w) for n in values}).where("kind <> 1")
+    both = steps.unionByName(probe("entry", 0).unionByName(probe("exit", 2)), allowMissingColumns=True)
+    both = running(both, [S], ["time", "kind"], sums={n: F.coalesce(f"_{n}", F.lit(0.0)) for n in rises}).where("kind <> 1")
+    means = t.select(F.col(S).alias("_s"), F.col("time").cast("double").alias("_t"), *[(F.col(f"a{i}") / F.col("s0")).alias(f"m{i}") for i in names])
+    both = both.join(means, both[S].eqNullSafe(F.col("_s")) & (F.col("time") == F.col("_t")) & (F.col("kind") == 2) & F.col("event"), "left")
     sign = F.col("kind") - 1
-    spent = [F.sum(sign * F.col("e") * (F.col(f"x{i}") * F.coalesce("h", F.lit(0.0)) - F.coalesce(f"h{i}", F.lit(0.0)))) for i in names]
+    spent = [F.sum(sign * F.col("e") * (F.col(f"x{i}") * F.col("h") - F.col(f"h{i}"))) for i in names]
     own = [F.sum(F.when((F.col("kind") == 2) & F.col("event"), F.col(f"x{i}") - F.col(f"m{i}")).otherwise(0.0)) for i in names]
     return both.groupBy(key).agg(*[(own[i] - spent[i]).alias(f"w{i}") for i in names])
 

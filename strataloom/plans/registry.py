@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions import scalar
-from strataloom.operators import filters, link, model, packed, pedigree, reads, score, stats, survival, wald
+from strataloom.operators import filters, link, model, packed, pedigree, reads, running, score, stats, survival, wald
 from strataloom.plans import fixtures as fx
 from strataloom.plans import twins
 from strataloom.plans.fixtures import duck
+from strataloom.sources import text
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -421,15 +423,17 @@ def _(s, d):
     return out.select("gene", "i", "j", (F.round("v", 4) + 0.0).alias("v"))
 
 
-@query("T16_linear_regression", duck("pheno", """SELECT 'x1' AS term, round(regr_slope(y, x1), 6) AS beta, round(sqrt((regr_syy(y, x1) - regr_sxy(y, x1) * regr_sxy(y, x1) / regr_sxx(y, x1)) / (count(*) - 2) / regr_sxx(y, x1)), 6) AS se FROM pheno"""))
+@query("T16_linear_regression", duck("pheno", """, r AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a, (regr_syy(y, x1) - regr_sxy(y, x1) * regr_sxy(y, x1) / regr_sxx(y, x1)) / (count(*) - 2) AS s2, regr_sxx(y, x1) AS sxx, avg(x1) AS m, count(*) AS n FROM pheno),
+o AS (SELECT 'x1' AS term, b AS beta, sqrt(s2 / sxx) AS se FROM r UNION ALL SELECT '(Intercept)', a, sqrt(s2 * (1.0 / n + m * m / sxx)) FROM r) SELECT term, round(beta, 6) AS beta, round(se, 6) AS se, round(beta / se, 5) AS t FROM o"""))
 def _(s, d):
-    return rounded(wald.linear_regression(fx.pheno(s, d), "y", ["x1"]).where("term = 'x1'").select("term", "beta", "se"))
+    out = wald.linear_regression(fx.pheno(s, d), "y", ["x1"])
+    return out.select("term", F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se"), F.round("t", 5).alias("t"))
 
 
-@query("T17_logistic_regression", duck("pheno", ", m AS (SELECT avg(yb) FILTER (x1 >= 10) AS a, avg(yb) FILTER (x1 < 10) AS b FROM pheno) SELECT 'hi' AS term, round(ln(a / (1 - a)) - ln(b / (1 - b)), 5) AS beta FROM m"))
+@query("T17_logistic_regression", duck("pheno", ", r AS (SELECT 0 AS variant, iid AS fid, true AS single, x1 % 3 AS g, yb AS y FROM pheno)" + twins.logistic("r") + ", o AS (SELECT '(Intercept)' AS term, a AS beta, sqrt(ibb / (iaa * ibb - iab * iab)) AS se FROM lf UNION ALL SELECT 'third', b, sqrt(iaa / (iaa * ibb - iab * iab)) FROM lf) SELECT term, round(beta, 5) AS beta, round(se, 5) AS se, round(beta / se, 4) AS z FROM o"))
 def _(s, d):
-    p = fx.pheno(s, d).withColumn("hi", (F.col("x1") >= 10).cast("double"))
-    return rounded(wald.logistic_regression(p, "yb", ["hi"]).where("term = 'hi'").select("term", "beta"), 5)
+    out = wald.logistic_regression(fx.pheno(s, d).withColumn("third", F.col("x1") % 3), "yb", ["third"])
+    return out.select("term", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), F.round("z", 4).alias("z"))
 
 
 # --- survival --------------------------------------------------------------------------------------------------
@@ -623,7 +627,7 @@ def _reads(spark, d):
     )
 
 
-@query("A18_pileup", "WITH " + _READS + " SELECT rname, refpos, count(*) AS depth, string_agg(base, '' ORDER BY base) AS bases FROM b GROUP BY 1, 2")
+@query("A18_pileup", "WITH " + _READS + " SELECT rname, refpos, count(*) AS depth, string_agg(base, '' ORDER BY base, q) AS bases, string_agg(chr(CAST(q + 33 AS INT)), '' ORDER BY base, q) AS quals FROM b GROUP BY 1, 2")
 def _(s, d):
     return reads.pileup(_reads(s, d))
 
@@ -834,3 +838,172 @@ def _(s, d):
     table, made = _scan(s, d, p)
     out = packed.gene_scan(table, fx.groups(s, d), made, score.fit_null_linear(p), maf_ub=1.0)
     return out.select("gene", "i", "j", (F.round("u", 5) + 0.0).alias("u"), (F.round("v", 4) + 0.0).alias("v"))
+
+
+# --- sources and sinks: derived tables written as files of the format and read again ---------------------------------
+@query("S1_S10_phenotypes", duck("pheno", "SELECT CAST(iid AS VARCHAR) AS iid, stratum, CASE WHEN iid % 11 <> 0 THEN round(y, 6) END AS y FROM pheno"))
+def _(s, d):
+    path = fx.scratch(s, "phenotypes")
+    text.write_results(fx.pheno(s, d).select("iid", "stratum", F.when(F.col("iid") % 11 != 0, F.col("y")).alias("y")), path)
+    return rounded(text.read_phenotypes(s, path).select("iid", "stratum", F.col("y").cast("double").alias("y")))
+
+
+@query("S2_S12_vcf", duck("pheno geno variants", "SELECT CAST(chrom AS VARCHAR) AS chrom, pos, CAST(iid AS VARCHAR) AS iid, CASE WHEN g IS NULL THEN './.' WHEN g = 0 THEN '0/0' WHEN g = 1 THEN '0|1' ELSE '1/1' END AS gt, CASE WHEN g IS NULL THEN '.' ELSE CAST(g AS VARCHAR) END AS ds, g IS NOT NULL AND g = 1 AS phased, g FROM geno JOIN variants USING (variant)"))
+def _(s, d):
+    path, sites = fx.scratch(s, "vcf"), fx.variants(s, d)
+    gt = F.when(F.col("g").isNull(), "./.").when(F.col("g") == 0, "0/0").when(F.col("g") == 1, "0|1").otherwise("1/1")
+    cells = fx.geno(s, d).join(F.broadcast(sites), "variant").select("chrom", "pos", "ref", "alt", "iid", gt.alias("gt"), F.create_map(F.lit("DS"), F.coalesce(F.col("g").cast("string"), F.lit("."))).alias("fields"))
+    samples = [r.iid for r in fx.pheno(s, d).select("iid").orderBy("iid").collect()]  # the header line
+    text.write_vcf(sites.withColumn("filter", F.array("filter")), cells, path, samples, ("GT", "DS"))
+    _, found = text.read_vcf(s, path)
+    return found.select("chrom", F.col("pos").cast("long").alias("pos"), "iid", "gt", F.element_at("fields", "DS").alias("ds"), (F.col("phased") & ~F.col("gt").contains(".")).alias("phased"), scalar.gt_dosage(F.col("gt")).cast("long").alias("g"))
+
+
+@query("S2_vcf_sites", duck("variants", "SELECT CAST(chrom AS VARCHAR) AS chrom, pos, id, ref, alt, CAST(variant AS VARCHAR) AS qual, filter, CAST(variant % 3 AS VARCHAR) AS ac FROM variants"))
+def _(s, d):
+    path = fx.scratch(s, "sites")
+    v = F.col("variant")
+    text.write_vcf(fx.variants(s, d).select("chrom", "pos", "id", "ref", "alt", F.array("filter").alias("filter"), v.alias("qual"), F.create_map(F.lit("AC"), (v % 3).cast("string")).alias("info")), None, path)
+    found, _ = text.read_vcf(s, path)
+    return found.select("chrom", F.col("pos").cast("long").alias("pos"), "id", "ref", "alt", "qual", F.col("filter")[0].alias("filter"), F.element_at("info", "AC").alias("ac"))
+
+
+@query("S3_features", duck("pheno geno", "SELECT 'f' || variant AS feature_id, CAST(iid AS VARCHAR) AS iid, CAST(g AS DOUBLE) AS g FROM geno"))
+def _(s, d):
+    path = fx.scratch(s, "features")
+    cells = F.sort_array(F.collect_list(F.struct("iid", F.coalesce(F.col("g").cast("string"), F.lit("NA")).alias("g"))))
+    wide = fx.geno(s, d).groupBy("variant").agg(cells.alias("c"))
+    head = wide.orderBy("variant").limit(1).select(F.lit(0).alias("o"), F.concat_ws("\t", F.lit("id"), F.array_join(F.transform("c", lambda x: x["iid"].cast("string")), "\t")).alias("value"))
+    body = wide.select(F.lit(1).alias("o"), F.concat_ws("\t", F.concat(F.lit("f"), F.col("variant")), F.array_join(F.transform("c", lambda x: x["g"]), "\t")).alias("value"))
+    head.union(body).repartition(1).sortWithinPartitions("o").select("value").write.text(path)  # one file of the format
+    return text.read_feature_matrix(s, path)
+
+
+@query("S4_inclusion_probabilities", duck("pheno", ", p AS (SELECT stratum, 1 / wt AS p FROM pheno), a AS (SELECT stratum, min(p) AS p FROM p GROUP BY 1) SELECT 's' AS study, x.stratum AS iid_i, y.stratum AS iid_j, round(x.p * y.p, 6) AS pi FROM a x, a y"))
+def _(s, d):
+    path = fx.scratch(s, "probabilities")
+    least = fx.pheno(s, d).groupBy("stratum").agg((1 / F.max("wt")).alias("p"))
+    other = least.select(F.col("stratum").alias("j"), F.col("p").alias("q"))
+    rows = least.crossJoin(F.broadcast(other)).groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("j", (F.col("p") * F.col("q")).alias("pi")))).alias("c"))  # a few strata
+    head = rows.limit(1).select(F.lit("").alias("o"), F.array_join(F.transform("c", lambda x: x["j"]), "\t").alias("value"))
+    body = rows.select(F.col("stratum").alias("o"), F.array_join(F.transform("c", lambda x: x["pi"].cast("string")), "\t").alias("value"))
+    head.union(body).repartition(1).sortWithinPartitions("o").select("value").write.text(path)
+    return rounded(text.read_inclusion_probs(s, {"s": path}))
+
+
+@query("S5_groups", duck("variants groups", "SELECT 'G' || gene AS gene, row_number() OVER (PARTITION BY gene ORDER BY chrom, pos) - 1 AS ord, CAST(chrom AS VARCHAR) AS chrom, pos FROM groups"))
+def _(s, d):
+    path = fx.scratch(s, "groups")
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chrom", "pos"))), lambda x: F.concat(x["chrom"].cast("string"), F.lit(":"), x["pos"].cast("string"))), ",")
+    fx.groups(s, d).groupBy("gene").agg(ids.alias("ids")).select(F.concat_ws("\t", F.concat(F.lit("G"), F.col("gene")), "ids").alias("value")).write.text(path)
+    return text.read_groups(s, path).select("gene", F.col("ord").cast("long").alias("ord"), "chrom", F.col("pos").cast("long").alias("pos"))
+
+
+@query("S6_variant_list", duck("variants", "SELECT CAST(chrom AS VARCHAR) AS chrom, pos FROM variants"))
+def _(s, d):
+    path = fx.scratch(s, "list")
+    fx.variants(s, d).select(F.concat_ws(":", "chrom", "pos").alias("value")).write.text(path)
+    return text.read_variant_list(s, path).select("chrom", F.col("pos").cast("long").alias("pos"))
+
+
+@query("S8_fastq", "WITH r AS (SELECT doc_id, regexp_replace(text, '[^a-zA-Z]', 'N', 'g') AS seq FROM documents WHERE length(text) > 0) SELECT 'd' || doc_id AS name, seq, length(seq) AS n_qual, CAST(unicode(chr(CAST(40 + doc_id % 20 AS INT))) AS BIGINT) AS first FROM r")
+def _(s, d):
+    path = fx.scratch(s, "fastq")
+    rows = fx.table(s, d, "documents").where("length(text) > 0").select("doc_id", F.regexp_replace("text", "[^a-zA-Z]", "N").alias("seq"), F.expr("repeat(char(cast(40 + doc_id % 20 as int)), length(text))").alias("qual"))
+    rows.select(F.concat(F.lit("@d"), F.col("doc_id"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.text(path)
+    found = text.read_fastq(s, path)
+    return found.select(F.expr("substring(id_line, 2)").alias("name"), "seq", F.length("qual").cast("long").alias("n_qual"), F.ascii("qual").cast("long").alias("first"))
+
+
+@query("S9_sam", duck("align", "SELECT CAST(rname AS VARCHAR) AS rname, pos, flag, len || 'M' AS cigar, CAST(len AS VARCHAR) AS nm, count(*) AS n FROM align GROUP BY ALL"))
+def _(s, d):
+    path = fx.scratch(s, "sam")
+    a = fx.align(s, d)
+    fields = [F.lit("q"), "flag", "rname", "pos", F.lit(60), F.concat(F.col("len").cast("string"), F.lit("M")), F.lit("*"), F.lit(0), F.lit(0), F.lit("*"), F.lit("*"), F.concat(F.lit("NM:i:"), F.col("len").cast("string")), F.lit("RG:Z:a:b")]
+    s.createDataFrame([("@HD\tVN:1.6",)], "value string").union(a.select(F.concat_ws("\t", *[F.col(f).cast("string") if isinstance(f, str) else f.cast("string") for f in fields]).alias("value"))).write.text(path)
+    found = text.read_sam(s, path).where(F.element_at("tags", "RG:Z") == "a:b")
+    return found.groupBy("rname", F.col("pos").cast("long").alias("pos"), "flag", "cigar", F.element_at("tags", "NM:i").alias("nm")).agg(F.count("*").alias("n"))
+
+
+@query("S11_gene_summaries", duck("pheno geno variants groups", ", g AS (SELECT DISTINCT gene, variant FROM groups), c AS (SELECT variant, count(g) AS n, CAST(sum(g) AS BIGINT) AS ac FROM geno GROUP BY 1) SELECT 'G' || gene AS gene, id, ac, n, count(*) OVER (PARTITION BY gene) AS width, row_number() OVER (PARTITION BY gene ORDER BY variant) AS filled FROM g JOIN c USING (variant) JOIN variants v USING (variant)"))
+def _(s, d):
+    path = fx.scratch(s, "mass")
+    genes, sites = fx.groups(s, d).select("gene", "variant").distinct(), fx.variants(s, d).select("variant", "id")
+    counts = stats.variant_stats(fx.geno(s, d))
+    scores = genes.join(counts, "variant").join(sites, "variant").select(F.concat(F.lit("G"), F.col("gene")).alias("gene"), "variant", "id", F.col("alt_af").alias("af"), F.col("alt_ac").alias("ac"), "n", "n_ref", "n_het", "n_alt", F.lit(0.5).alias("u"))
+    cov = genes.join(genes.withColumnRenamed("variant", "j"), "gene").where("j <= variant").select(F.concat(F.lit("G"), F.col("gene")).alias("gene"), F.col("variant").alias("i"), "j", F.lit(1.5).alias("v"))
+    text.write_mass(scores, cov, fx.pheno(s, d).count(), path)
+    c = F.split("value", "\t")
+    lines = s.read.text(path).where("value NOT LIKE '#%'").select(c.alias("c"))
+    row = F.slice("c", F.lit(10), F.size("c") - 9)
+    return lines.select(F.col("c")[0].alias("gene"), F.col("c")[1].alias("id"), F.col("c")[3].cast("long").alias("ac"), F.col("c")[4].cast("long").alias("n"), F.size(row).cast("long").alias("width"), F.size(F.filter(row, lambda x: x == "1.5")).cast("long").alias("filled"))
+
+
+# --- further forms ---------------------------------------------------------------------------------------------------
+@query("M1_gamma", duck("pheno", "SELECT iid, round(gamma(x1 / 5 + 0.5), 6) AS x1, round(sqrt(wt) * 2, 6) AS x2 FROM pheno"))
+def _(s, d):
+    return rounded(model.model_matrix(fx.pheno(s, d), "y = gamma(x1 / 5 + 0.5) + sqrt(wt) * 4 * phi(x1 - x1)").select("iid", "x1", "x2"))
+
+
+@query("M2_nominal_interaction", duck("pheno", "SELECT iid, CASE WHEN stratum = 'BUILDING' THEN x1 ELSE 0 END AS x1, CASE WHEN stratum = 'FURNITURE' THEN x1 ELSE 0 END AS x2, wt AS x3 FROM pheno"))
+def _(s, d):
+    return model.model_matrix(fx.pheno(s, d), "y = stratum * x1 + wt", {"stratum": ["AUTOMOBILE", "BUILDING", "FURNITURE"]}).select("iid", "x1", "x2", "x3")
+
+
+@query("M5_unstandardize", duck("pheno", "SELECT 'x1' AS term, round(regr_slope(y, x1), 6) AS beta, round(sqrt((regr_syy(y, x1) - regr_sxy(y, x1) * regr_sxy(y, x1) / regr_sxx(y, x1)) / (count(*) - 2) / regr_sxx(y, x1)), 6) AS se FROM pheno"))
+def _(s, d):
+    p = fx.pheno(s, d)
+    fit = wald.linear_regression(model.standardize(p, ["x1"]), "y", ["x1"]).where("term = 'x1'").first()
+    sd = p.agg(F.stddev_samp("x1")).first()[0]
+    beta, cov = model.unstandardize(np.array([fit.beta]), np.array([[fit.se**2]]), np.array([sd]))
+    return rounded(s.createDataFrame([("x1", float(beta[0]), float(np.sqrt(cov[0, 0])))], "term string, beta double, se double"))
+
+
+@query("J3_absent_conditions", duck("variants", "SELECT DISTINCT chrom, pos + 5 AS pos FROM variants WHERE variant % 2 = 0"))
+def _(s, d):
+    v = fx.variants(s, d)
+    return link.absent_conditions(v.select("chrom", (F.col("pos") + F.when(F.col("variant") % 2 == 0, 5).otherwise(0)).alias("pos")), v)
+
+
+@query("A12_overall_quality", f"WITH {_CHARS} SELECT cycle, round(avg(unicode(ch) % 40), 6) AS quality, count(*) AS n FROM c GROUP BY ROLLUP (cycle)")
+def _(s, d):
+    chars = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.char(33 + F.ascii(c) % 40))
+    out = reads.quality_by_cycle(fx.table(s, d, "documents").select(F.array_join(chars, "").alias("qual")), overall=True)
+    return rounded(out.select(F.col("cycle").cast("long").alias("cycle"), "quality", "n"))
+
+
+@query("A18_pileup_region", "WITH " + _READS + " SELECT rname, refpos, count(*) AS depth, string_agg(base, '' ORDER BY base, q) AS bases FROM b WHERE rname = 2 AND refpos >= 100 AND refpos < 900 GROUP BY 1, 2")
+def _(s, d):
+    return reads.pileup(_reads(s, d), region=(2, 100, 900)).drop("quals")
+
+
+@query("A20_sibships", duck("ped", "SELECT fid, fat, mot, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS sibs FROM ped WHERE fat IS NOT NULL AND mot IS NOT NULL GROUP BY 1, 2, 3"))
+def _(s, d):
+    return pedigree.sibships(fx.ped(s, d)).select("fid", "fat", "mot", F.array_join(F.transform("sibs", lambda p: p.cast("string")), ",").alias("sibs"))
+
+
+@query("QA_sibship_errors", duck("ped markers", """, r AS (SELECT fid, fat, mot, marker, a1, a2, least(a1, a2) || '/' || greatest(a1, a2) AS g FROM ped JOIN markers USING (fid, pid) WHERE fat IS NOT NULL),
+s AS (SELECT fid, fat, mot, marker, count(DISTINCT g) AS genotypes, count(DISTINCT a1) FILTER (a1 = a2) AS homozygous FROM r GROUP BY 1, 2, 3, 4),
+l AS (SELECT fid, fat, mot, marker, unnest([a1, a2]) AS allele, g FROM r), m AS (SELECT fid, fat, mot, marker, allele, count(DISTINCT g) AS within_ FROM l GROUP BY 1, 2, 3, 4, 5), n AS (SELECT fid, fat, mot, marker, count(*) AS alleles, max(within_) AS most FROM m GROUP BY 1, 2, 3, 4)
+SELECT fid, fat, mot, marker FROM s JOIN n USING (fid, fat, mot, marker) WHERE genotypes > 4 OR alleles + homozygous > 4 OR (alleles = 4 AND most > 2)"""))
+def _(s, d):
+    return pedigree.sibship_errors(fx.ped(s, d), fx.markers(s, d)).select("fid", "fat", "mot", "marker")
+
+
+@query("QD_merged_families", duck("ped", """, t AS (SELECT fid, string_agg(CAST(pid AS VARCHAR), '$' ORDER BY pid) AS merged, max(affected) AS aff FROM ped WHERE twin IS NOT NULL GROUP BY fid, twin),
+k AS (SELECT DISTINCT p.fid, CASE WHEN p.twin IS NOT NULL THEN t.merged ELSE CAST(p.pid AS VARCHAR) END AS pid, CAST(p.fat AS VARCHAR) AS fat, CAST(p.mot AS VARCHAR) AS mot, CASE WHEN p.twin IS NOT NULL THEN t.aff ELSE p.affected END AS affected FROM ped p LEFT JOIN t USING (fid)) SELECT * FROM k"""))
+def _(s, d):
+    return pedigree.merge_twins(fx.ped(s, d)).select("fid", "pid", "fat", "mot", "affected")
+
+
+@query("T6_degenerate", duck("pheno geno", "SELECT variant, count(*) AS n, variant % 7 = 0 AS degenerate FROM geno WHERE g IS NOT NULL GROUP BY 1"))
+def _(s, d):
+    gt = fx.geno(s, d).withColumn("g", F.when((F.col("variant") % 7 == 0) & F.col("g").isNotNull(), 1).otherwise(F.col("g")))
+    out = packed.wald_scan(*_scan(s, d, fx.pheno(s, d), gt=gt))
+    return out.select("variant", "n", (F.col("beta").isNull() & F.col("se").isNull() & F.col("pvalue").isNull() & (F.col("status") != "ok")).alias("degenerate"))
+
+
+@query("W6_sorted_order", duck("align", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_before FROM align"))
+def _(s, d):
+    placed = reads.coordinate_sorted(fx.align(s, d)).select(F.struct("rname", "pos").alias("at"), F.monotonically_increasing_id().alias("place"))
+    return running.previous(placed, [], ["place"], "at", "before").agg(F.count("*").alias("n"), F.count(F.when(F.col("before") > F.col("at"), 1)).alias("n_before"))

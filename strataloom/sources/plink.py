@@ -9,16 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.sources.text import numbered_lines
+
 # fixed values: the three leading bytes of a SNP-major file; copies of the first allele by two-bit code, -1 missing
 HEADER, COPIES = b"\x6c\x1b\x01", np.array([2, -1, 1, 0], np.int8)
 CELLS = 1 << 20
 
 
 def _numbered(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """The lines of one small text file, numbered from 0, split at blanks."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("at", "line"))
-    cells = F.split(F.trim("line"), r"\s+")
-    return lines.select("at", *[cells[i].alias(n) for i, n in enumerate(names)])
+    """The lines of a text file, numbered from 0, split at blanks."""
+    cells = F.split(F.trim("value"), r"\s+")
+    return numbered_lines(spark, path).where("length(trim(value)) > 0").select(F.col("n").cast("int").alias("at"), *[cells[i].alias(n) for i, n in enumerate(names)])
 
 
 def read_plink(spark: SparkSession, bed: str, bim: str, fam: str) -> DataFrame:

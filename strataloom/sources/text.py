@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -12,18 +13,30 @@ def read_phenotypes(spark: SparkSession, path: str, sep: str = "\t", na: tuple[s
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*na), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): the lines of text files, numbered from 0 in the order of file names and places in them.
+
+    Lines are counted per block of a file, so no task reads a file whole and no row passes through Python.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    ahead = W.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)  # a row per block
+    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    return lines.join(blocks, ["_file", "_block"]).select((F.col("_ahead") + F.col("_id") - F.col("_first")).alias("n"), "value")
+
+
 def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(variants, genotypes): one row per record; one per record and sample with its FORMAT fields as a map."""
     lines = spark.read.text(path)
     header = lines.where("value LIKE '#CHROM%'").first()
     samples = header.value.split("\t")[9:] if header else []
     cols = F.split("value", "\t")
-    body = lines.where("value NOT LIKE '#%' AND length(value) > 0").select(cols.alias("c"))
+    body = lines.where("value NOT LIKE '#%' AND length(value) > 0").select(cols.alias("c"))  # a line is a record
     info = F.transform(F.split(F.col("c")[7], ";"), lambda x: F.struct(F.split(x, "=", 2)[0].alias("k"), F.get(F.split(x, "=", 2), 1).alias("v")))
     site = [F.col("c")[0].alias("chrom"), F.col("c")[1].cast("int").alias("pos"), F.col("c")[2].alias("id"), F.col("c")[3].alias("ref"), F.col("c")[4].alias("alt")]
     variants = body.select(*site, F.col("c")[5].alias("qual"), F.split(F.col("c")[6], ";").alias("filter"), F.map_from_entries(info).alias("info"))
     names = F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")
-    cells = body.select(*site, F.split(F.col("c")[8], ":").alias("format"), F.posexplode(F.slice("c", 10, 1_000_000)).alias("at", "cell"))
+    cells = body.select(*site, F.split(F.col("c")[8], ":").alias("format"), F.posexplode(F.slice("c", F.lit(10), F.greatest(F.size("c") - 9, F.lit(0)))).alias("at", "cell"))
     values = F.split("cell", ":")
     fields = F.map_from_arrays(F.slice("format", 1, F.least(F.size("format"), F.size(values))), F.slice(values, 1, F.least(F.size("format"), F.size(values))))
     genotypes = cells.select("chrom", "pos", "ref", "alt", F.get(names, F.col("at")).alias("iid"), "at", fields.alias("fields"))
@@ -33,19 +46,21 @@ def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_feature_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(feature_id, iid, g): a tab table of features by subjects in long form, NA as null."""
-    df = spark.read.csv(path, sep="\t", header=True, nullValue="NA")
-    first = df.columns[0]
-    return df.unpivot([first], df.columns[1:], "iid", "g").select(F.col(first).alias("feature_id"), "iid", F.col("g").cast("double").alias("g"))
+    lines = numbered_lines(spark, path)
+    head = lines.where("n = 0").select(F.split("value", "\t").alias("names"))
+    cells = lines.where("n > 0 AND length(value) > 0").select(F.split("value", "\t").alias("c"))
+    rows = cells.crossJoin(F.broadcast(head)).select(F.col("c")[0].alias("feature_id"), "names", F.posexplode("c").alias("at", "g")).where("at > 0")  # one header row
+    return rows.select("feature_id", F.get("names", F.col("at")).alias("iid"), F.when(F.col("g") != "NA", F.col("g")).cast("double").alias("g"))
 
 
 def read_inclusion_probs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(study, iid_i, iid_j, pi) of square matrices with a header of ids, one path per study; checks 0 < pi <= 1."""
     parts = []
     for study, path in paths.items():
-        lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n").alias("rows"))
-        names = F.split(F.col("rows")[0], "\t")
-        rows = lines.select(names.alias("names"), F.posexplode(F.slice("rows", 2, 1_000_000)).alias("i", "row"))
-        cells = rows.select("names", "i", F.posexplode(F.split("row", "\t")).alias("j", "p"))
+        lines = numbered_lines(spark, path)
+        head = lines.where("n = 0").select(F.split("value", "\t").alias("names"))
+        rows = lines.where("n > 0 AND length(value) > 0").select((F.col("n") - 1).cast("int").alias("i"), F.split("value", "\t").alias("c"))
+        cells = rows.crossJoin(F.broadcast(head)).select("names", "i", F.posexplode("c").alias("j", "p"))  # one header row
         parts.append(cells.select(F.lit(study).alias("study"), F.get("names", F.col("i")).alias("iid_i"), F.get("names", F.col("j")).alias("iid_j"), F.col("p").cast("double").alias("pi")))
     out = parts[0]
     for p in parts[1:]:
@@ -71,7 +86,7 @@ def read_variant_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """One row per four-line record: line (1-based, of the id line), id_line, seq, plus, qual."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0].value)).toDF("n long, value string")
+    numbered = numbered_lines(spark, path)
     part = lambda k, name: F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(name)
     records = numbered.groupBy(F.floor(F.col("n") / 4).alias("r")).agg(part(0, "id_line"), part(1, "seq"), part(2, "plus"), part(3, "qual"))
     return records.select((F.col("r") * 4 + 1).alias("line"), "id_line", "seq", "plus", "qual")
@@ -82,7 +97,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     c = F.split("value", "\t")
     rows = spark.read.text(path).where("value NOT LIKE '@%' AND length(value) > 0").select(c.alias("c"))
     names = {"qname": "string", "flag": "int", "rname": "string", "pos": "int", "mapq": "int", "cigar": "string", "rnext": "string", "pnext": "int", "tlen": "int", "seq": "string", "qual": "string"}
-    tags = F.transform(F.slice("c", 12, 1_000), lambda t: F.struct(F.substring(t, 1, 4).alias("k"), F.substring(t, 6, 1_000_000).alias("v")))
+    tags = F.transform(F.slice("c", F.lit(12), F.greatest(F.size("c") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 4).alias("k"), F.regexp_replace(t, "^.{5}", "").alias("v")))
     return rows.select(*[F.col("c")[i].cast(kind).alias(n) for i, (n, kind) in enumerate(names.items())], F.map_from_entries(tags).alias("tags"))
 
 
@@ -91,18 +106,33 @@ def write_results(df: DataFrame, path: str, gz: bool = False) -> None:
     df.write.csv(path, sep="\t", header=True, nullValue="NA", compression="gzip" if gz else "none")
 
 
-def write_vcf(variants: DataFrame, genotypes: DataFrame | None, path: str, samples: list[str] = ()) -> None:
-    """Records with GT cells of the named samples, or sites only; the header lines are a part of their own."""
-    key = ["chrom", "pos", "ref", "alt"]
-    fixed = [F.col("chrom").cast("string"), F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", "alt", F.lit("."), F.coalesce(F.array_join("filter", ";"), F.lit(".")), F.lit(".")]
+def write_vcf(variants: DataFrame, genotypes: DataFrame | None, path: str, samples: list[str] = (), fields: tuple[str, ...] = ("GT",)) -> None:
+    """Records with the chosen FORMAT `fields` of the named samples, or sites only; the header lines are a part of their own.
+
+    variants: chrom, pos, id, ref, alt, filter, and qual and info (a map) where there are. genotypes: chrom, pos, ref, alt,
+    iid, and gt or a map `fields`. A sample that a record has no cell of gets missing values.
+    """
+    spark, key = variants.sparkSession, ["chrom", "pos", "ref", "alt"]
+    entry = lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))
+    info = F.array_join(F.transform(F.map_entries("info"), entry), ";") if "info" in variants.columns else F.lit(None)
+    qual = F.col("qual").cast("string") if "qual" in variants.columns else F.lit(None)
+    dot = lambda c: F.coalesce(F.when(c != "", c), F.lit("."))
+    fixed = [F.col("chrom").cast("string"), F.col("pos").cast("string"), dot(F.col("id")), "ref", "alt", dot(qual.cast("string")), dot(F.array_join("filter", ";")), dot(info.cast("string"))]
     titles = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"]
     rows = variants
     if genotypes is not None:
-        cells = genotypes.where(F.col("iid").isin(*samples)).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("iid", F.coalesce("gt", F.lit("./."))))).alias("g"))
-        rows = variants.join(cells, key, "left")
-        fixed += [F.lit("GT"), *[F.coalesce(F.element_at("g", s), F.lit("./.")) for s in samples]]
-        titles += ["FORMAT", *samples]
-    spark = variants.sparkSession
+        missing = ":".join("./." if f == "GT" else "." for f in fields)
+        value = lambda f: F.col("gt") if f == "GT" and "gt" in genotypes.columns else F.element_at("fields", f)
+        cell = F.concat_ws(":", *[F.coalesce(value(f), F.lit("./." if f == "GT" else ".")) for f in fields])
+        places = spark.createDataFrame([(str(s), i) for i, s in enumerate(samples)], "_iid string, _at int")
+        cells = genotypes.join(F.broadcast(places), F.col("iid").cast("string") == F.col("_iid"))  # as long as the header line
+        held = cells.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_at", cell.alias("cell")))).alias("_held"))
+        n = len(samples)
+        by_place = F.map_from_entries("_held")
+        full = F.when(F.size("_held") == n, F.transform("_held", lambda x: x["cell"])).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at(by_place, i), F.lit(missing))))
+        rows = variants.join(held, key, "left")
+        fixed += [F.lit(":".join(fields)), F.array_join(F.coalesce(full, F.array_repeat(F.lit(missing), n)), "\t")]
+        titles += ["FORMAT", *map(str, samples)]
     head = spark.createDataFrame([(0, "##fileformat=VCFv4.2"), (1, "\t".join(titles))], "o long, value string").coalesce(1)
     body = rows.orderBy("chrom", "pos").select(F.concat_ws("\t", *fixed).alias("value"))
     head.orderBy("o").select("value").unionByName(body).write.text(path)

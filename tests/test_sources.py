@@ -26,7 +26,20 @@ def test_vcf_round_trip(spark, tmp_path):
     assert sorted((r.iid, r.gt, r.phased) for r in genotypes.collect()) == [("s1", "0|1", True), ("s2", "./.", False)]
     text.write_vcf(variants, genotypes, str(tmp_path / "out"), ["s2", "s1"])
     lines = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
-    assert "1\t10\trs1\tA\tG\t.\tPASS\t.\tGT\t./.\t0|1" in lines
+    assert "1\t10\trs1\tA\tG\t9\tPASS\tAC=1;DB\tGT\t./.\t0|1" in lines
+    text.write_vcf(variants.drop("qual", "info"), genotypes, str(tmp_path / "two"), ["s1", "s3", "s2"], ("GT", "DS"))
+    assert "1\t10\trs1\tA\tG\t.\tPASS\t.\tGT:DS\t0|1:1\t./.:.\t./.:." in [r.value for r in spark.read.text(str(tmp_path / "two")).collect()]
+
+
+def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
+    for k in range(3):
+        put(tmp_path / f"f{k}", "".join(f"{k}-{i}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = text.numbered_lines(spark, str(tmp_path)).orderBy("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.n, r.value) for r in found] == [(500 * k + i, f"{k}-{i}") for k in range(3) for i in range(500)]
 
 
 def test_probabilities_groups_lists(spark, tmp_path):
