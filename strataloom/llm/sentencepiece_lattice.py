@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,19 +69,37 @@ class Vocabulary:
                     ends.append(-1)
                 at = nodes[key]
             ends[at] = i
-        keys = np.array([(a << 21) | c for a, c in nodes], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.children = keys[order], np.fromiter(nodes.values(), np.int64)[order]
+        # the trie's edges as an open hash table, at most an eighth full: mostly one look per step
+        keys = [(a << 21) | c for a, c in nodes]
+        self.bits = max(10, (8 * len(keys)).bit_length())
+        self.keys, self.children = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        for key, child, at in zip(keys, nodes.values(), self._slots(np.array(keys, np.int64)).tolist()):
+            while self.keys[at] >= 0:
+                at = (at + 1) & (len(self.keys) - 1)
+            self.keys[at], self.children[at] = key, child
         self.ends = np.array(ends, np.int64)
         self.roots = np.full(0x110000, -1, np.int32)
         for (at, char), child in nodes.items():
             if at == 0:
                 self.roots[char] = child
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Child nodes, -1 where there is none."""
         key = (node << 21) | char
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.children[at], -1)
+        at = self._slots(key)
+        held = self.keys[at]
+        child = np.where(held == key, self.children[at], -1)
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        while len(open_):  # what met another key looks on
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[open_]]
+            hit = held == key[open_]
+            child[open_[hit]] = self.children[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return child.astype(np.int64)
 
 
 class Lattice:
@@ -165,12 +184,13 @@ class Lattice:
 def sample_pieces(vocabulary: Vocabulary, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts, one after another, and the offsets of each text's ids."""
     ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for low, high in slices(texts):
+    for low, high in slices(texts, 800_000):
         chunks = [CHUNK.findall(" " + t) for t in texts[low:high]]
         per_text = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        number: dict[str, int] = {}
-        codes = np.fromiter((number.setdefault(c, len(number)) for some in chunks for c in some), np.int64, int(per_text.sum()))
-        lattice = Lattice(vocabulary, list(number))
+        flat = list(chain.from_iterable(chunks))
+        distinct = list(dict.fromkeys(flat))
+        codes = np.fromiter(map(dict(zip(distinct, range(len(distinct)))).__getitem__, flat), np.int64, len(flat))
+        lattice = Lattice(vocabulary, distinct)
         seed = np.repeat(seeds[low:high].astype(np.uint64), per_text)
         first = np.repeat(np.cumsum(per_text) - per_text, per_text)
         pieces, counts = lattice.sample(codes, seed, (np.arange(len(codes)) - first).astype(np.uint64))
@@ -213,8 +233,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 250):
-                batch = whole.slice(low, 250)
+            for low in range(0, whole.num_rows, 400):
+                batch = whole.slice(low, 400)
                 texts = batch.column(text).to_pylist()
                 known = [i for i, t in enumerate(texts) if t is not None]
                 seeds = batch.column("_seed").to_numpy(zero_copy_only=False)[known].view(np.uint64)
