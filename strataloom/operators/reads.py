@@ -65,10 +65,15 @@ def cigar_positions(reads: DataFrame) -> DataFrame:
         return F.struct((s["r"] + F.when(ref, o["n"]).otherwise(0)).alias("r"), (s["q"] + F.when(own, o["n"]).otherwise(0)).alias("q"), F.concat(s["out"], F.array(piece)).alias("out"))
 
     walked = rows.withColumn("_walk", F.aggregate("_ops", start, step)["out"]).withColumn("_p", F.explode("_walk")).where(F.col("_p.op").isin("M", "=", "X", "D"))
-    at = walked.withColumn("_k", F.explode(F.expr("sequence(0, _p.n - 1)")))
-    gap = F.col("_p.op") == "D"
-    index = F.col("_p.q") + F.col("_k") + 1
-    return at.select(*[c for c in reads.columns if c not in ("qual",)], (F.col("_p.r") + F.col("_k")).alias("refpos"), F.when(gap, "-").otherwise(F.expr("substring(seq, _p.q + _k + 1, 1)")).alias("base"), F.when(~gap, F.expr("substring(qual, _p.q + _k + 1, 1)")).alias("qual"), index.alias("read_index"))
+    # a piece's letters are cut out once; the whole sequence doesn't travel with each base
+    gap, kept = F.col("_p.op") == "D", [c for c in reads.columns if c not in ("seq", "qual", "cigar")]
+    cut = lambda c: F.slice(F.split(F.expr(f"substring({c}, _p.q + 1, _p.n)"), ""), F.lit(1), F.col("_p.n"))
+    letters = F.when(gap, F.array_repeat(F.lit("-"), F.col("_p.n"))).otherwise(cut("seq"))
+    pieces = walked.select(*kept, F.col("_p.r").alias("_r"), F.col("_p.q").alias("_q"), F.arrays_zip(letters.alias("base"), F.when(~gap, cut("qual")).otherwise(F.array_repeat(F.lit(None).cast("string"), F.col("_p.n"))).alias("qual")).alias("_z"))
+    at = pieces.select(*kept, "_r", "_q", F.posexplode("_z").alias("_k", "_at"))
+    empty = lambda c: F.when(F.col(c) != "", F.col(c))
+    out = at.select(*kept, (F.col("_r") + F.col("_k")).alias("refpos"), empty("_at.base").alias("base"), empty("_at.qual").alias("qual"), (F.col("_q") + F.col("_k") + 1).alias("read_index"))
+    return out.where("base IS NOT NULL")
 
 
 def pileup(reads: DataFrame, del_as_base: bool = False, region: tuple | None = None) -> DataFrame:
