@@ -115,19 +115,22 @@ def design(pheno: DataFrame, covariates: list[str] = (), model: str = "linear",
     return out
 
 
-def pack(gt: DataFrame, made: Design, key: str = "variant") -> DataFrame:
-    """(key, g array<double>): the dosages of long genotypes (key, iid, g) in the design's order, null where missing."""
+def pack(gt: DataFrame, made: Design, key: str = "variant", absent: float = float("nan")) -> DataFrame:
+    """(key, g array<double>): the dosages of long genotypes (key, iid, g) in the design's order, null where missing.
+
+    A subject without a row has `absent`: missing, or 0 where only carriers have rows.
+    """
     n = len(made.ids)
     places = pd.DataFrame({"iid": made.ids, "slot": np.arange(n)})
     slots = gt.sparkSession.createDataFrame(places).withColumn("iid", F.col("iid").cast(gt.schema["iid"].dataType))
-    cells = gt.where("g IS NOT NULL").join(F.broadcast(slots), "iid")  # as long as the design, which is checked
-    held = cells.groupBy(key).agg(F.collect_list("slot").alias("slots"), F.collect_list(F.col("g").cast("double")).alias("values"))
+    cells = gt.join(F.broadcast(slots), "iid")  # as long as the design, which is checked
+    held = cells.groupBy(key).agg(F.collect_list("slot").alias("slots"), F.collect_list(F.coalesce(F.col("g").cast("double"), F.lit(float("nan")))).alias("values"))
 
     def fill(batches):
         for batch in batches:
             out = []
             for slots, values in zip(batch["slots"], batch["values"]):
-                g = np.full(n, np.nan)
+                g = np.full(n, absent)
                 g[np.asarray(slots)] = values
                 out.append(g)
             yield pd.DataFrame({key: batch[key], "g": out})

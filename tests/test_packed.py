@@ -202,3 +202,11 @@ def test_no_shuffle_and_odd_variants(spark, frames):
     assert rows_of(packed.wald_scan(table, d))[1].status == "singular"
     with pytest.raises(ValueError, match="no subject"):
         packed.design(pheno.where("iid < 0"), ["x1"])
+
+
+def test_packing_carriers_only(spark, frames):
+    pheno, gt, _ = frames
+    d = packed.design(pheno)
+    sparse = gt.where("g IS NULL OR g > 0")
+    whole = {r.variant: r.g for r in packed.pack(gt, d).collect()}
+    assert {r.variant: r.g for r in packed.pack(sparse, d, absent=0.0).collect()} == whole and any(None in g for g in whole.values())
