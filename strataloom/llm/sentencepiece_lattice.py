@@ -108,9 +108,10 @@ class Lattice:
     def __init__(self, vocabulary: Vocabulary, chunks: list[str]):
         chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        stop = np.repeat(np.cumsum(lengths), lengths)  # each character's chunk end
-        of = np.repeat(np.arange(len(chunks)), lengths)
-        at, node, depth = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        # positions fit in 32 bits: a lattice holds about a slice of characters, or one text of at most 2**31
+        stop = np.repeat(np.cumsum(lengths).astype(np.int32), lengths)  # each character's chunk end
+        of = np.repeat(np.arange(len(chunks), dtype=np.int32), lengths)
+        at, node, depth = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), np.int64), 0
         starts, ends, pieces = [], [], []
         while len(at):
             node = vocabulary.step(node, chars[at + depth]) if depth else vocabulary.roots[chars].astype(np.int64)
@@ -126,7 +127,7 @@ class Lattice:
             at, node = at[more], node[more]
         covered = np.zeros(len(chars), bool)
         covered[starts[0]] = True
-        bare = np.flatnonzero(~covered)  # no piece for this character: its bytes
+        bare = np.flatnonzero(~covered).astype(np.int32)  # no piece for this character: its bytes
         start = np.concatenate([*starts, bare])
         end = np.concatenate([*ends, bare + 1])
         piece = np.concatenate([*pieces, -1 - chars[bare]])
@@ -138,11 +139,13 @@ class Lattice:
         target, weight = target[order], weight[order]
         self.last = np.cumsum(lengths) + np.arange(len(chunks))
         self.first = self.last - lengths
-        position = target - self.first[chunk[order]]
+        position = target - self.first.astype(np.int32)[chunk[order]]
+        if not len(position) or position.max() < 1 << 16:
+            position = position.astype(np.uint16)  # sorted by digits, not by comparison
         self.keys = np.empty(len(target))
         filtered = np.zeros(len(chars) + len(chunks))
         by_step = np.argsort(position, kind="stable")
-        bounds = np.searchsorted(position[by_step], np.arange(1, int(lengths.max(initial=0)) + 2))
+        bounds = np.r_[0, np.cumsum(np.bincount(position, minlength=int(lengths.max(initial=0)) + 1))][1:]
         for low, high in zip(bounds[:-1], bounds[1:]):
             edges = by_step[low:high]
             to = target[edges]
