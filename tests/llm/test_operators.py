@@ -586,3 +586,13 @@ def test_near_duplicates_of_very_long_texts(spark):
     rows = [(3, " ".join(words)), (2, " ".join(near)), (5, " ".join(words[:40_000])), (4, " ".join(words).upper())]
     found = {r.doc_id: r.component_id for r in minmax_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {3: 2, 2: 2, 4: 2, 5: 5}
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from strataloom.llm import common
+
+    held = common.staged(spark.range(10), "numbers")
+    folder = common.run_dir(spark).removeprefix("file://")
+    assert held.count() == 10 and os.path.isdir(folder)
+    common.clear_staged(spark)
+    assert not os.path.exists(folder)
