@@ -98,11 +98,11 @@ def logistic_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFram
     p = len(x)
     eta = sum((F.lit(float(t)) * c for t, c in zip(null["theta"], x)), F.lit(0.0))
     mu = 1 / (1 + F.exp(-eta))
-    people = family_sizes(pheno).select("iid", "fid", "fam_size", (F.col("y") - mu).alias("r"), (mu * (1 - mu)).alias("d"), *[c.alias(f"x{i}") for i, c in enumerate(x)]).persist()
+    people = family_sizes(pheno).select("iid", "fid", "fam_size", (F.col("y") - mu).alias("r"), (mu * (1 - mu)).alias("d"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
     a = people.agg(*[F.sum(F.expr(f"d * x{i} * x{j}")).alias(f"a{i}_{j}") for i in range(p) for j in range(p)]).first()
     inverse = np.linalg.inv(np.reshape(list(a), (p, p)))
     full = gt.join(stats_.select(key, "alt_af"), key).withColumn("g", F.coalesce(F.col("g").cast("double"), 2 * F.col("alt_af")))
-    rows = full.join(people, "iid").persist()
+    rows = full.join(people, "iid")
     cross = rows.groupBy(key).agg(*[F.sum(F.expr(f"d * g * x{i}")).alias(f"c{i}") for i in range(p)])
     h = [sum((F.lit(float(inverse[i, j])) * F.col(f"c{j}") for j in range(p)), F.lit(0.0)).alias(f"h{i}") for i in range(p)]
     adjusted = rows.join(cross.select(key, *h), key).withColumn("e", F.col("g") - sum((F.col(f"h{i}") * F.col(f"x{i}") for i in range(p)), F.lit(0.0)))

@@ -1007,3 +1007,16 @@ def _(s, d):
 def _(s, d):
     placed = reads.coordinate_sorted(fx.align(s, d)).select(F.struct("rname", "pos").alias("at"), F.monotonically_increasing_id().alias("place"))
     return running.previous(placed, [], ["place"], "at", "before").agg(F.count("*").alias("n"), F.count(F.when(F.col("before") > F.col("at"), 1)).alias("n_before"))
+
+
+def _strata_sql(steps: int = 60) -> str:
+    out = ", s0 AS (SELECT stratum, count(*) AS n, avg(y) AS m, var_pop(y) AS v, (SELECT var_pop(y) FROM pheno) AS s2 FROM pheno GROUP BY 1)"
+    for i in range(1, steps + 1):
+        out += f", t{i} AS (SELECT sum(n * m / s2) / sum(n / s2) AS mu FROM s{i - 1}), s{i} AS (SELECT stratum, n, m, v, v + (m - mu) * (m - mu) AS s2 FROM s{i - 1}, t{i})"
+    return out + f" SELECT stratum, round(mu, 3) AS mean, round(s2, 3) AS sigma2 FROM s{steps}, t{steps}"
+
+
+@query("N1_null_strata", duck("pheno", _strata_sql()))
+def _(s, d):
+    null = score.fit_null_linear(fx.pheno(s, d), stratum="stratum")
+    return rounded(s.createDataFrame([(k, float(null["theta"][0]), v) for k, v in null["sigma2s"].items()], "stratum string, mean double, sigma2 double"), 3)

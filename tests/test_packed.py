@@ -210,3 +210,16 @@ def test_packing_carriers_only(spark, frames):
     sparse = gt.where("g IS NULL OR g > 0")
     whole = {r.variant: r.g for r in packed.pack(gt, d).collect()}
     assert {r.variant: r.g for r in packed.pack(sparse, d, absent=0.0).collect()} == whole and any(None in g for g in whole.values())
+
+
+def test_scores_of_a_stream(spark, frames, tmp_path):
+    """With a given null model the scan keeps no state, so a stream of variants gives the same rows."""
+    pheno, gt, _ = frames
+    d = packed.design(pheno, ["x1"])
+    table, null = packed.pack(gt, d), score.fit_null_linear(pheno, ["x1"])
+    table.write.parquet(f"{tmp_path}/in")
+    stream = packed.score_scan(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in"), d, null)
+    query = stream.writeStream.format("memory").queryName("streamed").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got, want = rows_of(spark.table("streamed")), rows_of(packed.score_scan(table, d, null))
+    assert got.keys() == want.keys() and all(np.isclose(got[v].u, want[v].u) and np.isclose(got[v].v, want[v].v) for v in want)
