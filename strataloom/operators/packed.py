@@ -12,7 +12,7 @@ takes the model's variance unless `robust`.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -50,10 +50,15 @@ class Design:
     levels: list[str] = field(default_factory=list)
     pairs: tuple | None = None  # rows i, their first pair, rows j, weights, and the singletons' own weights
     env: dict = field(default_factory=dict)
+    model_variance: bool = False
     entry: np.ndarray | None = None
     exit: np.ndarray | None = None
     event: np.ndarray | None = None
 
+    def without_covariates(self) -> Design:
+        """The same subjects with no covariates in the fit; those still serve as environments."""
+        return replace(self, x=self.x[:, :0] if self.model == "cox" else self.x[:, :1], names=[])
+
 
 def _bounded(df: DataFrame, width: int, what: str) -> pd.DataFrame:
     n = df.count()
@@ -162,6 +167,8 @@ def _own(x: np.ndarray, v: np.ndarray):
 
 def _sandwich(d: Design, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     inverse = np.linalg.inv(a)
+    if d.model_variance:
+        return inverse
     cov = inverse @ b @ inverse
     return inverse if not d.weighted and cov[0, 0] < inverse[0, 0] - MARGIN else cov
 
@@ -280,13 +287,15 @@ def _cox(d: Design, x: np.ndarray, m: np.ndarray, risk: Risk) -> tuple:
     return theta, None, "not converged"
 
 
-def wald_scan(packed: DataFrame, made: Design, envs: list[str] = (), key: str = "variant") -> DataFrame:
+def wald_scan(packed: DataFrame, made: Design, envs: list[str] = (), key: str = "variant", variance: str = "sandwich") -> DataFrame:
     """One row per variant of a packed table: the fit of [g, 1, g x envs, covariates] (no 1 for Cox), no shuffle.
 
+    `variance` "model" takes the inverse information alone.
+
     theta and cov cover all terms in that order, so effects of condition variants among the covariates (`term_rows`)
     and interactions (`interaction_test`) come from the same row. A variant without variance or fit has nulls and a status.
     """
-    shared = packed.sparkSession.sparkContext.broadcast(made)  # checked in design()
+    shared = packed.sparkSession.sparkContext.broadcast(replace(made, model_variance=variance == "model"))  # checked in design()
 
     def run(batches):
         d = shared.value

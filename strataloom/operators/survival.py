@@ -70,25 +70,19 @@ def log_rank(df: DataFrame, x: str, km: bool = False, ties: bool = False) -> Dat
     return out.select("u", "v", (F.col("u") * F.col("u") / F.col("v")).alias("chisq"), (F.col("u") / F.col("v")).alias("peto"))
 
 
-def influence(df: DataFrame, x: str, beta: float = 0.0, key: str = "iid") -> DataFrame:
-    """Per-subject influence on the score (right-censored data): own event term less the events it was at risk for."""
-    t = risk_sums(df, x, beta)
-    mean = F.col("s1") / F.col("s0")
-    steps = t.select(S, F.col("time").alias("exit"), F.lit(0).alias("kind"), (F.col("events") / F.col("s0")).alias("h0"), (F.col("events") * mean / F.col("s0")).alias("h1"))
-    rows = df.select(S, "exit", F.lit(1).alias("kind"), F.col(key).alias("_key"), F.col(x).cast("double").alias("xv"), F.col("event").cast("int").alias("d"))
-    run = running(steps.unionByName(rows, allowMissingColumns=True), [S], ["exit", "kind"], sums={"c0": F.coalesce("h0", F.lit(0.0)), "c1": F.coalesce("h1", F.lit(0.0))}).where("kind = 1")
-    own = t.select(F.col(S).alias("_s"), F.col("time").alias("_t"), mean.alias("mean"))
-    run = run.join(own, run[S].eqNullSafe(F.col("_s")) & (F.col("exit") == F.col("_t")) & (F.col("d") == 1), "left")
-    e = F.exp(F.lit(float(beta)) * F.col("xv"))
-    w = F.when(F.col("d") == 1, F.col("xv") - F.col("mean")).otherwise(0.0) - e * (F.col("xv") * F.col("c0") - F.col("c1"))
-    return run.select(F.col("_key").alias(key), w.alias("w"))
+def influence(df: DataFrame, x: str, beta: float = 0.0, key: str = "iid", km: bool = False) -> DataFrame:
+    """Per-subject influence (key, w) on the score: own event term less the events it was at risk for, with late entry.
+
+    `km` weights each event time by the Kaplan-Meier estimate just before it.
+    """
+    return score_residuals(df, [x], [beta], key, km).withColumnRenamed("w0", "w")
 
 
-def dual_log_rank(a: DataFrame, b: DataFrame, x: str, key: str = "iid") -> DataFrame:
+def dual_log_rank(a: DataFrame, b: DataFrame, x: str, key: str = "iid", km: bool = False) -> DataFrame:
     """Covariance and correlation of two outcomes' log-rank scores over common subjects."""
-    wa, wb = influence(a, x, key=key).withColumnRenamed("w", "wa"), influence(b, x, key=key).withColumnRenamed("w", "wb")
+    wa, wb = influence(a, x, 0.0, key, km).withColumnRenamed("w", "wa"), influence(b, x, 0.0, key, km).withColumnRenamed("w", "wb")
     sums = wa.join(wb, key).agg(F.sum(F.col("wa") * F.col("wb")).alias("covariance"))
-    va, vb = log_rank(a, x).select(F.col("v").alias("va")), log_rank(b, x).select(F.col("v").alias("vb"))
+    va, vb = log_rank(a, x, km).select(F.col("v").alias("va")), log_rank(b, x, km).select(F.col("v").alias("vb"))
     one = sums.join(F.broadcast(va)).join(F.broadcast(vb))  # three one-row tables
     return one.select("covariance", (F.col("covariance") / F.sqrt(F.col("va") * F.col("vb"))).alias("correlation"))
 
@@ -142,22 +136,24 @@ def cox_fit(df: DataFrame, x: list[str], km: bool = False, ties: bool = False, w
         rows.unpersist()
 
 
-def score_residuals(df: DataFrame, x: list[str], theta, key: str = "iid") -> DataFrame:
+def score_residuals(df: DataFrame, x: list[str], theta, key: str = "iid", km: bool = False) -> DataFrame:
     """(key, w0, w1, ...): each subject's part of the score, with late entry: own event term less the events while at risk."""
     e = F.exp(_predictor(x, theta))
     names = range(len(x))
     t = risk_table(df, {"s0": e, **{f"a{i}": e * F.col(c) for i, c in enumerate(x)}}).where("events > 0")
-    rises = {"h": F.col("events") / F.col("s0")} | {f"h{i}": F.col("events") * F.col(f"a{i}") / F.col("s0") ** 2 for i in names}
+    t = t.join(kaplan_meier(df, "left").select(S, "time", F.col("survival").alias("km")), [S, "time"]) if km else t.withColumn("km", F.lit(1.0))
+    hits = F.col("km") * F.col("events")
+    rises = {"h": hits / F.col("s0")} | {f"h{i}": hits * F.col(f"a{i}") / F.col("s0") ** 2 for i in names}
     steps = t.select(S, F.col("time").cast("double"), F.lit(1).alias("kind"), *[c.alias(f"_{n}") for n, c in rises.items()])
     # events at the entry time count (entry <= time), so its probe comes before them; the exit's comes after
     probe = lambda at, kind: df.select(S, F.col(at).cast("double").alias("time"), F.lit(kind).alias("kind"), key, F.col("event").cast("boolean").alias("event"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], e.alias("e"))
     both = steps.unionByName(probe("entry", 0).unionByName(probe("exit", 2)), allowMissingColumns=True)
     both = running(both, [S], ["time", "kind"], sums={n: F.coalesce(f"_{n}", F.lit(0.0)) for n in rises}).where("kind <> 1")
-    means = t.select(F.col(S).alias("_s"), F.col("time").cast("double").alias("_t"), *[(F.col(f"a{i}") / F.col("s0")).alias(f"m{i}") for i in names])
+    means = t.select(F.col(S).alias("_s"), F.col("time").cast("double").alias("_t"), "km", *[(F.col(f"a{i}") / F.col("s0")).alias(f"m{i}") for i in names])
     both = both.join(means, both[S].eqNullSafe(F.col("_s")) & (F.col("time") == F.col("_t")) & (F.col("kind") == 2) & F.col("event"), "left")
     sign = F.col("kind") - 1
     spent = [F.sum(sign * F.col("e") * (F.col(f"x{i}") * F.col("h") - F.col(f"h{i}"))) for i in names]
-    own = [F.sum(F.when((F.col("kind") == 2) & F.col("event"), F.col(f"x{i}") - F.col(f"m{i}")).otherwise(0.0)) for i in names]
+    own = [F.sum(F.when((F.col("kind") == 2) & F.col("event"), F.col("km") * (F.col(f"x{i}") - F.col(f"m{i}"))).otherwise(0.0)) for i in names]
     return both.groupBy(key).agg(*[(own[i] - spent[i]).alias(f"w{i}") for i in names])
 
 

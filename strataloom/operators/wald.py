@@ -167,8 +167,8 @@ def feature_wald(pheno: DataFrame, features: DataFrame, test=None, **options) ->
     return names.join(found, "variant").drop("variant")
 
 
-def interaction_test(results: DataFrame, k: int) -> DataFrame:
-    """G x E: p of g, of its k interactions (theta 2 ... k + 1) and of both, from a Wald scan with extras."""
+def interaction_test(results: DataFrame, k: int, first: int = 2) -> DataFrame:
+    """G x E: p of g, of its k interactions (theta from `first` on: 2, but 1 for Cox) and of both, from a Wald scan with extras."""
 
     def run(batches):
         for batch in batches:
@@ -180,7 +180,7 @@ def interaction_test(results: DataFrame, k: int) -> DataFrame:
                     continue
                 theta, p = np.asarray(r.theta), len(r.theta)
                 cov = np.reshape(r.cov, (p, p))
-                for at in ([0], list(range(2, 2 + k)), [0, *range(2, 2 + k)]):
+                for at in ([0], list(range(first, first + k)), [0, *range(first, first + k)]):
                     try:
                         q = float(theta[at] @ np.linalg.solve(cov[np.ix_(at, at)], theta[at]))
                     except np.linalg.LinAlgError:

@@ -1020,3 +1020,17 @@ def _strata_sql(steps: int = 60) -> str:
 def _(s, d):
     null = score.fit_null_linear(fx.pheno(s, d), stratum="stratum")
     return rounded(s.createDataFrame([(k, float(null["theta"][0]), v) for k, v in null["sigma2s"].items()], "stratum string, mean double, sigma2 double"), 3)
+
+
+@query("V7_influence_late_entry", duck("pheno surv", _STRATA + ", zero AS (SELECT 0 AS v, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)" + twins.cox("rows", "a", given="zero") + " SELECT iid, round(u1, 6) + 0.0 AS w FROM ar"))
+def _(s, d):
+    return rounded(survival.influence(fx.surv(s, d), "arm"))
+
+
+@query("T8_cox_interaction", duck("pheno geno surv", _SIZES.format(of="surv") + _VARIANT_COX.replace("x1 AS q", "CAST(g AS DOUBLE) * arm AS q") + twins.cox("rows") + ", o AS (SELECT v, a * a * (i11 - i12 * i12 / i22) AS cg, b * b * (i22 - i12 * i12 / i11) AS cx, a * a * i11 + 2 * a * b * i12 + b * b * i22 AS cb FROM cf JOIN ci USING (v)) SELECT v AS variant, round(cg, 2) AS chisq_g, round(cx, 2) AS chisq_inter, round(cb, 2) AS chisq_both FROM o"))
+def _(s, d):
+    # g and g x arm alone, with the model's variance, so that two terms hold the whole fit
+    gt, p = fx.geno(s, d), fx.surv(s, d)
+    made = packed.design(p, ["arm"], "cox", genotyped=gt)
+    found = packed.wald_scan(packed.pack(gt, made), made.without_covariates(), ["arm"], variance="model")
+    return wald.interaction_test(found, 1, 1).select("variant", *[F.round(c, 2).alias(c) for c in ("chisq_g", "chisq_inter", "chisq_both")])

@@ -131,3 +131,39 @@ def test_gene_summaries(spark, tmp_path):
     text.write_mass(scores, cov, 9, str(tmp_path / "m"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "m")).collect()]
     assert sorted(lines) == ["#Samples = 9", "G\t1:5\t0.1\t2\t9\t7\t2\t0\t0.5\t2.0\t0", "G\t1:9\t0.2\t3\t9\t6\t3\t0\t-1.0\t3.0\t4.0"]
+
+
+def brute_weights(people, by):
+    """Kaplan-Meier just before each subject's exit, in its group, by going through all earlier event times."""
+    out = []
+    for p in people:
+        alive = 1.0
+        for t in sorted({q[5] for q in people if q[6] and by(q) == by(p) and q[5] < p[5]}):
+            risk = sum(by(q) == by(p) and q[4] <= t <= q[5] for q in people)
+            died = sum(q[6] and by(q) == by(p) and q[5] == t for q in people)
+            alive *= 1 - died / risk
+        out.append(alive)
+    return np.array(out)
+
+
+def test_weighted_log_rank_and_influence(people, frames):
+    """Kaplan-Meier weights and the ties constant against sums over all event times and subjects."""
+    by = lambda p: p[2]
+    before, x = brute_weights(people, by), np.array([p[8] for p in people])
+    u, v, w = 0.0, 0.0, np.zeros(len(people))
+    for i, p in enumerate(people):
+        if not p[6]:
+            continue
+        risk = [j for j, q in enumerate(people) if by(q) == by(p) and q[4] <= p[5] <= q[5]]
+        died = sum(q[6] and by(q) == by(p) and q[5] == p[5] for q in people)
+        mean, k = x[risk].mean(), before[i]
+        ties = (len(risk) - died) / (len(risk) - 1) if len(risk) > 1 else 1.0
+        u, v = u + k * (x[i] - mean), v + k * k * ties * (x[risk] ** 2).mean() - k * k * ties * mean**2
+        w[i] += k * (x[i] - mean)
+        w[risk] -= k * (x[risk] - mean) / len(risk)
+    found = survival.log_rank(frames[0], "x2", km=True, ties=True).first()
+    assert np.isclose(found.u, u) and np.isclose(found.v, v)
+    got = [r.w for r in survival.influence(frames[0], "x2", km=True).orderBy("iid").collect()]
+    assert np.allclose(got, w, atol=1e-9)
+    both = survival.dual_log_rank(frames[0], frames[0], "x2", km=True).first()
+    assert np.isclose(both.covariance, (w**2).sum())
