@@ -11,7 +11,7 @@ from strataloom.operators import filters, link, model, packed, pedigree, reads,
 from strataloom.plans import fixtures as fx
 from strataloom.plans import twins
 from strataloom.plans.fixtures import duck
-from strataloom.sources import text
+from strataloom.sources import plink, text
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -1034,3 +1034,17 @@ def _(s, d):
     made = packed.design(p, ["arm"], "cox", genotyped=gt)
     found = packed.wald_scan(packed.pack(gt, made), made.without_covariates(), ["arm"], variance="model")
     return wald.interaction_test(found, 1, 1).select("variant", *[F.round(c, 2).alias(c) for c in ("chisq_g", "chisq_inter", "chisq_both")])
+
+
+@query("S7_plink", duck("pheno geno variants", "SELECT CAST(chrom AS VARCHAR) AS chrom, id, pos, CAST(iid AS VARCHAR) AS iid, g FROM geno JOIN variants USING (variant)"))
+def _(s, d):
+    # the file: three bytes, then for each variant of the map four subjects a byte; written through Spark, one variant a row
+    folder = fx.scratch(s, "plink")
+    sites = fx.variants(s, d).select("variant", "chrom", "pos", "id")
+    code = F.when(F.col("g").isNull(), 1).when(F.col("g") == 2, 0).when(F.col("g") == 1, 2).otherwise(3)
+    rows = fx.geno(s, d).join(F.broadcast(sites), "variant").groupBy("variant", "chrom", "pos", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("iid", code.alias("c")))), lambda x: x["c"]).alias("codes"))
+    plink.write_bed(rows.orderBy("variant").select("codes"), f"{folder}/a.bed")
+    rows.orderBy("variant").select(F.concat_ws("\t", "chrom", "id", F.lit(0), "pos", F.lit("A"), F.lit("G")).alias("value")).coalesce(1).write.text(f"{folder}/bim")
+    fx.pheno(s, d).orderBy("iid").select(F.concat_ws(" ", "fid", "iid", F.lit("0 0 1 -9")).alias("value")).coalesce(1).write.text(f"{folder}/fam")
+    found = plink.read_plink(s, f"{folder}/a.bed", f"{folder}/bim", f"{folder}/fam")
+    return found.select("chrom", "id", F.col("pos").cast("long").alias("pos"), "iid", "g")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,36 +28,58 @@ def _numbered(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 def read_plink(spark: SparkSession, bed: str, bim: str, fam: str) -> DataFrame:
     """(chrom, id, pos, a1, a2, fid, iid, g): g counts allele a1, null where missing.
 
-    A file holds all variants of one triple, a chromosome as a rule; it is read by one task (up to 2 GB) and leaves it
-    in blocks of about a million cells. Only SNP-major files are read; another header or a length that does not fit
-    raises. Trailing bits of a variant's last byte are ignored.
+    Each task reads the byte ranges of blocks of variants, about a million cells a block, so a bed file may have any size.
+    Only SNP-major files are read; another header or a length that does not fit raises. Trailing bits of a variant's last
+    byte are ignored.
     """
     variants = _numbered(spark, bim, ["chrom", "id", "cm", "pos", "a1", "a2"]).withColumn("pos", F.col("pos").cast("int")).drop("cm")
     people = _numbered(spark, fam, ["fid", "iid"])
     n, m = people.count(), variants.count()
-    width = (n + 3) // 4
-
-    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                if content[:3] != HEADER or len(content) != 3 + m * width:
-                    raise ValueError("not a SNP-major bed file of these variants and subjects")
-                step = max(CELLS // max(n, 1), 1)
-                for start in range(0, m, step):
-                    stop = min(start + step, m)
-                    yield pd.DataFrame({"start": [start], "stop": [stop], "packed": [content[3 + start * width : 3 + stop * width]]})
+    width, step = (n + 3) // 4, max(CELLS // max(n, 1), 1)
+    blocks = -(-m // step)
+    uri = bed if "://" in bed else "file://" + os.path.abspath(bed)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start, stop, packed in batch.itertuples(index=False):
-                codes = np.frombuffer(packed, np.uint8).reshape(stop - start, width)
-                bits = ((codes[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(stop - start, 4 * width)[:, :n]
-                g = COPIES[bits].ravel()
-                frame = pd.DataFrame({"v": np.repeat(np.arange(start, stop), n), "s": np.tile(np.arange(n), stop - start), "g": pd.array(g, "Int64")})
-                frame.loc[g < 0, "g"] = pd.NA
-                yield frame
-
-    blocks = spark.read.format("binaryFile").load(bed).select("content").mapInPandas(slices, "start int, stop int, packed binary").repartition("start")
-    cells = blocks.mapInPandas(unpack, "v int, s int, g long")
+        store, name = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(name) as file:
+            if file.read(3) != HEADER or file.size() != 3 + m * width:
+                raise ValueError("not a SNP-major bed file of these variants and subjects")
+            for batch in batches:
+                for block in batch["id"]:
+                    start, stop = int(block) * step, min((int(block) + 1) * step, m)
+                    file.seek(3 + start * width)
+                    codes = np.frombuffer(file.read((stop - start) * width), np.uint8).reshape(stop - start, width)
+                    bits = ((codes[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(stop - start, 4 * width)[:, :n]
+                    g = COPIES[bits].ravel()
+                    frame = pd.DataFrame({"v": np.repeat(np.arange(start, stop), n), "s": np.tile(np.arange(n), stop - start), "g": pd.array(g, "Int64")})
+                    frame.loc[g < 0, "g"] = pd.NA
+                    yield frame
+
+    cells = spark.range(blocks).repartition(max(blocks, 1), "id").mapInPandas(unpack, "v int, s int, g long")
     out = cells.join(variants.withColumnRenamed("at", "v"), "v").join(people.withColumnRenamed("at", "s"), "s")
     return out.select("chrom", "id", "pos", "a1", "a2", "fid", "iid", "g")
+
+
+def write_bed(rows: DataFrame, bed: str) -> None:
+    """Write two-bit codes (codes array<int>, a row per variant in file order) as one SNP-major file.
+
+    One task writes the file, variant after variant, so it holds one variant at a time.
+    """
+    uri = bed if "://" in bed else "file://" + os.path.abspath(bed)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, name = fs.FileSystem.from_uri(uri)
+        store.create_dir(os.path.dirname(name), recursive=True)
+        part, n = f"{name}.{uuid.uuid4().hex}", 0  # renamed when whole, so that a retried task leaves one file
+        with store.open_output_stream(part) as out:
+            out.write(HEADER)
+            for batch in batches:
+                for codes in batch["codes"]:
+                    codes = np.asarray(codes, np.uint8)
+                    codes = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint8)]).reshape(-1, 4)
+                    out.write((codes << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8).tobytes())
+                    n += 1
+        store.move(part, name)
+        yield pd.DataFrame({"n": [n]})
+
+    rows.coalesce(1).mapInPandas(put, "n long").collect()  # the number of variants

@@ -1,4 +1,4 @@
-"""Every registered association query against its DuckDB twin on the smallest tables."""
+"""Every registered association query against its DuckDB twin, at scale 0.01."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 
 from strataloom.plans import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
