@@ -596,3 +596,17 @@ def test_staged_tables_can_be_cleared(spark):
     assert held.count() == 10 and os.path.isdir(folder)
     common.clear_staged(spark)
     assert not os.path.exists(folder)
+
+
+def test_repeated_words_take_linear_time():
+    """Texts that repeat one token or half of a notice without end."""
+    import time
+
+    start = time.time()
+    text = "card 4111 1111 1111 1111, code 12345678 " * 20_000
+    assert sum(1 for _ in pii_crf._examples(text)) == 5 * 20_000
+    assert len(pii_crf.all_spans(FLAT, "+1 (517) 555-0938, " + "12345678 " * 30_000)[0]) >= 1
+    ranker = license_compress.Ranker(license_compress.TEMPLATES)
+    found = list(license_compress.matches(ranker, "licensed under the terms of " * 20_000))
+    assert found and not any(m[7] for m in found)
+    assert time.time() - start < 120
