@@ -187,7 +187,7 @@ class Lattice:
 def sample_pieces(vocabulary: Vocabulary, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts, one after another, and the offsets of each text's ids."""
     ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for low, high in slices(texts, 800_000):
+    for low, high in slices(texts, 400_000):
         chunks = [CHUNK.findall(" " + t) for t in texts[low:high]]
         per_text = np.fromiter(map(len, chunks), np.int64, len(chunks))
         flat = list(chain.from_iterable(chunks))
@@ -236,8 +236,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 400):
-                batch = whole.slice(low, 400)
+            for low in range(0, whole.num_rows, 200):
+                batch = whole.slice(low, 200)
                 texts = batch.column(text).to_pylist()
                 known = [i for i, t in enumerate(texts) if t is not None]
                 seeds = batch.column("_seed").to_numpy(zero_copy_only=False)[known].view(np.uint64)
