@@ -41,7 +41,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     out = []
     for text in texts:
         words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-        if len(_CACHE) > 400_000:
+        if len(_CACHE) > 200_000:
             _CACHE.clear()
         for word in set(words).difference(_CACHE):
             _CACHE[word] = xxhash.xxh3_64_intdigest(word)
@@ -88,6 +88,7 @@ def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
                 keys = [f"{len(s):x}-{int(s.sum(dtype=np.uint64)):x}-{int(splitmix(s).sum(dtype=np.uint64)):x}" if len(s) else None for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()), lists], names=["doc_id", "n_shingles", "set_key", "bands"])
+        _CACHE.clear()  # the worker lives on in later stages
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key string, bands array<long>")
 
@@ -136,6 +137,7 @@ def compare(tasks: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 batch = whole_batch.slice(at, 250)
                 sets = shingle_sets(batch.column("text").to_pylist(), k)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tasks"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tasks", "members"])
+        _CACHE.clear()
 
     kind = "array<struct<p:long,q:long,side:int,label:long>>"
     sets = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "tasks").mapInArrow(whole, f"doc_id long, tasks {kind}, members binary")
