@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from strataloom.llm.best_fit_packing import op13_best_fit_packing
 from strataloom.llm.langid_centroid import op9_langid
 from strataloom.llm.license_compress import op8_license
 from strataloom.llm.minmax_dedup import op7_minmax_dedup
 from strataloom.llm.mixing import op3_mixing
 from strataloom.llm.pii_crf import op10_pii
+from strataloom.llm.periodic_runs import op12_periodic_runs
 from strataloom.llm.prefix_fingerprint import op6_prefix_fingerprint
 from strataloom.llm.quality_lines import OP4_SQL, op4_line_quality
 from strataloom.llm.sentencepiece_lattice import op1_sentencepiece
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_license": op8_license,
     "op9_langid": op9_langid,
     "op10_pii": op10_pii,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_line_quality": OP4_SQL}
