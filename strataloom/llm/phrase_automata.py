@@ -262,7 +262,7 @@ def windows(lang: str, words: list[bytes], codes: np.ndarray, longest: int, bits
     return aggregate(np.concatenate([ones, rest]), np.concatenate([single[some], np.ones(len(rest), np.int64)]))
 
 
-def shards(docs: DataFrame, longest: int, bits=None) -> DataFrame:
+def shards(docs: DataFrame, longest: int, bits=None, tokens: int = TOKENS, chunk: int = CHUNK, every: int = EVERY) -> DataFrame:
     """(lang, n, probes, blob): count transducers of the documents' phrases, each of a bounded part of a task's words; n
     words begin their paths, `probes` are evenly spaced ones of these."""
 
@@ -271,10 +271,10 @@ def shards(docs: DataFrame, longest: int, bits=None) -> DataFrame:
         rank = np.full(len(place), -1, np.int64)
         rank[np.fromiter((place[w] for w in words), np.int64, len(words))] = np.arange(len(words))
         paths, counts = windows(lang, words, rank[np.concatenate(arrays)], longest, None if bits is None else bits.value)
-        for low in range(0, len(paths), CHUNK):
-            some, n = paths[low : low + CHUNK], counts[low : low + CHUNK]
+        for low in range(0, len(paths), chunk):
+            some, n = paths[low : low + chunk], counts[low : low + chunk]
             blob = Automaton.build(words, some, n).dump()
-            probes = [GAP.join(key_of(words, some[i])) for i in range(zlib.crc32(blob) % EVERY, len(some), EVERY)]
+            probes = [GAP.join(key_of(words, some[i])) for i in range(zlib.crc32(blob) % every, len(some), every)]
             yield lang, int(n.sum()), probes, blob
 
     kinds = [pa.string(), pa.int64(), pa.list_(pa.binary()), pa.binary()]
@@ -292,15 +292,15 @@ def shards(docs: DataFrame, longest: int, bits=None) -> DataFrame:
                 for low, high in slices(own, 1_000_000):
                     joined = "\n".join(own[low:high]).encode("utf-8", "surrogatepass").translate(_LOWER)
                     place, arrays = open_.setdefault(lang, ({GAP: 0}, []))
-                    tokens = joined.replace(GAP, b" \xff ").split(b" ")
-                    for word in set(tokens).difference(place):
+                    split = joined.replace(GAP, b" \xff ").split(b" ")
+                    for word in set(split).difference(place):
                         if word:
                             place[word] = len(place)
-                    tokens = [t for t in tokens if t]
-                    arrays.append(np.fromiter(map(place.__getitem__, tokens), np.int32, len(tokens)))
+                    split = [t for t in split if t]
+                    arrays.append(np.fromiter(map(place.__getitem__, split), np.int32, len(split)))
                     arrays.append(np.zeros(1, np.int32))
-                    waiting += len(tokens)
-                    if waiting >= TOKENS:
+                    waiting += len(split)
+                    if waiting >= tokens:
                         for name, (names, lists) in open_.items():
                             yield from map(batch_of, flush(name, names, lists))
                         open_, waiting = {}, 0
@@ -485,14 +485,15 @@ def unpack_keys(blob: bytes) -> dict[Key, int]:
     return {key_of(one.words, row): int(n) for row, n in zip(rows, counts)}
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
-    """Each language's `top` phrases of two to `longest` words: (lang, rank, phrase, a, l, r, n, score)."""
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, **shard: int) -> DataFrame:
+    """Each language's `top` phrases of two to `longest` words: (lang, rank, phrase, a, l, r, n, score). `shard` holds sizes
+    of the shards; they don't change the result."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = staged(shards(docs, 2), "words")
+    first = staged(shards(docs, 2, **shard), "words")
     sizes = staged(first.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     bits = spark.sparkContext.broadcast(frequent_bits(staged(union(first, Bounds.of(first, parts), parts, least), "pairs"), least))
-    second = staged(shards(docs, longest, bits), "phrases")
+    second = staged(shards(docs, longest, bits, **shard), "phrases")
     bounds = Bounds.of(second, parts)
     ranges = staged(union(second, bounds, parts, least), "ranges")
     totals: dict[str, dict[Key, int]] = {}
