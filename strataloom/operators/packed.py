@@ -16,17 +16,23 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.functions.scalar import chi2_tail
-from strataloom.operators import stats
+from strataloom.operators import dosage, stats
 from strataloom.operators.wald import ITERATIONS, MARGIN, RESULT, STEP_CAP, TOLERANCE, result_row
 
 #: Bytes that a broadcast design may have.
 LIMIT = 256 << 20
 #: Variants of one batch that are multiplied at a time.
 BATCH = 64
+#: Terms whose moments, scaled to unit size, have a greater condition number are linearly dependent.
+CONDITION = 1e12
+#: Variants of a gene's tile; a pair of tiles is one group.
+TILE = 512
 #: Cox steps without gain after which a fit is given up.
 STOPS = 5
 
@@ -120,10 +126,11 @@ def design(pheno: DataFrame, covariates: list[str] = (), model: str = "linear",
     return out
 
 
-def pack(gt: DataFrame, made: Design, key: str = "variant", absent: float = float("nan")) -> DataFrame:
+def pack(gt: DataFrame, made: Design, key: str = "variant", absent: float = float("nan"), compact: bool = False) -> DataFrame:
     """(key, g array<double>): the dosages of long genotypes (key, iid, g) in the design's order, null where missing.
 
-    A subject without a row has `absent`: missing, or 0 where only carriers have rows.
+    A subject without a row has `absent`: missing, or 0 where only carriers have rows. `compact` gives g as the bytes of
+    `dosage`, which the scans read as well. Genotypes in VCF and bed files need none of this: see sources.packed.
     """
     n = len(made.ids)
     places = pd.DataFrame({"iid": made.ids, "slot": np.arange(n)})
@@ -137,10 +144,10 @@ def pack(gt: DataFrame, made: Design, key: str = "variant", absent: float = floa
             for slots, values in zip(batch["slots"], batch["values"]):
                 g = np.full(n, absent)
                 g[np.asarray(slots)] = values
-                out.append(g)
+                out.append(dosage.encode(g) if compact else g)
             yield pd.DataFrame({key: batch[key], "g": out})
 
-    return held.mapInPandas(fill, f"{key} {gt.schema[key].dataType.simpleString()}, g array<double>")
+    return held.mapInPandas(fill, f"{key} {gt.schema[key].dataType.simpleString()}, g {'binary' if compact else 'array<double>'}")
 
 
 def _family_sums(d: Design, s: np.ndarray) -> np.ndarray:
@@ -173,6 +180,13 @@ def _sandwich(d: Design, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inverse if not d.weighted and cov[0, 0] < inverse[0, 0] - MARGIN else cov
 
 
+def full_rank(x: np.ndarray, w: np.ndarray) -> bool:
+    """Whether no term (columns of x, weighted by w) is a combination of the others, each taken at unit size."""
+    a = (x * w[:, None]).T @ x
+    size = np.sqrt(np.diag(a))
+    return bool((size > 0).all()) and np.linalg.cond(a / np.outer(size, size)) < CONDITION
+
+
 def _linear(d: Design, x: np.ndarray, m: np.ndarray) -> tuple:
     w = d.w * m
     a0, b0 = (x * w[:, None]).T @ x, x.T @ (w * d.y)
@@ -287,6 +301,33 @@ def _cox(d: Design, x: np.ndarray, m: np.ndarray, risk: Risk) -> tuple:
     return theta, None, "not converged"
 
 
+def variants(batches, n: int, each):
+    """What `each` gives for the keys and the dosages (a matrix of n columns) of up to BATCH variants at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(at, BATCH)
+            yield from each(batch.column(0), dosage.decode(batch.column(1), n))
+
+
+def _rows(df: DataFrame, run, schema: str) -> DataFrame:
+    """`run` gives dicts of the schema's columns for the Arrow batches of df; the rows go back BATCH at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def work(batches):
+        held = []
+        for row in run(batches):
+            held.append(row)
+            if len(held) == BATCH:
+                yield pa.RecordBatch.from_pylist(held, kinds)
+                held = []
+        yield pa.RecordBatch.from_pylist(held, kinds)
+
+    return df.mapInArrow(work, schema)
+
+
 def wald_scan(packed: DataFrame, made: Design, envs: list[str] = (), key: str = "variant", variance: str = "sandwich") -> DataFrame:
     """One row per variant of a packed table: the fit of [g, 1, g x envs, covariates] (no 1 for Cox), no shuffle.
 
@@ -300,22 +341,20 @@ def wald_scan(packed: DataFrame, made: Design, envs: list[str] = (), key: str =
     def run(batches):
         d = shared.value
         risk = Risk(d) if d.model == "cox" else None
-        for batch in batches:
-            out = []
-            for name, g in zip(batch[key], batch["g"]):
-                g = np.asarray(g, float)
-                m = np.isfinite(g).astype(float)
-                g = np.where(m > 0, g, 0.0)
-                ahead = 0 if d.model == "cox" else 1
-                x = np.column_stack([g, *([np.ones(len(g))] if ahead else []), *[g * d.env[c] for c in envs], d.x[:, ahead:]]) * m[:, None]
-                try:
-                    theta, cov, status = _cox(d, x, m, risk) if risk else (_logistic if d.model == "logistic" else _linear)(d, x, m)
-                except np.linalg.LinAlgError:
-                    theta, cov, status = None, None, "singular"
-                out.append(result_row(name, int(m.sum()), theta, cov, status))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return packed.mapInPandas(run, RESULT.replace("variant long", f"variant {packed.schema[key].dataType.simpleString()}"))
+        for name, g in variants(batches, len(d.ids), lambda k, g: list(zip(k.to_pylist(), g))):
+            m = np.isfinite(g).astype(float)
+            g = np.where(m > 0, g, 0.0)
+            ahead = 0 if d.model == "cox" else 1
+            x = np.column_stack([g, *([np.ones(len(g))] if ahead else []), *[g * d.env[c] for c in envs], d.x[:, ahead:]]) * m[:, None]
+            try:
+                if not full_rank(x if ahead else np.column_stack([m, x]), d.w * m):
+                    raise np.linalg.LinAlgError
+                theta, cov, status = _cox(d, x, m, risk) if risk else (_logistic if d.model == "logistic" else _linear)(d, x, m)
+            except np.linalg.LinAlgError:
+                theta, cov, status = None, None, "singular"
+            yield result_row(name, int(m.sum()), theta, cov, status)
+
+    return _rows(packed.select(key, "g"), run, RESULT.replace("variant long", f"variant {packed.schema[key].dataType.simpleString()}"))
 
 
 def term_rows(results: DataFrame, terms: dict[str, int]) -> DataFrame:
@@ -410,26 +449,87 @@ def score_scan(packed: DataFrame, made: Design, null: dict, rescale: str | None
     """
     shared = packed.sparkSession.sparkContext.broadcast((made, null))  # checked in design()
 
+    names = [key, *[c.split()[0] for c in SCORE.split(", ")]]
+
     def run(batches):
         d, held = shared.value
-        risk = Risk(d) if d.model == "cox" else None
-        r, dd = (None, None) if risk else _null_parts(d, held)
-        for whole in batches:
-            for at in range(0, len(whole), BATCH):
-                batch = whole.iloc[at : at + BATCH]
-                g, n = _imputed(np.stack([np.asarray(v, float) for v in batch["g"]]))
-                if risk:
-                    parts = [_cox_score(d, risk, held, row) for row in g]
-                    u, v0, v_a = (np.array(c, float) for c in zip(*parts))
-                else:
-                    e = _adjust(d, held, r, dd, np.nan_to_num(g))
-                    u, v0, v_a = np.nan_to_num(g) @ (d.w * r), _quadratic(d, e * r, e, dd), (e * e) @ (d.w * dd)
-                    varied = (n > 0) & (v_a > 1e-12 * (np.nan_to_num(g) ** 2 @ (d.w * dd)))  # else nothing is left of g
-                    u, v0, v_a = (np.where(varied, c, np.nan) for c in (u, v0, v_a))
-                rows = _score_rows(d, u, v0, v_a, n, rescale)
-                yield pd.DataFrame([(name, *row) for name, row in zip(batch[key], rows)], columns=[key, *[c.split()[0] for c in SCORE.split(", ")]])
-
-    return packed.mapInPandas(run, f"{key} {packed.schema[key].dataType.simpleString()}, {SCORE}")
+        cox = CoxNull(d, held) if d.model == "cox" else None
+        r, dd = (None, None) if cox else _null_parts(d, held)
+
+        def batch(keys, g):
+            g, n = _imputed(g)
+            if cox:
+                u, v0, v_a = cox.test(np.nan_to_num(g))
+                varied = (n > 0) & (np.ptp(np.nan_to_num(g), axis=1) > 0) & d.event.any()
+            else:
+                g = np.nan_to_num(g)
+                e = _adjust(d, held, r, dd, g)
+                u, v0, v_a = g @ (d.w * r), _quadratic(d, e * r, e, dd), (e * e) @ (d.w * dd)
+                varied = (n > 0) & (v_a > 1e-12 * ((g * g) @ (d.w * dd)))  # else nothing is left of g
+            u, v0, v_a = (np.where(varied, c, np.nan) for c in (u, v0, v_a))
+            return [dict(zip(names, (name, *row))) for name, row in zip(keys.to_pylist(), _score_rows(d, u, v0, v_a, n, rescale))]
+
+        return variants(batches, len(d.ids), batch)
+
+    return _rows(packed.select(key, "g"), run, f"{key} {packed.schema[key].dataType.simpleString()}, {SCORE}")
+
+
+class CoxNull:
+    """What all variants' score tests share under a Cox null: its weights at risk, and the covariates' own parts."""
+
+    def __init__(self, d: Design, null: dict):
+        self.d, self.risk, theta = d, Risk(d), np.asarray(null["theta"], float)
+        x = d.x - d.x.mean(0) if d.x.shape[1] else d.x
+        self.x, self.e = x, np.exp(np.clip(x @ theta, -60, 60))
+        self.r = d.w * self.e
+        event = self.risk.event
+        at_event = lambda c: np.bincount(self.risk.at[event], c[event], len(self.risk.times))
+        self.s0 = self.risk.over(self.r)
+        self.safe = np.where(self.s0 > 0, self.s0, 1.0)
+        self.hit = np.where(self.s0 > 0, at_event(d.w), 0.0)
+        own = d.pairs[4] if d.pairs is not None else np.where(d.single, d.w**2, 0.0)
+        self.own = np.zeros_like(self.hit) if d.robust else np.where(self.s0 > 0, at_event(own), 0.0)
+        self.mean = self.risk.over(self.r[:, None] * x) / self.safe[:, None]
+        self.h, self.k = (self.r * self.risk.spent(c / self.safe) for c in (self.hit, self.own))
+        self.h0 = self.risk.spent(self.hit / self.safe)
+        self.u = self._scores(x, self.mean)
+        self.info, self.spread = (self._cross(x, x, self.mean, self.mean, a, c) for a, c in ((self.h, self.hit), (self.k, self.own)))
+
+    def _scores(self, x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        """Per-subject scores of the columns of x, unweighted."""
+        event = self.risk.event
+        u = -self.e[:, None] * (x * self.h0[:, None] - self.risk.spent((self.hit / self.safe)[:, None] * mean))
+        u[event] += x[event] - mean[self.risk.at[event]]
+        return u
+
+    @staticmethod
+    def _cross(x, y, mean_x, mean_y, at, times):
+        return (x * at[:, None]).T @ y - (mean_x * times[:, None]).T @ mean_y
+
+    def test(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(u, v0, v_a) of each row of g, a batch's risk sums in one running sum."""
+        d, x = self.d, (g - g.mean(1, keepdims=True)).T
+        if not len(self.risk.times):
+            return (np.full(len(g), np.nan),) * 3
+        mean = self.risk.over(self.r[:, None] * x) / self.safe[:, None]
+        event = self.risk.event
+        score = (d.w[event, None] * x[event]).sum(0) - (self.hit[:, None] * mean).sum(0)
+        square = lambda at, times: (x * x * at[:, None]).sum(0) - (mean * mean * times[:, None]).sum(0)
+        info, own = square(self.h, self.hit), square(self.k, self.own)
+        s = self._scores(x, mean)
+        if self.x.shape[1]:
+            cross = self._cross(x, self.x, mean, self.mean, self.h, self.hit)
+            mix = -np.linalg.solve(self.info, cross.T).T  # a row a variant
+            s = s + self.u @ mix.T
+            info = info + 2 * (mix * cross).sum(1) + ((mix @ self.info) * mix).sum(1)
+            own = own + 2 * (mix * self._cross(x, self.x, mean, self.mean, self.k, self.own)).sum(1) + ((mix @ self.spread) * mix).sum(1)
+        if d.pairs is not None:
+            rows, first, j, delta, _ = d.pairs
+            v = (s[rows] * np.add.reduceat(delta[:, None] * s[j], first, axis=0)).sum(0) if len(rows) else np.zeros(len(g))
+            return score, v + own, info
+        sums = _family_sums(d, s * d.w[:, None])
+        several = np.ones(len(sums), bool) if d.robust else ~d.single[d.order[d.starts]]
+        return score, (sums[several] ** 2).sum(0) + own, info
 
 
 def _cox_matrix(d: Design, risk: Risk, null: dict, g: np.ndarray) -> tuple:
@@ -444,49 +544,64 @@ def _cox_matrix(d: Design, risk: Risk, null: dict, g: np.ndarray) -> tuple:
     return part["score"][:k], mix.T @ b @ mix, mix.T @ info @ mix
 
 
-def _cox_score(d: Design, risk: Risk, null: dict, g: np.ndarray) -> tuple:
-    if not d.event.any() or not np.isfinite(g).all():
-        return np.nan, np.nan, np.nan
-    if np.ptp(g) == 0:
-        return np.nan, np.nan, np.nan
-    u, v0, v_a = _cox_matrix(d, risk, null, g[:, None])
-    return u[0], v0[0, 0], v_a[0, 0]
-
-
-def gene_scan(packed: DataFrame, groups: DataFrame, made: Design, null: dict, maf_ub: float = 0.05, cr_lb: float = 0.0, rescale: str | None = None, key: str = "variant") -> DataFrame:
+def gene_scan(packed: DataFrame, groups: DataFrame, made: Design, null: dict, maf_ub: float = 0.05, cr_lb: float = 0.0, rescale: str | None = None, key: str = "variant", tile: int = TILE) -> DataFrame:
     """(gene, i, j, u, v): each gene's score vector (on i = j) and the lower triangle of its variance, all models.
 
-    Variants over `maf_ub` or under `cr_lb` are left out first, on packed rows. A gene's rows meet in one task, a variant
-    once per gene. Unweighted, the rows and columns of variants whose 1/v lies below 1/v_a less a margin come from the
-    model's variance. `rescale` takes the sums over the gene for its factor.
+    Variants without a call, over `maf_ub` or under `cr_lb` are left out first, on packed rows. A gene's variants are dealt
+    to tiles of `tile`; each pair of tiles is a group of its own, so that a gene of any size is spread over tasks that hold
+    two tiles of genotypes at most. Unweighted, the rows and columns of variants whose 1/v lies below 1/v_a less a margin
+    come from the model's variance. `rescale` takes the sums over the gene for its factor.
     """
     shared = packed.sparkSession.sparkContext.broadcast((made, null))  # checked in design()
-    known = F.filter("g", lambda v: v.isNotNull() & ~F.isnan(v))
-    af = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / (2 * F.size(known))
-    kept = packed.where((af <= maf_ub) & (F.size(known) / F.size("g") >= cr_lb))
     kinds = groups.schema["gene"].dataType.simpleString(), packed.schema[key].dataType.simpleString()
 
-    def test(gene: pd.DataFrame) -> pd.DataFrame:
+    def known(batches):
+        d = shared.value[0]
+
+        def batch(keys, g):
+            _, n = _imputed(g)
+            af = np.nansum(g, axis=1) / np.maximum(2 * n, 1)
+            return [{key: k} for k, ok in zip(keys.to_pylist(), (n > 0) & (af <= maf_ub) & (n >= cr_lb * g.shape[1])) if ok]
+
+        return variants(batches, len(d.ids), batch)
+
+    kept = _rows(packed.select(key, "g"), known, f"{key} {kinds[1]}")
+    members = groups.select("gene", key).distinct().join(kept, key)
+    # places in a gene's order: thin rows, so a gene's numbers may meet in one window
+    members = members.withColumn("tile", F.floor((F.row_number().over(W.partitionBy("gene").orderBy(key)) - 1) / tile).cast("int"))
+    tiles = members.withColumn("tiles", F.max("tile").over(W.partitionBy("gene")) + 1)
+    pairs = F.sequence(F.lit(0), F.col("tiles") - 1)
+    sent = tiles.select("gene", key, "tile", F.explode(pairs).alias("other")).select("gene", key, "tile", F.greatest("tile", "other").alias("a"), F.least("tile", "other").alias("b"))
+    met = sent.join(packed.select(key, "g"), key)
+
+    def test(group: pa.Table) -> pa.Table:
         d, held = shared.value
-        gene = gene.sort_values(key)
-        g, _ = _imputed(np.stack([np.asarray(v, float) for v in gene["g"]]))
+        group = group.sort_by(key)
+        a, b = group["a"][0].as_py(), group["b"][0].as_py()
+        g, _ = _imputed(dosage.decode(group["g"].combine_chunks(), len(d.ids)))
+        names, own = group[key].to_pylist(), np.array(group["tile"].to_pylist())
         if d.model == "cox":
             u, v0, v_a = _cox_matrix(d, Risk(d), held, g.T)
         else:
             r, dd = _null_parts(d, held)
             e = _adjust(d, held, r, dd, g)
             u, v0, v_a = g @ (d.w * r), meat(d, (e * r).T, lambda c: (e * (c * dd)) @ e.T), (e * (d.w * dd)) @ e.T
-        v, diagonal = v0.copy(), np.diag(v0)
+        diagonal, model = np.diag(v0), np.zeros(len(u), bool)
         if not d.weighted:
             with np.errstate(divide="ignore", invalid="ignore"):
                 model = np.isnan(diagonal) | (1 / diagonal < 1 / np.diag(v_a) - MARGIN)
-            v[model, :], v[:, model] = v_a[model, :], v_a[:, model]
-        u, v = _rescaled(u, v, v0.sum(), v_a.sum(), rescale, d)
-        names = gene[key].to_numpy()
-        i, j = np.tril_indices(len(names))
-        return pd.DataFrame({"gene": gene["gene"].iloc[0], "i": names[i], "j": names[j], "u": np.where(i == j, u[i], np.nan), "v": v[i, j]})
-
-    met = kept.join(groups.select("gene", key).distinct(), key)
-    out = met.groupBy("gene").applyInPandas(test, f"gene {kinds[0]}, i {kinds[1]}, j {kinds[1]}, u double, v double")
-    return out.withColumn("u", F.when(~F.isnan("u"), F.col("u")))
-
+        v = np.where(model[:, None] | model[None, :], v_a, v0)
+        i, j = np.tril_indices(len(u))
+        cross = (own[i] == a) & (own[j] == b) | (own[i] == b) & (own[j] == a)
+        i, j = i[cross], j[cross]
+        twice = np.where(i == j, 1.0, 2.0)
+        return pa.table({"gene": [group["gene"][0].as_py()] * len(i), "i": [names[k] for k in i], "j": [names[k] for k in j], "u": np.where(i == j, u[i], np.nan), "v": v[i, j], "v0": twice * v0[i, j], "v_a": twice * v_a[i, j]})
+
+    out = met.groupBy("gene", "a", "b").applyInArrow(test, f"gene {kinds[0]}, i {kinds[1]}, j {kinds[1]}, u double, v double, v0 double, v_a double")
+    out = out.withColumn("u", F.when(~F.isnan("u"), F.col("u")))
+    if rescale is None:
+        return out.drop("v0", "v_a")
+    naive = F.lit(len(made.w) / float(made.w.sum()) if made.weighted else 1.0)
+    total = out.groupBy("gene").agg(F.sum("v0").alias("v0"), F.sum("v_a").alias("v_a"))
+    k = naive if rescale == "naive" else F.when((F.col("v0") > 0) & (F.col("v_a") > 0), F.col("v_a") / F.col("v0")).otherwise(naive)
+    return out.drop("v0", "v_a").join(total.select("gene", k.alias("k")), "gene").select("gene", "i", "j", (F.col("u") * F.col("k")).alias("u"), (F.col("v") * F.col("k") * F.col("k")).alias("v"))
