@@ -9,12 +9,13 @@ sum(capacity // length), some 16,000 at 2048, for any number of documents. Piece
 Spark, and a piece's number tells its sequence and offset.
 
 Contract. Null text counts as empty: the end id alone. Rows that repeat are pieces of their own. No documents make no
-rows. Token ids are those of the whole text: a text is cut at ASCII white space, which the tokenizer drops, and each
-distinct chunk is looked up once. Columns other than doc_id and text are ignored.
+rows. Token ids are those of the whole text: a text is cut at ASCII white space, which the tokenizer drops, and between
+a letter and a mark, where it cuts as well; a worker looks each distinct chunk up once. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -31,32 +32,51 @@ from pyspark.sql import functions as F
 from strataloom.llm.common import slices, staged, table
 
 CAPACITY, END = 2048, 0
-#: Chunks that the pre-tokenizer cuts into letters and one group of marks; all others go through the whole tokenizer.
-PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?()]*)")
+#: Chunks that the pre-tokenizer leaves whole: letters, or a group of marks.
+PLAIN = re.compile(rb"[A-Za-z]+|[.,;:!?()#&*%$|<>\"]+")
+#: Between an ASCII letter and such a mark the pre-tokenizer always cuts (those of special tokens are none of them).
+CUT = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?()#&*%$\"])")
+_KNOWN: dict[str, Chunks] = {}
 
 
 class Chunks:
-    """Token ids of chunks without white space, kept while there are at most `most` of them."""
+    """Token ids of chunks of text, kept while there are at most `most` of them."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        model = json.loads(self.tokenizer.to_str())["model"]
+        self.closing = np.zeros(max(model["vocab"].values()) + 1, bool)  # the tokens that end a piece of the pre-tokenizer
+        self.closing[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
         self.clear()
 
+    @classmethod
+    def of(cls, path: str) -> Chunks:
+        """One for each worker and file, so that a worker's tasks share it."""
+        if path not in _KNOWN:
+            _KNOWN[path] = cls(path)
+        return _KNOWN[path]
+
     def clear(self) -> None:
         self.rows: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = array("I"), array("q"), array("q")
 
     def learn(self, chunks: set[bytes]) -> None:
-        model, hard, found = self.tokenizer.model, [], []
+        tokenize, letters, hard, found = self.tokenizer.model.tokenize, [], [], []
         for chunk in chunks:
-            plain = PLAIN.fullmatch(chunk)
-            if plain:  # the pre-tokenizer's own pieces, lower case; bytes of printable ASCII stand for themselves
-                ids = [t.id for t in model.tokenize(plain[1].decode().lower())]
-                found.append((chunk, ids + [t.id for t in model.tokenize(plain[2].decode())] if plain[2] else ids))
+            if PLAIN.fullmatch(chunk):  # bytes of printable ASCII stand for themselves, lower case
+                found.append((chunk, [t.id for t in tokenize(chunk.lower().decode())]))
             else:
-                hard.append(chunk)
+                (letters if chunk.decode("utf-8", "replace").isalpha() else hard).append(chunk)
+        for low in range(0, len(letters), 5000):  # letters alone are a piece each, so a joined text falls apart again
+            some = letters[low : low + 5000]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.closing[ids]) + 1 if len(ids) else ids
+            if len(stops) == len(some):
+                found += zip(some, map(np.ndarray.tolist, np.split(ids, stops[:-1])))
+            else:  # a letter that is none in lower case
+                hard += some
         coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in hard], add_special_tokens=False)
         for chunk, ids in [*found, *zip(hard, (c.ids for c in coded))]:
             self.rows[chunk] = len(self.starts)
@@ -66,7 +86,7 @@ class Chunks:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, END behind each text, and where each text's ids stop."""
-        lists = [text.encode("utf-8", "replace").split() for text in texts]
+        lists = [CUT.sub(b" ", text.encode("utf-8", "replace")).split() for text in texts]
         known = set().union(*lists)
         if len(self.rows) > self.most:
             self.clear()
@@ -89,8 +109,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(path)
-        for batch in batches:
+        chunks = Chunks.of(path)
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             nulls, doc_ids = batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(0).fill_null(0).to_numpy()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for low, high in slices(texts, 1_000_000):
