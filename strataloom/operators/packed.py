@@ -23,14 +23,12 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.scalar import chi2_tail
 from strataloom.operators import dosage, stats
-from strataloom.operators.wald import ITERATIONS, MARGIN, RESULT, STEP_CAP, TOLERANCE, result_row
+from strataloom.operators.wald import ITERATIONS, MARGIN, RESULT, STEP_CAP, TOLERANCE, regular, result_row
 
 #: Bytes that a broadcast design may have.
 LIMIT = 256 << 20
 #: Variants of one batch that are multiplied at a time.
 BATCH = 64
-#: Terms whose moments, scaled to unit size, have a greater condition number are linearly dependent.
-CONDITION = 1e12
 #: Variants of a gene's tile; a pair of tiles is one group.
 TILE = 512
 #: Cox steps without gain after which a fit is given up.
@@ -180,13 +178,6 @@ def _sandwich(d: Design, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inverse if not d.weighted and cov[0, 0] < inverse[0, 0] - MARGIN else cov
 
 
-def full_rank(x: np.ndarray, w: np.ndarray) -> bool:
-    """Whether no term (columns of x, weighted by w) is a combination of the others, each taken at unit size."""
-    a = (x * w[:, None]).T @ x
-    size = np.sqrt(np.diag(a))
-    return bool((size > 0).all()) and np.linalg.cond(a / np.outer(size, size)) < CONDITION
-
-
 def _linear(d: Design, x: np.ndarray, m: np.ndarray) -> tuple:
     w = d.w * m
     a0, b0 = (x * w[:, None]).T @ x, x.T @ (w * d.y)
@@ -347,7 +338,8 @@ def wald_scan(packed: DataFrame, made: Design, envs: list[str] = (), key: str =
             ahead = 0 if d.model == "cox" else 1
             x = np.column_stack([g, *([np.ones(len(g))] if ahead else []), *[g * d.env[c] for c in envs], d.x[:, ahead:]]) * m[:, None]
             try:
-                if not full_rank(x if ahead else np.column_stack([m, x]), d.w * m):
+                terms = x if ahead else np.column_stack([m, x])
+                if not regular((terms * d.w[:, None]).T @ terms):
                     raise np.linalg.LinAlgError
                 theta, cov, status = _cox(d, x, m, risk) if risk else (_logistic if d.model == "logistic" else _linear)(d, x, m)
             except np.linalg.LinAlgError:

@@ -48,7 +48,7 @@ def _adjusted(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame, ke
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in null["covariates"]]]
     w = F.col("wt").cast("double") if null["weighted"] else F.lit(1.0)
     r = F.col("y") - sum((F.lit(float(t)) * c for t, c in zip(null["theta"], x)), F.lit(0.0))
-    people = family_sizes(pheno).select("iid", "fid", "fam_size", w.alias("w"), r.alias("r"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
+    people = family_sizes(pheno, gt).select("iid", "fid", "fam_size", w.alias("w"), r.alias("r"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
     full = gt.join(stats_.select(key, "alt_af"), key).withColumn("g", F.coalesce(F.col("g").cast("double"), 2 * F.col("alt_af")))
     rows = full.join(people, "iid")
     cross = rows.groupBy(key).agg(*[F.sum(F.expr(f"w * g * x{i}")).alias(f"c{i}") for i in range(p)])
@@ -57,6 +57,16 @@ def _adjusted(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame, ke
     return rows.join(cross.select(key, *h), key).withColumn("e", F.col("g") - sum((F.col(f"h{i}") * F.col(f"x{i}") for i in range(p)), F.lit(0.0)))
 
 
+def _tested(sums: DataFrame, weighted: bool) -> DataFrame:
+    """`sums` (u, v0, v_a, gg: the unadjusted sum of squares) with v, beta, se and chisq; all null for a variant of which
+    the null's terms leave nothing, such as one without variation or without a call."""
+    varied = (F.col("v_a") > 1e-12 * F.col("gg")) & (F.col("v0") > 0)
+    sums = sums.withColumns({n: F.when(varied, F.col(n)) for n in ("u", "v0", "v_a")})
+    less = F.try_divide(F.lit(1.0), "v0") < F.try_divide(F.lit(1.0), "v_a") - MARGIN
+    sums = sums.withColumn("v", F.col("v0") if weighted else F.when(less, F.col("v_a")).otherwise(F.col("v0")))
+    return sums.withColumns({"beta": F.try_divide("u", "v"), "se": F.try_divide(F.lit(1.0), F.sqrt("v")), "chisq": F.try_divide(F.col("u") * F.col("u"), "v")})
+
+
 def linear_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame, rescale: str | None = None, key: str = "variant") -> DataFrame:
     """One row per variant: u, v, beta, se, chisq, pvalue; missing genotypes are imputed by their mean.
 
@@ -64,11 +74,9 @@ def linear_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFrame,
     result has 1/v below the model's 1/v_a less a margin, v_a takes its place.
     """
     s2, adjusted = null["sigma2"], _adjusted(pheno, gt, null, stats_, key)
-    families = adjusted.groupBy(key, "fid").agg(F.first("fam_size").alias("size"), F.sum(F.expr("w * r * e")).alias("s"), F.sum(F.expr("w * w * e * e")).alias("q"), F.sum(F.expr("w * e * e")).alias("a"), F.count("*").alias("m"))
-    out = families.groupBy(key).agg(F.sum("m").alias("n"), (F.sum("s") / s2).alias("u"), F.sum(F.when(F.col("size") == 1, F.col("q") / s2).otherwise(F.col("s") * F.col("s") / (s2 * s2))).alias("v0"), (F.sum("a") / s2).alias("v_a"))
-    v = F.col("v0") if null["weighted"] else F.when(1 / F.col("v0") < 1 / F.col("v_a") - MARGIN, F.col("v_a")).otherwise(F.col("v0"))
-    out = out.withColumn("v", v).withColumn("chisq", F.col("u") * F.col("u") / F.col("v"))
-    out = out.withColumns({"beta": F.col("u") / F.col("v"), "se": 1 / F.sqrt("v")})
+    families = adjusted.groupBy(key, "fid").agg(F.first("fam_size").alias("size"), *[F.sum(F.expr(e)).alias(n) for n, e in (("s", "w * r * e"), ("q", "w * w * e * e"), ("a", "w * e * e"), ("g", "w * g * g"))], F.count("*").alias("m"))
+    out = families.groupBy(key).agg(F.sum("m").alias("n"), (F.sum("s") / s2).alias("u"), F.sum(F.when(F.col("size") == 1, F.col("q") / s2).otherwise(F.col("s") * F.col("s") / (s2 * s2))).alias("v0"), (F.sum("a") / s2).alias("v_a"), (F.sum("g") / s2).alias("gg"))
+    out = _tested(out, null["weighted"])
     if rescale == "naive" and null["weighted"]:
         k = null["n"] / null["sw"]
         out = out.withColumns({"u": F.col("u") * k, "v": F.col("v") * k * k})
@@ -98,7 +106,7 @@ def logistic_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFram
     p = len(x)
     eta = sum((F.lit(float(t)) * c for t, c in zip(null["theta"], x)), F.lit(0.0))
     mu = 1 / (1 + F.exp(-eta))
-    people = family_sizes(pheno).select("iid", "fid", "fam_size", (F.col("y") - mu).alias("r"), (mu * (1 - mu)).alias("d"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
+    people = family_sizes(pheno, gt).select("iid", "fid", "fam_size", (F.col("y") - mu).alias("r"), (mu * (1 - mu)).alias("d"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
     a = people.agg(*[F.sum(F.expr(f"d * x{i} * x{j}")).alias(f"a{i}_{j}") for i in range(p) for j in range(p)]).first()
     inverse = np.linalg.inv(np.reshape(list(a), (p, p)))
     full = gt.join(stats_.select(key, "alt_af"), key).withColumn("g", F.coalesce(F.col("g").cast("double"), 2 * F.col("alt_af")))
@@ -106,10 +114,9 @@ def logistic_score(pheno: DataFrame, gt: DataFrame, null: dict, stats_: DataFram
     cross = rows.groupBy(key).agg(*[F.sum(F.expr(f"d * g * x{i}")).alias(f"c{i}") for i in range(p)])
     h = [sum((F.lit(float(inverse[i, j])) * F.col(f"c{j}") for j in range(p)), F.lit(0.0)).alias(f"h{i}") for i in range(p)]
     adjusted = rows.join(cross.select(key, *h), key).withColumn("e", F.col("g") - sum((F.col(f"h{i}") * F.col(f"x{i}") for i in range(p)), F.lit(0.0)))
-    families = adjusted.groupBy(key, "fid").agg(F.first("fam_size").alias("size"), F.sum(F.expr("r * e")).alias("s"), F.sum(F.expr("d * e * e")).alias("q"), F.count("*").alias("m"))
-    out = families.groupBy(key).agg(F.sum("m").alias("n"), F.sum("s").alias("u"), F.sum(F.when(F.col("size") == 1, F.col("q")).otherwise(F.col("s") * F.col("s"))).alias("v0"), F.sum("q").alias("v_a"))
-    out = out.withColumn("v", F.when(1 / F.col("v0") < 1 / F.col("v_a") - MARGIN, F.col("v_a")).otherwise(F.col("v0")))
-    return out.select(key, "n", "u", "v", (F.col("u") / F.col("v")).alias("beta"), (1 / F.sqrt("v")).alias("se"), (F.col("u") * F.col("u") / F.col("v")).alias("chisq"))
+    families = adjusted.groupBy(key, "fid").agg(F.first("fam_size").alias("size"), *[F.sum(F.expr(e)).alias(n) for n, e in (("s", "r * e"), ("q", "d * e * e"), ("g", "d * g * g"))], F.count("*").alias("m"))
+    out = families.groupBy(key).agg(F.sum("m").alias("n"), F.sum("s").alias("u"), F.sum(F.when(F.col("size") == 1, F.col("q")).otherwise(F.col("s") * F.col("s"))).alias("v0"), F.sum("q").alias("v_a"), F.sum("g").alias("gg"))
+    return _tested(out, False).select(key, "n", "u", "v", "beta", "se", "chisq")
 
 
 def fit_null_cox(surv: DataFrame, covariates: list[str], weighted: bool = False) -> dict:

@@ -12,6 +12,12 @@ from strataloom.operators.running import running
 S = "stratum"
 
 
+def at_times(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Joined on stratum and time; a null stratum is one of its own."""
+    other = right.withColumnsRenamed({S: "_stratum", "time": "_time"})
+    return left.join(other, left[S].eqNullSafe(other["_stratum"]) & (left["time"] == other["_time"]), how).drop("_stratum", "_time")
+
+
 def risk_table(df: DataFrame, sums: dict | None = None) -> DataFrame:
     """(stratum, time, events, at_risk, ...): df has stratum, entry, exit, event; at risk: entry <= time <= exit.
 
@@ -52,7 +58,7 @@ def risk_sums(df: DataFrame, x: str, beta: float = 0.0) -> DataFrame:
     e = F.exp(F.lit(float(beta)) * F.col(x))
     table = risk_table(df, {"s0": e, "s1": e * F.col(x), "s2": e * F.col(x) * F.col(x)}).where("events > 0")
     own = df.where(F.col("event").cast("boolean")).groupBy(S, F.col("exit").alias("time")).agg(F.sum(x).alias("event_x"))
-    return table.join(own, [S, "time"])
+    return at_times(table, own)
 
 
 def log_rank(df: DataFrame, x: str, km: bool = False, ties: bool = False) -> DataFrame:
@@ -61,13 +67,14 @@ def log_rank(df: DataFrame, x: str, km: bool = False, ties: bool = False) -> Dat
     weight = F.lit(1.0)
     if km:
         left = kaplan_meier(df, "left").select(S, "time", "survival")
-        t, weight = t.join(left, [S, "time"]), F.col("survival")
+        t, weight = at_times(t, left), F.col("survival")
     mean = F.col("s1") / F.col("s0")
     spread = F.col("s2") / F.col("s0") - mean * mean
     if ties:
         spread = spread * F.when(F.col("at_risk") == 1, 1.0).otherwise((F.col("at_risk") - F.col("events")) / (F.col("at_risk") - 1))
     out = t.agg(F.sum(weight * (F.col("event_x") - F.col("events") * mean)).alias("u"), F.sum(weight * weight * F.col("events") * spread).alias("v"))
-    return out.select("u", "v", (F.col("u") * F.col("u") / F.col("v")).alias("chisq"), (F.col("u") / F.col("v")).alias("peto"))
+    # without variation there is no test
+    return out.select("u", "v", F.try_divide(F.col("u") * F.col("u"), "v").alias("chisq"), F.try_divide("u", "v").alias("peto"))
 
 
 def influence(df: DataFrame, x: str, beta: float = 0.0, key: str = "iid", km: bool = False) -> DataFrame:
@@ -84,7 +91,7 @@ def dual_log_rank(a: DataFrame, b: DataFrame, x: str, key: str = "iid", km: bool
     sums = wa.join(wb, key).agg(F.sum(F.col("wa") * F.col("wb")).alias("covariance"))
     va, vb = log_rank(a, x, km).select(F.col("v").alias("va")), log_rank(b, x, km).select(F.col("v").alias("vb"))
     one = sums.join(F.broadcast(va)).join(F.broadcast(vb))  # three one-row tables
-    return one.select("covariance", (F.col("covariance") / F.sqrt(F.col("va") * F.col("vb"))).alias("correlation"))
+    return one.select("covariance", F.try_divide("covariance", F.sqrt(F.col("va") * F.col("vb"))).alias("correlation"))
 
 
 def _predictor(x: list[str], theta) -> object:
@@ -97,9 +104,9 @@ def _cox_step(rows: DataFrame, x: list[str], theta, km: bool, ties: bool) -> tup
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = {"s0": e} | {f"a{i}": e * F.col(c) for i, c in enumerate(x)} | {f"b{i}_{j}": e * F.col(x[i]) * F.col(x[j]) for i, j in pairs}
     own = rows.where("event").groupBy(S, F.col("exit").alias("time")).agg(F.sum("_w").alias("hits"), F.sum(F.col("_w") * _predictor(x, theta)).alias("eta"), *[F.sum(F.col("_w") * F.col(c)).alias(f"o{i}") for i, c in enumerate(x)])
-    t, weight = risk_table(rows, sums).where("events > 0").join(own, [S, "time"]), F.lit(1.0)
+    t, weight = at_times(risk_table(rows, sums).where("events > 0"), own), F.lit(1.0)
     if km:
-        t, weight = t.join(kaplan_meier(rows, "left").select(S, "time", "survival"), [S, "time"]), F.col("survival")
+        t, weight = at_times(t, kaplan_meier(rows, "left").select(S, "time", "survival")), F.col("survival")
     constant = F.when(F.col("at_risk") == 1, 1.0).otherwise((F.col("at_risk") - F.col("events")) / (F.col("at_risk") - 1)) if ties else F.lit(1.0)
     mean = [F.col(f"a{i}") / F.col("s0") for i in range(p)]
     r = t.agg(
@@ -117,7 +124,7 @@ def cox_fit(df: DataFrame, x: list[str], km: bool = False, ties: bool = False, w
     One pass of window sums per Newton step, at most 50 steps, each halved up to 10 times while the likelihood falls.
     """
     rows = df.select(S, "entry", "exit", F.col("event").cast("boolean").alias("event"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), *[F.col(c).cast("double").alias(c) for c in x])
-    rows = rows.dropna().persist()
+    rows = rows.dropna(subset=[c for c in rows.columns if c != S]).persist()
     theta = np.zeros(len(x))
     try:
         u, info, ll = _cox_step(rows, x, theta, km, ties)
@@ -141,7 +148,7 @@ def score_residuals(df: DataFrame, x: list[str], theta, key: str = "iid", km: bo
     e = F.exp(_predictor(x, theta))
     names = range(len(x))
     t = risk_table(df, {"s0": e, **{f"a{i}": e * F.col(c) for i, c in enumerate(x)}}).where("events > 0")
-    t = t.join(kaplan_meier(df, "left").select(S, "time", F.col("survival").alias("km")), [S, "time"]) if km else t.withColumn("km", F.lit(1.0))
+    t = at_times(t, kaplan_meier(df, "left").select(S, "time", F.col("survival").alias("km"))) if km else t.withColumn("km", F.lit(1.0))
     hits = F.col("km") * F.col("events")
     rises = {"h": hits / F.col("s0")} | {f"h{i}": hits * F.col(f"a{i}") / F.col("s0") ** 2 for i in names}
     steps = t.select(S, F.col("time").cast("double"), F.lit(1).alias("kind"), *[c.alias(f"_{n}") for n, c in rises.items()])

@@ -16,6 +16,8 @@ from strataloom.operators import stats
 
 # fixed values: convergence constants of the method
 TOLERANCE, ITERATIONS, MARGIN, STEP_CAP = 1e-4, 500, 1e-8, 500.0
+#: Moments with a greater condition number at unit size are those of linearly dependent terms.
+CONDITION = 1e12
 RESULT = "variant long, n long, beta double, se double, chisq double, pvalue double, status string, theta array<double>, cov array<double>"
 
 
@@ -26,6 +28,12 @@ def family_sizes(pheno: DataFrame, gt: DataFrame | None = None) -> DataFrame:
     return pheno.join(pheno.groupBy("fid").agg(F.count("*").alias("fam_size")), "fid")
 
 
+def regular(a: np.ndarray) -> bool:
+    """Whether moments `a` of terms, each taken at unit size, can be inverted."""
+    size = np.sqrt(np.diag(a))
+    return bool((size > 0).all() and np.isfinite(a).all()) and np.linalg.cond(a / np.outer(size, size)) < CONDITION
+
+
 def result_row(variant, n, theta, cov, status: str = "ok") -> dict:
     """The output row of a fit; a non-positive or undefined variance gives nulls."""
     var = cov[0, 0] if cov is not None else np.nan
@@ -55,10 +63,7 @@ def linear_wald(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), wei
             out = []
             for r in batch.itertuples():
                 a, b = np.reshape(r.sxx, (p, p)), np.asarray(r.sxy)
-                try:
-                    inverse = np.linalg.inv(a) if np.linalg.cond(a) < 1e12 else None
-                except np.linalg.LinAlgError:
-                    inverse = None
+                inverse = np.linalg.inv(a) if regular(a) else None
                 theta = inverse @ b if inverse is not None else np.full(p, np.nan)
                 sigma2 = (r.syy - 2 * theta @ b + theta @ a @ theta) / r.sw
                 out.append((r.variant, r.n, theta.tolist(), float(sigma2), None if inverse is None else inverse.ravel().tolist()))
@@ -80,7 +85,7 @@ def linear_wald(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), wei
             out = []
             for r in batch.itertuples():
                 if r.inverse is None:
-                    out.append(result_row(r.variant, r.n, None, None, "singular"))
+                    out.append(result_row(r.variant, int(r.n), None, None, "singular"))
                     continue
                 inverse = np.reshape(r.inverse, (p, p))
                 cov = inverse @ np.reshape(r.meat, (p, p)) @ inverse
@@ -89,7 +94,9 @@ def linear_wald(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), wei
                 out.append(result_row(r.variant, r.n, np.asarray(r.theta), cov))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return fits.join(meat, "variant").mapInPandas(finish, RESULT)
+    # a variant without a call is a row as well
+    named = gt.select(F.col(key).cast("long").alias("variant")).distinct().join(fits, "variant", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return named.join(meat, "variant", "left").mapInPandas(finish, RESULT)
 
 
 def linear_wald_hetero(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), stratum: str = "stratum", weighted: bool = False, robust: bool = False, key: str = "variant") -> DataFrame:
@@ -236,8 +243,10 @@ def logistic_wald(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), w
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         x = np.column_stack([group["g"], np.ones(len(group)), *[group[c] for c in covariates]])
         y, w = group["y"].to_numpy(), group["w"].to_numpy()
-        theta, a, ok = logistic_fit(x, y, w)
         variant, n = group["variant"].iloc[0], len(group)
+        if not regular((x * w[:, None]).T @ x):
+            return pd.DataFrame([result_row(variant, n, None, None, "singular")])
+        theta, a, ok = logistic_fit(x, y, w)
         if not ok:
             return pd.DataFrame([result_row(variant, n, None, None, "not converged")])
         mu = 1 / (1 + np.exp(-np.clip(x @ theta, -40, 40)))
@@ -315,6 +324,9 @@ def cox_wald(surv: DataFrame, gt: DataFrame, covariates: list[str] = (), weighte
         x = x - x.mean(0)
         w, entry, exit_, event = (group[c].to_numpy() for c in ("w", "entry", "exit", "event"))
         variant, n = group["variant"].iloc[0], len(group)
+        terms = np.column_stack([np.ones(n), group["g"], *[group[c] for c in covariates]])
+        if not regular((terms * w[:, None]).T @ terms):
+            return pd.DataFrame([result_row(variant, n, None, None, "singular")])
         theta, a, ok = cox_fit(x, w, entry, exit_, event) if event.any() else (None, None, False)
         if not ok:
             return pd.DataFrame([result_row(variant, n, None, None, "not converged")])

@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def read_phenotypes(spark: SparkSession, path: str, sep: str = "\t", na: tuple[str, ...] = ("NA",), comment: str = "#") -> DataFrame:
-    """All columns as strings, missing tokens as null; cast by role afterwards."""
+#: Where a row stands: file, block of the file, place in it. Rows compare in the order of files and lines; no pass is needed.
+ORDER = "named_struct('file', _metadata.file_path, 'block', _metadata.file_block_start, 'at', monotonically_increasing_id())"
+
+
+def read_phenotypes(spark: SparkSession, path: str, sep: str = "\t", na: tuple[str, ...] = ("NA",), comment: str = "#", ord: str | None = None) -> DataFrame:
+    """All columns as strings, missing tokens as null; cast by role afterwards. `ord` names a column for the file order."""
     df = spark.read.csv(path, sep=sep, header=True, nullValue=na[0], comment=comment)
-    return df.select(*[F.when(~F.col(f"`{c}`").isin(*na), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    order = [F.expr(ORDER).alias(ord)] if ord else []
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(*na), F.col(f"`{c}`")).alias(c) for c in df.columns], *order)
+
+
+def last_rows(df: DataFrame, key: str, ord: str = "ord") -> DataFrame:
+    """Of the rows of each key the last one in file order, without that column."""
+    last = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (key, ord)]), ord).alias("_row"))
+    return last.select(key, "_row.*")
+
+
+def first_rows(df: DataFrame, by: list[str], ord: str = "ord") -> DataFrame:
+    """Of the rows of each key (such as a position) the first one in file order, without that column."""
+    first = df.groupBy(*by).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (*by, ord)]), ord).alias("_row"))
+    return first.select(*by, "_row.*")
+
+
+def _first_entries(entries: Column) -> Column:
+    """A map of (k, v) entries, the first of each key."""
+    keys = F.transform(entries, lambda x: x["k"])
+    return F.map_from_entries(F.filter(entries, lambda x, i: F.array_position(keys, x["k"]) == i + 1))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -26,20 +49,22 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(variants, genotypes): one row per record; one per record and sample with its FORMAT fields as a map."""
-    lines = spark.read.text(path)
-    header = lines.where("value LIKE '#CHROM%'").first()
-    samples = header.value.split("\t")[9:] if header else []
+    """(variants, genotypes): one row per record; one per record and sample with its FORMAT fields as a map.
+
+    `ord` holds a record's place in the files. Of an INFO key that is repeated the first value counts. The sample names
+    are one row, joined to the records; `sources.packed` reads genotypes for scans without a row a cell.
+    """
+    lines = spark.read.text(path).withColumn("ord", F.expr(ORDER))
     cols = F.split("value", "\t")
-    body = lines.where("value NOT LIKE '#%' AND length(value) > 0").select(cols.alias("c"))  # a line is a record
+    body = lines.where("value NOT LIKE '#%' AND length(value) > 0").select("ord", cols.alias("c"))  # a line is a record
     info = F.transform(F.split(F.col("c")[7], ";"), lambda x: F.struct(F.split(x, "=", 2)[0].alias("k"), F.get(F.split(x, "=", 2), 1).alias("v")))
     site = [F.col("c")[0].alias("chrom"), F.col("c")[1].cast("int").alias("pos"), F.col("c")[2].alias("id"), F.col("c")[3].alias("ref"), F.col("c")[4].alias("alt")]
-    variants = body.select(*site, F.col("c")[5].alias("qual"), F.split(F.col("c")[6], ";").alias("filter"), F.map_from_entries(info).alias("info"))
-    names = F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")
-    cells = body.select(*site, F.split(F.col("c")[8], ":").alias("format"), F.posexplode(F.slice("c", F.lit(10), F.greatest(F.size("c") - 9, F.lit(0)))).alias("at", "cell"))
+    variants = body.select(*site, F.col("c")[5].alias("qual"), F.split(F.col("c")[6], ";").alias("filter"), _first_entries(info).alias("info"), "ord")
+    head = lines.where("value LIKE '#CHROM%'").orderBy("ord").limit(1).select(F.slice(cols, F.lit(10), F.greatest(F.size(cols) - 9, F.lit(0))).alias("names"))
+    cells = body.crossJoin(F.broadcast(head)).select("ord", *site, "names", F.split(F.get("c", F.lit(8)), ":").alias("format"), F.posexplode(F.slice("c", F.lit(10), F.greatest(F.size("c") - 9, F.lit(0)))).alias("at", "cell"))  # one header row
     values = F.split("cell", ":")
     fields = F.map_from_arrays(F.slice("format", 1, F.least(F.size("format"), F.size(values))), F.slice(values, 1, F.least(F.size("format"), F.size(values))))
-    genotypes = cells.select("chrom", "pos", "ref", "alt", F.get(names, F.col("at")).alias("iid"), "at", fields.alias("fields"))
+    genotypes = cells.select("chrom", "pos", "ref", "alt", F.get("names", F.col("at")).alias("iid"), "at", fields.alias("fields"), "ord")
     gt = F.element_at("fields", "GT")
     return variants, genotypes.withColumns({"gt": gt, "phased": F.instr(gt, "/") == 0})
 
@@ -71,17 +96,25 @@ def read_inclusion_probs(spark: SparkSession, paths: dict[str, str]) -> DataFram
     return out
 
 
+def _position(id: str) -> list[Column]:
+    """chrom and pos of a chrom:pos."""
+    found = F.col(id).rlike(r"^[^:]+:[0-9]+$")
+    return [F.when(found, F.split(id, ":")[0]).otherwise(F.col(id)).alias("chrom"), F.when(found, F.try_element_at(F.split(id, ":"), F.lit(2)).try_cast("int")).alias("pos")]
+
+
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """(gene, ord, chrom, pos) from lines of gene, tab, chrom:pos, chrom:pos ..."""
+    """(gene, ord, chrom, pos) from lines of gene, tab, chrom:pos, chrom:pos ...
+
+    An entry that is no chrom:pos has a null pos and keeps its text as chrom; a line without entries gives no row.
+    """
     halves = F.split("value", "\t")
-    rows = spark.read.text(path).where("length(value) > 0").select(halves[0].alias("gene"), F.posexplode(F.split(halves[1], ",")).alias("ord", "id"))
-    return rows.select("gene", "ord", F.split("id", ":")[0].alias("chrom"), F.split("id", ":")[1].cast("int").alias("pos"))
+    rows = spark.read.text(path).where("length(value) > 0").select(halves[0].alias("gene"), F.posexplode(F.split(F.get(halves, F.lit(1)), ",")).alias("ord", "id"))
+    return rows.select("gene", "ord", *_position("id"))
 
 
 def read_variant_list(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, pos) from one chrom:pos per line."""
-    parts = F.split(F.trim("value"), ":")
-    return spark.read.text(path).where("length(trim(value)) > 0").select(parts[0].alias("chrom"), parts[1].cast("int").alias("pos"))
+    """(chrom, pos) from one chrom:pos per line; a line that is none has a null pos and keeps its text as chrom."""
+    return spark.read.text(path).where("length(trim(value)) > 0").select(F.trim("value").alias("id")).select(*_position("id"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -93,12 +126,13 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """The eleven fixed fields and tags (map of TAG:TYPE to value); header lines are left out."""
+    """The eleven fixed fields, tags (map of TAG:TYPE to value, the first of each) and `ord`, the record's place in the files;
+    header lines are left out."""
     c = F.split("value", "\t")
-    rows = spark.read.text(path).where("value NOT LIKE '@%' AND length(value) > 0").select(c.alias("c"))
+    rows = spark.read.text(path).withColumn("ord", F.expr(ORDER)).where("value NOT LIKE '@%' AND length(value) > 0").select(c.alias("c"), "ord")
     names = {"qname": "string", "flag": "int", "rname": "string", "pos": "int", "mapq": "int", "cigar": "string", "rnext": "string", "pnext": "int", "tlen": "int", "seq": "string", "qual": "string"}
     tags = F.transform(F.slice("c", F.lit(12), F.greatest(F.size("c") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 4).alias("k"), F.regexp_replace(t, "^.{5}", "").alias("v")))
-    return rows.select(*[F.col("c")[i].cast(kind).alias(n) for i, (n, kind) in enumerate(names.items())], F.map_from_entries(tags).alias("tags"))
+    return rows.select(*[F.col("c")[i].cast(kind).alias(n) for i, (n, kind) in enumerate(names.items())], _first_entries(tags).alias("tags"), "ord")
 
 
 def write_results(df: DataFrame, path: str, gz: bool = False) -> None:
