@@ -11,6 +11,7 @@ from strataloom.operators import filters, link, model, packed, pedigree, reads,
 from strataloom.plans import fixtures as fx
 from strataloom.plans import twins
 from strataloom.plans.fixtures import duck
+from strataloom.sources import packed as packed_files
 from strataloom.sources import plink, text
 
 _QUERIES: dict = {}
@@ -378,6 +379,10 @@ def _slim(df, digits: int = 6):
     return df.select("variant", "n", (F.round("beta", digits) + 0.0).alias("beta"), F.round("se", digits).alias("se"), F.round("chisq", digits - 1).alias("chisq"))
 
 
+def _score_columns(out):
+    return out.select("variant", "n", (F.round("u", 5) + 0.0).alias("u"), F.round("v", 4).alias("v"), (F.round("beta", 6) + 0.0).alias("beta"), F.round("se", 6).alias("se"))
+
+
 @query("T1_linear_wald", _wald_sql("1.0::DOUBLE", False, True))
 def _(s, d):
     return _slim(wald.linear_wald(fx.pheno(s, d), fx.geno(s, d)))
@@ -397,8 +402,7 @@ o AS (SELECT *, CASE WHEN 1 / v0 < 1 / va - 1e-8 THEN va ELSE v0 END AS v FROM t
 SELECT variant, CAST(n AS BIGINT) AS n, round(u, 5) + 0.0 AS u, round(v, 4) AS v, round(u / v, 6) + 0.0 AS beta, round(1 / sqrt(v), 6) AS se FROM o"""))
 def _(s, d):
     p = fx.pheno(s, d)
-    out = packed.score_scan(*_scan(s, d, p), score.fit_null_linear(p))
-    return out.select("variant", "n", (F.round("u", 5) + 0.0).alias("u"), F.round("v", 4).alias("v"), (F.round("beta", 6) + 0.0).alias("beta"), F.round("se", 6).alias("se"))
+    return _score_columns(packed.score_scan(*_scan(s, d, p), score.fit_null_linear(p)))
 
 
 @query("N2_T10_logistic_score", duck("pheno geno", """, z AS (SELECT fid, count(*) AS size FROM pheno GROUP BY 1), nul AS (SELECT avg(yb) AS mu FROM pheno),
@@ -679,7 +683,7 @@ def _(s, d):
 def _scan(s, d, pheno, model="linear", covariates=(), gt=None, **options):
     gt = fx.geno(s, d) if gt is None else gt
     made = packed.design(pheno, list(covariates), model, genotyped=gt, **options)
-    return packed.pack(gt, made), made
+    return packed.pack(gt, made, compact=True), made
 
 
 _SIZES = ", z AS (SELECT fid, count(*) = 1 AS single FROM {of} GROUP BY 1)"
@@ -848,14 +852,19 @@ def _(s, d):
     return rounded(text.read_phenotypes(s, path).select("iid", "stratum", F.col("y").cast("double").alias("y")))
 
 
-@query("S2_S12_vcf", duck("pheno geno variants", "SELECT CAST(chrom AS VARCHAR) AS chrom, pos, CAST(iid AS VARCHAR) AS iid, CASE WHEN g IS NULL THEN './.' WHEN g = 0 THEN '0/0' WHEN g = 1 THEN '0|1' ELSE '1/1' END AS gt, CASE WHEN g IS NULL THEN '.' ELSE CAST(g AS VARCHAR) END AS ds, g IS NOT NULL AND g = 1 AS phased, g FROM geno JOIN variants USING (variant)"))
-def _(s, d):
+def _vcf(s, d) -> str:
+    """The derived genotypes as a VCF file, with GT and DS."""
     path, sites = fx.scratch(s, "vcf"), fx.variants(s, d)
     gt = F.when(F.col("g").isNull(), "./.").when(F.col("g") == 0, "0/0").when(F.col("g") == 1, "0|1").otherwise("1/1")
     cells = fx.geno(s, d).join(F.broadcast(sites), "variant").select("chrom", "pos", "ref", "alt", "iid", gt.alias("gt"), F.create_map(F.lit("DS"), F.coalesce(F.col("g").cast("string"), F.lit("."))).alias("fields"))
     samples = [r.iid for r in fx.pheno(s, d).select("iid").orderBy("iid").collect()]  # the header line
     text.write_vcf(sites.withColumn("filter", F.array("filter")), cells, path, samples, ("GT", "DS"))
-    _, found = text.read_vcf(s, path)
+    return path
+
+
+@query("S2_S12_vcf", duck("pheno geno variants", "SELECT CAST(chrom AS VARCHAR) AS chrom, pos, CAST(iid AS VARCHAR) AS iid, CASE WHEN g IS NULL THEN './.' WHEN g = 0 THEN '0/0' WHEN g = 1 THEN '0|1' ELSE '1/1' END AS gt, CASE WHEN g IS NULL THEN '.' ELSE CAST(g AS VARCHAR) END AS ds, g IS NOT NULL AND g = 1 AS phased, g FROM geno JOIN variants USING (variant)"))
+def _(s, d):
+    _, found = text.read_vcf(s, _vcf(s, d))
     return found.select("chrom", F.col("pos").cast("long").alias("pos"), "iid", "gt", F.element_at("fields", "DS").alias("ds"), (F.col("phased") & ~F.col("gt").contains(".")).alias("phased"), scalar.gt_dosage(F.col("gt")).cast("long").alias("g"))
 
 
@@ -1036,9 +1045,8 @@ def _(s, d):
     return wald.interaction_test(found, 1, 1).select("variant", *[F.round(c, 2).alias(c) for c in ("chisq_g", "chisq_inter", "chisq_both")])
 
 
-@query("S7_plink", duck("pheno geno variants", "SELECT CAST(chrom AS VARCHAR) AS chrom, id, pos, CAST(iid AS VARCHAR) AS iid, g FROM geno JOIN variants USING (variant)"))
-def _(s, d):
-    # the file: three bytes, then for each variant of the map four subjects a byte; written through Spark, one variant a row
+def _bed(s, d) -> str:
+    """The derived genotypes as a bed file with its map and subjects: a.bed, bim and fam of a folder; one variant a row."""
     folder = fx.scratch(s, "plink")
     sites = fx.variants(s, d).select("variant", "chrom", "pos", "id")
     code = F.when(F.col("g").isNull(), 1).when(F.col("g") == 2, 0).when(F.col("g") == 1, 2).otherwise(3)
@@ -1046,5 +1054,104 @@ def _(s, d):
     plink.write_bed(rows.orderBy("variant").select("codes"), f"{folder}/a.bed")
     rows.orderBy("variant").select(F.concat_ws("\t", "chrom", "id", F.lit(0), "pos", F.lit("A"), F.lit("G")).alias("value")).coalesce(1).write.text(f"{folder}/bim")
     fx.pheno(s, d).orderBy("iid").select(F.concat_ws(" ", "fid", "iid", F.lit("0 0 1 -9")).alias("value")).coalesce(1).write.text(f"{folder}/fam")
+    return folder
+
+
+@query("S7_plink", duck("pheno geno variants", "SELECT CAST(chrom AS VARCHAR) AS chrom, id, pos, CAST(iid AS VARCHAR) AS iid, g FROM geno JOIN variants USING (variant)"))
+def _(s, d):
+    folder = _bed(s, d)
     found = plink.read_plink(s, f"{folder}/a.bed", f"{folder}/bim", f"{folder}/fam")
     return found.select("chrom", "id", F.col("pos").cast("long").alias("pos"), "iid", "g")
+
+
+# --- files straight to scans, odd variants, null strata --------------------------------------------------------------
+@query("S2_packed_T1", _SQL["T1_linear_wald"])
+def _(s, d):
+    made = packed.design(fx.pheno(s, d))
+    read = packed_files.read_vcf(s, _vcf(s, d), made).select(((F.col("pos") - 1000) / 10).cast("long").alias("variant"), "g")
+    return _slim(packed.wald_scan(read, made))
+
+
+@query("S2_packed_dosages_T10", _SQL["T10_linear_score"])
+def _(s, d):
+    p = fx.pheno(s, d)
+    made = packed.design(p)
+    read = packed_files.read_vcf(s, _vcf(s, d), made, "DS").select(((F.col("pos") - 1000) / 10).cast("long").alias("variant"), "g")
+    return _score_columns(packed.score_scan(read, made, score.fit_null_linear(p)))
+
+
+@query("S7_packed_T10", _SQL["T10_linear_score"])
+def _(s, d):
+    folder, p = _bed(s, d), fx.pheno(s, d)
+    made = packed.design(p)
+    found = packed.score_scan(packed_files.read_bed(s, f"{folder}/a.bed", f"{folder}/fam", made), made, score.fit_null_linear(p))
+    named = packed_files.with_map(found, f"{folder}/bim").withColumn("variant", F.substring("id", 3, 9).cast("long"))
+    return _score_columns(named)
+
+
+def _odd(s, d):
+    """The derived genotypes, some variants with one value, a dosage that is constant, or a covariate's line, or no call."""
+    v, g = F.col("variant"), F.col("g")
+    values = F.when(v % 8 == 1, F.lit(1.0)).when(v % 8 == 3, F.lit(0.37)).when(v % 8 == 5, 0.25 + 0.05 * F.col("x1")).when(v % 8 == 7, F.lit(None)).otherwise(g.cast("double"))
+    return fx.geno(s, d).join(fx.pheno(s, d).select("iid", "x1"), "iid").select("iid", "variant", F.when(g.isNotNull(), values).alias("g"))
+
+
+_ODD_SQL = "SELECT variant, CASE WHEN variant % 8 = 7 THEN 0 ELSE count(g) END AS n, variant % 2 = 1 AS degenerate FROM geno {join} GROUP BY 1"
+for _model in ("linear", "logistic", "cox"):
+
+    @query(f"T6_odd_variants_{_model}", duck("pheno geno surv", _ODD_SQL.format(join="JOIN surv USING (iid)" if _model == "cox" else "")))
+    def _(s, d, model=_model):
+        p = fx.surv(s, d) if model == "cox" else fx.pheno(s, d).withColumn("y", F.col("yb" if model == "logistic" else "y"))
+        out = packed.wald_scan(*_scan(s, d, p, model, ["x1"], gt=_odd(s, d), weighted=True))
+        return out.select("variant", "n", (F.col("beta").isNull() & F.col("se").isNull() & (F.col("status") != "ok")).alias("degenerate"))
+
+
+@query("T1_odd_variants_long", duck("pheno geno", _ODD_SQL.format(join="")))
+def _(s, d):
+    out = wald.linear_wald(fx.pheno(s, d), _odd(s, d), ["x1"])
+    return out.select("variant", "n", (F.col("beta").isNull() & F.col("se").isNull()).alias("degenerate"))
+
+
+# missing dosages are imputed by their mean, so a covariate's line (5) keeps some variance here
+@query("T10_odd_variants_long", duck("pheno geno", "SELECT variant, variant % 8 IN (1, 3, 7) AS degenerate FROM geno GROUP BY 1"))
+def _(s, d):
+    p, gt = fx.pheno(s, d), _odd(s, d)
+    out = score.linear_score(p, gt, score.fit_null_linear(p, ["x1"]), stats.variant_stats(gt))
+    return out.select("variant", (F.col("v").isNull() & F.col("beta").isNull() & F.col("chisq").isNull()).alias("degenerate"))
+
+
+def _gaps(s, d):
+    """The survival rows with no stratum where it is BUILDING."""
+    return fx.surv(s, d).withColumn("stratum", F.when(F.col("stratum") != "BUILDING", F.col("stratum")))
+
+
+_GAPS = ", gaps AS (SELECT * REPLACE (coalesce(nullif(stratum, 'BUILDING'), '-') AS stratum) FROM surv)"
+
+
+@query("V2_null_strata", duck("pheno surv", _GAPS + _RISK.replace("FROM surv", "FROM gaps").replace("JOIN surv", "JOIN gaps") + "SELECT nullif(stratum, '-') AS stratum, time, events, CAST(at_risk AS DOUBLE) AS s0, s1 FROM k WHERE events > 0"))
+def _(s, d):
+    return survival.risk_sums(_gaps(s, d), "arm").select("stratum", "time", "events", "s0", "s1")
+
+
+_LEFT = """, km AS (SELECT stratum, time, events, at_risk, s1, coalesce(exp(sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) END) OVER w), 1) * coalesce(min(CASE WHEN events < at_risk THEN 1 ELSE 0 END) OVER w, 1) AS km
+  FROM k WINDOW w AS (PARTITION BY stratum ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query("V3_log_rank_weights_ties", duck("pheno surv", _GAPS + (_RISK + _LEFT).replace("FROM surv", "FROM gaps").replace("JOIN surv", "JOIN gaps") + """
+, x AS (SELECT stratum, exit AS time, sum(arm) AS ex FROM gaps WHERE event GROUP BY 1, 2),
+t AS (SELECT sum(km * (ex - events * s1 / at_risk)) AS u, sum(km * km * events * (s1 / at_risk - (s1 / at_risk) * (s1 / at_risk)) * CASE WHEN at_risk = 1 THEN 1 ELSE (at_risk - events) / (at_risk - 1) END) AS v FROM km JOIN x USING (stratum, time))
+SELECT round(u, 6) AS u, round(v, 6) AS v, round(u * u / v, 6) AS chisq, round(u / v, 6) AS peto FROM t"""))
+def _(s, d):
+    return rounded(survival.log_rank(_gaps(s, d), "arm", km=True, ties=True))
+
+
+@query("T18_null_strata", _SQL["T18_stratified_cox"].replace("stratum AS part", "coalesce(nullif(stratum, 'BUILDING'), '-') AS part"))
+def _(s, d):
+    return rounded(survival.cox_regression(_gaps(s, d), ["arm", "x1"], robust=True).drop("pvalue"), 5)
+
+
+@query("V6_dual_log_rank_late_entry", _SQL["V6_dual_log_rank"].replace(" -1 AS entry,", " entry,"))
+def _(s, d):
+    a = fx.surv(s, d)
+    b = a.withColumns({"event": F.col("event") & (F.col("exit") < 1500), "exit": F.least(F.col("exit"), F.lit(1500).cast("long"))})
+    return rounded(survival.dual_log_rank(a, b, "arm"))

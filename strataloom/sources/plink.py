@@ -19,6 +19,10 @@ HEADER, COPIES = b"\x6c\x1b\x01", np.array([2, -1, 1, 0], np.int8)
 CELLS = 1 << 20
 
 
+def _uri(path: str) -> str:
+    return path if "://" in path else "file://" + os.path.abspath(path)
+
+
 def _numbered(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """The lines of a text file, numbered from 0, split at blanks."""
     cells = F.split(F.trim("value"), r"\s+")
@@ -37,7 +41,7 @@ def read_plink(spark: SparkSession, bed: str, bim: str, fam: str) -> DataFrame:
     n, m = people.count(), variants.count()
     width, step = (n + 3) // 4, max(CELLS // max(n, 1), 1)
     blocks = -(-m // step)
-    uri = bed if "://" in bed else "file://" + os.path.abspath(bed)
+    uri = _uri(bed)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, name = fs.FileSystem.from_uri(uri)
@@ -65,7 +69,7 @@ def write_bed(rows: DataFrame, bed: str) -> None:
 
     One task writes the file, variant after variant, so it holds one variant at a time.
     """
-    uri = bed if "://" in bed else "file://" + os.path.abspath(bed)
+    uri = _uri(bed)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, name = fs.FileSystem.from_uri(uri)
