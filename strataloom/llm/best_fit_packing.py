@@ -9,8 +9,8 @@ sum(capacity // length), some 16,000 at 2048, for any number of documents. Piece
 Spark, and a piece's number tells its sequence and offset.
 
 Contract. Null text counts as empty: the end id alone. Rows that repeat are pieces of their own. No documents make no
-rows. Token ids are those of the whole text: a text is cut at ASCII white space, which the tokenizer drops, and between
-a letter and a mark, where it cuts as well; a worker looks each distinct chunk up once. Columns other than doc_id and text are ignored.
+rows. Token ids are those of the whole text: a text is cut at ASCII white space, which the tokenizer drops, and a
+worker looks each distinct chunk up once. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,13 +33,25 @@ from pyspark.sql import functions as F
 from strataloom.llm.common import slices, staged, table
 
 CAPACITY, END = 2048, 0
-#: Chunks that the pre-tokenizer leaves whole: letters, or a group of marks.
-PLAIN = re.compile(rb"[A-Za-z]+|[.,;:!?()#&*%$|<>\"]+")
-#: Between an ASCII letter and such a mark the pre-tokenizer always cuts (those of special tokens are none of them).
-CUT = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?()#&*%$\"])")
+#: A chunk of letters, then marks: the pre-tokenizer cuts between the two, and nowhere else.
+MARKS = b'.,;:!?()#&*%$|<>"'
+PLAIN = re.compile(rb"([A-Za-z]*)([" + re.escape(MARKS) + rb"]*)")
 _KNOWN: dict[str, Chunks] = {}
 
 
+class _Rows(dict):
+    """Chunks' numbers; one that is asked for the first time gets the next number and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        self.new.append(chunk)
+        self[chunk] = row = len(self)
+        return row
+
+
 class Chunks:
     """Token ids of chunks of text, kept while there are at most `most` of them."""
 
@@ -59,40 +72,53 @@ class Chunks:
         return _KNOWN[path]
 
     def clear(self) -> None:
-        self.rows: dict[bytes, int] = {}
+        self.rows = _Rows()
         self.ids, self.starts, self.sizes = array("I"), array("q"), array("q")
 
-    def learn(self, chunks: set[bytes]) -> None:
-        tokenize, letters, hard, found = self.tokenizer.model.tokenize, [], [], []
-        for chunk in chunks:
-            if PLAIN.fullmatch(chunk):  # bytes of printable ASCII stand for themselves, lower case
-                found.append((chunk, [t.id for t in tokenize(chunk.lower().decode())]))
+    def piece(self, letters: bytes) -> list[int]:
+        """The ids of ASCII letters or marks, which stand for themselves, in lower case."""
+        row = self.rows.get(letters)
+        if row is not None and row < len(self.starts):
+            return self.ids[self.starts[row] : self.starts[row] + self.sizes[row]].tolist()
+        return [t.id for t in self.tokenizer.model.tokenize(letters.decode())]
+
+    def learn(self) -> None:
+        """Look up the chunks that are new in `rows`."""
+        new, letters, hard = self.rows.new, [], []
+        found: list = [None] * len(new)
+        for i, chunk in enumerate(new):
+            plain = PLAIN.fullmatch(chunk)
+            if plain:
+                found[i] = [*(self.piece(plain[1].lower()) if plain[1] else ()), *(self.piece(plain[2]) if plain[2] else ())]
             else:
-                (letters if chunk.decode("utf-8", "replace").isalpha() else hard).append(chunk)
+                (letters if chunk.rstrip(MARKS).decode("utf-8", "replace").isalpha() else hard).append(i)
         for low in range(0, len(letters), 5000):  # letters alone are a piece each, so a joined text falls apart again
             some = letters[low : low + 5000]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode(b" ".join(new[i].rstrip(MARKS) for i in some).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.closing[ids]) + 1 if len(ids) else ids
             if len(stops) == len(some):
-                found += zip(some, map(np.ndarray.tolist, np.split(ids, stops[:-1])))
+                for i, low_, high in zip(some, [0, *stops.tolist()], stops.tolist()):
+                    tail = new[i][len(new[i].rstrip(MARKS)) :]
+                    found[i] = [*ids[low_:high].tolist(), *(self.piece(tail) if tail else ())]
             else:  # a letter that is none in lower case
                 hard += some
-        coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in hard], add_special_tokens=False)
-        for chunk, ids in [*found, *zip(hard, (c.ids for c in coded))]:
-            self.rows[chunk] = len(self.starts)
+        coded = self.tokenizer.encode_batch_fast([new[i].decode("utf-8", "replace") for i in hard], add_special_tokens=False)
+        for i, c in zip(hard, coded):
+            found[i] = c.ids
+        for ids in found:
             self.starts.append(len(self.ids))
             self.sizes.append(len(ids))
             self.ids.extend(ids)
+        self.rows.new = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, END behind each text, and where each text's ids stop."""
-        lists = [CUT.sub(b" ", text.encode("utf-8", "replace")).split() for text in texts]
-        known = set().union(*lists)
         if len(self.rows) > self.most:
             self.clear()
-        self.learn(known.difference(self.rows))
+        lists = [text.encode("utf-8", "replace").split() for text in texts]
         n = np.array([len(x) for x in lists])
-        rows = np.fromiter((r for x in lists for r in map(self.rows.__getitem__, x)), np.int64, n.sum())
+        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(lists)), np.int64, n.sum())
+        self.learn()
         sizes, starts = np.frombuffer(self.sizes, np.int64)[rows] if len(rows) else rows, np.frombuffer(self.starts, np.int64)[rows] if len(rows) else rows
         total = np.concatenate([[0], np.cumsum(sizes)])
         stops = total[np.cumsum(n)] + np.arange(1, len(texts) + 1)
