@@ -96,12 +96,14 @@ def merge_regions(df: DataFrame, by: str = "chrom") -> DataFrame:
     return islands.groupBy(by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def in_regions(positions: DataFrame, merged: DataFrame, by: str = "chrom", width: int = 1024) -> DataFrame:
-    """`positions` with inside: whether pos lies in a merged region; equi-join on bins of `width` positions."""
-    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)))
-    spread = merged.select(F.col(by).alias("_c"), "start", "end", bins.alias("_bin"))
-    hit = (F.col(by) == F.col("_c")) & (F.floor(F.col("pos") / width) == F.col("_bin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
-    return positions.join(spread, hit, "left").select(*positions.columns, F.col("start").isNotNull().alias("inside"))
+def in_regions(positions: DataFrame, merged: DataFrame, by: str = "chrom") -> DataFrame:
+    """`positions` with inside: whether pos lies in a merged region. Merged regions follow each other, so the furthest end
+    of those that start at or before a position tells; regions and positions are put in one order, in ranges."""
+    starts = merged.select(F.col(by), F.col("start").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("end").cast("long").alias("_end"))
+    asked = positions.select(F.col(by), F.col("pos").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.struct(*positions.columns).alias("_row"))
+    found = running(starts.unionByName(asked, allowMissingColumns=True), [by], ["_at", "_kind"], maxima={"_reach": F.col("_end")}).where("_kind = 1")
+    inside = F.col(by).isNotNull() & F.coalesce(F.col("_at") < F.col("_reach"), F.lit(False))
+    return found.select("_row.*", inside.alias("inside"))
 
 
 def interval_join(a: DataFrame, b: DataFrame, how: str = "overlapping", by: str = "chrom", width: int | None = None, fan: int = 32, levels: int = 5) -> DataFrame:
@@ -110,11 +112,13 @@ def interval_join(a: DataFrame, b: DataFrame, how: str = "overlapping", by: str
     Both sides spread over bins, joined on (chromosome, bin); a pair is kept in the bin where both first meet. Bins are
     about as wide as most intervals (`width`, if not given, from the lengths' 90 % quantile); an interval of over `fan`
     bins is at home on a coarser level with bins `fan` times as wide, so none is copied to more than fan + 1 of them, but
-    for the last level. Two intervals meet on the coarser one of their levels.
+    for the last level. Two intervals meet on the coarser one of their levels; levels above the longest interval's are left
+    out, so intervals of about one length are joined once.
     """
-    if width is None:
-        lengths = a.select((F.col("end") - F.col("start")).alias("n")).union(b.select(F.col("end") - F.col("start")))
-        width = max(16, int(lengths.agg(F.percentile_approx("n", 0.9, 1000)).first()[0] or 0))
+    measure = lambda df: df.agg(F.percentile_approx(F.col("end") - F.col("start"), 0.9, 1000).alias("most"), F.max(F.col("end") - F.col("start")).alias("top"))
+    most, top = measure(a if a is b else a.select("start", "end").union(b.select("start", "end"))).first()
+    width = width or max(16, int(most or 0))
+    levels = next((k for k in range(1, levels) if (top or 0) <= width * fan**k), levels)
     size = lambda level: F.lit(width).cast("long") * F.pow(F.lit(fan), level).cast("long")
 
     def spread(df, p):
@@ -127,7 +131,7 @@ def interval_join(a: DataFrame, b: DataFrame, how: str = "overlapping", by: str
         return rows.select(f"{p}_id", by, f"{p}_start", f"{p}_end", "level", (F.col("home") == F.col("level")).alias("at_home"), F.explode(bins).alias("bin"))
 
     left, right, keys = spread(a, "a"), spread(b, "b"), [by, "level", "bin"]
-    pairs = left.where("at_home").drop("at_home").join(right.drop("at_home"), keys).unionByName(left.where("NOT at_home").drop("at_home").join(right.where("at_home").drop("at_home"), keys))
+    pairs = left.drop("at_home").join(right.drop("at_home"), keys) if levels == 1 else left.where("at_home").drop("at_home").join(right.drop("at_home"), keys).unionByName(left.where("NOT at_home").drop("at_home").join(right.where("at_home").drop("at_home"), keys))
     pairs = pairs.where(F.col("bin") == F.floor(F.greatest("a_start", "b_start") / size(F.col("level"))))
     test = {
         "overlapping": "a_start <= b_end AND b_start <= a_end",

@@ -53,8 +53,8 @@ def depth(reads: DataFrame, width: int = 4096) -> DataFrame:
     return runs.select("rname", F.explode(F.sequence(F.col("pos"), F.col("stop") - 1)).alias("pos"), "depth")
 
 
-def cigar_positions(reads: DataFrame) -> DataFrame:
-    """(…, refpos, base, qual): one row per aligned base; deletions give base '-'. Columns pos, cigar, seq, qual."""
+def _walked(reads: DataFrame) -> DataFrame:
+    """`reads` with _walk: for each piece of the cigar its first reference position r, place q in the read, length and kind."""
     ops = F.regexp_extract_all("cigar", F.lit(r"([0-9]+[MIDNSHP=X])"), 1)
     rows = reads.withColumn("_ops", F.transform(ops, lambda o: F.struct(F.expr("0").alias("z"), F.regexp_extract(o, r"^[0-9]+", 0).cast("int").alias("n"), F.substring(o, -1, 1).alias("op"))))
     start = F.struct(F.col("pos").cast("long").alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<r:bigint,q:int,n:int,op:string>>").alias("out"))
@@ -64,7 +64,12 @@ def cigar_positions(reads: DataFrame) -> DataFrame:
         piece = F.struct(s["r"].alias("r"), s["q"].alias("q"), o["n"].alias("n"), o["op"].alias("op"))
         return F.struct((s["r"] + F.when(ref, o["n"]).otherwise(0)).alias("r"), (s["q"] + F.when(own, o["n"]).otherwise(0)).alias("q"), F.concat(s["out"], F.array(piece)).alias("out"))
 
-    walked = rows.withColumn("_walk", F.aggregate("_ops", start, step)["out"]).withColumn("_p", F.explode("_walk")).where(F.col("_p.op").isin("M", "=", "X", "D"))
+    return rows.withColumn("_walk", F.aggregate("_ops", start, step)["out"])
+
+
+def cigar_positions(reads: DataFrame) -> DataFrame:
+    """(…, refpos, base, qual): one row per aligned base; deletions give base '-'. Columns pos, cigar, seq, qual."""
+    walked = _walked(reads).withColumn("_p", F.explode("_walk")).where(F.col("_p.op").isin("M", "=", "X", "D"))
     # a piece's letters are cut out once; the whole sequence doesn't travel with each base
     gap, kept = F.col("_p.op") == "D", [c for c in reads.columns if c not in ("seq", "qual", "cigar")]
     cut = lambda c: F.slice(F.split(F.expr(f"substring({c}, _p.q + 1, _p.n)"), ""), F.lit(1), F.col("_p.n"))
@@ -95,11 +100,39 @@ def pileup(reads: DataFrame, del_as_base: bool = False, region: tuple | None = N
     return held.select("rname", "refpos", "depth", text("base").alias("bases"), text("qual").alias("quals"))
 
 
-def mismatch_filter(reads: DataFrame, ref: DataFrame, threshold: int, default_q: int = 20) -> DataFrame:
-    """`reads` (with id) marked unmapped where the qualities of mismatching bases sum to over the threshold."""
-    at = cigar_positions(reads).where("base <> '-'").join(ref.select("rname", F.col("pos").alias("refpos"), F.col("base").alias("ref_base")), ["rname", "refpos"])
-    q = F.coalesce(F.ascii("qual") - 33, F.lit(default_q))
-    sums = at.where("base <> ref_base").groupBy("id").agg(F.sum(q).alias("bad"))
+def reference_chunks(ref: DataFrame, width: int = 4096) -> DataFrame:
+    """(rname, bin, bases): the reference (rname, pos, base) in arrays of `width` positions, null where there is none."""
+    at = F.map_from_entries(F.collect_list(F.struct((F.col("pos") % width).cast("int"), "base")))
+    bases = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at(F.col("_m"), i))
+    return ref.groupBy("rname", F.floor(F.col("pos") / width).alias("bin")).agg(at.alias("_m")).select("rname", "bin", bases.alias("bases"))
+
+
+def mismatch_filter(reads: DataFrame, ref: DataFrame, threshold: int, default_q: int = 20, width: int = 4096) -> DataFrame:
+    """`reads` (with id) marked unmapped where the qualities of mismatching bases sum to over the threshold.
+
+    `ref`: rows (rname, pos, base), or the chunks of them. A read meets the one or two chunks that it lies on, and is
+    compared with them as an array; no base is a row.
+    """
+    chunks = ref if "bases" in ref.columns else reference_chunks(ref, width)
+    walked = _walked(reads.select("id", "rname", "pos", "cigar", "seq", "qual"))
+    walked = walked.withColumn("_walk", F.filter("_walk", lambda p: p["op"].isin("M", "=", "X") & (p["n"] > 0)))
+    last = F.array_max(F.transform("_walk", lambda p: p["r"] + p["n"] - 1))
+    bins = F.sequence(F.floor(F.array_min(F.transform("_walk", lambda p: p["r"])) / width), F.floor(last / width))
+    parts = walked.where(F.size("_walk") > 0).select("id", "rname", "_walk", "seq", "qual", F.explode(bins).alias("bin"))
+    met = parts.join(chunks, ["rname", "bin"]).withColumns({"_s": F.split("seq", ""), "_q": F.split("qual", "")})
+    start = F.col("bin") * width
+    blank = lambda c: F.when(c != "", c)
+
+    def bad(p):
+        def one(total, i):  # i: a position of the reference
+            at = (p["q"] + i - p["r"]).cast("int")
+            base, q, other = blank(F.get("_s", at)), blank(F.get("_q", at)), F.get("bases", (i - start).cast("int"))
+            return total + F.when(base != other, F.coalesce(F.ascii(q) - 33, F.lit(default_q))).otherwise(0)
+
+        low, high = F.greatest(p["r"], start), F.least(p["r"] + p["n"], start + width)
+        return F.when(low < high, F.aggregate(F.sequence(low, high - 1), F.lit(0), one)).otherwise(0)
+
+    sums = met.select("id", F.aggregate("_walk", F.lit(0), lambda total, p: total + bad(p)).alias("n")).groupBy("id").agg(F.sum("n").alias("bad"))
     marked = reads.join(sums, "id", "left")
     return marked.withColumn("flag", F.when(F.col("bad") > threshold, F.col("flag").bitwiseOR(F.lit(4))).otherwise(F.col("flag"))).drop("bad")
 
@@ -126,20 +159,27 @@ def coordinate_sorted(reads: DataFrame) -> DataFrame:
 
 
 def validate_fastq(reads: DataFrame, min_length: int = 10) -> DataFrame:
-    """`reads` (line, id_line, seq, plus, qual) with errors array<string>."""
+    """`reads` (line, id_line, seq, plus, qual) with errors array<string>, and duplicate_of: the line that first has the id.
+
+    What a read tells by itself is checked where it lies. For repeated ids only 64-bit hashes are shuffled, then the ids of
+    hits, then lines with ids and errors: sequences and qualities move only if the result keeps them.
+    """
     name = F.split(F.expr("substring(id_line, 2)"), r"\s")[0]
-    same = W.partitionBy(name)
-    checks = {
-        "id line does not start with @": ~F.col("id_line").startswith("@"),
-        "empty id": F.length(name) == 0,
-        "duplicate id": F.count("*").over(same) > 1,
+    found = lambda checks: F.array_compact(F.array(*[F.when(c, F.lit(m)) for m, c in checks.items()]))
+    first = found({"id line does not start with @": ~F.col("id_line").startswith("@"), "empty id": F.length(name) == 0})
+    rest = found({
         "invalid base": ~F.col("seq").rlike(r"^[ACGTNacgtn.]*$"),
         "read too short": F.length("seq") < min_length,
         "plus line differs": ~F.col("plus").startswith("+") | ((F.length("plus") > 1) & (F.expr("substring(plus, 2)") != F.expr("substring(id_line, 2)"))),
         "invalid quality": F.col("qual").rlike(r"[\x00-\x20]"),
         "lengths differ": F.length("seq") != F.length("qual"),
-    }
-    return reads.withColumn("errors", F.array_compact(F.array(*[F.when(c, F.lit(m)) for m, c in checks.items()])))
+    })
+    rows = reads.withColumns({"_name": name, "_hash": F.xxhash64(name), "_first": first, "_rest": rest})
+    hits = rows.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
+    twice = rows.select("_hash", "_name", "line").join(hits, "_hash", "left_semi").groupBy("_name").agg(F.count("*").alias("_n"), F.min("line").alias("duplicate_of")).where("_n > 1").drop("_n")
+    both = rows.join(twice, "_name", "left")
+    again = F.when(F.col("duplicate_of").isNotNull(), F.array(F.lit("duplicate id"))).otherwise(F.array().cast("array<string>"))
+    return both.select(*reads.columns, F.concat("_first", again, "_rest").alias("errors"), "duplicate_of")
 
 
 def interleaved_errors(reads: DataFrame) -> DataFrame:

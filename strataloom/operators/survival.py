@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.scalar import chi2_sf, chi2_tail
-from strataloom.operators.running import running
+from strataloom.operators.running import cut_points, running
 
 S = "stratum"
 
@@ -18,7 +18,7 @@ def at_times(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame
     return left.join(other, left[S].eqNullSafe(other["_stratum"]) & (left["time"] == other["_time"]), how).drop("_stratum", "_time")
 
 
-def risk_table(df: DataFrame, sums: dict | None = None) -> DataFrame:
+def risk_table(df: DataFrame, sums: dict | None = None, cuts: list[float] | None = None) -> DataFrame:
     """(stratum, time, events, at_risk, ...): df has stratum, entry, exit, event; at risk: entry <= time <= exit.
 
     `sums` names columns to sum over the risk set. Suffix sums by exit time less suffix sums by later entry.
@@ -33,16 +33,17 @@ def risk_table(df: DataFrame, sums: dict | None = None) -> DataFrame:
         F.max(F.when(F.col("side") == 0, 1).otherwise(0)).alias("is_exit"),
     )
     # both sums run down in time; those of later entries leave out the time itself
-    run = running(points, [S], ["time"], down=True, sums={f"s_{n}": F.col(f"l_{n}") + F.col(f"e_{n}") for n in sums})
+    run = running(points, [S], ["time"], down=True, sums={f"s_{n}": F.col(f"l_{n}") + F.col(f"e_{n}") for n in sums}, cuts=cut_points(df, "exit") if cuts is None else cuts)
     return run.where("is_exit = 1").select(S, "time", "events", *[(F.col(f"s_{n}") - F.col(f"e_{n}")).alias(n) for n in sums])
 
 
-def kaplan_meier(df: DataFrame, continuity: str = "right") -> DataFrame:
+def kaplan_meier(df: DataFrame, continuity: str = "right", cuts: list[float] | None = None) -> DataFrame:
     """(stratum, time, at_risk, events, survival) at each distinct exit time; left: the value just before it."""
-    table = risk_table(df)
+    cuts = cut_points(df, "exit") if cuts is None else cuts
+    table = risk_table(df, cuts=cuts)
     alive = F.col("events") < F.col("at_risk")
     factor = F.when(alive, F.log(1 - F.col("events") / F.col("at_risk"))).otherwise(0.0)
-    table = running(table, [S], ["time"], current=continuity == "right", sums={"_log": factor, "_dead": F.when(alive, 0).otherwise(1)})
+    table = running(table, [S], ["time"], current=continuity == "right", sums={"_log": factor, "_dead": F.when(alive, 0).otherwise(1)}, cuts=cuts)
     survival = F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp(F.coalesce("_log", F.lit(0.0))))
     return table.select(S, "time", F.col("at_risk").cast("long").alias("at_risk"), F.col("events").cast("long").alias("events"), survival.alias("survival"))
 
@@ -53,20 +54,21 @@ def ties_constant(df: DataFrame) -> DataFrame:
     return t.select(S, "time", F.when(F.col("at_risk") == 1, 1.0).otherwise((F.col("at_risk") - F.col("events")) / (F.col("at_risk") - 1)).alias("ties"))
 
 
-def risk_sums(df: DataFrame, x: str, beta: float = 0.0) -> DataFrame:
+def risk_sums(df: DataFrame, x: str, beta: float = 0.0, cuts: list[float] | None = None) -> DataFrame:
     """S0, S1, S2 of exp(beta x) over the risk set, and events and their x sum, per event time."""
     e = F.exp(F.lit(float(beta)) * F.col(x))
-    table = risk_table(df, {"s0": e, "s1": e * F.col(x), "s2": e * F.col(x) * F.col(x)}).where("events > 0")
+    table = risk_table(df, {"s0": e, "s1": e * F.col(x), "s2": e * F.col(x) * F.col(x)}, cuts).where("events > 0")
     own = df.where(F.col("event").cast("boolean")).groupBy(S, F.col("exit").alias("time")).agg(F.sum(x).alias("event_x"))
     return at_times(table, own)
 
 
 def log_rank(df: DataFrame, x: str, km: bool = False, ties: bool = False) -> DataFrame:
     """One row: score u and information v at beta 0, chi-square u^2/v, and the Peto estimate u/v."""
-    t = risk_sums(df, x)
+    cuts = cut_points(df, "exit")
+    t = risk_sums(df, x, cuts=cuts)
     weight = F.lit(1.0)
     if km:
-        left = kaplan_meier(df, "left").select(S, "time", "survival")
+        left = kaplan_meier(df, "left", cuts).select(S, "time", "survival")
         t, weight = at_times(t, left), F.col("survival")
     mean = F.col("s1") / F.col("s0")
     spread = F.col("s2") / F.col("s0") - mean * mean
@@ -98,15 +100,15 @@ def _predictor(x: list[str], theta) -> object:
     return sum((F.lit(float(t)) * F.col(c) for t, c in zip(theta, x)), F.lit(0.0))
 
 
-def _cox_step(rows: DataFrame, x: list[str], theta, km: bool, ties: bool) -> tuple[np.ndarray, np.ndarray, float]:
+def _cox_step(rows: DataFrame, x: list[str], theta, km: bool, ties: bool, cuts: list[float]) -> tuple[np.ndarray, np.ndarray, float]:
     """Score, information and log likelihood at theta, summed over strata and event times: one row to the driver."""
     p, e = len(x), F.col("_w") * F.exp(_predictor(x, theta))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = {"s0": e} | {f"a{i}": e * F.col(c) for i, c in enumerate(x)} | {f"b{i}_{j}": e * F.col(x[i]) * F.col(x[j]) for i, j in pairs}
     own = rows.where("event").groupBy(S, F.col("exit").alias("time")).agg(F.sum("_w").alias("hits"), F.sum(F.col("_w") * _predictor(x, theta)).alias("eta"), *[F.sum(F.col("_w") * F.col(c)).alias(f"o{i}") for i, c in enumerate(x)])
-    t, weight = at_times(risk_table(rows, sums).where("events > 0"), own), F.lit(1.0)
+    t, weight = at_times(risk_table(rows, sums, cuts).where("events > 0"), own), F.lit(1.0)
     if km:
-        t, weight = at_times(t, kaplan_meier(rows, "left").select(S, "time", "survival")), F.col("survival")
+        t, weight = at_times(t, kaplan_meier(rows, "left", cuts).select(S, "time", "survival")), F.col("survival")
     constant = F.when(F.col("at_risk") == 1, 1.0).otherwise((F.col("at_risk") - F.col("events")) / (F.col("at_risk") - 1)) if ties else F.lit(1.0)
     mean = [F.col(f"a{i}") / F.col("s0") for i in range(p)]
     r = t.agg(
@@ -125,13 +127,13 @@ def cox_fit(df: DataFrame, x: list[str], km: bool = False, ties: bool = False, w
     """
     rows = df.select(S, "entry", "exit", F.col("event").cast("boolean").alias("event"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), *[F.col(c).cast("double").alias(c) for c in x])
     rows = rows.dropna(subset=[c for c in rows.columns if c != S]).persist()
-    theta = np.zeros(len(x))
+    theta, cuts = np.zeros(len(x)), cut_points(rows, "exit")
     try:
-        u, info, ll = _cox_step(rows, x, theta, km, ties)
+        u, info, ll = _cox_step(rows, x, theta, km, ties, cuts)
         for _ in range(50):
             step = np.linalg.solve(info, u)
             for _ in range(10):
-                after = _cox_step(rows, x, theta + step, km, ties)
+                after = _cox_step(rows, x, theta + step, km, ties, cuts)
                 if km or after[2] >= ll - 1e-9 * abs(ll):  # the weighted score is not this likelihood's gradient
                     break
                 step = step / 2
@@ -146,16 +148,16 @@ def cox_fit(df: DataFrame, x: list[str], km: bool = False, ties: bool = False, w
 def score_residuals(df: DataFrame, x: list[str], theta, key: str = "iid", km: bool = False) -> DataFrame:
     """(key, w0, w1, ...): each subject's part of the score, with late entry: own event term less the events while at risk."""
     e = F.exp(_predictor(x, theta))
-    names = range(len(x))
-    t = risk_table(df, {"s0": e, **{f"a{i}": e * F.col(c) for i, c in enumerate(x)}}).where("events > 0")
-    t = at_times(t, kaplan_meier(df, "left").select(S, "time", F.col("survival").alias("km"))) if km else t.withColumn("km", F.lit(1.0))
+    names, cuts = range(len(x)), cut_points(df, "exit")
+    t = risk_table(df, {"s0": e, **{f"a{i}": e * F.col(c) for i, c in enumerate(x)}}, cuts).where("events > 0")
+    t = at_times(t, kaplan_meier(df, "left", cuts).select(S, "time", F.col("survival").alias("km"))) if km else t.withColumn("km", F.lit(1.0))
     hits = F.col("km") * F.col("events")
     rises = {"h": hits / F.col("s0")} | {f"h{i}": hits * F.col(f"a{i}") / F.col("s0") ** 2 for i in names}
     steps = t.select(S, F.col("time").cast("double"), F.lit(1).alias("kind"), *[c.alias(f"_{n}") for n, c in rises.items()])
     # events at the entry time count (entry <= time), so its probe comes before them; the exit's comes after
     probe = lambda at, kind: df.select(S, F.col(at).cast("double").alias("time"), F.lit(kind).alias("kind"), key, F.col("event").cast("boolean").alias("event"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], e.alias("e"))
     both = steps.unionByName(probe("entry", 0).unionByName(probe("exit", 2)), allowMissingColumns=True)
-    both = running(both, [S], ["time", "kind"], sums={n: F.coalesce(f"_{n}", F.lit(0.0)) for n in rises}).where("kind <> 1")
+    both = running(both, [S], ["time", "kind"], sums={n: F.coalesce(f"_{n}", F.lit(0.0)) for n in rises}, cuts=cuts).where("kind <> 1")
     means = t.select(F.col(S).alias("_s"), F.col("time").cast("double").alias("_t"), "km", *[(F.col(f"a{i}") / F.col("s0")).alias(f"m{i}") for i in names])
     both = both.join(means, both[S].eqNullSafe(F.col("_s")) & (F.col("time") == F.col("_t")) & (F.col("kind") == 2) & F.col("event"), "left")
     sign = F.col("kind") - 1
