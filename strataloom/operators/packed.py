@@ -58,6 +58,9 @@ class Design:
     entry: np.ndarray | None = None
     exit: np.ndarray | None = None
     event: np.ndarray | None = None
+    study: np.ndarray | None = None
+    fid: np.ndarray | None = None
+    sink: list | None = None  # where a fit leaves its scores, for B to be made elsewhere
 
     def without_covariates(self) -> Design:
         """The same subjects with no covariates in the fit; those still serve as environments."""
@@ -67,15 +70,16 @@ class Design:
 def _bounded(df: DataFrame, width: int, what: str) -> pd.DataFrame:
     n = df.count()
     if n * width > LIMIT:
-        raise ValueError(f"{what} has {n} rows, over {LIMIT} bytes: use the long forms of the wald and score modules")
+        raise ValueError(f"{what} has {n} rows, over {LIMIT} bytes: use `blocked` for design weights, the long forms of the wald and score modules for phenotypes")
     return df.toPandas()
 
 
-def design(pheno: DataFrame, covariates: list[str] = (), model: str = "linear", weighted: bool = False, robust: bool = False, stratum: str | None = None, probs: DataFrame | None = None, genotyped: DataFrame | None = None) -> Design:
+def design(pheno: DataFrame, covariates: list[str] = (), model: str = "linear", weighted: bool = False, robust: bool = False, stratum: str | None = None, probs: DataFrame | None = None, genotyped: DataFrame | None = None, members: DataFrame | None = None) -> Design:
     """Complete cases of `pheno` (iid, fid, wt; y, or entry, exit, event for "cox"; study where there are several).
 
     With `genotyped` (iid), only subjects that have genotypes count, also in the sizes of families. `probs`: pairwise
-    inclusion probabilities (study, iid_i, iid_j, pi). A subject of several studies has a row in each.
+    inclusion probabilities (study, iid_i, iid_j, pi), few enough for a broadcast; for more give them as `members`, which
+    only takes the studies' subjects from them, and scan by `blocked`. A subject of several studies has a row in each.
     """
     outcome = ["entry", "exit", "event"] if model == "cox" else ["y"]
     study = F.col("study") if "study" in pheno.columns else F.lit(0)
@@ -83,8 +87,8 @@ def design(pheno: DataFrame, covariates: list[str] = (), model: str = "linear",
     rows = rows.dropna(subset=[c for c in rows.columns if c not in ("_stratum", "wt" if not weighted and probs is None else "_stratum")])
     if genotyped is not None:
         rows = rows.join(genotyped.select("iid").distinct(), "iid", "left_semi")
-    if probs is not None:
-        own = probs.select("study", F.col("iid_i").alias("iid")).distinct()
+    if probs is not None or members is not None:
+        own = (members if probs is None else probs).select("study", F.col("iid_i").alias("iid")).distinct()
         rows = rows.drop("study").join(own, "iid") if "study" not in pheno.columns else rows.join(own, ["study", "iid"], "left_semi")
     linked = rows
     table = _bounded(rows, 8 * (len(rows.columns) + 6), "the phenotype table").sort_values(["study", "iid"], kind="stable").reset_index(drop=True)
@@ -98,6 +102,7 @@ def design(pheno: DataFrame, covariates: list[str] = (), model: str = "linear",
     x = np.column_stack(columns if model == "cox" else [np.ones(len(table)), *columns]) if columns or model != "cox" else np.zeros((len(table), 0))
     out = Design(model, table["iid"].to_numpy(), x, table["y"].to_numpy(float) if model != "cox" else np.zeros(len(table)), table["wt"].to_numpy(float) if weighted else np.ones(len(table)), weighted, robust, order, starts, single, list(covariates))
     out.env = dict(zip(covariates, columns))
+    out.study, out.fid = table["study"].to_numpy(), table["fid"].to_numpy()
     if stratum:
         out.strata, levels = pd.factorize(table["_stratum"].fillna(""))
         out.levels = list(levels)
@@ -155,6 +160,9 @@ def _family_sums(d: Design, s: np.ndarray) -> np.ndarray:
 
 def meat(d: Design, u: np.ndarray, own) -> np.ndarray:
     """B from subjects' unweighted scores u; own(c) is the model's variance of single families, row i weighing c[i]."""
+    if d.sink is not None:
+        d.sink.append((u, own))
+        return np.zeros((u.shape[1],) * 2)
     if d.pairs is not None:
         rows, first, j, delta, alone = d.pairs
         b = u[rows].T @ np.add.reduceat(delta[:, None] * u[j], first, axis=0) if len(rows) else np.zeros((u.shape[1],) * 2)
@@ -172,7 +180,7 @@ def _own(x: np.ndarray, v: np.ndarray):
 
 def _sandwich(d: Design, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     inverse = np.linalg.inv(a)
-    if d.model_variance:
+    if d.model_variance or d.sink is not None:
         return inverse
     cov = inverse @ b @ inverse
     return inverse if not d.weighted and cov[0, 0] < inverse[0, 0] - MARGIN else cov
