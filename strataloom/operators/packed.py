@@ -550,7 +550,7 @@ def gene_scan(packed: DataFrame, groups: DataFrame, made: Design, null: dict, ma
     Variants without a call, over `maf_ub` or under `cr_lb` are left out first, on packed rows. A gene's variants are dealt
     to tiles of `tile`; each pair of tiles is a group of its own, so that a gene of any size is spread over tasks that hold
     two tiles of genotypes at most. Unweighted, the rows and columns of variants whose 1/v lies below 1/v_a less a margin
-    come from the model's variance. `rescale` takes the sums over the gene for its factor.
+    come from the model's variance, and all where the design asks for it. `rescale` takes the sums over the gene for its factor.
     """
     shared = packed.sparkSession.sparkContext.broadcast((made, null))  # checked in design()
     kinds = groups.schema["gene"].dataType.simpleString(), packed.schema[key].dataType.simpleString()
@@ -590,7 +590,7 @@ def gene_scan(packed: DataFrame, groups: DataFrame, made: Design, null: dict, ma
         if not d.weighted:
             with np.errstate(divide="ignore", invalid="ignore"):
                 model = np.isnan(diagonal) | (1 / diagonal < 1 / np.diag(v_a) - MARGIN)
-        v = np.where(model[:, None] | model[None, :], v_a, v0)
+        v = v_a if d.model_variance else np.where(model[:, None] | model[None, :], v_a, v0)
         i, j = np.tril_indices(len(u))
         cross = (own[i] == a) & (own[j] == b) | (own[i] == b) & (own[j] == a)
         i, j = i[cross], j[cross]

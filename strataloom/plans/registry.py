@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions import scalar
-from strataloom.operators import filters, link, model, packed, pedigree, reads, running, score, stats, survival, wald
+from strataloom.operators import blocked, filters, link, model, packed, pedigree, reads, running, score, stats, survival, wald
 from strataloom.plans import fixtures as fx
 from strataloom.plans import twins
 from strataloom.plans.fixtures import duck
@@ -793,21 +795,43 @@ o AS (SELECT variant, sum(delta * x * x2) AS var, sum(delta * k * k2) AS var1 FR
 SELECT variant, n, CASE WHEN var > 0 AND var1 > 0 THEN round(beta, 6) + 0.0 END AS beta, CASE WHEN var > 0 AND var1 > 0 THEN round(sqrt(var), 6) END AS se FROM o JOIN m USING (variant) JOIN b USING (variant)"""))
 def _(s, d):
     p, probs = _study_probs(s, d)
-    out = packed.wald_scan(*_scan(s, d, p, weighted=True, robust=True, probs=probs))
+    out = blocked.wald_scan(*_blocked(s, d, p, probs, robust=True))
     return out.select("variant", "n", (F.round("beta", 6) + 0.0).alias("beta"), F.round("se", 6).alias("se"))
 
 
-@query("T3_inclusion_probabilities")
+def _blocked(s, d, pheno, probs, model="linear", covariates=(), **options):
+    """Packed genotypes, a design of the studies' subjects, and their probabilities, for scans in blocks."""
+    return *_scan(s, d, pheno, model, covariates, weighted=True, members=probs, **options), probs
+
+
+# of the pairs of a study and cluster, with the singletons' own term apart; f has h, h1 (influences), e, d (variances)
+_STUDIES = ", s AS (SELECT *, CAST(x1 AS BIGINT) % 3 AS study, iid // 12 AS cluster, 1 / wt AS pi FROM pheno), sz AS (SELECT study, fid, count(*) = 1 AS single FROM {of} GROUP BY 1, 2)"
+_PI = "least(1, a.pi * b.pi * (1 + ((a.iid + b.iid) % 3) * 0.05))"
+_PAIRS = f""",
+qd AS (SELECT a.v, a.x1 AS ax1, a.x2 AS ax2, b.x1 AS bx1, b.x2 AS bx2, a.c11, a.c12, a.c22, a.iid = b.iid AND a.single AS own, CASE WHEN a.fid = b.fid THEN a.w * b.w ELSE ({_PI} - a.pi * b.pi) * a.w * b.w / {_PI} END AS delta FROM f a JOIN f b USING (v, study, cluster)),
+qb AS (SELECT v, sum(delta * CASE WHEN own THEN c11 ELSE ax1 * bx1 END) AS b11, sum(delta * CASE WHEN own THEN c12 ELSE (ax1 * bx2 + ax2 * bx1) / 2 END) AS b12, sum(delta * CASE WHEN own THEN c22 ELSE ax2 * bx2 END) AS b22 FROM qd GROUP BY 1)"""
+
+
+@query("T3_inclusion_probabilities", duck("pheno geno", _STUDIES.format(of="s") + """,
+r AS (SELECT variant, iid, fid, study, cluster, wt AS w, pi, single, g, yb AS y FROM geno JOIN s USING (iid) JOIN sz USING (study, fid) WHERE g IS NOT NULL)""" + twins.logistic("r", w="w") + """,
+f AS (SELECT r.variant AS v, iid, fid, study, cluster, w, pi, single, h * e AS x1, h1 * e AS x2, h * h * d AS c11, h * h1 * d AS c12, h1 * h1 * d AS c22 FROM
+ (SELECT r.*, y - 1 / (1 + exp(-(a + b * g))) AS e, 1 / (1 + exp(-(a + b * g))) * (1 - 1 / (1 + exp(-(a + b * g)))) AS d, (g * iaa - iab) / (iaa * ibb - iab * iab) AS h, (ibb - g * iab) / (iaa * ibb - iab * iab) AS h1 FROM r JOIN lf ON lf.variant = r.variant) r)""" + _PAIRS + """
+SELECT variant, n, CASE WHEN b11 > 0 AND b22 > 0 THEN round(b, 6) + 0.0 END AS beta, CASE WHEN b11 > 0 AND b22 > 0 THEN round(sqrt(b11), 6) END AS se, CASE WHEN b11 > 0 AND b22 > 0 THEN round(b * b / b11, 5) END AS chisq FROM qb JOIN lf ON lf.variant = qb.v"""))
 def _(s, d):
     p, probs = _study_probs(s, d)
-    return _slim(packed.wald_scan(*_scan(s, d, p.withColumn("y", F.col("yb")), "logistic", weighted=True, probs=probs)))
+    return _slim(blocked.wald_scan(*_blocked(s, d, p.withColumn("y", F.col("yb")), probs, "logistic")))
 
 
-@query("T4_inclusion_probabilities")
+@query("T4_inclusion_probabilities", duck("pheno geno surv", _STUDIES.format(of="(SELECT s.* FROM s JOIN surv USING (iid))") + """,
+rows AS (SELECT variant AS v, 0 AS part, u.iid, u.fid, single, entry, exit, event, CAST(g AS DOUBLE) AS p, arm AS q, u.wt AS w, s.study, s.cluster, s.pi FROM geno JOIN surv u USING (iid) JOIN s ON s.iid = u.iid JOIN sz ON sz.study = s.study AND sz.fid = u.fid WHERE g IS NOT NULL)""" + twins.cox("rows", w="w") + """,
+f AS (SELECT r.v, r.iid, r.fid, study, cluster, w, pi, r.single, (i22 * u1 - i12 * u2) / det AS x1, (i11 * u2 - i12 * u1) / det AS x2, (i22 * i22 * c11 - 2 * i12 * i22 * c12 + i12 * i12 * c22) / (det * det) AS c11, 0 AS c12, (i12 * i12 * c11 - 2 * i11 * i12 * c12 + i11 * i11 * c22) / (det * det) AS c22
+ FROM cr r JOIN rows o ON o.v = r.v AND o.iid = r.iid JOIN (SELECT *, i11 * i22 - i12 * i12 AS det FROM ci) i ON i.v = r.v)""" + _PAIRS + """,
+nn AS (SELECT v, count(*) AS n FROM rows GROUP BY 1)
+SELECT qb.v AS variant, n, CASE WHEN b11 > 0 AND b22 > 0 THEN round(a, 6) + 0.0 END AS beta, CASE WHEN b11 > 0 AND b22 > 0 THEN round(sqrt(b11), 6) END AS se, CASE WHEN b11 > 0 AND b22 > 0 THEN round(a * a / b11, 5) END AS chisq FROM qb JOIN cf USING (v) JOIN nn USING (v)"""))
 def _(s, d):
     p, probs = _study_probs(s, d)
     studied = fx.surv(s, d).join(p.select("iid", "study"), "iid")
-    return _slim(packed.wald_scan(*_scan(s, d, studied, "cox", ["arm"], weighted=True, probs=probs)))
+    return _slim(blocked.wald_scan(*_blocked(s, d, studied, probs, "cox", ["arm"])))
 
 
 def _weighted_score_sql(scale: str) -> str:
@@ -1155,3 +1179,33 @@ def _(s, d):
     a = fx.surv(s, d)
     b = a.withColumns({"event": F.col("event") & (F.col("exit") < 1500), "exit": F.least(F.col("exit"), F.lit(1500).cast("long"))})
     return rounded(survival.dual_log_rank(a, b, "arm"))
+
+
+@query("T2_strata_slope", duck("pheno geno", _SIZES.format(of="pheno") + ", r AS (SELECT variant, stratum, fid, single, CAST(g AS DOUBLE) AS g, y FROM geno JOIN pheno USING (iid) JOIN z USING (fid) WHERE g IS NOT NULL)" + twins.strata_slope("r") + " SELECT variant, n, round(beta, 6) + 0.0 AS beta, round(sqrt(CASE WHEN var < model - 1e-8 THEN model ELSE var END), 6) AS se, round(beta * beta / CASE WHEN var < model - 1e-8 THEN model ELSE var END, 5) AS chisq FROM hv"))
+def _(s, d):
+    return _slim(wald.linear_wald_hetero(fx.pheno(s, d), fx.geno(s, d)))
+
+
+@query("T12_S11_gene_run", duck("pheno geno variants groups", """, nul AS (SELECT avg(y) AS my, var_pop(y) AS s2 FROM pheno),
+e AS (SELECT variant, iid, y - my AS r, s2, coalesce(CAST(g AS DOUBLE), avg(g) OVER (PARTITION BY variant)) - avg(g) OVER (PARTITION BY variant) AS e FROM geno JOIN pheno USING (iid), nul),
+h AS (SELECT DISTINCT gene, variant FROM groups), us AS (SELECT variant, sum(r * e) / any_value(s2) AS u FROM e GROUP BY 1),
+k AS (SELECT DISTINCT a.variant AS i, b.variant AS j FROM h a JOIN h b ON a.gene = b.gene AND b.variant <= a.variant),
+m AS (SELECT i, j, sum(x.e * w.e) / any_value(x.s2) AS v FROM k JOIN e x ON x.variant = i JOIN e w ON w.variant = j AND w.iid = x.iid GROUP BY 1, 2),
+c AS (SELECT variant, count(g) AS n, CAST(sum(g) AS BIGINT) AS ac FROM geno GROUP BY 1),
+l AS (SELECT a.gene, a.variant, count(*) OVER (PARTITION BY a.gene) AS width FROM h a)
+SELECT 'G' || gene AS gene, id, ac, n, round(u, 4) + 0.0 AS u, CAST(width AS BIGINT) AS width, (SELECT round(sum(v), 3) FROM m JOIN h b ON b.variant = m.j AND b.gene = l.gene WHERE m.i = l.variant) AS total FROM l JOIN us USING (variant) JOIN c USING (variant) JOIN variants v USING (variant)"""))
+def _(s, d):
+    path, p, g = fx.scratch(s, "mass"), fx.pheno(s, d), fx.geno(s, d)
+    table, made = _scan(s, d, p, robust=True)
+    found = packed.gene_scan(table, fx.groups(s, d), replace(made, model_variance=True), score.fit_null_linear(p), maf_ub=1.0)
+    named = found.withColumn("gene", F.concat(F.lit("G"), F.col("gene")))
+    counts, sites = stats.variant_stats(g), fx.variants(s, d).select("variant", "id")
+    scores = named.where("i = j").select("gene", F.col("i").alias("variant"), "u").join(counts, "variant").join(sites, "variant")
+    scores = scores.select("gene", "variant", "id", F.col("alt_af").alias("af"), F.col("alt_ac").alias("ac"), "n", "n_ref", "n_het", "n_alt", "u")
+    text.write_mass(scores, named.select("gene", "i", "j", "v"), p.count(), path)
+    c = F.split("value", "\t")
+    lines = s.read.text(path).where("value NOT LIKE '#%'").select(c.alias("c"))
+    row = F.slice("c", F.lit(10), F.size("c") - 9)
+    total = F.aggregate(row, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    out = lines.select(F.col("c")[0].alias("gene"), F.col("c")[1].alias("id"), F.col("c")[3].cast("long").alias("ac"), F.col("c")[4].cast("long").alias("n"), F.col("c")[8].cast("double").alias("u"), F.size(row).cast("long").alias("width"), total.alias("total"))
+    return out.withColumns({"u": F.round("u", 4) + 0.0, "total": F.round("total", 3)})
