@@ -2,9 +2,9 @@
 
 score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j) over the distinct lower-cased letter runs and
 five-letter word starts of a text. Every term of at least MIN_DOCS training rows has an x_i > 0: 1/2 where its counts
-differ between the labels by MIN_Z standard deviations, else its inverse document frequency, scaled so that the squares
-of a mean row's other terms sum to REST (and none is over 1/2), since chance terms would be learnt by heart at full
-weight. The factors let a pair such as insult and group mention weigh more than both alone, also where neither tells
+differ between the labels by MIN_Z standard deviations, or those of a pair that it is in do so by far (`paired_terms`);
+else its inverse document frequency, scaled so that the squares of a mean row's other terms sum to REST (and none is over
+1/2), since chance terms would be learnt by heart at full weight. The factors let a pair such as insult and group mention weigh more than both alone, also where neither tells
 anything by itself. Each epoch, every partition of the training rows runs Adagrad from the common parameters and the results are
 averaged, weighted by rows. `fit` uses a bounded sample of about `sample_rows` labelled rows, chosen by key hash.
 
@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.common import fold_bucket, staged, table
+from strataloom.llm.common import fold_bucket, splitmix, staged, table
 
 BITS, FACTORS, EPOCHS, SAMPLE_ROWS, MIN_DOCS, MIN_Z, REST = 16, 4, 8, 16000, 3, 3.5, 0.5
 RATE, SHRINK = 0.3, 1e-4
+#: The screen of pairs: terms and pairs of so many rows, so many buckets, standard deviations, and pairs at most.
+PAIR_DOCS, PAIR_BITS, PAIR_Z, MOST_PAIRS = 20, 21, 6.0, 2000
 TERM = re.compile(r"[^\W\d_]+")
 _CACHE: dict[str, int] = {}
 
@@ -83,6 +85,77 @@ def _weights(found: list, rows: int) -> np.ndarray:
     return x
 
 
+def _pairs(at: np.ndarray, often: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Every pair of a row's frequent terms as one number, about `most` at a time."""
+    own = at[often[at]].astype(np.int64)
+    step = max(1, most // max(len(own), 1))
+    for low in range(0, len(own), step):
+        some = own[low : low + step]
+        ahead = np.arange(len(own))[None, :] > np.arange(low, low + len(some))[:, None]
+        yield (some[:, None] << BITS | own[None, :])[ahead]
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    return (splitmix(pairs.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def _telling(n: np.ndarray, pos: np.ndarray, share: float) -> np.ndarray:
+    """By how many standard deviations counts differ between the labels."""
+    return np.abs(pos - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
+
+
+def paired_terms(rows: DataFrame, counts: list, share: float) -> set[int]:
+    """Neutral terms that tell something in pairs: counts of all pairs of frequent terms in hashed buckets, then exact ones
+    of the pairs in buckets that differ between the labels by PAIR_Z standard deviations."""
+    often, told = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
+    for r in counts:
+        often[r.term] = r.n >= PAIR_DOCS
+        told[r.term] = r.z
+    shared = rows.sparkSession.sparkContext.broadcast((often, told))
+
+    def screened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = 1 << PAIR_BITS
+        n, held = np.zeros((2, size), np.int32), ([], [])
+
+        def count(y: int) -> None:
+            n[y] += np.bincount(np.concatenate([np.zeros(0, np.int64), *held[y]]), minlength=size).astype(np.int32)
+            held[y].clear()
+
+        for batch in batches:
+            for at, y in zip(batch["terms"], batch["label"]):
+                for pairs in _pairs(np.asarray(at), shared.value[0]):
+                    held[int(y)].append(_slots(pairs))
+                    if sum(map(len, held[int(y)])) > size:
+                        count(int(y))
+        count(0)
+        count(1)
+        yield pd.DataFrame({"n": [n.tobytes()]})
+
+    some = rows.select("terms", "label").coalesce(4).mapInPandas(screened, "n binary").collect()  # fixed size
+    both = sum((np.frombuffer(bytes(r.n), np.int32).reshape(2, -1).astype(np.int64) for r in some), np.zeros((2, 1 << PAIR_BITS), np.int64))
+    flagged = _telling(both.sum(0), both[1], share) >= PAIR_Z
+    if not flagged.any():
+        return set()
+    marks = rows.sparkSession.sparkContext.broadcast(np.packbits(flagged))
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(marks.value).astype(bool)
+        for batch in batches:
+            found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, y in zip(batch["terms"], batch["label"]):
+                found[int(y)].extend(pairs[bits[_slots(pairs)]] for pairs in _pairs(np.asarray(at), shared.value[0]))
+            for y in (0, 1):
+                pair, n = np.unique(np.concatenate(found[y]), return_counts=True)
+                yield pd.DataFrame({"pair": pair, "n": n, "pos": n * y})
+
+    summed = rows.select("terms", "label").mapInPandas(exact, "pair long, n long, pos long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    z = F.abs(F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
+    best = summed.where((F.col("n") >= PAIR_DOCS) & (z >= PAIR_Z)).orderBy(z.desc(), "pair").limit(MOST_PAIRS).select("pair", z.alias("z")).collect()
+    # a pair that says little more than its stronger term alone does needs no factor
+    new = [(r.pair >> BITS, r.pair & (1 << BITS) - 1) for r in best if r.z >= PAIR_Z + max(told[r.pair >> BITS], told[r.pair & (1 << BITS) - 1])]
+    return {t for pair in new for t in pair}
+
+
 def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, shards: int = 4) -> dict | None:
     """Parameters learnt from (key, text, label) rows; None without rows."""
     known = labelled.where(F.col(label).isNotNull()).select(key, "text", F.col(label).cast("int").alias("label"))
@@ -101,7 +174,9 @@ def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", sample_r
     by_term = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     share = (counted.pos or 0) / counted.n
     z = (F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-    x = _weights(by_term.where(F.col("n") >= MIN_DOCS).select("term", "n", (F.abs(z) >= MIN_Z).alias("telling")).collect(), counted.n)  # at most 2**BITS
+    counts = by_term.where(F.col("n") >= MIN_DOCS).select("term", "n", F.abs(z).alias("z")).collect()  # at most 2**BITS
+    paired = paired_terms(rows, counts, share) if 0 < share < 1 else set()
+    x = _weights([(r.term, r.n, r.z >= MIN_Z or r.term in paired) for r in counts], counted.n)
     size = 1 << BITS
     positive = float(min(4.0, max(1.0, 0.5 * (counted.n - (counted.pos or 0)) / max(counted.pos or 0, 1))))
     noise = np.random.default_rng(5).normal(0, 0.1, (size, FACTORS)).astype(np.float32)
