@@ -1,7 +1,8 @@
 """Wald tests per variant and plain regression summaries.
 
 The linear test is two grouped aggregations and a p x p solve: moments per variant, then score sums per family and
-variant. Logistic and Cox fits iterate over one variant's subjects at a time, in a grouped vectorized helper.
+variant. Logistic fits take Newton steps for all variants at once, an aggregation each. Cox fits iterate over one variant's
+subjects at a time, in a grouped vectorized helper.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.scalar import chi2_tail
 from strataloom.operators import stats
+from strataloom.operators.staging import staged
 
 # fixed values: convergence constants of the method
 TOLERANCE, ITERATIONS, MARGIN, STEP_CAP = 1e-4, 500, 1e-8, 500.0
@@ -199,23 +201,6 @@ def interaction_test(results: DataFrame, k: int, first: int = 2) -> DataFrame:
     return results.select("variant", "theta", "cov").mapInPandas(run, "variant long, chisq_g double, p_g double, chisq_inter double, p_inter double, chisq_both double, p_both double")
 
 
-def sandwich(x, u, a, single, fid, w, v, weighted: bool, robust: bool):
-    """A^-1 B A^-1 with the family rule: u are per-subject scores, v the singletons' model variance factors."""
-    wu = u * w[:, None]
-    codes = np.unique(fid, return_inverse=True)[1]
-    sums = np.zeros((codes.max() + 1, u.shape[1]))
-    np.add.at(sums, codes, wu)
-    if robust:
-        b = sums.T @ sums
-    else:
-        grouped = sums[np.unique(codes[~single])] if (~single).any() else sums[:0]
-        xs = x[single] * (w[single] * np.sqrt(v[single]))[:, None]
-        b = grouped.T @ grouped + xs.T @ xs
-    inverse = np.linalg.inv(a)
-    cov = inverse @ b @ inverse
-    return inverse if not weighted and cov[0, 0] < inverse[0, 0] - MARGIN else cov
-
-
 def logistic_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     """Newton fit: theta, information at theta, converged."""
     theta = np.zeros(x.shape[1])
@@ -235,25 +220,86 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
     return theta, a, False
 
 
+def _family_meat(scored: DataFrame, xs: list[str], r: str, v: str, robust: bool) -> DataFrame:
+    """(variant, meat): sums over families of squared scores w r x, those of one subject by their variance factor v unless
+    `robust`. scored: variant, fid, fam_size, w, the columns xs, and what the expressions r and v need."""
+    p = len(xs)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    families = scored.groupBy("variant", "fid").agg(
+        F.first((F.col("fam_size") == 1) & F.lit(not robust)).alias("alone"), *[F.sum(F.expr(f"w * ({r}) * {c}")).alias(f"u{i}") for i, c in enumerate(xs)], *[F.sum(F.expr(f"w * w * ({v}) * {xs[i]} * {xs[j]}")).alias(f"q{i}_{j}") for i, j in pairs]
+    )
+    meat = families.groupBy("variant").agg(*[F.sum(F.when(F.col("alone"), F.col(f"q{i}_{j}")).otherwise(F.col(f"u{i}") * F.col(f"u{j}"))).alias(f"b{i}_{j}") for i, j in pairs])
+    return meat.select("variant", F.array(*[F.col(f"b{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]).alias("meat"))
+
+
 def logistic_wald(pheno: DataFrame, gt: DataFrame, covariates: list[str] = (), weighted: bool = False, robust: bool = False, key: str = "variant") -> DataFrame:
-    """One row per variant: logistic regression of y (0/1) on [g, 1, covariates]. A variant's subjects are one group."""
+    """One row per variant: logistic regression of y (0/1) on [g, 1, covariates], all variants at once.
+
+    A Newton step is one aggregation of scores and information by variant with the coefficients joined; variants that have
+    settled or failed are left out of the next one. Steps are staged; no task holds a variant's subjects.
+    """
+    x = [F.col("g"), F.lit(1), *[F.col(c) for c in covariates]]
+    p = len(x)
+    xs, pairs = [f"x{i}" for i in range(p)], [(i, j) for i in range(p) for j in range(i, p)]
+    full = F.array(*[F.col(f"a{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]).alias("a")
     rows = family_sizes(pheno, gt).join(gt.where("g IS NOT NULL"), "iid")
-    columns = [F.col(key).cast("long").alias("variant"), F.col("fid"), F.col("fam_size"), F.col("y").cast("double").alias("y"), (F.col("wt").cast("double") if weighted else F.lit(1.0)).alias("w"), F.col("g").cast("double").alias("g"), *[F.col(c).cast("double").alias(c) for c in covariates]]
+    rows = rows.select(F.col(key).cast("long").alias("variant"), "fid", "fam_size", F.col("y").cast("double").alias("y"), (F.col("wt").cast("double") if weighted else F.lit(1.0)).alias("w"), *[c.cast("double").alias(n) for n, c in zip(xs, x)])
+    state = "variant long, n long, theta array<double>, inverse array<double>, last boolean, status string"
+    names = [c.split()[0] for c in state.split(", ")]
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([group["g"], np.ones(len(group)), *[group[c] for c in covariates]])
-        y, w = group["y"].to_numpy(), group["w"].to_numpy()
-        variant, n = group["variant"].iloc[0], len(group)
-        if not regular((x * w[:, None]).T @ x):
-            return pd.DataFrame([result_row(variant, n, None, None, "singular")])
-        theta, a, ok = logistic_fit(x, y, w)
-        if not ok:
-            return pd.DataFrame([result_row(variant, n, None, None, "not converged")])
-        mu = 1 / (1 + np.exp(-np.clip(x @ theta, -40, 40)))
-        cov = sandwich(x, x * (y - mu)[:, None], a, group["fam_size"].to_numpy() == 1, group["fid"].to_numpy(), w, mu * (1 - mu), weighted, robust)
-        return pd.DataFrame([result_row(variant, n, theta, cov)])
+    def begin(batches):
+        for batch in batches:
+            fine = [regular(np.reshape(a, (p, p))) for a in batch["a"]]
+            yield pd.DataFrame({"variant": batch["variant"], "n": batch["n"], "theta": [[0.0] * p] * len(batch), "inverse": None, "last": False, "status": ["running" if f else "singular" for f in fine]})
 
-    return rows.select(*columns).groupBy("variant").applyInPandas(fit, RESULT)
+    def advance(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                theta, a = np.asarray(r.theta), np.reshape(r.a, (p, p))
+                inverse, last, status = None, bool(r.last), "running"
+                try:
+                    if last:
+                        inverse, status = np.linalg.inv(a).ravel().tolist(), "ok"
+                    else:
+                        step = np.linalg.solve(a, np.asarray(r.u))
+                        theta, last = theta + step, bool(np.abs(step).sum() < TOLERANCE)
+                        if not np.isfinite(theta).all() or np.abs(theta).max() > STEP_CAP:
+                            status = "not converged"
+                except np.linalg.LinAlgError:
+                    status = "not converged"
+                out.append((r.variant, r.n, theta.tolist(), inverse, last, status))
+            yield pd.DataFrame(out, columns=names)
+
+    def at(fits: DataFrame) -> DataFrame:  # rows with the variance factor v and the residual r at theta
+        eta = sum((F.get("theta", F.lit(i)) * F.col(c) for i, c in enumerate(xs)), F.lit(0.0))
+        found = rows.join(fits.select("variant", "theta"), "variant").withColumn("_m", 1 / (1 + F.exp(-F.greatest(F.least(eta, F.lit(40.0)), F.lit(-40.0)))))
+        return found.withColumns({"r": F.expr("y - _m"), "v": F.expr("_m * (1 - _m)")})
+
+    first = rows.groupBy("variant").agg(F.count("*").alias("n"), *[F.sum(F.expr(f"w * x{i} * x{j}")).alias(f"a{i}_{j}") for i, j in pairs])
+    fits = staged(first.select("variant", "n", full).mapInPandas(begin, state), "logistic")
+    for _ in range(ITERATIONS + 1):
+        going = fits.where("status = 'running'")
+        if not going.count():
+            break
+        sums = at(going).groupBy("variant").agg(*[F.sum(F.expr(f"w * r * {c}")).alias(f"u{i}") for i, c in enumerate(xs)], *[F.sum(F.expr(f"w * v * x{i} * x{j}")).alias(f"a{i}_{j}") for i, j in pairs])
+        moved = going.join(sums.select("variant", F.array(*[f"u{i}" for i in range(p)]).alias("u"), full), "variant").mapInPandas(advance, state)
+        fits = staged(moved.unionByName(fits.where("status <> 'running'")), "logistic")
+    meat = _family_meat(at(fits.where("status = 'ok'")), xs, "r", "v", robust)
+
+    def finish(batches):
+        for batch in batches:
+            out = []
+            for f in batch.itertuples():
+                if f.status != "ok":
+                    out.append(result_row(f.variant, int(f.n), None, None, "not converged" if f.status == "running" else f.status))
+                    continue
+                inverse = np.reshape(f.inverse, (p, p))
+                cov = inverse @ np.reshape(f.meat, (p, p)) @ inverse
+                out.append(result_row(f.variant, int(f.n), np.asarray(f.theta), inverse if not weighted and cov[0, 0] < inverse[0, 0] - MARGIN else cov))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    return fits.join(meat, "variant", "left").mapInPandas(finish, RESULT)
 
 
 def cox_sums(x, w, entry, exit_, event, theta):

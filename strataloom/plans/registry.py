@@ -1209,3 +1209,8 @@ def _(s, d):
     total = F.aggregate(row, F.lit(0.0), lambda a, x: a + x.cast("double"))
     out = lines.select(F.col("c")[0].alias("gene"), F.col("c")[1].alias("id"), F.col("c")[3].cast("long").alias("ac"), F.col("c")[4].cast("long").alias("n"), F.col("c")[8].cast("double").alias("u"), F.size(row).cast("long").alias("width"), total.alias("total"))
     return out.withColumns({"u": F.round("u", 4) + 0.0, "total": F.round("total", 3)})
+
+
+@query("T3_logistic_wald_long", _SQL["T3_logistic_wald"])
+def _(s, d):
+    return _slim(wald.logistic_wald(fx.pheno(s, d).withColumn("y", F.col("yb")), fx.geno(s, d)), 4)
