@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.scalar import chi2_sf, chi2_tail
@@ -148,22 +148,29 @@ def cox_fit(df: DataFrame, x: list[str], km: bool = False, ties: bool = False, w
 def score_residuals(df: DataFrame, x: list[str], theta, key: str = "iid", km: bool = False) -> DataFrame:
     """(key, w0, w1, ...): each subject's part of the score, with late entry: own event term less the events while at risk."""
     e = F.exp(_predictor(x, theta))
-    names, cuts = range(len(x)), cut_points(df, "exit")
+    cuts = cut_points(df, "exit")
     t = risk_table(df, {"s0": e, **{f"a{i}": e * F.col(c) for i, c in enumerate(x)}}, cuts).where("events > 0")
     t = at_times(t, kaplan_meier(df, "left", cuts).select(S, "time", F.col("survival").alias("km"))) if km else t.withColumn("km", F.lit(1.0))
-    hits = F.col("km") * F.col("events")
+    return residuals(df, x, e, t.withColumn("hits", F.col("events")), [key], cuts)
+
+
+def residuals(df: DataFrame, x: list[str], e: Column, t: DataFrame, keys: list[str], cuts: list[float], spread: list[str] = ()) -> DataFrame:
+    """(keys, w0, w1, ...) for relative risks e and the event times t (stratum, time, hits, km, s0, a0, a1, ...); `spread`
+    names columns of t whose values at a subject's own event are added."""
+    names = range(len(x))
+    hits = F.col("km") * F.col("hits")
     rises = {"h": hits / F.col("s0")} | {f"h{i}": hits * F.col(f"a{i}") / F.col("s0") ** 2 for i in names}
     steps = t.select(S, F.col("time").cast("double"), F.lit(1).alias("kind"), *[c.alias(f"_{n}") for n, c in rises.items()])
     # events at the entry time count (entry <= time), so its probe comes before them; the exit's comes after
-    probe = lambda at, kind: df.select(S, F.col(at).cast("double").alias("time"), F.lit(kind).alias("kind"), key, F.col("event").cast("boolean").alias("event"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], e.alias("e"))
+    probe = lambda at, kind: df.select(S, F.col(at).cast("double").alias("time"), F.lit(kind).alias("kind"), *[k for k in keys if k != S], F.col("event").cast("boolean").alias("event"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], e.alias("e"))
     both = steps.unionByName(probe("entry", 0).unionByName(probe("exit", 2)), allowMissingColumns=True)
     both = running(both, [S], ["time", "kind"], sums={n: F.coalesce(f"_{n}", F.lit(0.0)) for n in rises}, cuts=cuts).where("kind <> 1")
-    means = t.select(F.col(S).alias("_s"), F.col("time").cast("double").alias("_t"), "km", *[(F.col(f"a{i}") / F.col("s0")).alias(f"m{i}") for i in names])
+    means = t.select(F.col(S).alias("_s"), F.col("time").cast("double").alias("_t"), "km", *spread, *[(F.col(f"a{i}") / F.col("s0")).alias(f"m{i}") for i in names])
     both = both.join(means, both[S].eqNullSafe(F.col("_s")) & (F.col("time") == F.col("_t")) & (F.col("kind") == 2) & F.col("event"), "left")
     sign = F.col("kind") - 1
     spent = [F.sum(sign * F.col("e") * (F.col(f"x{i}") * F.col("h") - F.col(f"h{i}"))) for i in names]
     own = [F.sum(F.when((F.col("kind") == 2) & F.col("event"), F.col("km") * (F.col(f"x{i}") - F.col(f"m{i}"))).otherwise(0.0)) for i in names]
-    return both.groupBy(key).agg(*[(own[i] - spent[i]).alias(f"w{i}") for i in names])
+    return both.groupBy(*keys).agg(*[(own[i] - spent[i]).alias(f"w{i}") for i in names], *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in spread])
 
 
 def cox_regression(df: DataFrame, x: list[str], robust: bool = False, km: bool = False, ties: bool = False) -> DataFrame:

@@ -1,8 +1,7 @@
 """Wald tests per variant and plain regression summaries.
 
 The linear test is two grouped aggregations and a p x p solve: moments per variant, then score sums per family and
-variant. Logistic fits take Newton steps for all variants at once, an aggregation each. Cox fits iterate over one variant's
-subjects at a time, in a grouped vectorized helper.
+variant. Logistic and Cox fits take Newton steps for all variants at once, an aggregation each.
 """
 
 from __future__ import annotations
@@ -14,7 +13,9 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.scalar import chi2_tail
 from strataloom.operators import stats
+from strataloom.operators.running import cut_points
 from strataloom.operators.staging import staged
+from strataloom.operators.survival import at_times, residuals, risk_table
 
 # fixed values: convergence constants of the method
 TOLERANCE, ITERATIONS, MARGIN, STEP_CAP = 1e-4, 500, 1e-8, 500.0
@@ -356,42 +357,97 @@ def cox_scores(x, w, entry, exit_, event, theta):
     return u
 
 
+#: Cox steps without gain after which a fit is given up.
+STOPS = 5
+
+
 def cox_wald(surv: DataFrame, gt: DataFrame, covariates: list[str] = (), weighted: bool = False, robust: bool = False, key: str = "variant") -> DataFrame:
-    """One row per variant: Cox regression on [g, covariates] with left truncation and family-clustered variance.
+    """One row per variant: Cox regression on [g, covariates] with left truncation and family-clustered variance, all
+    variants at once.
 
-    Families of one subject count by the spread at their own event unless `robust`. A variant's subjects are one group;
-    `packed.wald_scan` is the form for many variants.
+    A Newton step runs risk sums over each variant's distinct times with its coefficients joined; variants that have settled
+    or failed are left out of the next one. Steps are staged; no task holds a variant's subjects. Families of one subject
+    count by the spread at their own event unless `robust`. `packed.wald_scan` is the form for many variants.
     """
+    centre = surv.agg(*[F.avg(c).alias(c) for c in covariates]).first() if covariates else {}
+    x = [F.col("g"), *[F.col(c) - centre[c] for c in covariates]]
+    p = len(x)
+    xs, pairs = [f"x{i}" for i in range(p)], [(i, j) for i in range(p) for j in range(i, p)]
+    full = lambda c: F.array(*[F.col(f"{c}{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]).alias("a")
     rows = family_sizes(surv, gt).join(gt.where("g IS NOT NULL"), "iid")
-    columns = [F.col(key).cast("long").alias("variant"), "fid", "fam_size", F.col("entry").cast("double"), F.col("exit").cast("double"), F.col("event").cast("boolean"), (F.col("wt").cast("double") if weighted else F.lit(1.0)).alias("w"), F.col("g").cast("double").alias("g"), *[F.col(c).cast("double") for c in covariates]]
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([group["g"], *[group[c] for c in covariates]])
-        x = x - x.mean(0)
-        w, entry, exit_, event = (group[c].to_numpy() for c in ("w", "entry", "exit", "event"))
-        variant, n = group["variant"].iloc[0], len(group)
-        terms = np.column_stack([np.ones(n), group["g"], *[group[c] for c in covariates]])
-        if not regular((terms * w[:, None]).T @ terms):
-            return pd.DataFrame([result_row(variant, n, None, None, "singular")])
-        theta, a, ok = cox_fit(x, w, entry, exit_, event) if event.any() else (None, None, False)
-        if not ok:
-            return pd.DataFrame([result_row(variant, n, None, None, "not converged")])
-        u = cox_scores(x, w, entry, exit_, event, theta) * w[:, None]
-        single = (group["fam_size"].to_numpy() == 1) & (not robust)
-        codes = np.unique(group["fid"].to_numpy(), return_inverse=True)[1]
-        sums = np.zeros((codes.max() + 1, x.shape[1]))
-        np.add.at(sums, codes[~single], u[~single])
-        times, s0, s1, s2, _ = cox_sums(x, w, entry, exit_, event, theta)
-        mean = s1 / s0[:, None]
-        own = np.bincount(np.searchsorted(times, exit_[event & single]), w[event & single] ** 2, len(times))
-        meat = sums.T @ sums + (own[:, None, None] * (s2 / s0[:, None, None] - mean[:, :, None] * mean[:, None, :])).sum(0)
-        inverse = np.linalg.inv(a)
-        cov = inverse @ meat @ inverse
-        if not weighted and cov[0, 0] < inverse[0, 0] - MARGIN:
-            cov = inverse
-        return pd.DataFrame([result_row(variant, n, theta, cov)])
-
-    return rows.select(*columns).groupBy("variant").applyInPandas(fit, RESULT)
+    rows = rows.select(F.col(key).cast("long").alias("stratum"), "iid", "fid", "fam_size", F.col("entry").cast("double").alias("entry"), F.col("exit").cast("double").alias("exit"), F.col("event").cast("boolean").alias("event"), (F.col("wt").cast("double") if weighted else F.lit(1.0)).alias("w"), *[c.cast("double").alias(n) for n, c in zip(xs, x)])
+    cuts = cut_points(surv, "exit")
+    state = "stratum long, n long, theta array<double>, inverse array<double>, size double, stops int, last boolean, status string"
+    names = [c.split()[0] for c in state.split(", ")]
+
+    def begin(batches):
+        for batch in batches:
+            fine = [regular(np.reshape(a, (p + 1, p + 1))) for a in batch["a"]]
+            yield pd.DataFrame({"stratum": batch["stratum"], "n": batch["n"], "theta": [[0.0] * p] * len(batch), "inverse": None, "size": np.inf, "stops": 0, "last": False, "status": ["running" if f else "singular" for f in fine]})
+
+    def advance(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                theta, inverse, last, status, size, stops = np.asarray(r.theta), None, bool(r.last), "not converged", r.size, int(r.stops)
+                try:
+                    if r.u is not None:  # else no event
+                        a = np.reshape(r.a, (p, p))
+                        if last:
+                            inverse, status = np.linalg.inv(a).ravel().tolist(), "ok"
+                        else:
+                            step = np.clip(np.linalg.solve(a, np.asarray(r.u)), -STEP_CAP, STEP_CAP)
+                            theta, size = theta + step, float(np.abs(step).sum())
+                            stops += size >= r.size - TOLERANCE
+                            last = size < TOLERANCE
+                            status = "running" if np.isfinite(theta).all() and (last or stops <= STOPS) else status
+                except np.linalg.LinAlgError:
+                    pass
+                out.append((r.stratum, r.n, theta.tolist(), inverse, size, stops, last, status))
+            yield pd.DataFrame(out, columns=names)
+
+    def at(fits: DataFrame) -> DataFrame:  # rows with the relative risk e
+        eta = sum((F.get("theta", F.lit(i)) * F.col(c) for i, c in enumerate(xs)), F.lit(0.0))
+        return rows.join(fits.select("stratum", "theta"), "stratum").withColumn("e", F.exp(F.greatest(F.least(eta, F.lit(60.0)), F.lit(-60.0))))
+
+    def times(found: DataFrame) -> DataFrame:  # event times with risk sums, weighted events and their sums
+        we = F.col("w") * F.col("e")
+        sums = {"s0": we} | {f"a{i}": we * F.col(c) for i, c in enumerate(xs)} | {f"b{i}_{j}": we * F.col(xs[i]) * F.col(xs[j]) for i, j in pairs}
+        own = found.where("event").groupBy("stratum", F.col("exit").alias("time")).agg(F.sum("w").alias("hits"), *[F.sum(F.expr(f"w * {c}")).alias(f"o{i}") for i, c in enumerate(xs)])
+        t = at_times(risk_table(found, sums, cuts).where("events > 0"), own)
+        return t.withColumns({f"c{i}_{j}": F.expr(f"b{i}_{j} / s0 - (a{i} / s0) * (a{j} / s0)") for i, j in pairs})
+
+    terms = [*map(F.col, xs), F.lit(1.0)]
+    first = rows.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(F.col("w") * terms[i] * terms[j]).alias(f"m{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)])
+    square = F.array(*[F.col(f"m{min(i, j)}_{max(i, j)}") for i in range(p + 1) for j in range(p + 1)]).alias("a")
+    fits = staged(first.select("stratum", "n", square).mapInPandas(begin, state), "cox")
+    for _ in range(ITERATIONS + 1):
+        going = fits.where("status = 'running'")
+        if not going.count():
+            break
+        t = times(at(going))
+        sums = t.groupBy("stratum").agg(*[F.sum(F.expr(f"o{i} - hits * a{i} / s0")).alias(f"u{i}") for i in range(p)], *[F.sum(F.expr(f"hits * c{i}_{j}")).alias(f"v{i}_{j}") for i, j in pairs])
+        moved = going.join(sums.select("stratum", F.array(*[f"u{i}" for i in range(p)]).alias("u"), full("v")), "stratum", "left").mapInPandas(advance, state)
+        fits = staged(moved.unionByName(fits.where("status <> 'running'")), "cox")
+    found = at(fits.where("status = 'ok'"))
+    spread = [f"c{i}_{j}" for i, j in pairs]
+    scores = residuals(found, xs, F.col("e"), times(found).withColumn("km", F.lit(1.0)), ["stratum", "iid", "fid", "fam_size", "w"], cuts, spread)
+    families = scores.groupBy("stratum", "fid").agg(F.first((F.col("fam_size") == 1) & F.lit(not robust)).alias("alone"), *[F.sum(F.expr(f"w * w{i}")).alias(f"u{i}") for i in range(p)], *[F.sum(F.expr(f"w * w * {c}")).alias(c) for c in spread])
+    meat = families.groupBy("stratum").agg(*[F.sum(F.when(F.col("alone"), F.col(f"c{i}_{j}")).otherwise(F.col(f"u{i}") * F.col(f"u{j}"))).alias(f"b{i}_{j}") for i, j in pairs])
+
+    def finish(batches):
+        for batch in batches:
+            out = []
+            for f in batch.itertuples():
+                if f.status != "ok":
+                    out.append(result_row(f.stratum, int(f.n), None, None, "not converged" if f.status == "running" else f.status))
+                    continue
+                inverse = np.reshape(f.inverse, (p, p))
+                cov = inverse @ np.reshape(f.a, (p, p)) @ inverse
+                out.append(result_row(f.stratum, int(f.n), np.asarray(f.theta), inverse if not weighted and cov[0, 0] < inverse[0, 0] - MARGIN else cov))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    return fits.join(meat.select("stratum", full("b")), "stratum", "left").mapInPandas(finish, RESULT)
 
 
 def linear_regression(df: DataFrame, y: str, x: list[str]) -> DataFrame:
