@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators import stats, survival
-from strataloom.operators.wald import ITERATIONS, MARGIN, TOLERANCE, cox_scores, cox_sums, family_sizes
+from strataloom.operators.running import cut_points
+from strataloom.operators.survival import residuals
+from strataloom.operators.wald import ITERATIONS, MARGIN, TOLERANCE, event_times, family_sizes
 
 #: About how many subjects a block of a gene's products holds.
 BLOCK = 4096
@@ -131,39 +133,46 @@ def cox_score(surv: DataFrame, gt: DataFrame, null: dict, weighted: bool = False
 
     Missing genotypes are imputed by their mean. v sums squared family scores, where families of one subject count by
     the spread at their own event unless `robust`; v_a is the model's information, which unweighted takes the place of v where
-    1/v lies below 1/v_a less a margin. A variant's subjects are one group.
+    1/v lies below 1/v_a less a margin. Risk sums run over each variant's distinct times, all variants at once. A variant
+    without variation or a call has nulls.
     """
-    covariates, theta = list(null["covariates"]), np.r_[0.0, null["theta"]]
-    columns = [F.col(key).cast("long").alias("variant"), "fid", F.col("entry").cast("double"), F.col("exit").cast("double"), F.col("event").cast("boolean"), (F.col("wt").cast("double") if weighted else F.lit(1.0)).alias("w"), F.col("g").cast("double").alias("g"), *[F.col(c).cast("double") for c in covariates]]
-    names = ["variant", "n", "u", "v", "v_a", "beta", "se", "chisq"]
-
-    def test(group: pd.DataFrame) -> pd.DataFrame:
-        g, event = group["g"].to_numpy(float), group["event"].to_numpy(bool)
-        variant, n = group["variant"].iloc[0], len(group)
-        if not event.any() or np.isnan(g).all():
-            return pd.DataFrame([(variant, n, *[None] * 6)], columns=names)
-        x = np.column_stack([np.where(np.isnan(g), np.nanmean(g), g), *[group[c] for c in covariates]])
-        x = x - x.mean(0)
-        w, entry, exit_ = (group[c].to_numpy() for c in ("w", "entry", "exit"))
-        times, s0, s1, s2, _ = cox_sums(x, w, entry, exit_, event, theta)
-        mean = s1 / s0[:, None]
-        spread = s2 / s0[:, None, None] - mean[:, :, None] * mean[:, None, :]
-        at = np.searchsorted(times, exit_[event])
-        info = (np.bincount(at, w[event], len(times))[:, None, None] * spread).sum(0)
-        mix = np.r_[1.0, -np.linalg.solve(info[1:, 1:], info[1:, 0])]
-        score = w * (cox_scores(x, w, entry, exit_, event, theta) @ mix)
-        codes = np.unique(group["fid"].to_numpy(), return_inverse=True)[1]
-        sums, single = np.bincount(codes, score), (np.bincount(codes) == 1) & (not robust)
-        own = np.zeros(n)
-        own[event] = np.einsum("i,kij,j->k", mix, spread, mix)[at]
-        v = float((sums[~single] ** 2).sum() + (w * w * own)[single[codes]].sum())
-        v_a, u = float(mix @ info @ mix), float(score.sum())
-        if not weighted and v_a > 0 and (not np.isfinite(v) or (v > 0 and 1 / v < 1 / v_a - MARGIN)):
-            v = v_a
-        rest = (u / v, v**-0.5, u * u / v) if v > 0 else (None, None, None)
-        return pd.DataFrame([(variant, n, u, v, v_a, *rest)], columns=names)
-
-    return surv.join(gt, "iid").select(*columns).groupBy("variant").applyInPandas(test, "variant long, n long, u double, v double, v_a double, beta double, se double, chisq double")
+    covariates, theta = list(null["covariates"]), [0.0, *map(float, null["theta"])]
+    centre = surv.agg(*[F.avg(c).alias(c) for c in covariates]).first() if covariates else {}
+    p = 1 + len(covariates)
+    xs, pairs = [f"x{i}" for i in range(p)], [(i, j) for i in range(p) for j in range(i, p)]
+    spread, cuts = [f"c{i}_{j}" for i, j in pairs], cut_points(surv, "exit")
+    means = gt.groupBy(key).agg(F.avg(F.col("g").cast("double")).alias("_mean"))
+    people = family_sizes(surv, gt).join(gt.join(means, key), "iid")
+    g = F.coalesce(F.col("g").cast("double"), "_mean")
+    rows = people.select(F.col(key).cast("long").alias("stratum"), "iid", "fid", "fam_size", F.col("entry").cast("double").alias("entry"), F.col("exit").cast("double").alias("exit"), F.col("event").cast("boolean").alias("event"), (F.col("wt").cast("double") if weighted else F.lit(1.0)).alias("w"), g.alias("x0"), *[(F.col(c).cast("double") - centre[c]).alias(f"x{i}") for i, c in enumerate(covariates, 1)])
+    found = rows.withColumn("e", F.exp(sum((F.lit(t) * F.col(c) for t, c in zip(theta[1:], xs[1:])), F.lit(0.0))))
+    t = event_times(found, xs, cuts)
+    square = F.array(*[F.col(f"v{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]).alias("a")
+    sums = t.groupBy("stratum").agg(F.sum(F.expr("o0 - hits * a0 / s0")).alias("u"), *[F.sum(F.expr(f"hits * c{i}_{j}")).alias(f"v{i}_{j}") for i, j in pairs])
+    counts = rows.groupBy("stratum").agg(F.count("*").alias("n"), (F.max("x0") > F.min("x0")).alias("varied"))
+
+    def adjust(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                info = np.reshape(r.a, (p, p)) if r.a is not None else np.full((p, p), np.nan)
+                mix = np.r_[1.0, -np.linalg.solve(info[1:, 1:], info[1:, 0])] if np.isfinite(info).all() else np.full(p, np.nan)
+                out.append((r.stratum, r.n, bool(r.varied), r.u, mix.tolist(), float(mix @ info @ mix)))
+            yield pd.DataFrame(out, columns=["stratum", "n", "varied", "u", "mix", "v_a"])
+
+    held = counts.join(sums.select("stratum", "u", square), "stratum", "left").withColumn("varied", F.coalesce("varied", F.lit(False))).mapInPandas(adjust, "stratum long, n long, varied boolean, u double, mix array<double>, v_a double")
+    scores = residuals(found, xs, F.col("e"), t.withColumn("km", F.lit(1.0)), ["stratum", "iid", "fid", "fam_size", "w"], cuts, spread).join(held.select("stratum", "mix"), "stratum")
+    mixed = sum((F.get("mix", F.lit(i)) * F.col(f"w{i}") for i in range(p)), F.lit(0.0))
+    own = sum((F.get("mix", F.lit(i)) * F.get("mix", F.lit(j)) * F.col(f"c{i}_{j}") * (1 if i == j else 2) for i, j in pairs), F.lit(0.0))
+    families = scores.groupBy("stratum", "fid").agg(F.first((F.col("fam_size") == 1) & F.lit(not robust)).alias("alone"), F.sum(F.col("w") * mixed).alias("s"), F.sum(F.col("w") * F.col("w") * own).alias("q"))
+    meat = families.groupBy("stratum").agg(F.sum(F.when(F.col("alone"), F.col("q")).otherwise(F.col("s") * F.col("s"))).alias("v0"))
+    fine = F.col("varied") & ~F.isnan("v_a") & (F.col("v_a") > 0)
+    out = held.join(meat, "stratum", "left").withColumns({n: F.when(fine, F.col(n)) for n in ("u", "v0", "v_a")})
+    less = (F.col("v0") <= 0) | (F.try_divide(F.lit(1.0), "v0") < F.try_divide(F.lit(1.0), "v_a") - MARGIN)
+    v = F.col("v0") if weighted else F.when((F.col("v0") > 0) & less, F.col("v_a")).otherwise(F.col("v0"))
+    out = out.withColumn("v", v)
+    positive = F.when(F.col("v") > 0, F.col("v"))
+    return out.select(F.col("stratum").alias("variant"), "n", "u", "v", "v_a", F.try_divide(F.col("u"), positive).alias("beta"), F.try_divide(F.lit(1.0), F.sqrt(positive)).alias("se"), F.try_divide(F.col("u") * F.col("u"), positive).alias("chisq"))
 
 
 def _gene_products(rows: DataFrame, groups: DataFrame, subjects: int, key: str) -> DataFrame:

@@ -361,6 +361,17 @@ def cox_scores(x, w, entry, exit_, event, theta):
 STOPS = 5
 
 
+def event_times(found: DataFrame, xs: list[str], cuts: list[float]) -> DataFrame:
+    """(stratum, time, hits, s0, a.., b.., c.., o..): at each event time weighted events, risk sums of e, e x and e x x', the
+    spread of x and the events' sums of x. found: stratum, entry, exit, event, w, e and the columns xs."""
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+    we = F.col("w") * F.col("e")
+    sums = {"s0": we} | {f"a{i}": we * F.col(c) for i, c in enumerate(xs)} | {f"b{i}_{j}": we * F.col(xs[i]) * F.col(xs[j]) for i, j in pairs}
+    own = found.where("event").groupBy("stratum", F.col("exit").alias("time")).agg(F.sum("w").alias("hits"), *[F.sum(F.expr(f"w * {c}")).alias(f"o{i}") for i, c in enumerate(xs)])
+    t = at_times(risk_table(found, sums, cuts).where("events > 0"), own)
+    return t.withColumns({f"c{i}_{j}": F.expr(f"b{i}_{j} / s0 - (a{i} / s0) * (a{j} / s0)") for i, j in pairs})
+
+
 def cox_wald(surv: DataFrame, gt: DataFrame, covariates: list[str] = (), weighted: bool = False, robust: bool = False, key: str = "variant") -> DataFrame:
     """One row per variant: Cox regression on [g, covariates] with left truncation and family-clustered variance, all
     variants at once.
@@ -410,13 +421,6 @@ def cox_wald(surv: DataFrame, gt: DataFrame, covariates: list[str] = (), weighte
         eta = sum((F.get("theta", F.lit(i)) * F.col(c) for i, c in enumerate(xs)), F.lit(0.0))
         return rows.join(fits.select("stratum", "theta"), "stratum").withColumn("e", F.exp(F.greatest(F.least(eta, F.lit(60.0)), F.lit(-60.0))))
 
-    def times(found: DataFrame) -> DataFrame:  # event times with risk sums, weighted events and their sums
-        we = F.col("w") * F.col("e")
-        sums = {"s0": we} | {f"a{i}": we * F.col(c) for i, c in enumerate(xs)} | {f"b{i}_{j}": we * F.col(xs[i]) * F.col(xs[j]) for i, j in pairs}
-        own = found.where("event").groupBy("stratum", F.col("exit").alias("time")).agg(F.sum("w").alias("hits"), *[F.sum(F.expr(f"w * {c}")).alias(f"o{i}") for i, c in enumerate(xs)])
-        t = at_times(risk_table(found, sums, cuts).where("events > 0"), own)
-        return t.withColumns({f"c{i}_{j}": F.expr(f"b{i}_{j} / s0 - (a{i} / s0) * (a{j} / s0)") for i, j in pairs})
-
     terms = [*map(F.col, xs), F.lit(1.0)]
     first = rows.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(F.col("w") * terms[i] * terms[j]).alias(f"m{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)])
     square = F.array(*[F.col(f"m{min(i, j)}_{max(i, j)}") for i in range(p + 1) for j in range(p + 1)]).alias("a")
@@ -425,13 +429,13 @@ def cox_wald(surv: DataFrame, gt: DataFrame, covariates: list[str] = (), weighte
         going = fits.where("status = 'running'")
         if not going.count():
             break
-        t = times(at(going))
+        t = event_times(at(going), xs, cuts)
         sums = t.groupBy("stratum").agg(*[F.sum(F.expr(f"o{i} - hits * a{i} / s0")).alias(f"u{i}") for i in range(p)], *[F.sum(F.expr(f"hits * c{i}_{j}")).alias(f"v{i}_{j}") for i, j in pairs])
         moved = going.join(sums.select("stratum", F.array(*[f"u{i}" for i in range(p)]).alias("u"), full("v")), "stratum", "left").mapInPandas(advance, state)
         fits = staged(moved.unionByName(fits.where("status <> 'running'")), "cox")
     found = at(fits.where("status = 'ok'"))
     spread = [f"c{i}_{j}" for i, j in pairs]
-    scores = residuals(found, xs, F.col("e"), times(found).withColumn("km", F.lit(1.0)), ["stratum", "iid", "fid", "fam_size", "w"], cuts, spread)
+    scores = residuals(found, xs, F.col("e"), event_times(found, xs, cuts).withColumn("km", F.lit(1.0)), ["stratum", "iid", "fid", "fam_size", "w"], cuts, spread)
     families = scores.groupBy("stratum", "fid").agg(F.first((F.col("fam_size") == 1) & F.lit(not robust)).alias("alone"), *[F.sum(F.expr(f"w * w{i}")).alias(f"u{i}") for i in range(p)], *[F.sum(F.expr(f"w * w * {c}")).alias(c) for c in spread])
     meat = families.groupBy("stratum").agg(*[F.sum(F.when(F.col("alone"), F.col(f"c{i}_{j}")).otherwise(F.col(f"u{i}") * F.col(f"u{j}"))).alias(f"b{i}_{j}") for i, j in pairs])
 

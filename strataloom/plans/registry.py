@@ -1214,3 +1214,14 @@ def _(s, d):
 @query("T3_logistic_wald_long", _SQL["T3_logistic_wald"])
 def _(s, d):
     return _slim(wald.logistic_wald(fx.pheno(s, d).withColumn("y", F.col("yb")), fx.geno(s, d)), 4)
+
+
+@query("T4_cox_wald_long", _SQL["T4_cox_wald"])
+def _(s, d):
+    return _slim(wald.cox_wald(fx.surv(s, d), fx.geno(s, d), ["x1"]), 4)
+
+
+@query("T11_log_rank_score_long", _SQL["T11_log_rank_score"])
+def _(s, d):
+    found = score.cox_score(fx.surv(s, d), fx.geno(s, d), score.fit_null_cox(fx.surv(s, d), []))
+    return rounded(found.select("variant", "n", "u", "v", "v_a"), 5)
