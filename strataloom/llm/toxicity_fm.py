@@ -29,8 +29,8 @@ from strataloom.llm.common import fold_bucket, splitmix, staged, table
 
 BITS, FACTORS, EPOCHS, SAMPLE_ROWS, MIN_DOCS, MIN_Z, REST = 16, 4, 8, 16000, 3, 3.5, 0.5
 RATE, SHRINK = 0.3, 1e-4
-#: The screen of pairs: terms and pairs of so many rows, so many buckets, standard deviations, and pairs at most.
-PAIR_DOCS, PAIR_BITS, PAIR_Z, MOST_PAIRS = 20, 21, 6.0, 2000
+#: The screen of pairs: rows of the sample that it reads, terms and pairs of so many rows (terms: and such a share of all), so many buckets, standard deviations, and pairs at most.
+PAIR_ROWS, PAIR_DOCS, PAIR_SHARE, PAIR_BITS, PAIR_Z, MOST_PAIRS = 4000, 20, 0.02, 21, 10.0, 2000
 TERM = re.compile(r"[^\W\d_]+")
 _CACHE: dict[str, int] = {}
 
@@ -104,14 +104,15 @@ def _telling(n: np.ndarray, pos: np.ndarray, share: float) -> np.ndarray:
     return np.abs(pos - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
 
 
-def paired_terms(rows: DataFrame, counts: list, share: float) -> set[int]:
-    """Neutral terms that tell something in pairs: counts of all pairs of frequent terms in hashed buckets, then exact ones
-    of the pairs in buckets that differ between the labels by PAIR_Z standard deviations."""
-    often, told = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
+def paired_terms(rows: DataFrame, counts: list, share: float, total: int) -> set[int]:
+    """Neutral terms that tell something in pairs: counts of all pairs of frequent neutral terms in hashed buckets, then exact
+    ones of the pairs in buckets that differ between the labels by PAIR_Z standard deviations. Frequent are terms of
+    PAIR_DOCS rows and a PAIR_SHARE of all rows."""
+    often, least = np.zeros(1 << BITS, bool), max(PAIR_DOCS, PAIR_SHARE * total)
     for r in counts:
-        often[r.term] = r.n >= PAIR_DOCS
-        told[r.term] = r.z
-    shared = rows.sparkSession.sparkContext.broadcast((often, told))
+        often[r.term] = r.n >= least and r.z < MIN_Z
+    shared = rows.sparkSession.sparkContext.broadcast(often)
+    rows = rows.where(F.pmod(F.xxhash64("terms", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, PAIR_ROWS / total) * 1_000_000))
 
     def screened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = 1 << PAIR_BITS
@@ -123,7 +124,7 @@ def paired_terms(rows: DataFrame, counts: list, share: float) -> set[int]:
 
         for batch in batches:
             for at, y in zip(batch["terms"], batch["label"]):
-                for pairs in _pairs(np.asarray(at), shared.value[0]):
+                for pairs in _pairs(np.asarray(at), shared.value):
                     held[int(y)].append(_slots(pairs))
                     if sum(map(len, held[int(y)])) > size:
                         count(int(y))
@@ -143,17 +144,15 @@ def paired_terms(rows: DataFrame, counts: list, share: float) -> set[int]:
         for batch in batches:
             found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for at, y in zip(batch["terms"], batch["label"]):
-                found[int(y)].extend(pairs[bits[_slots(pairs)]] for pairs in _pairs(np.asarray(at), shared.value[0]))
+                found[int(y)].extend(pairs[bits[_slots(pairs)]] for pairs in _pairs(np.asarray(at), shared.value))
             for y in (0, 1):
                 pair, n = np.unique(np.concatenate(found[y]), return_counts=True)
                 yield pd.DataFrame({"pair": pair, "n": n, "pos": n * y})
 
     summed = rows.select("terms", "label").mapInPandas(exact, "pair long, n long, pos long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     z = F.abs(F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-    best = summed.where((F.col("n") >= PAIR_DOCS) & (z >= PAIR_Z)).orderBy(z.desc(), "pair").limit(MOST_PAIRS).select("pair", z.alias("z")).collect()
-    # a pair that says little more than its stronger term alone does needs no factor
-    new = [(r.pair >> BITS, r.pair & (1 << BITS) - 1) for r in best if r.z >= PAIR_Z + max(told[r.pair >> BITS], told[r.pair & (1 << BITS) - 1])]
-    return {t for pair in new for t in pair}
+    best = summed.where((F.col("n") >= PAIR_DOCS) & (z >= PAIR_Z)).orderBy(z.desc(), "pair").limit(MOST_PAIRS).select("pair").collect()
+    return {t for r in best for t in (r.pair >> BITS, r.pair & (1 << BITS) - 1)}
 
 
 def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, shards: int = 4) -> dict | None:
@@ -175,7 +174,7 @@ def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", sample_r
     share = (counted.pos or 0) / counted.n
     z = (F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
     counts = by_term.where(F.col("n") >= MIN_DOCS).select("term", "n", F.abs(z).alias("z")).collect()  # at most 2**BITS
-    paired = paired_terms(rows, counts, share) if 0 < share < 1 else set()
+    paired = paired_terms(rows, counts, share, counted.n) if 0 < share < 1 else set()
     x = _weights([(r.term, r.n, r.z >= MIN_Z or r.term in paired) for r in counts], counted.n)
     size = 1 << BITS
     positive = float(min(4.0, max(1.0, 0.5 * (counted.n - (counted.pos or 0)) / max(counted.pos or 0, 1))))
