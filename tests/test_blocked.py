@@ -8,7 +8,7 @@ from strataloom.operators import blocked, packed, score
 from tests.test_packed import frames, people, probs, rows_of  # noqa: F401  fixtures
 
 
-@pytest.mark.parametrize("model, robust, size, batches", [("linear", False, 7, 1), ("linear", True, 512, 3), ("logistic", False, 32, 2), ("cox", False, 16, 1), ("cox", True, 50, 1)])
+@pytest.mark.parametrize("model, robust, size, batches", [("linear", False, 7, 1), ("logistic", True, 512, 3), ("cox", False, 16, 2)])
 def test_wald_as_the_broadcast_form(frames, probs, model, robust, size, batches):  # noqa: F811
     gt, pheno = frames[1], frames[2].withColumn("y", F.col("yb").cast("double")) if model == "logistic" else frames[2]
     gt = gt.unionByName(gt.select("iid", F.lit(9).cast("long").alias("variant"), F.lit(1).cast("long").alias("g")).distinct())
@@ -25,7 +25,7 @@ def test_wald_as_the_broadcast_form(frames, probs, model, robust, size, batches)
             assert np.allclose(got[v].theta, w.theta) and np.allclose(got[v].cov, w.cov)
 
 
-@pytest.mark.parametrize("model, robust, size, batches", [("linear", False, 7, 1), ("logistic", False, 40, 2), ("linear", True, 512, 1)])
+@pytest.mark.parametrize("model, robust, size, batches", [("linear", False, 7, 1), ("logistic", True, 40, 2)])
 def test_score_as_the_broadcast_form(frames, probs, model, robust, size, batches):  # noqa: F811
     gt, pheno = frames[1], frames[2].withColumn("y", F.col("yb").cast("double")) if model == "logistic" else frames[2]
     whole = packed.design(pheno, ["x1"], model, weighted=True, robust=robust, probs=probs, genotyped=gt)
