@@ -30,7 +30,7 @@ from strataloom.llm.common import fold_bucket, splitmix, staged, table
 BITS, FACTORS, EPOCHS, SAMPLE_ROWS, MIN_DOCS, MIN_Z, REST = 16, 4, 8, 16000, 3, 3.5, 0.5
 RATE, SHRINK = 0.3, 1e-4
 #: The screen of pairs: rows of the sample that it reads, terms and pairs of so many rows (terms: and such a share of all), so many buckets, standard deviations, and pairs at most.
-PAIR_ROWS, PAIR_DOCS, PAIR_SHARE, PAIR_BITS, PAIR_Z, MOST_PAIRS = 4000, 20, 0.02, 21, 10.0, 2000
+PAIR_ROWS, PAIR_DOCS, PAIR_SHARE, PAIR_BITS, PAIR_Z, MOST_PAIRS = 4000, 20, 0.02, 18, 10.0, 2000
 TERM = re.compile(r"[^\W\d_]+")
 _CACHE: dict[str, int] = {}
 
