@@ -9,8 +9,9 @@ window, few others come between, and neither kind holds a number, a negation or
 just before the match negate it. If none holds up, the first in the ranking is returned unconfirmed. After a confirmed
 match the window goes on behind it, so several notices in one run are all found.
 
-Identifier lines and titles are too short for runs: lines of their own (a title: or two) are compressed with each line
-template, and the first in that ranking with the very same words is confirmed; an identifier's expression is taken apart.
+Identifiers and titles are too short for runs: they are compressed with each line template, and the first in that ranking
+with the very same words is confirmed. An identifier's tag may stand anywhere in a line of any length; its expression is
+taken apart, over several lines where it goes on. A title has lines of its own, one or more, blank ones between them or not.
 
 Contract. One row per match or unconfirmed block: doc_id, block_start, block_end (code points), license, rank (its place
 in the ranking, from 1), reduction (0 to 1), missing and extra (differing words), confirmed. Blocks whose best reduction
@@ -24,6 +25,7 @@ import difflib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +133,11 @@ LINES = {f"{name}-identifier": [f"SPDX-License-Identifier: {name}"] for name in
 DECISIVE = frozenset("formerly previously not no non never cannot except neither nor unless general lesser library affero mozilla eclipse creative commons noncommercial sharealike attribution gnu".split())
 NEGATIONS = frozenset("not no never cannot isn't aren't neither nor formerly previously".split())
 WORDS = re.compile(r"[a-z0-9]+(?:[.'-][a-z0-9]+)*")
+#: An identifier's tag as a word; what ends its expression, but for a line's end; and what joins two licenses, besides words.
+TAG = re.compile(rf"(?<![a-z0-9])(?<![a-z0-9][.'-]){MARK}(?![.'-]?[a-z0-9])")
+CLOSED = re.compile(r"[.!?](?=\s)|\*/|-->")
+BREAK = re.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
+JOINT, JOINTS = re.compile(r"[,;|&]|(?<!\*)/(?![/*])"), frozenset(("and", "or", "with"))
 #: List markers are no words: at a line's start, or between punctuation and a capital.
 MARKER = re.compile(r"(?m)^[ \t#*/;-]*\(?(?:[0-9]{1,2}|[a-z])[.)](?=\s)|(?<=[:;.,]\s)\(?[0-9][.)](?=\s+[A-Z])")
 GAP, EDGE, LEAD = 8, 2, 4
@@ -163,8 +170,8 @@ class Ranker:
         forms = [(name, form) for name, some in sorted((lines or {}).items()) for form in some]
         self.lines = [(name, zstandard.ZstdCompressor(dict_data=raw(form), **options)) for name, form in forms]
         self.line_words = [tuple(words_of(form)) for _, form in forms]
-        self.starts = {w[0] for w in self.line_words}
-        self.cues = {max(w, key=len) for w in self.line_words if not MARK == w[0]} | ({MARK} if MARK in self.starts else set())
+        self.starts = {w[:i] for w in self.line_words for i in range(1, len(w) + 1)}
+        self.cues = {max(w, key=len) for w in self.line_words if not MARK == w[0]} | ({MARK} if (MARK,) in self.starts else set())
         self.longest = max(map(len, self.line_words), default=0)
         self.number = {w: i for i, w in enumerate(sorted({w for t in self.words.values() for w in t}), 1)}
         self.base = len(self.number) + 1
@@ -241,41 +248,75 @@ class Ranker:
         return [w for i, w in enumerate(template) if i not in kept], [words[j] for j in range(min(used), max(used)) if j not in used], min(used), max(used) + 1
 
 
-def line_matches(ranker: Ranker, text: str) -> Iterator[tuple]:
-    """The matches of identifier lines, one for each license of an expression, and of titles on one or two lines."""
-    low = text.lower()
-    if len(low) != len(text) or not any(cue in low for cue in ranker.cues):
-        return
-    start, held = 0, None  # held: the line before, if a title may go on
+def line_matches(ranker: Ranker, text: str) -> list[tuple]:
+    """The matches of identifiers, one for each license of an expression, and of titles, in order."""
+    if not ranker.lines or not any(cue in text.lower() for cue in ranker.cues):
+        return []
+    low = _lower(text)
+    return sorted([*(_identifiers(ranker, low) if (MARK,) in ranker.starts else ()), *_titles(ranker, low)], key=lambda m: m[:3])
+
+
+def _identifiers(ranker: Ranker, low: str) -> Iterator[tuple]:
+    """Of each tag's expression the identifiers that follow the tag, a joint or another identifier. It ends with its line, unless
+    the line ends within brackets or with a joint word."""
+    for tag in TAG.finditer(low):
+        at, depth, due, joined = tag.end(), 0, True, False  # due: a license comes next; joined: after a joint word
+        for m in WORDS.finditer(low, at):
+            between, *later = BREAK.split(low[at : m.start()])
+            depth += between.count("(") - between.count(")")
+            if m[0] == MARK or CLOSED.search(low[at : m.start()]) or (later and not joined and depth <= 0):
+                break
+            depth += sum(part.count("(") - part.count(")") for part in later)
+            due = due or bool(JOINT.search(between))
+            joined = m[0] in JOINTS
+            one = due and ranker.line(f"{MARK}: {m[0]}", (MARK, m[0]))
+            if one:
+                yield tag.start(), m.end(), *one
+            depth = depth if due or joined else 0  # what follows is no expression
+            due, at = bool(joined or one), m.end()
+
+
+def _titles(ranker: Ranker, low: str) -> Iterator[tuple]:
+    """The longest title that begins with a line and ends with it or a later one, of lines with words."""
+    lines, start = [], 0
     for line in low.splitlines(keepends=True):
-        found = [] if len(line) > 400 else list(WORDS.finditer(line))
-        words = tuple(m[0] for m in found)
-        here, held = held, None
-        if words and words[0] == MARK and MARK in ranker.starts:
-            for m in found[1:]:
-                one = ranker.line(f"{MARK}: {m[0]}", (MARK, m[0]))
-                if one:
-                    yield start + found[0].start(), start + m.end(), *one[:3], *one[3:]
-        elif words and len(words) <= ranker.longest:
-            own = ranker.line(low[start + found[0].start() : start + found[-1].end()], words)
-            both = here and ranker.line(low[here[1] : start + found[-1].end()], here[0] + words)
-            if both:
-                yield here[1], start + found[-1].end(), *both
-            elif own:
-                yield start + found[0].start(), start + found[-1].end(), *own
-            elif words[0] in ranker.starts:
-                held = (words, start + found[0].start())
+        found = list(islice(WORDS.finditer(line), ranker.longest + 1))  # with one word more no title holds the line
+        if found:
+            lines.append((tuple(m[0] for m in found), start + found[0].start(), start + found[-1].end()))
         start += len(line)
+    at = 0
+    while at < len(lines):
+        words, stop, best = (), at, None
+        while stop < len(lines) and words + lines[stop][0] in ranker.starts:
+            words += lines[stop][0]
+            stop += 1
+            if words in ranker.line_words and not (words[0] == MARK and len(lines[at][0]) == 2):  # such a line is an identifier
+                best = stop, words
+        if best:
+            begin, end = lines[at][1], lines[best[0] - 1][2]
+            yield begin, end, *ranker.line(low[begin:end], best[1])
+        at = best[0] if best else at + 1
 
 
 def matches(ranker: Ranker, text: str) -> Iterator[tuple]:
-    """(start, end, license, rank, reduction, missing, extra, confirmed) of each match in a text: lines first, then runs; an
-    unconfirmed run that a matched line lies in or touches is left out."""
-    lines = list(line_matches(ranker, text)) if ranker.lines else []
+    """(start, end, license, rank, reduction, missing, extra, confirmed) of each match in a text: lines first, then runs. An
+    unconfirmed run that a matched line lies in or touches is read again without the matched lines."""
+    lines, kept, again = line_matches(ranker, text), [], []
     yield from lines
     for found in run_matches(ranker, text):
-        if found[7] or not any(a < found[1] and found[0] < b for a, b, *_ in lines):
-            yield found
+        (kept if found[7] or not _meets(found, lines) else again).append(found)
+    if again:
+        bare, at = [], 0
+        for a, b, *_ in lines:
+            bare += [text[at:a], "\n" * (b - max(at, a))]
+            at = max(at, b)
+        sure = [m for m in kept if m[7]]
+        kept += [m for m in run_matches(ranker, "".join(bare) + text[at:]) if _meets(m, again) and not _meets(m, sure)]
+    yield from sorted(kept, key=lambda m: m[:2])
+
+
+def _meets(found: tuple, others: list[tuple]) -> bool:
+    return any(a < found[1] and found[0] < b for a, b, *_ in others)
 
 
 def run_matches(ranker: Ranker, text: str) -> Iterator[tuple]:

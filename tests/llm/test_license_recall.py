@@ -54,3 +54,34 @@ def test_offsets_of_lines(spark):
 def test_lines_of_ones_own(spark):
     docs = spark.createDataFrame([(1, "House rules one\n")], "doc_id long, text string")
     assert [r.license for r in lc.scan(docs, {"x": "anyone may dance here on all sundays"}, lines={"house": ["House rules one"]}).collect()] == ["house"]
+
+
+WIDE = "var a=1; " * 60
+WHOLE = {
+    "a letter that is longer in lower case": ("\u0130stanbul\n// SPDX-License-Identifier: MIT\nISC License\n", ["MIT-identifier", "ISC-title"]),
+    "a long line": (f"{WIDE}// SPDX-License-Identifier: MIT OR ISC\nx\n", ["MIT-identifier", "ISC-identifier"]),
+    "behind code": ("x = 1  # SPDX-License-Identifier: Zlib\n", ["Zlib-identifier"]),
+    "two tags in a line": ("a SPDX-License-Identifier: MIT b SPDX-License-Identifier: ISC\n", ["MIT-identifier", "ISC-identifier"]),
+    "over lines": ("// SPDX-License-Identifier: (MIT OR\n//   ISC) AND\n//   Zlib\nISC\n", ["MIT-identifier", "ISC-identifier", "Zlib-identifier"]),
+    "a tag on a line of its own": ("SPDX-License-Identifier:\n  MIT\n", ["MIT-identifier"]),
+    "a title with a blank line": ("GNU General Public License\n\n  Version 3, 29 June 2007\n", ["GPL-3.0-title"]),
+    "a title on three lines": ("GNU\nGeneral Public License\n====\nVersion 3, 29 June 2007\n", ["GPL-3.0-title"]),
+    "a numbered title": ("2. MIT License\n", ["MIT-title"]),
+    "a wide title": (f"{' ' * 300}MIT{' ' * 300}License\n", ["MIT-title"]),
+    "no other line": ("SPDX-License-Identifier: MIT */ int mit, isc;\nISC\n", ["MIT-identifier"]),
+    "no word of prose": ("SPDX-License-Identifier: MIT. Das kommt mit, ISC auch.", ["MIT-identifier"]),
+}
+
+
+@pytest.mark.parametrize("case", WHOLE)
+def test_lines_are_read_whole(ranker, case):
+    text, want = WHOLE[case]
+    assert [m[2] for m in lc.line_matches(ranker, text)] == want
+
+
+def test_a_title_does_not_hide_a_changed_text(ranker):
+    """The text after the title is no MIT text, and is shown as unconfirmed."""
+    text = "The MIT License (MIT)\n" + lc.TEMPLATES["MIT-text"].replace("without restriction", "without profit, never for war,")
+    found = [(m[2], m[7], text[m[0] : m[1]]) for m in lc.matches(ranker, text)]
+    assert [f[:2] for f in found] == [("MIT-title", True), ("MIT-text", False)]
+    assert found[1][2].startswith("Permission is") and found[1][2].endswith("IN THE SOFTWARE")
