@@ -11,11 +11,13 @@ Every document with such a token is labelled, with base spans or without. Tokens
 when one label's belief reaches `threshold` and they can be of its kind; those of one candidate become one span. A number
 that failed a base pattern's check is observed to be none, unless it is tied to a datum.
 
-Training is distant supervision: base spans and key assignments (token = "...") label the tokens of a bounded sample of
-about `sample_rows` documents; a token that is tied to such a datum and takes no pattern has no label. In three quarters of it, Spark counts
-each token's features, label and labelled neighbours, and tied data once more by their ties alone; unary weights, transitions and skip strength then maximise the pseudo-likelihood (each label given its
-neighbours') less a quadratic penalty. In the last quarter the labels are hidden from the field, and the least threshold
-is taken at which PRECISION of the tokens it names have the hidden label.
+Training is distant supervision: base spans and key assignments (token = "...") label the tokens of every document; a token
+that is tied to such a datum and takes no pattern has no label, nor has what a phone match with too many digits holds. In
+three quarters of the documents, Spark counts each token's features (hashed to BUCKETS), label and labelled neighbours, and
+tied data once more by their ties alone; unary weights, transitions and skip strength then maximise the pseudo-likelihood
+(each label given its neighbours') less a quadratic penalty, each step a sum over all counted examples. In the last quarter
+the labels are hidden from the field, and the least threshold is taken at which PRECISION of the tokens it names have the
+hidden label.
 
 Contract. Null text counts as empty. The four counts and base_sha256 cover base spans; `spans` holds them and the
 field's own, `n_spans` is their number. Offsets are code points, end exclusive. Of repeated rows each is a document of
@@ -26,8 +28,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
-from strataloom.llm.common import table
+from strataloom.llm.common import staged, table
 
 #: Base kinds, and after them the kind that only the field has. Labels are 0 for none, then the kinds.
 KINDS = ("email", "ip", "card", "phone")
@@ -57,13 +62,14 @@ REFUSED = re.compile(r"[0-9]{12,}|[0-9]+(?:\.[0-9]+){3}")
 #: A token that may be part of a spaced number, and the most digits that such a number has.
 NUMBER, MOST = re.compile(r"[+(]?[0-9][0-9().+/-]*"), 19
 EDGE = "\"'()[]{}<>,;:!?.*#$%&|"
-SAMPLE_ROWS = 4000
 #: Messages are passed until none moves by TOLERANCE; ROUNDS only ends those that never settle.
 ROUNDS, TOLERANCE = 500, 1e-4
 #: The threshold where fewer than SUPPORT hidden tokens are named; else the least of LEVELS with PRECISION, or the last.
 THRESHOLD, LEVELS, PRECISION, SUPPORT = 0.9, tuple(i / 100 for i in range(50, 96, 5)), 0.95, 20
 #: Learning: steps of Adam, their size, and the penalty on each squared weight.
 STEPS, STEP, PENALTY = 150, 0.1, 0.05
+#: Buckets of features, how often one must be met to have weights, features of a token, and examples in a block of numbers.
+BUCKETS, MET, FEATURES, BLOCK = 2**18, 3, 6, 100_000
 
 
 def _luhn(digits: str) -> bool:
@@ -179,10 +185,15 @@ def _chained(tokens: list[tuple[int, int]], i: int) -> bool:
 
 
 def _silver(text: str, tokens: list[tuple[int, int]], groups: list[list[int]]) -> list[int]:
-    """Labels for learning: what is observed, none, or -1 for a token that nothing is observed of but a datum it is tied to."""
+    """Labels for learning: what is observed, none, or -1 for a token that nothing is observed of but a datum it is tied to, or
+    a phone pattern's match with too many digits, which ran on into what follows."""
     labels = _observed(text, tokens, base_spans(text))
-    tied = {i for g in groups if any(labels[i] > 0 for i in g) for i in g}
-    return [label if label > 0 else -1 if i in tied else 0 for i, label in enumerate(labels)]
+    unsure = {i for g in groups if any(labels[i] > 0 for i in g) for i in g}
+    long = [m.span() for m in PHONE.finditer(text) if len(DIGITS.sub("", m[0])) > 15] if "+" in text else []
+    if long:
+        starts = [a for a, _ in tokens]
+        unsure.update(i for a, b in long for i in range(max(0, bisect_right(starts, a) - 1), bisect_left(starts, b)) if tokens[i][1] > a)
+    return [label if label > 0 else -1 if i in unsure else 0 for i, label in enumerate(labels)]
 
 
 def _examples(text: str) -> Iterator[tuple]:
@@ -213,57 +224,88 @@ def _ties(skip: np.ndarray) -> np.ndarray:
     return np.r_[skip[-1], np.repeat(skip[0], LABELS - 1)]
 
 
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+class Buckets:
+    """The unary weights' row of each feature, by its bucket; as a dict of those that have one."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+
+    def __contains__(self, feature: str) -> bool:
+        return self.rows[_bucket(feature)] > 0
+
+    def __getitem__(self, feature: str) -> int:
+        return int(self.rows[_bucket(feature)])
+
+
+def _slopes(state: dict, block: np.ndarray) -> np.ndarray:
+    """The log pseudo-likelihood's slopes by `state`, end to end, summed over a block of examples: columns label, left, right,
+    others, n, and the features' rows."""
+    label, left, right = block[:, :3].T
+    others, n = block[:, 3 : 3 + LABELS].astype(float), block[:, 3 + LABELS].astype(float)
+    at = np.concatenate([np.zeros((len(block), 1), np.int64), block[:, 4 + LABELS :]], 1)  # 0: the bias
+    tied = others.sum(1) > 0
+    score = state["unary"][at].sum(1)
+    score[left >= 0] += state["chain"][left[left >= 0]]
+    score[right >= 0] += state["chain"].T[right[right >= 0]]
+    # the group node is summed out: for each own label y, over the node's label z
+    met = np.eye(LABELS) + others[tied][:, None, :]
+    node = _ties(state["skip"]) * met
+    most = node.max(2, keepdims=True)
+    weight = np.exp(node - most)
+    score[tied] += most[..., 0] + np.log(weight.sum(2))
+    p = np.exp(score - score.max(1, keepdims=True))
+    error = n[:, None] * (np.eye(LABELS)[label] - p / p.sum(1, keepdims=True))
+    agree = error[tied][:, :, None] * weight / weight.sum(2, keepdims=True) * met
+    unary, chain = np.zeros_like(state["unary"]), np.zeros((LABELS, LABELS))
+    for k in range(at.shape[1]):
+        for l in range(LABELS):
+            unary[:, l] += np.bincount(at[:, k], error[:, l], len(unary))
+    np.add.at(chain, left[left >= 0], error[left >= 0])
+    np.add.at(chain.T, right[right >= 0], error[right >= 0])
+    return np.concatenate([unary.ravel(), chain.ravel(), [agree[..., 1:].sum(), 0.0]])
+
+
+def _ascend(rows: int, slopes: Callable[[dict], np.ndarray] | None) -> dict:
+    """Potentials with `rows` rows of unary weights by Adam on the slopes of all examples (None: there are no examples)."""
+    state = {"unary": np.zeros((rows, LABELS)), "chain": np.zeros((LABELS, LABELS)), "skip": np.array([1.0, 0.0])}
+    if slopes is None:
+        state["unary"][0, 0] = 1.0
+        return state
+    first, second = ({k: np.zeros_like(v) for k, v in state.items()} for _ in range(2))
+    for step in range(1, STEPS + 1):
+        parts = np.split(slopes(state), np.cumsum([v.size for v in state.values()])[:-1])
+        for k, up in zip(state, parts):
+            slope = up.reshape(state[k].shape) - (PENALTY / 20 if k == "skip" else PENALTY) * state[k]  # one strength has far more rows than a feature
+            first[k] = 0.9 * first[k] + 0.1 * slope
+            second[k] = 0.99 * second[k] + 0.01 * slope**2
+            state[k] = state[k] + STEP * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+        state["unary"][-1] = 0.0  # of features without weights
+    return {k: v.round(6) for k, v in state.items()}  # whatever the order of the sums
+
+
 def learn(rows: list[tuple]) -> dict:
-    """Potentials from (features, label, left, right, others, n) rows by maximum penalised pseudo-likelihood."""
+    """Potentials from (features, label, left, right, others, n) rows by maximum penalised pseudo-likelihood; for rows at hand,
+    `fit` takes the same steps on Spark."""
     seen: dict[str, int] = defaultdict(int)
     for features, *_, n in rows:
         for f in features:
             seen[f] += n
-    index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= 3), 1)}  # 0: the bias
+    index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= MET), 1)}
     most = max((len(r[0]) for r in rows), default=0)
-    at = np.array([[0, *(index.get(f, -1) for f in r[0]), *[-1] * (most - len(r[0]))] for r in rows] or [[0]], np.int64)
-    at = np.where(at < 0, len(index) + 1, at)  # the last row stays 0
-    label, left, right = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-    others, n = np.array([r[4] for r in rows], float).reshape(-1, LABELS), np.array([r[5] for r in rows], float)
-    state = {"unary": np.zeros((len(index) + 2, LABELS)), "chain": np.zeros((LABELS, LABELS)), "skip": np.array([1.0, 0.0])}
-    if not rows:
-        state["unary"][0, 0] = 1.0
-    first, second = ({k: np.zeros_like(v) for k, v in state.items()} for _ in range(2))
-    gold = np.eye(LABELS)[label] if rows else None
-    tied = others.sum(1) > 0
-    for step in range(1, STEPS + 1 if rows else 1):
-        score = state["unary"][at].sum(1)
-        score[left >= 0] += state["chain"][left[left >= 0]]
-        score[right >= 0] += state["chain"].T[right[right >= 0]]
-        # the group node is summed out: for each own label y, over the node's label z
-        met = np.eye(LABELS) + others[tied][:, None, :]
-        node = _ties(state["skip"]) * met
-        most = node.max(2, keepdims=True)
-        weight = np.exp(node - most)
-        score[tied] += (most[..., 0] + np.log(weight.sum(2)))
-        p = np.exp(score - score.max(1, keepdims=True))
-        error = n[:, None] * (gold - p / p.sum(1, keepdims=True))
-        agree = error[tied][:, :, None] * weight / weight.sum(2, keepdims=True) * met
-        up = {"unary": np.zeros_like(state["unary"]), "chain": np.zeros((LABELS, LABELS)), "skip": np.array([agree[..., 1:].sum(), 0.0])}
-        for k in range(at.shape[1]):
-            for l in range(LABELS):
-                up["unary"][:, l] += np.bincount(at[:, k], error[:, l], len(index) + 2)
-        np.add.at(up["chain"], left[left >= 0], error[left >= 0])
-        np.add.at(up["chain"].T, right[right >= 0], error[right >= 0])
-        for k in state:
-            slope = up[k] - (PENALTY / 20 if k == "skip" else PENALTY) * state[k]  # one strength has far more rows than a feature
-            first[k] = 0.9 * first[k] + 0.1 * slope
-            second[k] = 0.99 * second[k] + 0.01 * slope**2
-            state[k] = state[k] + STEP * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-        state["unary"][-1] = 0.0
-    return {"index": index, **state}
+    blank = len(index) + 1
+    block = np.array([[*r[1:4], *r[4], r[5], *(index.get(f, blank) for f in r[0]), *[blank] * (most - len(r[0]))] for r in rows], np.int64)
+    return {"index": index, **_ascend(blank + 1, (lambda state: _slopes(state, block)) if rows else None)}
 
 
-def fit(docs: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Potentials and threshold of the field, from documents chosen by key hash."""
-    rate = min(1.0, sample_rows / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit(10)), F.lit(1_000_000)) < int(rate * 1_000_000))
+def fit(docs: DataFrame, key: str = "doc_id") -> dict:
+    """Potentials of the field from three quarters of the documents, dealt by key hash, and its threshold from the others."""
+    context = docs.sparkSession.sparkContext
     hidden = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(4)) == 0
+    names = ["features", "label", "left", "right", "others"]
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -273,22 +315,56 @@ def fit(docs: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) ->
                     found[example] += 1
                     if example[1] and any(example[4][1:]):  # once more, so that the tie is learnt for forms that were never met
                         found[_bare(example)] += 1
-            yield pd.DataFrame([(list(f), l, a, b, list(o), n) for (f, l, a, b, o), n in found.items()], columns=["features", "label", "left", "right", "others", "n"])
+            yield pd.DataFrame([([_bucket(x) for x in f], l, a, b, list(o), n) for (f, l, a, b, o), n in found.items()], columns=[*names, "n"])
+
+    counts = docs.where(~hidden).select("text").mapInPandas(counted, "features array<int>, label int, left int, right int, others array<int>, n long")
+    counts = staged(counts.groupBy(names).agg(F.sum("n").alias("n")), "examples")
+    met = counts.select(F.explode("features").alias("bucket"), "n").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= MET)
+    rows = np.zeros(BUCKETS, np.int32)
+    met = sorted(r.bucket for r in met.select("bucket").collect())  # BUCKETS at most
+    rows[met] = np.arange(1, len(met) + 1)
+    blank = len(met) + 1
+    shared = context.broadcast(rows)
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(features=[[int(r) or blank for r in shared.value[np.asarray(f, int)]] or [blank] * FEATURES for f in batch["features"]])
 
-    counts = sample.where(~hidden).select("text").mapInPandas(counted, "features array<string>, label int, left int, right int, others array<int>, n long")
-    counts = counts.groupBy("features", "label", "left", "right", "others").agg(F.sum("n").alias("n")).collect()  # bounded by the sample
-    model = learn(sorted((tuple(r.features), r.label, r.left, r.right, tuple(r.others), r.n) for r in counts))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            flat = [batch.column(c).flatten().to_numpy().reshape(-1, k) for c, k in (("others", LABELS), ("features", FEATURES))]
+            held.append(np.column_stack([*(batch.column(c).to_numpy() for c in names[1:4]), flat[0], batch.column("n").to_numpy(), flat[1]]).astype(np.int64))
+            if sum(map(len, held)) >= BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["block"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["block"])
+
+    alike = counts.mapInPandas(known, counts.schema).groupBy(names).agg(F.sum("n").alias("n"))  # rare features told rows apart
+    alike = staged(alike, "examples")
+    parts = -(-alike.count() // BLOCK)
+    blocks = alike.coalesce(max(1, parts)).sortWithinPartitions(names).mapInArrow(numbers, "block binary").rdd.map(lambda r: bytes(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def slopes(state: dict) -> np.ndarray:
+        now = context.broadcast(state)
+        summed = blocks.treeAggregate(0.0, lambda up, block: up + _slopes(now.value, np.frombuffer(block, np.int64).reshape(-1, 4 + LABELS + FEATURES)), lambda x, y: x + y)
+        now.destroy()
+        return summed
+
+    model = {"index": Buckets(rows), **_ascend(blank + 1, slopes if parts else None)}
+    blocks.unpersist()
+    learnt = context.broadcast(model)
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             levels: dict[tuple[int, bool], int] = defaultdict(int)
             for text in batch["text"]:
-                for belief, right in _hidden(shared.value, text or ""):
+                for belief, right in _hidden(learnt.value, text or ""):
                     levels[sum(belief >= level for level in LEVELS), right] += 1
             yield pd.DataFrame([(k, r, n) for (k, r), n in levels.items()], columns=["level", "right", "n"])
 
-    found = sample.where(hidden).select("text").mapInPandas(named, "level int, right boolean, n long")
+    found = docs.where(hidden).select("text").mapInPandas(named, "level int, right boolean, n long")
     return model | {"threshold": _threshold(found.groupBy("level", "right").agg(F.sum("n").alias("n")).collect())}  # at most two rows a level
 
 

@@ -75,3 +75,28 @@ def test_a_lone_number_is_no_address():
     flat["unary"][0, 2] = 9.0  # a field that takes all for addresses
     assert pii_crf.all_spans(flat, "Phone: 555-123-4567")[1] == []
     assert pii_crf.all_spans(flat, "at 555.123.45.67")[1] == []  # refused: a part is over 255
+
+
+def test_the_field_is_learnt_from_every_document(spark):
+    """Eight of 12,000 documents hold a form of their own: its features have weights, as in a field learnt from all rows at hand."""
+    rows = [(i, f"zyx 10.0.{i // 1500}.77 end" if i % 1500 == 7 else f"page {i % 50}") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii_crf.fit(docs)
+    seen = {r.doc_id for r in docs.where("pmod(xxhash64(doc_id, 11), 4) != 0").select("doc_id").collect()}
+    counts = pii_crf.defaultdict(int)
+    for i, text in rows:
+        for example in pii_crf._examples(text) if i in seen else ():
+            counts[example] += 1
+            counts[pii_crf._bare(example)] += bool(example[1] and any(example[4][1:]))
+    whole = pii_crf.learn([(*e, n) for e, n in counts.items() if n])
+    assert "b:zyx" in whole["index"] and all(f in model["index"] for f in whole["index"])
+    for f, k in whole["index"].items():
+        assert abs(model["unary"][model["index"][f]] - whole["unary"][k]).max() < 1e-3, f
+    assert abs(model["chain"] - whole["chain"]).max() < 1e-3 and abs(model["skip"] - whole["skip"]).max() < 1e-3
+    assert pii_crf.all_spans(model, "zyx 10.0.300.77 end")[0] == []
+
+
+def test_a_phone_match_that_ran_on_says_nothing():
+    """The pattern refuses a phone number with an address behind it: its tokens are no examples of what is none."""
+    text = "see page 7, call +1 (826) 555-4081 190.137.223.204 now"
+    assert [e[1] for e in pii_crf._examples(text)] == [0, 2]
