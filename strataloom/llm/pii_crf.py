@@ -205,7 +205,7 @@ def _examples(text: str) -> Iterator[tuple]:
     for group in groups:
         counts = np.bincount([labels[i] for i in group if labels[i] >= 0], minlength=LABELS).tolist()
         for i in group:
-            others[i] = tuple(min(c - (labels[i] == l), 9) for l, c in enumerate(counts))
+            others[i] = tuple(c - (labels[i] == l) for l, c in enumerate(counts))
     for i, token in enumerate(tokens):
         if labels[i] < 0:
             continue

@@ -100,3 +100,10 @@ def test_a_phone_match_that_ran_on_says_nothing():
     """The pattern refuses a phone number with an address behind it: its tokens are no examples of what is none."""
     text = "see page 7, call +1 (826) 555-4081 190.137.223.204 now"
     assert [e[1] for e in pii_crf._examples(text)] == [0, 2]
+
+
+def test_counts_of_tied_labels_are_whole():
+    examples = list(pii_crf._examples("robert.m@mail.example.com says " * 5_000))
+    assert {e[4] for e in examples} == {(0, 4_999, 0, 0, 0, 0)}
+    model = pii_crf.learn([(*examples[0], 5_000), (*pii_crf._bare(examples[0]), 5_000), (("s:99",), 0, -1, -1, (0,) * 6, 50)])
+    assert all(pii_crf.np.isfinite(model[k]).all() for k in ("unary", "chain", "skip")) and model["skip"][0] > 0
