@@ -21,17 +21,41 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import BLANKS, n_words, table
+from strataloom.llm.common import table
 
 SYMBOLS = "#*$%&|<>"
 BARS = "|»›·→"
 CLOSING = ".!?…:;\"'”“’»«)]>。！？；：」』）》】｡।॥۔؟"
+#: Page phrases of the lower-cased line, each with texts one of which it must hold. `contains` compares wherever the first
+#: byte fits, so most begin with a rare letter.
+PHRASES = {
+    r"cookie (policy|notice|settings|preferences)": ["kie policy", "kie notice", "kie settings", "kie preferences"],
+    r"accept (all )?cookies": ["kies"],
+    r"privacy policy": ["vacy policy"],
+    r"terms of (use|service)": ["ms of use", "ms of service"],
+    r"terms and conditions": ["ms and conditions"],
+    r"all rights reserved": ["ghts reserved"],
+    r"enable javascript": ["javascript"],
+    r"click here": ["k here"],
+    r"read more": ["read more"],
+    r"(sign up for|subscribe to) (our|the) newsletter": ["wsletter"],
+    r"lorem ipsum": ["psum"],
+    r"powered by": ["powered by"],
+    r"back to top": ["k to top"],
+    r"skip to (main )?content": ["kip to "],
+    r"share (this|on (facebook|twitter))": ["share this", "share on "],
+    r"add to cart": ["cart"],
+    r"copyright [0-9]{4}": ["pyright "],
+    r"page [0-9]+ of [0-9]+": ["page "],
+    r"last (updated|modified)": ["pdated", "modified"],
+}
 #: Looked for in the lower-cased line.
 BOILERPLATE = (
-    r"\b(cookie (policy|notice|settings|preferences)|accept (all )?cookies|privacy policy|terms of (use|service)|terms and conditions|all rights reserved|enable javascript|click here|read more|"
-    r"(sign up for|subscribe to) (our|the) newsletter|lorem ipsum|powered by|back to top|skip to (main )?content|share (this|on (facebook|twitter))|add to cart|copyright [0-9]{4}|page [0-9]+ of [0-9]+|last (updated|modified))\b"
+    rf"\b({'|'.join(PHRASES)})\b"
     r"|(\(c\)|©) ?[0-9]{4}|^[\x20\x09]*https?://[^\x20\x09]+[\x20\x09\x0d]*$"
 )
+#: A lower-cased text without any of these holds no boilerplate line.
+TELLING = [*(t for texts in PHRASES.values() for t in texts), "(c)", "©", "http"]
 SHORT, FRAGMENT, HEADING, HEADED, LONG = 4, 3, 10, 8, 40
 MAX_LOSS = 50
 
@@ -40,27 +64,32 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _has(line: Column, chars: str) -> Column:
-    found = line.contains(chars[0])
-    for c in chars[1:]:
-        found = found | line.contains(c)
+def _has(line: Column, parts: str | list[str]) -> Column:
+    found = line.contains(parts[0])
+    for part in parts[1:]:
+        found = found | line.contains(part)
     return found
 
 
-def marks(line: Column) -> Column:
-    """What is known of a line with words by itself; each measure is taken once, here."""
-    words = n_words(line)
-    bars = F.when(_has(line, BARS), F.regexp_count(line, F.lit(rf"(?:^|[\x20\x09])(?:{'|'.join(map(re.escape, BARS))})(?=[\x20\x09]|$)"))).otherwise(0)
-    shouts = F.when(line.contains("!!"), F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)"))).otherwise(0)
-    symbols = F.when(_has(line, SYMBOLS), _without(line, SYMBOLS)).otherwise(0)
-    closed = F.instr(F.lit(CLOSING), F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1))) > 0
-    goes_on = line.rlike(r"^[\x20\x09-\x0D]*[\p{Ll}\p{Lo}]")
-    measures = {"line": line, "n": words, "bars": bars, "shouts": shouts, "symbols": symbols, "closed": closed, "goes_on": goes_on, "long": F.length(line) >= LONG, "boilerplate": F.lower(line).rlike(BOILERPLATE)}
+def seen(text: Column, lower: Column) -> Column:
+    """What a whole text may hold; its lines are not searched for the rest."""
+    measures = {"bars": _has(text, BARS), "shouts": text.contains("!!"), "symbols": _has(text, SYMBOLS), "boilerplate": _has(lower, TELLING)}
+    return F.struct(*[m.alias(name) for name, m in measures.items()])
+
+
+def marks(line: Column, words: Column, held: Column) -> Column:
+    """What is known of a line with words by itself, `held` being `seen` of its text; each measure is taken once, here."""
+    bars = F.when(held["bars"] & _has(line, BARS), F.regexp_count(line, F.lit(rf"(?:^|[\x20\x09])(?:{'|'.join(map(re.escape, BARS))})(?=[\x20\x09]|$)"))).otherwise(0)
+    shouts = F.when(held["shouts"] & line.contains("!!"), F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)"))).otherwise(0)
+    symbols = F.when(held["symbols"] & _has(line, SYMBOLS), _without(line, SYMBOLS)).otherwise(0)
+    closed = F.instr(F.lit(CLOSING), F.right(F.element_at(words, -1), F.lit(1))) > 0
+    goes_on = F.get(words, 0).rlike(r"^[\p{Ll}\p{Lo}]")
+    measures = {"n": F.size(words).cast("long"), "bars": bars, "shouts": shouts, "symbols": symbols, "closed": closed, "goes_on": goes_on, "long": F.length(line) >= LONG, "boilerplate": held["boilerplate"] & F.lower(line).rlike(BOILERPLATE)}
     return F.struct(*[m.alias(name) for name, m in measures.items()])
 
 
 def judged(marked: str) -> Column:
-    """Each line of the array column `marked` as (line, n, fails), fails: it is to go."""
+    """Each line of the array column `marked` as (n, fails), fails: it is to go."""
 
     def judge(x: Column, i: Column) -> Column:
         at = lambda k: F.get(F.col(marked), i + k)
@@ -71,7 +100,7 @@ def judged(marked: str) -> Column:
         heading = F.coalesce((x["n"] <= HEADING) & at(1)["closed"] & (at(1)["n"] >= HEADED), F.lit(False))
         alone = ((x["bars"] >= 3) & (3 * x["bars"] >= x["n"])) | ((x["shouts"] >= 3) & (2 * x["shouts"] >= x["n"])) | (x["symbols"] >= x["n"]) | x["boilerplate"]
         fails = alone | menu | (~x["closed"] & (x["n"] >= FRAGMENT) & ~wrapped & ~heading)
-        return F.struct(x["line"].alias("line"), x["n"].alias("n"), fails.alias("fails"))
+        return F.struct(x["n"].alias("n"), fails.alias("fails"))
 
     return F.transform(F.col(marked), judge)
 
@@ -80,35 +109,35 @@ def line_quality(docs: DataFrame, max_loss: int = MAX_LOSS) -> DataFrame:
     """`docs` with the base counts, clean_text, n_clean_words, base_failed and kept added."""
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_clean_words", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    rows = docs.withColumns({"_words": words, "_lines": lines})
+    cut = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.array_remove(F.split(x, r"[\x20\x09-\x0D]+"), "").alias("words")))
+    rows = docs.withColumns({"_cut": F.filter(cut, lambda x: F.size(x["words"]) > 0), "_lower": F.lower(text)})
+    rows = rows.withColumns({"_words": F.flatten("_cut.words"), "_lines": F.col("_cut.line"), "_seen": seen(text, F.col("_lower"))})
     rows = rows.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
-        "n_symbols": _without(text, SYMBOLS).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.when(F.col("_seen.symbols"), _without(text, SYMBOLS)).otherwise(0).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_marks": F.transform("_lines", marks),
+        "_marks": F.transform("_cut", lambda x: marks(x["line"], x["words"], F.col("_seen"))),
     })
-    rows = rows.withColumn("_clean", F.filter(judged("_marks"), lambda x: ~x["fails"]))
+    rows = rows.withColumn("_judged", judged("_marks"))
     # words in three-word windows that occur twice or more; each step is a column of its own, computed once a row
     windows = F.transform(F.sequence(F.lit(1), F.size("_words") - 2), lambda i: F.xxhash64(F.get("_words", i - 1), F.get("_words", i), F.get("_words", i + 1)))
     rows = rows.withColumn("_windows", F.when(F.col("n_words") >= 3, windows))
     several = F.size("_windows") > F.size(F.array_distinct("_windows"))
-    ordered = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = rows.withColumn("_ordered", F.when(several, ordered))
     twice = F.filter("_ordered", lambda x, i: (x["h"] == F.get("_ordered", i - 1)["h"]) | (x["h"] == F.get("_ordered", i + 1)["h"]))
-    rows = rows.withColumn("_at", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    rows = rows.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
     # a window adds three words, or as many as it lies behind the marked window before it
     covered = F.transform("_at", lambda i, k: F.least(F.lit(3), i - F.coalesce(F.get("_at", k - 1), F.lit(-3))))
     rows = rows.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"))
     rows = rows.withColumns({
-        "clean_text": F.array_join(F.transform("_clean", lambda x: x["line"]), "\n"),
-        "n_clean_words": F.aggregate("_clean", F.lit(0).cast("long"), lambda a, x: a + x["n"]),
+        "clean_text": F.array_join(F.filter("_lines", lambda x, i: ~F.get("_judged", i)["fails"]), "\n"),
+        "n_clean_words": F.aggregate("_judged", F.lit(0).cast("long"), lambda a, x: a + F.when(~x["fails"], x["n"]).otherwise(0)),
     })
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (100 * (F.col("n_words") - F.col("n_clean_words")) <= max_loss * F.col("n_words"))
-    return rows.withColumns({"base_failed": failed, "kept": kept}).drop("_words", "_lines", "_marks", "_clean", "_windows", "_ordered", "_at")
+    return rows.withColumns({"base_failed": failed, "kept": kept}).drop("_cut", "_lower", "_words", "_lines", "_seen", "_marks", "_judged", "_windows", "_ordered", "_at")
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

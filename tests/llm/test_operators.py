@@ -190,6 +190,47 @@ def test_lines_that_go(judged, name, goes):
     assert [line for i, line in enumerate(lines) if i not in goes] == kept
 
 
+FORMS = [
+    *(f"cookie {x}" for x in ("policy", "notice", "settings", "preferences")), "accept cookies", "accept all cookies", "privacy policy", "terms of use", "terms of service", "terms and conditions", "all rights reserved",
+    "enable javascript", "click here", "read more", *(f"{x} {y} newsletter" for x in ("sign up for", "subscribe to") for y in ("our", "the")), "lorem ipsum", "powered by", "back to top", "skip to content",
+    "skip to main content", "share this", "share on facebook", "share on twitter", "add to cart", "copyright 1999", "page 10 of 12", "last updated", "last modified", "(c) 1999", "(c)1999", "© 1999", "©1999",
+]
+
+
+def test_only_texts_that_may_hold_a_thing_are_searched_for_it(spark):
+    prose = "It was a long evening in the valley and the wind came down\nfrom the hills to the houses by the river."
+    forms = [f"We show, {x}, here." for form in FORMS for x in (form, form.upper(), form.title())] + ["http://example.org/a.", " \tHTTPS://example.org/a.\r"]
+    marked = {"bars": "Home | About | News | Contact.", "shouts": "Buy now!! Today!! Only!!", "symbols": "# * $ %."}
+    texts = [prose, *(f"{prose}\n{x}\n{prose}" for x in [*forms, *marked.values()])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = quality_lines.line_quality(frame).withColumn("seen", quality_lines.seen(F.col("text"), F.lower("text"))).orderBy("doc_id").collect()
+    assert not any(rows[0].seen) and rows[0].clean_text == prose
+    assert all(r.clean_text == f"{prose}\n{prose}" for r in rows[1:])
+    assert all(r.seen.boilerplate and not (r.seen.bars or r.seen.shouts or r.seen.symbols) for r in rows[1 : 1 + len(forms)])
+    assert all(r.seen[name] for r, name in zip(rows[1 + len(forms) :], marked))
+
+
+def test_lines_and_words_at_every_kind_of_blank(spark):
+    rng = np.random.default_rng(7)
+    parts = ["a", "B", "word", "Σ", "İ", "\u212a", "é", "これ", "😀", "end.", "end!!", "x”", "|", "»", "→", "#", "<b>", "\x85", "\xa0", "\x1c", "\x00", "Page", "3", "of", "http://a", "Read", "more"]
+    blanks = [" ", " ", " ", "\n", "\n", "\t", "\r", "\x0b", "\x0c", "\r\n", "  ", "\n\n"]
+    texts = ["".join(str(rng.choice(p)) for _ in range(rng.integers(0, 90)) for p in (parts, blanks)) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_lines.line_quality(frame).collect():
+        text = texts[r.doc_id]
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        at = {}
+        for i in range(len(words) - 2):
+            at.setdefault(tuple(words[i : i + 3]), []).append(i)
+        repeated = {i + k for found in at.values() if len(found) > 1 for i in found for k in range(3)}
+        want = (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        kept = r.clean_text.split("\n") if r.clean_text else []
+        left = iter(lines)
+        assert all(x in left for x in kept) and r.n_clean_words == sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in kept)
+
+
 def test_toxicity_and_language(spark, real, docs, none):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
     model = toxicity_fm.fit(real.join(labels, "doc_id"))
