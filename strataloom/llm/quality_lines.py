@@ -96,7 +96,7 @@ def judged(marked: str) -> Column:
         short = lambda y: F.coalesce(~y["closed"] & (y["n"] <= SHORT), F.lit(False))
         before, after = short(at(-1)), short(at(1))
         menu = short(x) & ((before & after) | (after & short(at(2))) | (before & short(at(-2))))
-        wrapped = F.coalesce(at(1)["goes_on"] | (x["long"] & (x["goes_on"] | at(1)["closed"])), F.lit(False))
+        wrapped = F.coalesce(at(1)["goes_on"] | (x["long"] & ((x["goes_on"] & at(1).isNotNull()) | at(1)["closed"])), F.lit(False))
         heading = F.coalesce((x["n"] <= HEADING) & at(1)["closed"] & (at(1)["n"] >= HEADED), F.lit(False))
         alone = ((x["bars"] >= 3) & (3 * x["bars"] >= x["n"])) | ((x["shouts"] >= 3) & (2 * x["shouts"] >= x["n"])) | (x["symbols"] >= x["n"]) | x["boilerplate"]
         fails = alone | menu | (~x["closed"] & (x["n"] >= FRAGMENT) & ~wrapped & ~heading)

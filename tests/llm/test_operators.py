@@ -231,6 +231,19 @@ def test_lines_and_words_at_every_kind_of_blank(spark):
         assert all(x in left for x in kept) and r.n_clean_words == sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in kept)
 
 
+def test_a_last_line_goes_on_nowhere(spark):
+    """A long open last line that starts small is no wrapped prose: no line goes on from it (as the SQL has it)."""
+    line = "and so it went on and on over the hills and far away to the sea"
+    texts = [line, f"It was late.\n{line}", f"{line}\n{line}.", "von " * 60]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.clean_text for r in quality_lines.line_quality(frame).orderBy("doc_id").collect()]
+    assert found == ["", "It was late.", texts[2], ""]
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    ours = quality_lines.line_quality(frame).select("doc_id", "n_clean_words", "kept").orderBy("doc_id").collect()
+    assert [tuple(r) for r in ours] == con.execute(f"select doc_id, n_clean_words, kept from ({quality_lines.OP4_SQL}) order by doc_id").fetchall()
+
+
 def test_toxicity_and_language(spark, real, docs, none):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
     model = toxicity_fm.fit(real.join(labels, "doc_id"))
