@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,38 +106,67 @@ def pileup(reads: DataFrame, del_as_base: bool = False, region: tuple | None = N
 
 
 def reference_chunks(ref: DataFrame, width: int = 4096) -> DataFrame:
-    """(rname, bin, bases): the reference (rname, pos, base) in arrays of `width` positions, null where there is none."""
-    at = F.map_from_entries(F.collect_list(F.struct((F.col("pos") % width).cast("int"), "base")))
-    bases = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at(F.col("_m"), i))
-    return ref.groupBy("rname", F.floor(F.col("pos") / width).alias("bin")).agg(at.alias("_m")).select("rname", "bin", bases.alias("bases"))
+    """(rname, bin, bases): the reference (rname, pos, base) in arrays of `width` positions, null where there is none.
+
+    A chunk's bases are sorted and put behind one another, with nulls for what lies between two of them.
+    """
+    at = F.pmod("pos", F.lit(width)).cast("int").alias("at")
+    held = ref.groupBy("rname", F.floor(F.col("pos") / width).alias("bin")).agg(F.sort_array(F.collect_list(F.struct(at, "base"))).alias("_m"))
+    none = F.lit(None).cast(ref.schema["base"].dataType)
+
+    def after_gap(x, i):
+        gap = x["at"] - F.when(i > 0, F.get("_m", i - 1)["at"]).otherwise(-1) - 1
+        return F.when(gap < 0, F.raise_error(F.lit("the reference has a position twice"))).otherwise(F.concat(F.array_repeat(none, gap), F.array(x["base"])))
+
+    tail = F.array_repeat(none, width - 1 - F.element_at("_m", -1)["at"])
+    return held.select("rname", "bin", F.concat(F.flatten(F.transform("_m", after_gap)), tail).alias("bases"))
+
+
+#: Letters of a chunk's text where the reference has no base, and where it has none of one letter, which all bases differ from.
+NO_BASE, OTHER = "\x00", "\x01"
+#: Parts of reads that are compared at a time.
+PARTS = 256
+
+
+def _letters(column: pa.Array) -> np.ndarray:
+    """The code points of all strings of a column, one after another."""
+    column = column.cast(pa.string())
+    ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data if not len(data) or data.max() < 128 else np.frombuffer("".join(column.to_pylist()).encode("utf-32-le"), "<u4")
 
 
 def mismatch_filter(reads: DataFrame, ref: DataFrame, threshold: int, default_q: int = 20, width: int = 4096) -> DataFrame:
     """`reads` (with id) marked unmapped where the qualities of mismatching bases sum to over the threshold.
 
-    `ref`: rows (rname, pos, base), or the chunks of them. A read meets the one or two chunks that it lies on, and is
-    compared with them as an array; no base is a row.
+    `ref`: rows (rname, pos, base), or the chunks of them. A read is cut at the chunks' bounds, so that each chunk meets only
+    the letters that lie on it; letters, qualities and the reference's stretch are compared as arrays. No base is a row.
     """
     chunks = ref if "bases" in ref.columns else reference_chunks(ref, width)
+    letter = lambda b: F.when(b.isNull(), NO_BASE).when(F.length(b) == 1, b).otherwise(OTHER)
+    chunks = chunks.select("rname", "bin", F.array_join(F.transform("bases", letter), "").alias("_line"))
     walked = _walked(reads.select("id", "rname", "pos", "cigar", "seq", "qual"))
-    walked = walked.withColumn("_walk", F.filter("_walk", lambda p: p["op"].isin("M", "=", "X") & (p["n"] > 0)))
-    last = F.array_max(F.transform("_walk", lambda p: p["r"] + p["n"] - 1))
-    bins = F.sequence(F.floor(F.array_min(F.transform("_walk", lambda p: p["r"])) / width), F.floor(last / width))
-    parts = walked.where(F.size("_walk") > 0).select("id", "rname", "_walk", "seq", "qual", F.explode(bins).alias("bin"))
-    met = parts.join(chunks, ["rname", "bin"]).withColumns({"_s": F.split("seq", ""), "_q": F.split("qual", "")})
-    start = F.col("bin") * width
-    blank = lambda c: F.when(c != "", c)
-
-    def bad(p):
-        def one(total, i):  # i: a position of the reference
-            at = (p["q"] + i - p["r"]).cast("int")
-            base, q, other = blank(F.get("_s", at)), blank(F.get("_q", at)), F.get("bases", (i - start).cast("int"))
-            return total + F.when(base != other, F.coalesce(F.ascii(q) - 33, F.lit(default_q))).otherwise(0)
-
-        low, high = F.greatest(p["r"], start), F.least(p["r"] + p["n"], start + width)
-        return F.when(low < high, F.aggregate(F.sequence(low, high - 1), F.lit(0), one)).otherwise(0)
-
-    sums = met.select("id", F.aggregate("_walk", F.lit(0), lambda total, p: total + bad(p)).alias("n")).groupBy("id").agg(F.sum("n").alias("bad"))
+
+    def cut(p):
+        bins = F.sequence(F.floor(p["r"] / width), F.floor((p["r"] + p["n"] - 1) / width))
+        low, high = lambda b: F.greatest(p["r"], b * width), lambda b: F.least(p["r"] + p["n"], (b + 1) * width)
+        return F.transform(bins, lambda b: F.struct(b.alias("bin"), (low(b) - b * width + 1).cast("int").alias("at"), (low(b) - p["r"] + p["q"] + 1).cast("int").alias("first"), (high(b) - low(b)).cast("int").alias("n")))
+
+    on = F.filter("_walk", lambda p: p["op"].isin("M", "=", "X") & (p["n"] > 0))
+    parts = walked.select("id", "rname", "seq", "qual", F.explode(F.flatten(F.transform(on, cut))).alias("_p"))
+    letters = lambda c: F.expr(f"substring(coalesce({c}, ''), _p.first, _p.n)")
+    met = parts.select("id", "rname", "_p.bin", "_p.at", letters("seq").alias("_s"), letters("qual").alias("_q")).join(chunks, ["rname", "bin"])
+    met = met.select("id", "_s", F.rpad("_q", F.length("_s"), NO_BASE).alias("_q"), F.expr("substring(_line, at, length(_s))").alias("_b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, PARTS) for whole in batches for at in range(0, whole.num_rows, PARTS)):
+            own, quality, other = (_letters(batch.column(i)) for i in (1, 2, 3))
+            worth = np.where(quality == 0, default_q, quality.astype(np.int64) - 33)
+            run = np.concatenate([[0], np.cumsum(np.where((other != ord(NO_BASE)) & (own != other), worth, 0))])
+            ends = np.cumsum(np.concatenate([[0], pc.utf8_length(batch.column(1)).to_numpy()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(run[ends]), pa.int64())], names=["id", "n"])
+
+    sums = met.mapInArrow(compare, f"id {reads.schema['id'].dataType.simpleString()}, n long").groupBy("id").agg(F.sum("n").alias("bad"))
     marked = reads.join(sums, "id", "left")
     return marked.withColumn("flag", F.when(F.col("bad") > threshold, F.col("flag").bitwiseOR(F.lit(4))).otherwise(F.col("flag"))).drop("bad")
 

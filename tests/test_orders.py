@@ -1,6 +1,7 @@
 """Running sums over cuts, positions in regions, mismatches by chunk and repeated read ids, against plain Python."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -84,6 +85,27 @@ def test_mismatches_by_chunk(spark, width):
     assert 0 < sum(want.values()) < 4 * len(want)
 
 
+def test_chunks_and_long_reads_are_made_in_one_pass(spark):
+    rng = random.Random(3)
+    gaps = [p for p in range(200_000) if p % 1000 and not 50_000 < p < 60_000]
+    sites = spark.createDataFrame([(1, p, "ACGT"[p % 4]) for p in gaps] + [(2, 70_000, "A"), (2, 65_536, None)], "rname int, pos long, base string")
+    began = time.monotonic()
+    chunks = {(r.rname, r.bin): r.bases for r in reads.reference_chunks(sites, 65_536).collect()}
+    assert all(len(c) == 65_536 for c in chunks.values()) and {1, 0} == {c.count("A") for k, c in chunks.items() if k[0] == 2} | {0}
+    assert [p for (r, b), c in sorted(chunks.items()) if r == 1 for p, x in enumerate(c, b * 65_536) if x] == gaps
+    seq = "".join(rng.choice("ACGTé") for _ in range(150_000))  # letters of two bytes as well
+    table = spark.createDataFrame([(7, 1, 20_000, "150000M", seq, "+" * 140_000 + "é", 0), (8, 2, 69_999, "3M", "CCC", None, 0)], "id int, rname int, pos int, cigar string, seq string, qual string, flag int")
+    known = set(gaps)
+    bad = [i for i, x in enumerate(seq) if i + 20_000 in known and x != "ACGT"[i % 4]]
+    worth = sum(10 if i < 140_000 else ord("é") - 33 if i == 140_000 else 20 for i in bad)
+    for threshold, want in ((worth - 1, 4), (worth, 0)):
+        assert {r.id: r.flag for r in reads.mismatch_filter(table, sites, threshold, width=64).collect()} == {7: want, 8: 0}
+    assert {r.id: r.flag for r in reads.mismatch_filter(table, sites, 19).collect()} == {7: 4, 8: 4}
+    assert time.monotonic() - began < 60  # a map's entries looked up one by one, or whole reads sent to each chunk, take far longer
+    with pytest.raises(Exception, match="a position twice"):
+        reads.reference_chunks(sites.union(sites.where("pos = 70000"))).collect()
+
+
 def test_repeated_ids_name_the_first_line(spark):
     rows = [(4 * i + 1, f"@r{i % 7 if i < 14 else i} x", "ACGTACGTACGT", "+", "IIIIIIIIIIII") for i in range(30)]
     df = spark.createDataFrame(rows, "line long, id_line string, seq string, plus string, qual string")
