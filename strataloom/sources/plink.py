@@ -8,15 +8,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.operators.staging import shuffled
 from strataloom.sources.text import numbered_lines
 
 # fixed values: the three leading bytes of a SNP-major file; copies of the first allele by two-bit code, -1 missing
 HEADER, COPIES = b"\x6c\x1b\x01", np.array([2, -1, 1, 0], np.int8)
 CELLS = 1 << 20
+#: Cells that are handed on at a time, and what a variant's cells have of it.
+ROWS, SITE = 1 << 17, ["chrom", "id", "pos", "a1", "a2"]
 
 
 def _uri(path: str) -> str:
@@ -43,24 +47,32 @@ def read_plink(spark: SparkSession, bed: str, bim: str, fam: str) -> DataFrame:
     blocks = -(-m // step)
     uri = _uri(bed)
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # a block's row has its variants: cells are not joined with them, which would shuffle all cells or, as Spark takes them to be as
+    # few as the blocks, gather them on the driver
+    held = variants.groupBy(F.floor(F.col("at") / step).alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", *SITE))).alias("sites"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, name = fs.FileSystem.from_uri(uri)
         with store.open_input_file(name) as file:
             if file.read(3) != HEADER or file.size() != 3 + m * width:
                 raise ValueError("not a SNP-major bed file of these variants and subjects")
             for batch in batches:
-                for block in batch["id"]:
-                    start, stop = int(block) * step, min((int(block) + 1) * step, m)
+                for block, sites in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    sites = pa.RecordBatch.from_struct_array(sites.values)
+                    start, stop = block * step, min((block + 1) * step, m)
+                    at = sites.column(0).to_numpy(zero_copy_only=False) - start
+                    sites = sites.select(SITE).filter(pa.array(at < stop - start))
                     file.seek(3 + start * width)
-                    codes = np.frombuffer(file.read((stop - start) * width), np.uint8).reshape(stop - start, width)
-                    bits = ((codes[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(stop - start, 4 * width)[:, :n]
+                    codes = np.frombuffer(file.read((stop - start) * width), np.uint8).reshape(stop - start, width)[at[at < stop - start]]
+                    bits = ((codes[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(len(codes), 4 * width)[:, :n]
                     g = COPIES[bits].ravel()
-                    frame = pd.DataFrame({"v": np.repeat(np.arange(start, stop), n), "s": np.tile(np.arange(n), stop - start), "g": pd.array(g, "Int64")})
-                    frame.loc[g < 0, "g"] = pd.NA
-                    yield frame
+                    for low in range(0, len(g), ROWS):
+                        cell = np.arange(low, min(low + ROWS, len(g)))
+                        known = g[cell].astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([*sites.take(pa.array(cell // n)).columns, pa.array((cell % n).astype(np.int32)), pa.array(known, mask=known < 0)], names=[*SITE, "s", "g"])
 
-    cells = spark.range(blocks).repartition(max(blocks, 1), "id").mapInPandas(unpack, "v int, s int, g long")
-    out = cells.join(variants.withColumnRenamed("at", "v"), "v").join(people.withColumnRenamed("at", "s"), "s")
+    cells = held.repartition(max(blocks, 1), "block").mapInArrow(unpack, "chrom string, id string, pos int, a1 string, a2 string, s int, g long")
+    out = cells.join(shuffled(people.withColumnRenamed("at", "s")), "s")
     return out.select("chrom", "id", "pos", "a1", "a2", "fid", "iid", "g")
 
 

@@ -125,6 +125,25 @@ def test_plink(spark, tmp_path):
         plink.read_plink(spark, *[str(tmp_path / f"a.{x}") for x in ("bed", "bim", "fam")]).count()
 
 
+def test_plink_gathers_no_cells(spark, tmp_path):
+    """Cells look as few as their blocks to Spark: they are not broadcast, nor are the subjects; sites of all blocks stay in order."""
+    rng, n, m = np.random.default_rng(5), 7, 11
+    codes = rng.integers(0, 4, (m, 8))
+    (tmp_path / "a.bim").write_text("".join(f"{v % 3}\trs{v}\t0\t{10 * v}\tA\tG\n" for v in range(m)))
+    (tmp_path / "a.fam").write_text("".join(f"F{i} S{i} 0 0 1 -9\n" for i in range(n)))
+    (tmp_path / "a.bed").write_bytes(plink.HEADER + bytes((codes.reshape(m, 2, 4) << np.array([0, 2, 4, 6])).sum(2).astype(np.uint8).tobytes()))
+    held = plink.CELLS, plink.ROWS
+    try:
+        plink.CELLS, plink.ROWS = 21, 10  # three variants a block, ten cells at a time
+        found = plink.read_plink(spark, *[str(tmp_path / f"a.{x}") for x in ("bed", "bim", "fam")])
+        rows = {(r.pos, r.id, r.chrom, r.fid, r.iid): r.g for r in found.collect()}
+    finally:
+        plink.CELLS, plink.ROWS = held
+    assert rows == {(10 * v, f"rs{v}", str(v % 3), f"F{i}", f"S{i}"): [2, None, 1, 0][codes[v, i]] for v in range(m) for i in range(n)}
+    above = found._jdf.queryExecution().executedPlan().toString().split("MapIn")[0]
+    assert "SortMergeJoin" in above and "Broadcast" not in above
+
+
 def test_gene_summaries(spark, tmp_path):
     scores = spark.createDataFrame([("G", 1, "1:5", 0.1, 2, 9, 7, 2, 0, 0.5), ("G", 2, "1:9", 0.2, 3, 9, 6, 3, 0, -1.0)], "gene string, variant long, id string, af double, ac long, n long, n_ref long, n_het long, n_alt long, u double")
     cov = spark.createDataFrame([("G", 1, 1, 2.0), ("G", 2, 2, 4.0), ("G", 2, 1, 3.0)], "gene string, i long, j long, v double")
