@@ -1,10 +1,13 @@
 """Models without a SQL twin against plain numpy, and the binary source and gene sink on small files."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import score, survival, wald
+from strataloom.plans import registry
 from strataloom.sources import plink, text
 
 
@@ -144,6 +147,26 @@ def test_plink_gathers_no_cells(spark, tmp_path):
     assert "SortMergeJoin" in above and "Broadcast" not in above
 
 
+def _broadcast_scans(df, table):
+    """Lines of the plan below its broadcasts that read `table`."""
+    lines, found = df._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1 :])
+            found += [x for x in below if f"{table}.parquet" in x]
+    return found
+
+
+@pytest.mark.parametrize("name", ["T1_odd_variants_long", "T10_odd_variants_long", "T6_odd_variants_linear", "T6_odd_variants_cox"])
+def test_subjects_are_not_broadcast(spark, name):
+    data = "/root/testdata/sf0.001"
+    found = registry.queries()[name](spark, data)
+    assert not _broadcast_scans(found, "customer") and found._jdf.queryExecution().executedPlan().toString().count("customer.parquet")
+    fams = wald.family_sizes(registry.fx.surv(spark, data), registry.fx.geno(spark, data))
+    assert not _broadcast_scans(fams, "customer") and not _broadcast_scans(fams, "orders")
+
+
 def test_gene_summaries(spark, tmp_path):
     scores = spark.createDataFrame([("G", 1, "1:5", 0.1, 2, 9, 7, 2, 0, 0.5), ("G", 2, "1:9", 0.2, 3, 9, 6, 3, 0, -1.0)], "gene string, variant long, id string, af double, ac long, n long, n_ref long, n_het long, n_alt long, u double")
     cov = spark.createDataFrame([("G", 1, 1, 2.0), ("G", 2, 2, 4.0), ("G", 2, 1, 3.0)], "gene string, i long, j long, v double")
